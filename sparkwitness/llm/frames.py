@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -65,9 +66,25 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Compute once into the shared folder and cut the lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a frame as a table in the shared folder and read it back.
+
+    This cuts the lineage; the table survives lost executors.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables made by ``settled`` that no later step reads."""
+    for df in tables:
+        path = getattr(df, "_settled_path", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -89,7 +106,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low2 = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low2, "u").select(F.col("v").alias("x"), "m").where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v"))
-        e = settled(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct())
+        done, e = e, settled(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct())
+        forget(done)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:
             break

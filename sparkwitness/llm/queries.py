@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package, table
-from . import sketchjoin
+from . import fingerprints, sketchjoin, suffixdedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,3 +52,14 @@ LEFT JOIN size ON size.doc_id = d.doc_id""",
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sketchjoin.jaccard_components(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+@query("op1_suffix_dedup")
+def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op5_fingerprints")
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

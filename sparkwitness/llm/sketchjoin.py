@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import frames
 from . import textkernel as tk
@@ -103,23 +104,34 @@ def set_names(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
 
 
 def candidate_keys(docs: DataFrame, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """(key, sig) for every segment of every set."""
+    """(key, sig) for every segment of every set; a task gives equal sets once.
 
-    def fn(rows, data, offsets):
-        sets, names = _named_sets(rows, data, offsets, k)
-        keys = [segment_keys(s, num, den) for s in sets]
-        flat = np.concatenate(keys) if keys else np.zeros(0, _U64)
-        sig = np.repeat(np.array(names, np.int64), [len(x) for x in keys])
-        return pa.RecordBatch.from_arrays([pa.array(frames.signed(flat)), pa.array(sig)], names=["key", "sig"])
+    A text that a third of all rows share so enters the shuffle once for each
+    input partition, not once for each row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for rows, data, offsets in frames.text_chunks(batches, "text"):
+            sets, names = _named_sets(rows, data, offsets, k)
+            keys, sigs = [], []
+            for s, name in zip(sets, names, strict=True):
+                if name not in seen:
+                    seen.add(name)
+                    keys.append(segment_keys(s, num, den))
+                    sigs.append(name)
+            if keys:
+                sig = np.repeat(np.array(sigs, np.int64), [len(x) for x in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(frames.signed(np.concatenate(keys))), pa.array(sig)], names=["key", "sig"])
 
-    return frames.map_texts(docs.select(F.col(text_col).alias("text")), "text", fn, "key long, sig long")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key long, sig long")
 
 
 def star_edges(keys: DataFrame) -> DataFrame:
     """Each set of a key with the key's smallest set (a, b), without repeats."""
-    dealt = keys.repartition(F.col("key"))
-    low = dealt.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low < high").select("key", "low")
-    return dealt.join(low.hint("shuffle_hash"), "key").where("sig > low").select(F.col("sig").alias("a"), F.col("low").alias("b")).distinct()
+    ordered = Window.partitionBy("key").orderBy("sig").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    low = keys.withColumn("low", F.first("sig").over(ordered))  # runs along the sorted rows, holds none
+    return low.where("sig > low").select(F.col("sig").alias("a"), F.col("low").alias("b")).distinct()
 
 
 def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
@@ -224,6 +236,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     names = frames.settled(set_names(docs, id_col, text_col, k))
     stars = frames.settled(star_edges(candidate_keys(docs, text_col, k, num, den)))
     classes = frames.settled(frames.components(stars))
+    frames.forget(stars)
     links = frames.settled(verified_links(docs, names, classes, id_col, text_col, k, num, den))
     joined = frames.components(links).select(F.col("node").alias("sig"), "component")
     filled = names.where("n_shingles > 0").groupBy("sig").agg(F.min("id").alias("low"))
