@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package, table
-from . import fingerprints, sketchjoin, suffixdedup
+from . import decontaminate, fingerprints, langid, mixing, quality, sketchjoin, suffixdedup, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -63,3 +63,80 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_fingerprints")
 def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op4_quality")
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select(F.col("id").alias("doc_id"), quality.is_held_out("id").alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def _lang_held_out(id_col: str) -> F.Column:
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+@query("op6_language")
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs, held_out=_lang_held_out("doc_id")))
+    return found.select(F.col("id").alias("doc_id"), _lang_held_out("id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query(
+    "op7_mixing",
+    r"""WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT AS place FROM documents),
+src AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM sized GROUP BY source),
+w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((sid - 1) % 3 + 1)::INT] AS w, 2 * source_size AS cap, sum(source_size) OVER () AS total FROM src),
+lev AS (SELECT *, (total::DOUBLE * 150.0::DOUBLE / 100.0::DOUBLE
+    - coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / sum(w) OVER (ORDER BY cap::DOUBLE / w, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+water AS (SELECT arg_min(level, struct_pack(r := cap::DOUBLE / w, s := sid)) AS water FROM lev WHERE cap::DOUBLE / w >= level),
+tgt AS (SELECT source, sid, source_size, least(cap::DOUBLE, coalesce(water * w, cap::DOUBLE)) AS target FROM lev, water),
+k AS (SELECT d.*, t.sid, t.source_size, t.target,
+    CASE WHEN t.source_size > 0 THEN least(floor(t.target / t.source_size), 2) ELSE 0 END::BIGINT AS epochs
+  FROM sized d JOIN tgt t ON d.source IS NOT DISTINCT FROM t.source),
+run AS (SELECT *, target - epochs * source_size AS rest,
+    coalesce(sum(size) OVER (PARTITION BY sid ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM k)
+SELECT doc_id, size, source_size, target,
+       ((epochs + CASE WHEN upto + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM run""",
+)
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@query(
+    "op9_decontamination",
+    f"""WITH {_SHINGLES},
+bw AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+bs AS (SELECT DISTINCT item_id, sh FROM (SELECT item_id, unnest(CASE WHEN len(ws) >= 5
+    THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) ELSE [] END) AS sh FROM bw)),
+bn AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
+hit AS (SELECT sh.doc_id, bs.item_id, count(*) AS n_found FROM sh JOIN bs ON sh.sh = bs.sh GROUP BY 1, 2)
+SELECT doc_id, hit.item_id, n_item, n_found, n_found::DOUBLE / n_item AS containment
+FROM hit JOIN bn ON bn.item_id = hit.item_id WHERE 100 * n_found >= 80 * n_item""",
+)
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+_LISTED = ", ".join(f"'{n}'" for n in urlfilter.LISTED)
+
+
+@query(
+    "op10_url_filter",
+    rf"""WITH u AS (SELECT page_id, url, coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), '{urlfilter.UPPER}', '{urlfilter.LOWER}'), '') AS host,
+    coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+rules(what, h, p) AS (VALUES {", ".join(str(r) for r in urlfilter.RULES)}),
+fit AS (SELECT page_id, url, host, path, arg_max(h || p, len(h || p)) AS rule, arg_max(what, len(h || p)) AS what FROM u
+    JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL)
+SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.what, CASE WHEN EXISTS (SELECT 1 FROM (SELECT unnest([{_LISTED}]) AS n)
+    WHERE (u.host || '/' = n OR ends_with(u.host || '/', '.' || n)) AND u.path <> '') THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN (SELECT DISTINCT page_id, url, rule, what FROM fit) f ON f.page_id = u.page_id AND f.url = u.url""",
+)
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.default_list(spark))
+    return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")

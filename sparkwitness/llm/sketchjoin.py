@@ -51,8 +51,8 @@ def signature(s: np.ndarray) -> int:
     return int(np.int64(np.uint64(total & ((1 << 64) - 1))))
 
 
-def _bands(n: int, num: int, den: int) -> list[tuple[int, int]]:
-    """(band, segments) of a set of n shingles, for all sizes a partner can have."""
+def _bands(n: int, num: int, den: int) -> list[tuple[int, int, int]]:
+    """(band, allowed difference, segments) of a set of n shingles, for all sizes a partner can have."""
     t = num / den
     low, high = n + math.ceil(n * t - 1e-9), n + math.floor(n / t + 1e-9)
     first = math.floor(math.log(low, BAND_GROWTH) - 1e-12)
@@ -60,8 +60,8 @@ def _bands(n: int, num: int, den: int) -> list[tuple[int, int]]:
     out = []
     for band in range(first, last + 1):
         most = math.ceil(BAND_GROWTH ** (band + 1))
-        differ = most * (den - num) // (den + num)
-        out.append((band, differ, math.ceil(differ * SPARE) + 2))
+        differ = min(most, high) * (den - num) // (den + num)  # of this set and any partner in the band
+        out.append((band, differ, math.ceil(most * (den - num) // (den + num) * SPARE) + 2))
     return out
 
 
