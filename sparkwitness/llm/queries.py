@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package, table
-from . import decontaminate, fingerprints, langid, mixing, quality, sketchjoin, suffixdedup, urlfilter
+from . import decontaminate, fingerprints, langid, mixing, quality, secrets, sketchjoin, suffixdedup, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -140,3 +140,9 @@ FROM u LEFT JOIN (SELECT DISTINCT page_id, url, rule, what FROM fit) f ON f.page
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.default_list(spark))
     return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+@query("op2_secrets")
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents")).where("is_secret")
+    return found.select(F.col("id").alias("doc_id"), "kind", "start", "end", "secret", "score")

@@ -45,7 +45,7 @@ _SCAN = re.compile("|".join(f"(?P<k{i}>{p})" for i, p in enumerate(_PATTERNS)))
 
 # Words that cover ordinary identifiers and placeholders, and context words.
 DICTIONARY = tuple("access account admin api app auth base bar baz bearer body change changeme client code config context credential data db default demo dummy email empty enter env environ example false fake field file foo form from get header hello here host hidden id input insert invalid json key lambda letmein local login master me mock my name new none null number object option os param pass password path placeholder private process prompt public read redacted replace request required reset response sample schema secret self server service session set settings some string super system temp test text this time todo token true type undefined update url user username value var welcome word world xxx your".split())
-FALSE_CONTEXT = tuple("example sample dummy fake placeholder replace checksum commit sha sha1 sha256 md5 digest hash uuid revision fixture mock test doc docs documentation tutorial template schema field type parameter".split())
+FALSE_CONTEXT = tuple("example sample dummy fake placeholder replace checksum commit sha1 sha256 md5 digest hash uuid revision fixture mock test doc docs documentation tutorial template schema field type parameter".split())
 TRUE_CONTEXT = tuple("prod production deploy live aws server connect database export curl ssh root admin credentials login leaked".split())
 FALSE_PATHS = tuple("test tests spec example examples sample docs doc fixture fixtures mock template readme".split())
 _WORD = re.compile(r"[A-Za-z]+[0-9]*")
@@ -127,10 +127,12 @@ def labelled_findings(count: int = 4000, seed: int = 11) -> list[tuple[int, str,
                 kind, value = (6, "-----BEGIN RSA PRIVATE KEY-----\n" + pick(low + up + dig + "+/", 300) + "\n-----END RSA PRIVATE KEY-----") if rng.random() < 0.4 else (7, pick(low + up + dig + "!#$", rng.integers(8, 20)))
             else:
                 kind = 8
-                value = (pick("0123456789abcdef", (16, 18, 20, 24, 32, 40, 48, 64)[rng.integers(8)]), pick(low + up + dig, rng.integers(12, 40)), pick(low + up + dig + "!@#$%^&*", rng.integers(10, 24)), word().title() + pick(dig + "!@#", rng.integers(3, 6)) + pick(low + up, 5))[rng.integers(4)]
+                value = (pick("0123456789abcdef", (16, 18, 20, 24, 32, 40, 40, 64)[rng.integers(8)]), pick(low + up + dig, rng.integers(12, 40)), pick(low + up + dig + "!@#$%^&*", rng.integers(10, 24)), word().title() + pick(dig + "!@#", rng.integers(3, 6)) + pick(low + up, 5))[rng.integers(4)]
                 before += assign()
             if rng.random() < 0.2:
                 before = TRUE_CONTEXT[rng.integers(len(TRUE_CONTEXT))] + " " + before
+            elif rng.random() < 0.08:
+                after += " " + FALSE_CONTEXT[rng.integers(len(FALSE_CONTEXT))]
             path = paths_true[rng.integers(len(paths_true))]
         else:
             if form == 0:
