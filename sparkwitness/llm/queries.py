@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package, table
-from . import decontaminate, fingerprints, langid, mixing, quality, secrets, sketchjoin, suffixdedup, urlfilter
+from . import decontaminate, fingerprints, htmlextract, langid, mixing, quality, secrets, sketchjoin, suffixdedup, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -146,3 +146,8 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents")).where("is_secret")
     return found.select(F.col("id").alias("doc_id"), "kind", "start", "end", "secret", "score")
+
+
+@query("op3_main_text")
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlextract.extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")

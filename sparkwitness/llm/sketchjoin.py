@@ -90,17 +90,23 @@ def _named_sets(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, k:
     return sets, [signature(s) for s in sets]
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text and th, a hash that tells apart texts under one id."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
 def set_names(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(id, n_shingles, sig) of every row."""
+    """(id, th, n_shingles, sig) of every row."""
 
     def fn(rows, data, offsets):
         sets, names = _named_sets(rows, data, offsets, k)
         return pa.RecordBatch.from_arrays(
-            [rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64())],
-            names=["id", "n_shingles", "sig"],
+            [rows.column(0), rows.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64())],
+            names=["id", "th", "n_shingles", "sig"],
         )
 
-    return frames.map_texts(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "text", fn, "id long, n_shingles long, sig long")
+    return frames.map_texts(_keyed(docs, id_col, text_col), "text", fn, "id long, th long, n_shingles long, sig long")
 
 
 def candidate_keys(docs: DataFrame, text_col: str, k: int, num: int, den: int) -> DataFrame:
@@ -221,6 +227,19 @@ def verified_links(docs: DataFrame, names: DataFrame, classes: DataFrame, id_col
     return paired.groupBy("class", "x", "y").applyInArrow(link, "a long, b long")
 
 
+def linked_sets(docs: DataFrame, id_col: str, text_col: str, k: int, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """The rows' set names, and (sig, class) of every non-empty set."""
+    num, den = similarity
+    names = frames.settled(set_names(docs, id_col, text_col, k))
+    stars = frames.settled(star_edges(candidate_keys(docs, text_col, k, num, den)))
+    classes = frames.settled(frames.components(stars))
+    frames.forget(stars)
+    links = frames.settled(verified_links(docs, names, classes, id_col, text_col, k, num, den))
+    joined = frames.components(links).select(F.col("node").alias("sig"), "component")
+    filled = names.where("n_shingles > 0").select("sig").distinct()
+    return names, filled.join(joined, "sig", "left").select("sig", F.coalesce("component", "sig").alias("class"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = tk.SHINGLE_WORDS, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
     """Classes of documents linked by a Jaccard similarity of at least ``similarity``.
 
@@ -229,19 +248,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component named by its smallest id.  A text that is null, empty or without
     words has no shingle and stands alone; a text of fewer than k words has its
     whole sequence as one shingle; equal sets are linked; repeated rows each
-    get a row.  Rows with a null id keep it and form no link of their own id
-    (component_id is the smallest id of their class, or null).
+    get a row.  A row with a null id is linked like any other; its component_id
+    is the smallest id of its class, null where the class has none.
     """
-    num, den = similarity
-    names = frames.settled(set_names(docs, id_col, text_col, k))
-    stars = frames.settled(star_edges(candidate_keys(docs, text_col, k, num, den)))
-    classes = frames.settled(frames.components(stars))
-    frames.forget(stars)
-    links = frames.settled(verified_links(docs, names, classes, id_col, text_col, k, num, den))
-    joined = frames.components(links).select(F.col("node").alias("sig"), "component")
-    filled = names.where("n_shingles > 0").groupBy("sig").agg(F.min("id").alias("low"))
-    named = filled.join(joined, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    final = named.join(lowest, "component").select("sig", "component_id")
+    names, classes = linked_sets(docs, id_col, text_col, k, similarity)
+    # Sizes first: a set that many rows share is one row here.
+    low = names.where("n_shingles > 0").groupBy("sig").agg(F.min("id").alias("low"))
+    named = classes.join(low, "sig")
+    lowest = named.groupBy("class").agg(F.min("low").alias("component_id"))
+    final = named.join(lowest, "class").select("sig", "component_id")
     full = names.where("n_shingles > 0").join(final, "sig").select("id", "n_shingles", "component_id")
     return full.unionByName(names.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = tk.SHINGLE_WORDS, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
+    """One row of each class of linked documents, all columns unchanged.
+
+    The row of the smallest id stays (ids before null, ties by a hash of the
+    text, one of exactly repeated rows); rows without words are linked with
+    nothing and all stay.
+    """
+    names, classes = linked_sets(docs, id_col, text_col, k, similarity)
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    best = names.where("n_shingles > 0").groupBy("sig").agg(F.min(rank).alias("rank")).join(classes, "sig").groupBy("class").agg(F.min("rank").alias("rank"))
+    lowest = F.lit(-(2**63))
+    chosen = best.select(F.coalesce("rank.id", lowest).alias("_rid"), F.col("rank.th").alias("_th"), F.lit(True).alias("_one"))
+    empty = names.where("n_shingles = 0").select(F.coalesce("id", lowest).alias("_rid"), F.col("th").alias("_th"), F.lit(False).alias("_one")).distinct()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    marked = docs.withColumn("_rid", F.coalesce(F.col(id_col).cast("long"), lowest)).withColumn("_th", F.xxhash64(text))
+    found = marked.join(chosen.unionByName(empty), ["_rid", "_th"])
+    copy = F.row_number().over(Window.partitionBy("_rid", "_th").orderBy(F.lit(0)))
+    return found.withColumn("_copy", copy).where("not _one or _copy = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
