@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import change_queries, decision_queries, graph_queries, history_queries, measure_queries, planning_queries, release_queries, scalar_queries, telemetry_queries  # noqa: F401
+from .registry import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
