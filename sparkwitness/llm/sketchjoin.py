@@ -5,14 +5,17 @@ the segment that its leading bits name.  A shingle that only one of two sets
 has changes one segment, so the number of segments in which two sketches differ
 is a lower bound of the symmetric difference.  Sets with a Jaccard similarity
 of at least t and sizes a, b differ in at most (a + b)(1 - t)/(1 + t) shingles;
-where s is greater than that, plus the empty segments, some non-empty segment
-agrees (pigeonhole).  Sets are banded by a + b, every set joins the one or two
+where s is greater than that, plus the segments of fewer than two shingles, some segment
+of two or more agrees (pigeonhole); a set that spreads too thinly for this joins
+on its thin segments too, and on its empty ones if it must.  Sets are banded by a + b, every set joins the one or two
 bands that its possible partners allow, and (band, segment, content) is the
 join key.  Nothing is sampled and no bucket is capped.
 
 Candidates are not expanded into pairs: each key links its sets to its smallest
 one, which gives candidate classes, and every class is verified exactly, in
-blocks of bounded bytes, by intersection counts of the shingle sets.  Equal
+blocks of bounded bytes, by intersection counts of the shingle sets; a class of
+several blocks is first cut by size, as sets whose sizes differ too much cannot
+be linked.  Equal
 sets are one node throughout, so exact copies cost nothing.
 
 Sets are named by a 64-bit signature; for n different sets the probability
@@ -35,8 +38,8 @@ from . import textkernel as tk
 
 #: Bands grow by this factor in a + b.
 BAND_GROWTH = 1.6
-#: Segments for each shingle of the allowed difference (room for empty ones).
-SPARE = 1.035
+#: Segments for each shingle of the allowed difference (room for thin ones).
+SPARE = 1.13
 #: Largest block of a class: sets and bytes.
 BLOCK_SETS = 512
 BLOCK_BYTES = 4 << 20
@@ -76,7 +79,10 @@ def segment_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
         first = np.concatenate(([0], np.flatnonzero(index[1:] != index[:-1]) + 1))
         content = np.bitwise_xor.reduceat(words, first)
         name = index[first]
-        if len(first) <= differ:  # all filled segments may differ: empty ones join too
+        full = np.diff(np.concatenate((first, [len(s)]))) > 1
+        if full.sum() > differ:  # else all of these may differ, and thinner segments join too
+            content, name = content[full], name[full]
+        elif len(first) <= differ:
             empty = np.setdiff1d(np.arange(segments, dtype=_U64), name, assume_unique=True)
             name = np.concatenate((name, empty))
             content = np.concatenate((content, np.zeros(len(empty), _U64)))
@@ -140,8 +146,8 @@ def star_edges(keys: DataFrame) -> DataFrame:
     return low.where("sig > low").select(F.col("sig").alias("a"), F.col("low").alias("b")).distinct()
 
 
-def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the linked pairs (i of left, j of right, i != j)."""
+def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, own: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the linked pairs (i of left, j of right, i != j, one of them own)."""
     size = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), size)
@@ -170,7 +176,7 @@ def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int
         y[at_right[o[use]], column[use]] = 1
         common += x @ y.T
     union = size[left][:, None] + size[right][None, :] - common
-    hit_i, hit_j = np.nonzero((den * common >= num * union) & (left[:, None] != right[None, :]))
+    hit_i, hit_j = np.nonzero((den * common >= num * union) & (left[:, None] != right[None, :]) & (own[left][:, None] | own[right][None, :]))
     root = list(range(len(sets)))
 
     def find(x: int) -> int:
@@ -192,39 +198,45 @@ def verified_links(docs: DataFrame, names: DataFrame, classes: DataFrame, id_col
     """Links (a, b) between sets of one candidate class: a spanning forest of each block pair."""
     one = names.where("n_shingles > 0").groupBy("sig").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n"))
     nodes = classes.select(F.col("node").alias("sig"), F.col("component").alias("class")).join(one, "sig")
-    sizes = nodes.groupBy("class").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("long").alias("blocks"))
-    wanted = nodes.join(sizes, "class").select("id", "sig", "class", "blocks")
+    weight = [F.count(F.lit(1)).alias("c"), F.sum("n").alias("w")]
+    blocks = F.greatest(F.ceil(F.col("c") / BLOCK_SETS), F.ceil(F.col("w") * 8 / BLOCK_BYTES)).cast("long")
+    sized = nodes.join(nodes.groupBy("class").agg(*weight).select("class", blocks.alias("all")), "class")
+    # A set meets the sets of its own size band, and as a smaller one those of the next band.
+    band = F.floor(F.log(F.col("n")) / math.log(den / num) + 1e-9).cast("int")
+    meets = F.when(F.col("all") == 1, F.array(F.struct(F.lit(-1).alias("band"), F.lit(True).alias("own"))))
+    meets = meets.otherwise(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own"))))
+    member = sized.withColumn("meets", F.explode(meets)).select("id", "sig", "class", "n", "meets.band", "meets.own")
+    dealt = member.groupBy("class", "band").agg(*weight, F.bool_or("own").alias("any")).where("c > 1 and any").select("class", "band", blocks.alias("blocks"))
+    group = F.struct("class", "band", "own", "blocks")
+    wanted = member.join(dealt, ["class", "band"]).groupBy("id", "sig").agg(F.collect_list(group).alias("groups"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id")
 
     def fn(rows, data, offsets):
         sets, found = _named_sets(rows, data, offsets, k)
-        wish = rows.column(rows.schema.get_field_index("sig"))
-        keep = np.array(found, np.int64) == wish.to_numpy(zero_copy_only=False)
-        at = np.flatnonzero(keep)
-        return pa.RecordBatch.from_arrays(
-            [wish.take(pa.array(at)), rows.column(rows.schema.get_field_index("class")).take(pa.array(at)), rows.column(rows.schema.get_field_index("blocks")).take(pa.array(at)), pa.array([sets[i].tobytes() for i in at], pa.binary())],
-            names=["sig", "class", "blocks", "shingles"],
-        )
+        at = np.flatnonzero(np.array(found, np.int64) == rows.column(0).to_numpy(zero_copy_only=False))
+        take = pa.array(at)
+        return pa.RecordBatch.from_arrays([rows.column(0).take(take), rows.column(1).take(take), pa.array([sets[i].tobytes() for i in at], pa.binary())], names=["sig", "groups", "shingles"])
 
-    sets = frames.map_texts(texts.select("sig", "class", "blocks", "text"), "text", fn, "sig long, class long, blocks long, shingles binary")
-    mine = F.pmod(F.xxhash64("sig"), F.col("blocks"))
-    paired = sets.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.select("class", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "sig", "shingles")
+    kind = "array<struct<class:long,band:int,own:boolean,blocks:long>>"
+    sets = frames.map_texts(texts.select("sig", "groups", "text"), "text", fn, f"sig long, groups {kind}, shingles binary")
+    placed = sets.select("sig", "shingles", F.explode("groups").alias("g")).select("sig", "shingles", "g.*").withColumn("mine", F.pmod(F.xxhash64("sig"), F.col("blocks")))
+    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = paired.select("class", "band", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "own", "sig", "shingles")
 
     def link(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         name = table.column("sig").to_numpy()
-        mine = table.column("mine").to_numpy()
         _, first = np.unique(name, return_index=True)  # a repeated row is one set
-        name, mine = name[first], mine[first]
+        name, mine = name[first], table.column("mine").to_numpy()[first]
+        own = np.array(table.column("own").to_pylist(), bool)[first]
         blobs = table.column("shingles")
         sets = [np.frombuffer(blobs[int(i)].as_py(), _U64) for i in first]
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
         left, right = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
-        found = _links(sets, left, right, num, den) if len(left) and len(right) and len(name) > 1 else []
+        found = _links(sets, left, right, own, num, den) if len(left) and len(right) and len(name) > 1 else []
         return pa.table({"a": pa.array([name[i] for i, _ in found], pa.int64()), "b": pa.array([name[j] for _, j in found], pa.int64())})
 
-    return paired.groupBy("class", "x", "y").applyInArrow(link, "a long, b long")
+    return paired.groupBy("class", "band", "x", "y").applyInArrow(link, "a long, b long")
 
 
 def linked_sets(docs: DataFrame, id_col: str, text_col: str, k: int, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
