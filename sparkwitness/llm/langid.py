@@ -25,6 +25,8 @@ from . import textkernel as tk
 DIMENSIONS, CENTROIDS, ROUNDS = 4096, 4, 12
 #: Training texts of each language, about; those of the smallest hash of their id.
 SAMPLE_PER_LANGUAGE = 1500
+#: Up to so many languages their sampling rates are broadcast; beyond, they are joined.
+MOST_LANGUAGES = 10_000
 #: A text is rejected at this many deviations below the mean cosine of its centroid.
 REJECT_DEVIATIONS = 4.0
 
@@ -111,6 +113,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     use = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (held_out if held_out is not None else F.lit(False)).alias("out"))
     use = use.where("not out and lang is not null and text is not null")
     rate = use.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).select("lang", (F.lit(float(per_language)) / F.col("c")).alias("rate"))
+    rates = rate.limit(MOST_LANGUAGES + 1).collect()  # a row for each language
+    if len(rates) <= MOST_LANGUAGES:
+        rate = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in rates], "lang string, rate double"))
     drawn = use.join(rate, "lang").where((F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)) < F.col("rate"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
