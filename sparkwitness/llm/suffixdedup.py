@@ -21,7 +21,8 @@ a suffix leaves as soon as its group is settled:
 Digits are compared by 64-bit hashes.  In pass 3 a false match needs the same
 hash of two different windows among the candidates only: for n of them the
 probability is below n*n/2**65.  A hot passage is counted by partial
-aggregation before each shuffle, and no group is ever gathered in one task.
+aggregation before each shuffle, and the tables of counts are written before
+they are joined back, so that adaptive execution can split a hot passage's rows.
 """
 
 from __future__ import annotations
@@ -97,12 +98,12 @@ def repeated_runs(keyed: DataFrame, threshold: int) -> DataFrame:
 
     found = frames.map_texts(keyed.select("rid", "th", "text"), "text", fn, "anchor long, span long, rid long, th long, start long, n long")
     # Pass 1: anchors that occur more than once.
-    again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
+    again = frames.settled(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"))
     left = frames.settled(found.join(again, "anchor", "left_semi"))
     # Pass 2: spans within those groups.
     spans = left.groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rid", "th", "start")).alias("rep"))
     mixed = spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor", F.lit(True).alias("mixed"))
-    status = spans.join(mixed, "anchor", "left")
+    status = frames.settled(spans.join(mixed, "anchor", "left"))
     open_runs = left.join(status, ["anchor", "span"])
     settled = F.col("c") > 1
     is_rep = F.struct("rid", "th", "start") == F.col("rep")
@@ -182,7 +183,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = keyed.repartition("rid", "th")
     unique = dealt.join(per_text.where("size(edge) > 0").select("rid", "th", "edge"), ["rid", "th"])
     windows = frames.settled(edge_windows(unique, threshold))
-    again = windows.groupBy("window").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("window")
+    again = frames.settled(windows.groupBy("window").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("window"))
     starts = windows.join(again, "window", "left_semi").groupBy("rid", "th").agg(F.collect_list("start").alias("single"))
     marks = frames.settled(per_text.select("rid", "th", "settled").join(starts, ["rid", "th"], "full_outer"))
     final = dealt.join(marks, ["rid", "th"], "left")
