@@ -130,3 +130,4 @@ def reason_path(edge_types: Column, distance: Column) -> Column:
 def line_of_offset(text: Column, offset: Column) -> Column:
     """1-based line of a 0-based offset."""
     return F.size(F.split(F.substring(text, F.lit(1), offset), "\n"))
+

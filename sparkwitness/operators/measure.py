@@ -119,3 +119,12 @@ def outcome_class(status: Column, regression: Column) -> Column:
 def exit_code(status: Column, classification: Column) -> Column:
     """Process exit code of a finished analysis: 3 inconclusive or failed run, 0 clean, 2 regression, 1 other."""
     return F.when(status.isin("inconclusive", "failed_run"), 3).when(classification == "clean", 0).when(classification == "runtime_regression", 2).otherwise(1)
+
+
+def report_label(status: Column, query_delta: Column) -> Column:
+    """Label of a failed comparison in a report: only more queries make a runtime regression."""
+    return F.when((status == "failed") & (query_delta > 0), "runtime_regression")
+
+
+def report_note(status: Column, reason: Column, query_delta: Column) -> Column:
+    return F.when((status == "failed") & (query_delta <= 0), "latency regression without more queries").when(reason == "noisy", "measurement is noisy")

@@ -167,3 +167,18 @@ def s08(spark, sf):
     """JSON registry to typed rows, invalid ones flagged."""
     raw = table(spark, sf, "part").select(F.to_json(F.struct(F.col("p_partkey").alias("workload_id"), F.lit("pytest").alias("workload_type"), F.col("p_size").alias("priority"), F.when(F.col("p_size") > 40, F.lit("../x.py")).otherwise(F.lit("tests/x.py")).alias("definition_path"))).alias("entry"))
     return ar.registry(raw, "entry").select("workload_id", "priority", "rejected")
+
+
+@query("s20_artifact_integrity", "SELECT doc_id FROM documents WHERE doc_id % 6 = 0")
+def s20(spark, sf):
+    """Artifacts whose content is not what was recorded."""
+    d = table(spark, sf, "documents")
+    recorded = d.select("doc_id", F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha256"))
+    stored = d.select(F.col("doc_id").cast("string").alias("path"), F.sha2(F.when(F.col("doc_id") % 6 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("sha256"))
+    return ar.integrity_faults(recorded, stored).select("doc_id")
+
+
+@query("s23_recorded_output", "SELECT conv_id, turn, substr(text, 1, 64) AS head, sha256(text) AS digest, strlen(text) AS bytes, length(text) > 64 AS truncated FROM conversations")
+def s23(spark, sf):
+    """Bounded head and digest of recorded output."""
+    return ar.output_head(table(spark, sf, "conversations"), "text", 64).select("conv_id", "turn", "head", "digest", "bytes", "truncated")

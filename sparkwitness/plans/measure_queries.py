@@ -21,6 +21,11 @@ def g01(spark, sf):
     return m.summarize(p.samples(spark, sf), "run_id", "phase").select("run_id", "phase", *r6(*m.METRICS, "cv"), "repetitions")
 
 
+def _summaries(spark, sf):
+    """Summaries dealt by run alone, so that comparing two phases needs no second shuffle."""
+    return m.summarize(p.samples(spark, sf).repartition("run_id"), "run_id", "phase")
+
+
 def _compare_sql(left, right):
     return f"""SELECT a.run_id, b.query_count - a.query_count AS query_delta,
   CASE WHEN a.query_count <> 0 THEN b.query_count / a.query_count WHEN b.query_count = 0 THEN 1.0 ELSE 1e308 END AS query_ratio,
@@ -40,7 +45,7 @@ SELECT run_id, round(query_delta,6) AS query_delta, round(query_ratio,6) AS quer
 )
 def a07(spark, sf):
     """Differential comparison of baseline and candidate."""
-    s = m.summarize(p.samples(spark, sf), "run_id", "phase")
+    s = _summaries(spark, sf)
     out = m.compare(s.where("phase = 'baseline'").drop("phase"), s.where("phase = 'candidate'").drop("phase"), "run_id", PROXY)
     return out.select("run_id", *r6("query_delta", "query_ratio", "latency_ratio"), "noisy", "reason", "status", "finding")
 
@@ -56,7 +61,7 @@ FROM x JOIN y ON x.run_id = y.run_id""",
 )
 def a08(spark, sf):
     """Verdict of a fix against baseline and candidate."""
-    s = m.summarize(p.samples(spark, sf), "run_id", "phase")
+    s = _summaries(spark, sf)
     of = lambda phase: s.where(F.col("phase") == phase).drop("phase")
     return m.three_way(m.compare(of("baseline"), of("fix"), "run_id", PROXY), m.compare(of("fix"), of("candidate"), "run_id", PROXY), "run_id")
 
@@ -93,3 +98,14 @@ def a09(spark, sf):
 def a07_counts(spark, sf):
     """Verdicts by kind: every branch of the ladder occurs."""
     return a07(spark, sf).groupBy("status", "reason").agg(F.count(F.lit(1)).alias("runs"))
+
+
+@query(
+    "a35_report_labels",
+    f"""WITH {p.SAMPLES_SQL}, c AS ({_compare_sql('baseline', 'candidate')}), d AS (SELECT *, {_LADDER} AS reason FROM c)
+SELECT run_id, CASE WHEN ({_STATUS}) = 'failed' AND query_delta > 0 THEN 'runtime_regression' END AS label, printf('%.3f', query_delta) AS shown, CASE WHEN ({_STATUS}) = 'failed' AND query_delta <= 0 THEN 'latency regression without more queries' WHEN reason = 'noisy' THEN 'measurement is noisy' END AS note FROM d""",
+)
+def a35(spark, sf):
+    """Labels recovered for reports; without more queries a regression has none."""
+    c = a07(spark, sf)
+    return c.select("run_id", m.report_label(F.col("status"), F.col("query_delta")).alias("label"), F.format_string("%.3f", F.col("query_delta")).alias("shown"), m.report_note(F.col("status"), F.col("reason"), F.col("query_delta")).alias("note"))

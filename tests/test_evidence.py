@@ -298,3 +298,42 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, batch.select(*got.columns).collect()))
     capped = canary.drain(canary.capped_spans(canary.event_stream(spark, path, ev.schema), 10), "capped_out", "append", str(tmp_path / "c2"))
     assert capped.where("recorded = 'limited'").count() == 20
+
+
+# ------------------------------------------------------------- sources
+
+
+def test_tree_and_integrity(spark, tmp_path):
+    from sparkwitness.sources import artifacts
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "m.py").write_text("x = 1\n")
+    (tmp_path / "n.txt").write_text("no")
+    tree = artifacts.tree_entries(spark, str(tmp_path))
+    r = tree.first()
+    assert tree.count() == 1 and r["path"].endswith("/a/m.py") and r["size"] == 6 and r["source"] == "x = 1\n"
+    recorded = tree.select("path", F.lit("other").alias("sha256"))
+    assert artifacts.integrity_faults(recorded, tree).count() == 1 and artifacts.integrity_faults(tree.select("path", "sha256"), tree).count() == 0
+
+
+def test_journal_appends_once(spark, tmp_path):
+    from sparkwitness.sources import artifacts
+
+    schema, path = "release_id string, sequence long, body string", str(tmp_path / "j")
+    first = spark.createDataFrame([("r", 0, "a"), ("r", 1, "b")], schema)
+    keys = ["release_id", "sequence"]
+    artifacts.append_journal(first, spark.createDataFrame([], schema), path, keys)
+    second = spark.createDataFrame([("r", 1, "forged"), ("r", 2, "c")], schema)
+    there = artifacts.read_journal(spark, path, schema)
+    assert [x["body"] for x in artifacts.journal_conflicts(second, there, keys).collect()] == ["forged"]
+    artifacts.append_journal(second, there, path, keys)
+    assert sorted(x["body"] for x in artifacts.read_journal(spark, path, schema).collect()) == ["a", "b", "c"]
+
+
+def test_registry_and_write_once(spark):
+    from sparkwitness.sources import artifacts
+
+    raw = spark.createDataFrame([('{"workload_id":1,"workload_type":"k6","priority":1,"definition_path":"a/b.js"}',), ('{"workload_id":2,"definition_path":"/abs"}',), ("not json",)], "entry string")
+    assert [r["rejected"] for r in artifacts.registry(raw, "entry").collect()] == [False, True, True]
+    w = spark.createDataFrame([("u", "s1", 1), ("u", "s1", 2), ("u", "s2", 3)], "uri string, sha string, ord int")
+    assert [r["outcome"] for r in artifacts.write_once(w, "uri", "sha", "ord").orderBy("ord").collect()] == ["new", "identical", "conflict"]
