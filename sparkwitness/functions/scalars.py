@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 UNIT_SEPARATOR = "\x1f"
 # SQL text patterns that name tables read and written.
-READ_TABLES = r"(?i)\b(?:FROM|JOIN)\s+([A-Za-z_][A-Za-z0-9_.]*)"
-WRITE_TABLES = r"(?i)\b(?:INSERT\s+INTO|UPDATE|DELETE\s+FROM|CREATE\s+TABLE|DROP\s+TABLE)\s+([A-Za-z_][A-Za-z0-9_.]*)"
-HTTP_CALLS = r"\bhttp\.(?:get|post|put|patch|del|delete|request)\(\s*[\"'`]([^\"'`]+)[\"'`]"
+_TABLE = r"([A-Za-z_][\w$]*(?:\.[A-Za-z_][\w$]*)?)"
+READ_TABLES = rf"(?i)\b(?:FROM|JOIN)\s+{_TABLE}"
+WRITE_TABLES = rf"(?i)\b(?:INSERT\s+INTO|UPDATE|DELETE\s+FROM|CREATE\s+TABLE(?:\s+IF\s+NOT\s+EXISTS)?|DROP\s+TABLE(?:\s+IF\s+EXISTS)?)\s+{_TABLE}"
+HTTP_CALLS = r"http\.(?:delete|get|head|options|patch|post|put|trace)\s*\(\s*[\"'`]([^\"'`]*)[\"'`]"
+BASE_URL = r"^\$\{[^{}]*\bBASE_URL\b[^{}]*\}"
 
 
 def clamp(x: Column) -> Column:
@@ -60,10 +62,11 @@ def written_tables(sql: Column) -> Column:
 
 
 def http_paths(code: Column) -> Column:
-    """Paths of literal URLs in HTTP calls, the base-URL placeholder stripped."""
-    urls = F.regexp_extract_all(code, F.lit(HTTP_CALLS), 1)
-    bare = F.transform(urls, lambda u: F.regexp_replace(F.regexp_replace(u, r"^\$\{[^}]*\}", ""), r"^[a-z]+://[^/?#]*", ""))
-    return F.transform(bare, lambda u: F.regexp_extract(u, r"^([^?#]*)", 1))
+    """Paths of literal URLs in HTTP calls, the base URL stripped; dynamic ones are left out."""
+    urls = F.transform(F.regexp_extract_all(code, F.lit(HTTP_CALLS), 1), lambda u: F.trim(u))
+    bare = F.transform(urls, lambda u: F.regexp_replace(F.regexp_replace(u, BASE_URL, ""), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""))
+    fixed = F.filter(bare, lambda u: u.startswith("/") & ~u.contains("${") & ~u.contains("}"))
+    return F.transform(fixed, lambda u: F.regexp_extract(u, r"^([^?#]*)", 1))
 
 
 def module_name(path: Column) -> Column:
@@ -89,12 +92,13 @@ def used_tokens(total: Column, given: Column, made: Column) -> Column:
     return F.coalesce(total, given + made, given, made, F.lit(0))
 
 
-def reason_code(message: Column) -> Column:
-    """Class of a provider error by its text."""
-    m = F.lower(message)
+def reason_code(kind: Column, status: Column) -> Column:
+    """Reason of a provider error by the name of its kind and its status code."""
     return (
-        F.when(m.contains("timeout") | m.contains("timed out"), "provider_timeout").when(m.contains("rate") & m.contains("limit"), "provider_rate_limited")
-        .when(m.contains("auth") | m.contains("permission"), "provider_auth").when(m.contains("quota"), "provider_quota").otherwise("provider_error")
+        F.when((kind == "RateLimitError") | (status == 429), "rate_limit_or_quota_exhausted").when((kind == "AuthenticationError") | status.isin(401, 403), "invalid_api_key")
+        .when(kind.isin("APITimeoutError", "TimeoutException", "ReadTimeout", "ConnectTimeout", "TimeoutError"), "provider_timeout")
+        .when(kind.isin("APIConnectionError", "ConnectError", "NetworkError", "ConnectionError"), "network_failure").when(kind == "APIResponseValidationError", "response_schema_invalid")
+        .otherwise(F.concat(F.lit("provider_error:"), kind))
     )
 
 

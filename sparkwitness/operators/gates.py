@@ -28,7 +28,7 @@ def autonomy(df: DataFrame, policy: Column, with_inputs: bool = True) -> DataFra
     ``with_inputs`` false leaves out the gates on remediation inputs.
     """
     c = F.col
-    confidence = F.least("debt_confidence", "remediation_confidence") if with_inputs else c("debt_confidence")
+    confidence = F.least("debt_confidence", "remediation_confidence") if with_inputs else F.lit(0.0)
     df = df.withColumn("confidence", confidence)
     risk = c("remediation_risk") if with_inputs else F.lit(None).cast("double")
     complete = (F.size("debt_missing") == 0) & (F.size("remediation_missing") == 0) & (c("context_completeness") == 1) if with_inputs else F.lit(False)
@@ -70,9 +70,13 @@ def composed(level: Column, classification: Column) -> Column:
     return F.when(classification == "runtime_regression", level).otherwise(0)
 
 
-def fix_identity_reason(run_ok: Column, phase_ok: Column, commit_ok: Column, patch_ok: Column, attempt_ok: Column) -> Column:
-    """First of the five ordered identity faults of a fix result; null when all agree."""
-    return F.when(~run_ok, "analysis_run").when(~phase_ok, "phase").when(~commit_ok, "commit").when(~patch_ok, "patch").when(~attempt_ok, "attempt")
+def fix_identity_reason(run_ok: Column, base_ok: Column, hash_ok: Column, workload_ok: Column, attempt_ok: Column) -> Column:
+    """First of the five ordered identity faults of a fix request; null when all agree."""
+    names = ("analysis_run_id", "base_commit", "patch_hash", "workload_id", "verification_attempt_id")
+    out = F.lit(None).cast("string")
+    for name, ok in reversed(list(zip(names, (run_ok, base_ok, hash_ok, workload_ok, attempt_ok), strict=True))):
+        out = F.when(~ok, f"{name}_mismatch").otherwise(out)
+    return out
 
 
 def publication(verified: Column, decided: Column, patched: Column, action: Column, level: Column) -> Column:

@@ -55,7 +55,7 @@ def running_budget(attempts: DataFrame, run: str, order: str, limits: dict[str,
     out = attempts.withColumns({f"used_{c}": F.sum(c).over(w) for c in limits})
     reason = F.lit(None).cast("string")
     for c, limit in reversed(limits.items()):
-        reason = F.when(F.col(f"used_{c}") > limit, f"{c}_budget").otherwise(reason)
+        reason = F.when(F.col(f"used_{c}") > limit, f"{c}_budget_exceeded").otherwise(reason)
     return out.withColumn("cutoff", reason)
 
 
@@ -68,23 +68,29 @@ def duplicate_attempts(attempts: DataFrame, run: str, digest: str, order: str) -
 def replay(events: DataFrame, run: str, order: str, max_attempts: int = 3) -> DataFrame:
     """Remediation state machine over recorded outcomes, as an ordered fold of each run.
 
-    Stages follow context, diagnose, patch, validate, verify, decide; a failed
-    outcome goes to decide, which starts over until the attempts are used up; a
-    verified fix ends the run.
+    Stages follow context, diagnose, patch, validate, verify, decide.  An outcome
+    other than ok goes to decide; a duplicate patch or a spent budget ends the
+    run there.  Else decide ends it as verified when the attempt went well, as
+    declined when the decision says so, and at the last attempt; otherwise the
+    next attempt starts with its context.
     """
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "outcome")))
-    start = F.struct(F.lit("context").alias("stage"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("reason"))
+    start = F.struct(F.lit("context").alias("stage"), F.lit(0).alias("attempts"), F.lit(False).alias("failed"), F.lit(None).cast("string").alias("pending"), F.lit(None).cast("string").alias("reason"))
+    final = ("duplicate_patch", "time_budget_exceeded", "token_budget_exceeded", "cost_budget_exceeded")
     following = F.create_map(*[F.lit(x) for pair in (("context", "diagnose"), ("diagnose", "patch"), ("patch", "validate"), ("validate", "verify"), ("verify", "decide")) for x in pair])
 
     def step(s, x):
         stage = s["stage"]
         attempts = s["attempts"] + F.when(stage == "context", 1).otherwise(0)
-        good = x["outcome"] == "ok"
-        moved = F.when(stage == "stopped", "stopped").when(stage == "decide", F.when(good, "stopped").when(attempts >= max_attempts, "stopped").otherwise("context")).when(good, following[stage]).otherwise("decide")
-        reason = F.when(s["reason"].isNotNull(), s["reason"]).when((stage == "decide") & good, "verified").when((stage == "decide") & (attempts >= max_attempts), "attempts_exhausted")
-        return F.struct(moved.alias("stage"), attempts.cast("int").alias("attempts"), reason.alias("reason"))
-
-    return events.groupBy(run).agg(ordered.alias("_e")).select(run, F.aggregate("_e", start, step).alias("s")).select(run, "s.*")
+        good, deciding = x["outcome"] == "ok", stage == "decide"
+        end = F.when(s["pending"].isNotNull(), s["pending"]).when(good & ~s["failed"], "verified").when(x["outcome"] == "declined", "decision_declined").when(attempts >= max_attempts, "max_attempts")
+        moved = F.when(stage == "stopped", "stopped").when(deciding, F.when(end.isNotNull(), "stopped").otherwise("context")).when(good, following[stage]).otherwise("decide")
+        pending = F.when(~deciding & x["outcome"].isin(*final), x["outcome"]).otherwise(s["pending"])
+        failed = F.when(deciding, F.lit(False)).otherwise(s["failed"] | ~good)
+        reason = F.coalesce(s["reason"], F.when(deciding, end))
+        return F.struct(moved.alias("stage"), attempts.cast("int").alias("attempts"), failed.alias("failed"), pending.alias("pending"), reason.alias("reason"))
+
+    return events.groupBy(run).agg(ordered.alias("_e")).select(run, F.aggregate("_e", start, step).alias("s")).select(run, "s.stage", "s.attempts", "s.reason")
 
 
 def evidence_report(runs: DataFrame, verifications: DataFrame, findings: DataFrame, run: str) -> DataFrame:

@@ -92,14 +92,14 @@ def three_way(baseline_fix: DataFrame, fix_candidate: DataFrame, key: str) -> Da
 
 
 def outcome_buckets(checks: DataFrame, keys: list[str]) -> DataFrame:
-    """Baseline and candidate outcome of each workload (absent is passed) and its bucket."""
+    """Baseline and candidate outcome of each workload (absent is passed) and its bucket; a failed command counts as a failure and is flagged."""
     side = lambda phase: checks.where(F.col("phase") == phase).select(*keys, F.col("outcome").alias(phase))
     j = side("baseline").join(side("candidate"), keys, "full_outer")
     j = j.withColumns({p: F.coalesce(p, F.lit("passed")) for p in ("baseline", "candidate")})
     bad = lambda p: F.col(p) != "passed"
     tool = (F.col("baseline") == "command_failed") | (F.col("candidate") == "command_failed")
-    bucket = F.when(tool, "tool").when(bad("baseline") & bad("candidate"), "shared").when(bad("candidate"), "candidate_only").when(bad("baseline"), "baseline_only").otherwise("none")
-    return j.withColumn("bucket", bucket)
+    bucket = F.when(bad("baseline") & bad("candidate"), "shared").when(bad("candidate"), "candidate_only").when(bad("baseline"), "baseline_only").otherwise("none")
+    return j.withColumn("bucket", bucket).withColumn("tool_failure", tool)
 
 
 def phase_status(checks: DataFrame, keys: list[str]) -> DataFrame:
@@ -116,15 +116,20 @@ def outcome_class(status: Column, regression: Column) -> Column:
     return F.when(status == "inconclusive", "inconclusive").when((status == "failed") & regression, "runtime_regression").when(status == "failed", "candidate_test_failure").otherwise("clean")
 
 
-def exit_code(status: Column, classification: Column) -> Column:
-    """Process exit code of a finished analysis: 3 inconclusive or failed run, 0 clean, 2 regression, 1 other."""
-    return F.when(status.isin("inconclusive", "failed_run"), 3).when(classification == "clean", 0).when(classification == "runtime_regression", 2).otherwise(1)
+def exit_code(run: Column, candidate: Column, ci: bool = True) -> Column:
+    """Exit code of an analysis: 3 without a verdict; outside CI 0; else 2 inconclusive, 1 failed candidate, 0."""
+    none = run.isin("failed", "running", "cancelled")
+    if not ci:
+        return F.when(none, 3).otherwise(0)
+    return F.when(none, 3).when((run == "inconclusive") | (candidate == "inconclusive"), 2).when(candidate == "failed", 1).otherwise(0)
 
 
 def report_label(status: Column, query_delta: Column) -> Column:
-    """Label of a failed comparison in a report: only more queries make a runtime regression."""
-    return F.when((status == "failed") & (query_delta > 0), "runtime_regression")
+    """Label of a comparison in a report: only more queries make a failure a runtime regression."""
+    return F.when((status == "failed") & (query_delta > 0), "runtime_regression").when(status == "inconclusive", "inconclusive")
 
 
-def report_note(status: Column, reason: Column, query_delta: Column) -> Column:
-    return F.when((status == "failed") & (query_delta <= 0), "latency regression without more queries").when(reason == "noisy", "measurement is noisy")
+def report_note(status: Column, noisy: Column, tool_failed: Column) -> Column:
+    """Why a measurement was inconclusive; null for the others."""
+    why = F.when(noisy, "timing variance exceeded policy").when(tool_failed, "a verification tool failed").otherwise("no regression is implied without evidence")
+    return F.when(status == "inconclusive", why)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as pr
+from ..functions.scalars import READ_TABLES, WRITE_TABLES
 
 NUL = "\x00"
 _RECORD = f"(?:[RC]\\d*{NUL}[^{NUL}]+{NUL}[^{NUL}]+{NUL}|[AMDT]{NUL}[^{NUL}]+{NUL})"
@@ -58,8 +59,7 @@ def changed_intervals(diff: Column) -> Column:
 FACTS = "path string, kind string, symbol string, first int, last int, depth int, detail string"
 RECEIVERS = re.compile(r"^(cursor|connection|conn|db_\w+)$")
 EXECUTES = ("execute", "executemany")
-_SQL_READ = re.compile(r"\b(?:FROM|JOIN)\s+([A-Za-z_][\w.]*)", re.I)
-_SQL_WRITE = re.compile(r"\b(?:INSERT\s+INTO|UPDATE|DELETE\s+FROM|CREATE\s+TABLE|DROP\s+TABLE)\s+([A-Za-z_][\w.]*)", re.I)
+_SQL_READ, _SQL_WRITE = re.compile(READ_TABLES), re.compile(WRITE_TABLES)
 
 
 def module_of(path: str) -> str:
@@ -254,8 +254,7 @@ def validate_patches(parsed: DataFrame, diff: str, max_files: int = 5, max_lines
     added, removed = count("added"), count("removed")
     path = lambda f: F.coalesce(f["new_path"], f["old_path"], F.lit(""))
     any_file = lambda rule: F.exists("files", rule)
-    parts = lambda f: F.split(path(f), "/")
-    test = lambda f: pr.is_test(path(f))
+    test = lambda f: pr.is_test_source(path(f))
     rules = {
         "base_commit_mismatch": F.col("base") != F.col("expected_base"),
         "patch_hash_mismatch": F.col("sha256") != F.sha2(F.col(diff).cast("binary"), 256),
@@ -263,12 +262,12 @@ def validate_patches(parsed: DataFrame, diff: str, max_files: int = 5, max_lines
         "file_budget_exceeded": F.size("files") > max_files,
         "line_budget_exceeded": added + removed > max_lines,
         "artifact_summary_mismatch": (F.col("files_changed") != F.size("files")) | (F.col("lines_added") != added) | (F.col("lines_deleted") != removed),
-        "secret_pattern": pr.has_credential(F.col(diff)) | F.col(diff).rlike(r"(?i)\b(api[_-]?key|access[_-]?token|secret[_-]?key)\s*[:=]\s*['\"]?[A-Za-z0-9_./+=-]{12,}"),
+        "secret_pattern": pr.has_credential(F.col(diff)),
         "path_outside_root": any_file(lambda f: ~pr.is_safe_relative(path(f))),
         "symlink_target": any_file(lambda f: f["symlink"]),
-        "workflow_file": any_file(lambda f: F.array_contains(parts(f), ".github")),
+        "workflow_file": any_file(lambda f: pr.is_workflow(path(f))),
         "dependency_manifest": any_file(lambda f: pr.is_dependency_file(path(f))),
-        "verification_fixture_modified": any_file(lambda f: F.arrays_overlap(parts(f), F.array(*map(F.lit, ("fixture", "fixtures", "loadtest", "loadtests"))))),
+        "verification_fixture_modified": any_file(lambda f: pr.is_fixture(path(f))),
         "binary_change": any_file(lambda f: f["binary"] | (F.size(f["added"]) + F.size(f["removed"]) + f["context"] == 0)),
         "test_file_deleted": any_file(lambda f: test(f) & f["old_path"].isNotNull() & f["new_path"].isNull()),
         "test_file_emptied": any_file(lambda f: test(f) & f["old_path"].isNotNull() & (F.size(f["added"]) == 0) & (f["context"] == 0)),

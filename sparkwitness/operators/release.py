@@ -41,7 +41,7 @@ def canary(df: DataFrame, policy: Policy) -> DataFrame:
         (c("traces") == 0, "pause", "telemetry is not linked to a recorded trace"),
         (c("observed_at") < c("deadline_at"), "pause", "canary window is still observing"),
     )
-    action, reason = F.lit("promote"), F.lit("canary window complete")
+    action, reason = F.lit("promote"), F.lit("validation passed; canary window complete")
     for cond, what, why in reversed(rules):
         action, reason = F.when(cond, what).otherwise(action), F.when(cond, why).otherwise(reason)
     return df.withColumn("action", action).withColumn("reason", reason)

@@ -100,7 +100,7 @@ def patches(spark, sf):
     k = F.col("s_suppkey")
     path = F.element_at(F.array(*map(F.lit, ("src/a.py", "tests/test_a.py", "loadtests/x.js", "requirements.txt", ".github/workflows/ci.yml"))), (k % 5 + 1).cast("int"))
     minus = F.when(k % 10 == 1, "-def test_gone():").otherwise("-old")
-    plus = F.when(k % 7 == 0, "+token = access_token").otherwise("+new")
+    plus = F.when(k % 7 == 0, "+access_token = abcdefghijkl").otherwise("+new")
     diff = F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n@@ -1,2 +1,2 @@\n keep\n"), minus, F.lit("\n"), plus, F.lit("\n"))
     return table(spark, sf, "supplier").select(
         "s_suppkey", diff.alias("diff"), F.when(k % 11 == 0, "bbb").otherwise("aaa").alias("base"), F.lit("aaa").alias("expected_base"), F.when(k % 13 == 0, F.lit("0")).otherwise(F.sha2(diff.cast("binary"), 256)).alias("sha256"),

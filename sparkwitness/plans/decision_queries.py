@@ -102,11 +102,11 @@ def a14(spark, sf):
 
 @query(
     "a14_gates_without_inputs",
-    f"WITH {_features_sql()}, {_DEBT_SQL} SELECT p_partkey, CASE WHEN (debt_risk >= 0.2 OR p_partkey % 2 = 1) AND round(debt_confidence, 12) >= 0.5 AND p_partkey % 40 <> 0 THEN 1 ELSE 0 END AS level, 17 AS gate_count FROM d2",
+    f"WITH {_features_sql()}, {_DEBT_SQL} SELECT p_partkey, 0 AS level, 17 AS gate_count, debt_risk >= 0.2 OR p_partkey % 2 = 1 AS has_priority FROM d2",
 )
 def a14_without(spark, sf):
-    """17 gates without remediation inputs, never above recommend."""
-    return decisions(spark, sf, with_inputs=False).select("p_partkey", "level", F.size("gates").alias("gate_count"))
+    """17 gates without remediation inputs; the confidence is then 0 and nothing is permitted."""
+    return decisions(spark, sf, with_inputs=False).select("p_partkey", "level", F.size("gates").alias("gate_count"), (~F.array_contains("failed_gates", "debt_priority")).alias("has_priority"))
 
 
 @query(
@@ -114,7 +114,7 @@ def a14_without(spark, sf):
     f"""WITH {_features_sql()}, {_DEBT_SQL}, {_REM_SQL}, c AS (SELECT *, least(round(debt_confidence, 12), round(remediation_confidence, 12)) AS confidence FROM r2),
 l AS (SELECT *, least({_LEVEL_SQL}, CASE WHEN p_partkey % 6 = 0 THEN 1 ELSE 3 END) AS level FROM c)
 SELECT p_partkey, CASE WHEN p_partkey % 4 = 1 THEN level ELSE 0 END AS composed_level, p_partkey % 8 <> 0 AND p_partkey % 10 <> 0 AS dry_run, p_partkey % 8 <> 0 AND p_partkey % 10 <> 0 AND level = 3 AS publish,
-CASE WHEN p_partkey % 21 = 0 THEN 'analysis_run' WHEN p_partkey % 12 = 0 THEN 'commit' WHEN p_partkey % 14 = 0 THEN 'patch' END AS fix_fault FROM l""",
+CASE WHEN p_partkey % 21 = 0 THEN 'analysis_run_id_mismatch' WHEN p_partkey % 12 = 0 THEN 'patch_hash_mismatch' WHEN p_partkey % 14 = 0 THEN 'workload_id_mismatch' END AS fix_fault FROM l""",
 )
 def a15(spark, sf):
     """Composition cap, fix identity faults, publication eligibility."""

@@ -113,21 +113,21 @@ def g17(spark, sf):
 
 @query(
     "w10_budget_cutoffs",
-    """WITH a AS (SELECT conv_id, turn, ceil(strlen(text) / 4.0)::BIGINT AS token, strlen(text)::BIGINT AS seconds, sha256(role) AS digest FROM conversations),
-u AS (SELECT *, sum(token) OVER w AS used_token, sum(seconds) OVER w AS used_seconds, row_number() OVER (PARTITION BY conv_id, digest ORDER BY turn) > 1 AS duplicate FROM a WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-SELECT conv_id, turn, used_seconds::BIGINT AS used_seconds, used_token::BIGINT AS used_token, CASE WHEN used_seconds > 900 THEN 'seconds_budget' WHEN used_token > 200 THEN 'token_budget' END AS cutoff, duplicate FROM u""",
+    """WITH a AS (SELECT conv_id, turn, ceil(strlen(text) / 4.0)::BIGINT AS token, strlen(text)::BIGINT AS time, sha256(role) AS digest FROM conversations),
+u AS (SELECT *, sum(token) OVER w AS used_token, sum(time) OVER w AS used_time, row_number() OVER (PARTITION BY conv_id, digest ORDER BY turn) > 1 AS duplicate FROM a WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT conv_id, turn, used_time::BIGINT AS used_time, used_token::BIGINT AS used_token, CASE WHEN used_time > 900 THEN 'time_budget_exceeded' WHEN used_token > 200 THEN 'token_budget_exceeded' END AS cutoff, duplicate FROM u""",
 )
 def w10(spark, sf):
     """Running spendings, cutoffs by precedence, duplicate attempts."""
-    t = table(spark, sf, "conversations").select("conv_id", "turn", F.ceil(F.octet_length("text") / F.lit(4)).cast("long").alias("token"), F.octet_length("text").cast("long").alias("seconds"), F.sha2("role", 256).alias("digest"))
-    out = hi.running_budget(hi.duplicate_attempts(t, "conv_id", "digest", "turn"), "conv_id", "turn", {"seconds": 900, "token": 200})
-    return out.select("conv_id", "turn", "used_seconds", "used_token", "cutoff", "duplicate")
+    t = table(spark, sf, "conversations").select("conv_id", "turn", F.ceil(F.octet_length("text") / F.lit(4)).cast("long").alias("token"), F.octet_length("text").cast("long").alias("time"), F.sha2("role", 256).alias("digest"))
+    out = hi.running_budget(hi.duplicate_attempts(t, "conv_id", "digest", "turn"), "conv_id", "turn", {"time": 900, "token": 200})
+    return out.select("conv_id", "turn", "used_time", "used_token", "cutoff", "duplicate")
 
 
 @query("a26_remediation_replay")
 def a26(spark, sf):
     """Replay of the remediation stages (tests compare it with a plain fold)."""
-    e = table(spark, sf, "events").select("user_id", "event_id", F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("outcome"))
+    e = table(spark, sf, "events").select("user_id", "event_id", F.when(F.col("event_type") == "error", "failed").when(F.col("event_id") % 97 == 0, "token_budget_exceeded").otherwise("ok").alias("outcome"))
     return hi.replay(e, "user_id", "event_id")
 
 

@@ -74,7 +74,7 @@ def last_checks(spark, sf):
     "j03_outcome_buckets",
     f"""WITH {p.CHECKS_SQL}, j AS (SELECT coalesce(a.run_id, b.run_id) AS run_id, coalesce(a.workload_id, b.workload_id) AS workload_id, coalesce(a.outcome, 'passed') AS baseline, coalesce(b.outcome, 'passed') AS candidate
 FROM (SELECT * FROM last WHERE phase = 'baseline') a FULL JOIN (SELECT * FROM last WHERE phase = 'candidate') b ON a.run_id = b.run_id AND a.workload_id = b.workload_id)
-SELECT *, CASE WHEN baseline = 'command_failed' OR candidate = 'command_failed' THEN 'tool' WHEN baseline <> 'passed' AND candidate <> 'passed' THEN 'shared' WHEN candidate <> 'passed' THEN 'candidate_only' WHEN baseline <> 'passed' THEN 'baseline_only' ELSE 'none' END AS bucket FROM j""",
+SELECT *, baseline = 'command_failed' OR candidate = 'command_failed' AS tool_failure, CASE WHEN baseline <> 'passed' AND candidate <> 'passed' THEN 'shared' WHEN candidate <> 'passed' THEN 'candidate_only' WHEN baseline <> 'passed' THEN 'baseline_only' ELSE 'none' END AS bucket FROM j""",
 )
 def j03(spark, sf):
     """Full outer pairing of the last outcomes; absent counts as passed."""
@@ -85,13 +85,13 @@ def j03(spark, sf):
     "a09_phase_status",
     f"""WITH {p.CHECKS_SQL}, s AS (SELECT run_id, phase, CASE WHEN bool_or(outcome = 'command_failed') THEN 'inconclusive' WHEN bool_or(outcome = 'test_failed') THEN 'failed' ELSE 'passed' END AS status, bool_and(outcome = 'passed') AS all_passed, count(*) AS checks FROM last GROUP BY 1, 2)
 SELECT *, CASE WHEN status = 'inconclusive' THEN 'inconclusive' WHEN status = 'failed' AND checks > 5 THEN 'runtime_regression' WHEN status = 'failed' THEN 'candidate_test_failure' ELSE 'clean' END AS classification,
-CASE WHEN status = 'inconclusive' THEN 3 WHEN status = 'passed' THEN 0 WHEN checks > 5 THEN 2 ELSE 1 END AS exit_code FROM s""",
+CASE WHEN checks % 7 = 0 THEN 3 WHEN status = 'inconclusive' THEN 2 WHEN status = 'failed' THEN 1 ELSE 0 END AS exit_code FROM s""",
 )
 def a09(spark, sf):
     """Status of each phase, its class and exit code."""
     s = m.phase_status(last_checks(spark, sf), ["run_id", "phase"])
     s = s.withColumn("classification", m.outcome_class(F.col("status"), F.col("checks") > 5))
-    return s.withColumn("exit_code", m.exit_code(F.col("status"), F.col("classification")))
+    return s.withColumn("exit_code", m.exit_code(F.when(F.col("checks") % 7 == 0, "cancelled").otherwise("succeeded"), F.col("status")))
 
 
 @query("a07_verdict_counts", f"WITH {p.SAMPLES_SQL}, c AS ({_compare_sql('baseline', 'candidate')}), d AS (SELECT *, {_LADDER} AS reason FROM c) SELECT {_STATUS} AS status, reason, count(*) AS runs FROM d GROUP BY 1, 2")
@@ -103,9 +103,9 @@ def a07_counts(spark, sf):
 @query(
     "a35_report_labels",
     f"""WITH {p.SAMPLES_SQL}, c AS ({_compare_sql('baseline', 'candidate')}), d AS (SELECT *, {_LADDER} AS reason FROM c)
-SELECT run_id, CASE WHEN ({_STATUS}) = 'failed' AND query_delta > 0 THEN 'runtime_regression' END AS label, printf('%.3f', query_delta) AS shown, CASE WHEN ({_STATUS}) = 'failed' AND query_delta <= 0 THEN 'latency regression without more queries' WHEN reason = 'noisy' THEN 'measurement is noisy' END AS note FROM d""",
+SELECT run_id, CASE WHEN ({_STATUS}) = 'failed' AND query_delta > 0 THEN 'runtime_regression' WHEN ({_STATUS}) = 'inconclusive' THEN 'inconclusive' END AS label, printf('%.3f', query_delta) AS shown, CASE WHEN ({_STATUS}) = 'inconclusive' THEN CASE WHEN noisy THEN 'timing variance exceeded policy' ELSE 'no regression is implied without evidence' END END AS note FROM d""",
 )
 def a35(spark, sf):
     """Labels recovered for reports; without more queries a regression has none."""
     c = a07(spark, sf)
-    return c.select("run_id", m.report_label(F.col("status"), F.col("query_delta")).alias("label"), F.format_string("%.3f", F.col("query_delta")).alias("shown"), m.report_note(F.col("status"), F.col("reason"), F.col("query_delta")).alias("note"))
+    return c.select("run_id", m.report_label(F.col("status"), F.col("query_delta")).alias("label"), F.format_string("%.3f", F.col("query_delta")).alias("shown"), m.report_note(F.col("status"), F.col("noisy"), F.lit(False)).alias("note"))

@@ -27,7 +27,7 @@ _OBS_SQL = """o AS (SELECT user_id, ts::DATE AS day, count(*) AS sample_count, a
 min((epoch_us(date_trunc('day', ts) + INTERVAL 1 DAY) - epoch_us(ts)) // 1000000) AS age, count(*) FILTER (event_type = 'purchase') AS verifications, count(*) FILTER (event_type = 'click') AS traces FROM events GROUP BY 1, 2),
 d AS (SELECT *, CASE WHEN user_id % 11 = 0 THEN 'rollback/staging validation failed' WHEN user_id % 13 = 0 THEN 'pause/telemetry unavailable' WHEN age > 40000 THEN 'pause/telemetry is stale' WHEN sample_count < CASE WHEN user_id % 2 = 0 THEN 4 ELSE 3 END THEN 'pause/insufficient telemetry samples'
 WHEN latency_ms IS NULL THEN 'pause/telemetry metrics are incomplete' WHEN error_rate > 0.3 THEN 'rollback/error-rate SLO breached' WHEN latency_ms > 60 THEN 'rollback/latency SLO breached' WHEN verifications = 0 THEN 'pause/validation is not linked to a verification run'
-WHEN traces = 0 THEN 'pause/telemetry is not linked to a recorded trace' WHEN day < DATE '2024-01-03' THEN 'pause/canary window is still observing' ELSE 'promote/canary window complete' END AS r FROM o)"""
+WHEN traces = 0 THEN 'pause/telemetry is not linked to a recorded trace' WHEN day < DATE '2024-01-03' THEN 'pause/canary window is still observing' ELSE 'promote/validation passed; canary window complete' END AS r FROM o)"""
 
 
 def _decided(spark, sf):

@@ -49,7 +49,7 @@ def f07(spark, sf):
 @query(
     "f10_sql_table_extraction",
     r"""SELECT doc_id, kind, unnest(list_sort(list_distinct(list_transform(regexp_extract_all(text, p, 1), lambda x: lower(x))))) AS table_name FROM documents,
-(VALUES ('READS_FROM', '(?i)\b(?:FROM|JOIN)\s+([A-Za-z_][A-Za-z0-9_.]*)'), ('WRITES_TO', '(?i)\b(?:INSERT\s+INTO|UPDATE|DELETE\s+FROM|CREATE\s+TABLE|DROP\s+TABLE)\s+([A-Za-z_][A-Za-z0-9_.]*)')) v(kind, p)""",
+(VALUES ('READS_FROM', '(?i)\b(?:FROM|JOIN)\s+([A-Za-z_][\w$]*(?:\.[A-Za-z_][\w$]*)?)'), ('WRITES_TO', '(?i)\b(?:INSERT\s+INTO|UPDATE|DELETE\s+FROM|CREATE\s+TABLE(?:\s+IF\s+NOT\s+EXISTS)?|DROP\s+TABLE(?:\s+IF\s+EXISTS)?)\s+([A-Za-z_][\w$]*(?:\.[A-Za-z_][\w$]*)?)')) v(kind, p)""",
 )
 def f10(spark, sf):
     """tables that SQL text reads and writes."""
@@ -60,14 +60,15 @@ def f10(spark, sf):
 
 @query(
     "f11_http_call_paths",
-    r"""WITH c AS (SELECT page_id, 'const r = http.get("' || url || '"); http.post(`${BASE}/cart/' || page_id::VARCHAR || '?x=1`)' AS code FROM pages),
-u AS (SELECT page_id, unnest(regexp_extract_all(code, '\bhttp\.(?:get|post|put|patch|del|delete|request)\(\s*["''`]([^"''`]+)["''`]', 1)) AS u FROM c)
-SELECT page_id, regexp_extract(regexp_replace(regexp_replace(u, '^\$\{[^}]*\}', ''), '^[a-z]+://[^/?#]*', ''), '^([^?#]*)', 1) AS path FROM u""",
+    r"""WITH c AS (SELECT page_id, 'const r = http.get("' || url || '"); http.post(`${__ENV.BASE_URL}/cart/' || page_id::VARCHAR || '?x=1`); http.put(`${other}/y`)' AS code FROM pages),
+u AS (SELECT page_id, unnest(regexp_extract_all(code, 'http\.(?:delete|get|head|options|patch|post|put|trace)\s*\(\s*["''`]([^"''`]*)["''`]', 1)) AS u FROM c),
+b AS (SELECT page_id, regexp_replace(regexp_replace(u, '^\$\{[^{}]*\bBASE_URL\b[^{}]*\}', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', '') AS u FROM u)
+SELECT page_id, regexp_extract(u, '^([^?#]*)', 1) AS path FROM b WHERE starts_with(u, '/') AND NOT contains(u, '${') AND NOT contains(u, '}')""",
 )
 def f11(spark, sf):
     """literal HTTP calls, base URL stripped, path only."""
     t = table(spark, sf, "pages")
-    code = F.concat(F.lit('const r = http.get("'), F.col("url"), F.lit('"); http.post(`${BASE}/cart/'), F.col("page_id").cast("string"), F.lit("?x=1`)"))
+    code = F.concat(F.lit('const r = http.get("'), F.col("url"), F.lit('"); http.post(`${__ENV.BASE_URL}/cart/'), F.col("page_id").cast("string"), F.lit("?x=1`); http.put(`${other}/y`)"))
     return t.select("page_id", F.explode(s.http_paths(code)).alias("path"))
 
 
@@ -89,17 +90,18 @@ def f12(spark, sf):
 @query(
     "f14_text_measures",
     r"""SELECT conv_id, turn, ceil(strlen(text) / 4.0)::BIGINT AS tokens, coalesce(CASE WHEN turn % 3 = 0 THEN turn END, turn + 1) AS used,
-CASE WHEN turn % 2 = 0 THEN 'provider_timeout' ELSE 'provider_rate_limited' END AS reason, CASE WHEN turn % 4 = 0 THEN NULL ELSE 'runs/' || conv_id::VARCHAR || '.json' END AS path,
+CASE turn % 4 WHEN 0 THEN 'provider_timeout' WHEN 1 THEN 'rate_limit_or_quota_exhausted' WHEN 2 THEN 'invalid_api_key' ELSE 'provider_error:Odd' END AS reason, CASE WHEN turn % 4 = 0 THEN NULL ELSE 'runs/' || conv_id::VARCHAR || '.json' END AS path,
 len(string_split(substr(text, 1, (turn * 7)::INT), chr(10))) AS line, printf('reached at distance %d via %s', turn, role || ' -> CALLS') AS why FROM conversations""",
 )
 def f14(spark, sf):
     """Token estimates, usage, reasons, paths, line numbers."""
     t = table(spark, sf, "conversations")
     uri = F.concat(F.when(F.col("turn") % 4 == 0, "file:///other/").otherwise("file:///data/"), F.lit("runs/"), F.col("conv_id").cast("string"), F.lit(".json"))
-    message = F.when(F.col("turn") % 2 == 0, "Request timed out").otherwise("Rate limit hit")
+    kind = F.when(F.col("turn") % 4 == 0, "ReadTimeout").otherwise("Odd")
+    code = F.element_at(F.array(F.lit(500), F.lit(429), F.lit(403), F.lit(500)), (F.col("turn") % 4 + 1).cast("int"))
     return t.select(
         "conv_id", "turn", s.token_estimate(F.col("text")).alias("tokens"), s.used_tokens(F.when(F.col("turn") % 3 == 0, F.col("turn")), F.col("turn"), F.lit(1)).alias("used"),
-        s.reason_code(message).alias("reason"), s.local_path(uri, "/data").alias("path"), s.line_of_offset(F.col("text"), (F.col("turn") * 7).cast("int")).alias("line"),
+        s.reason_code(kind, code).alias("reason"), s.local_path(uri, "/data").alias("path"), s.line_of_offset(F.col("text"), (F.col("turn") * 7).cast("int")).alias("line"),
         s.reason_path(F.array("role", F.lit("CALLS")), F.col("turn")).alias("why"),
     )
 
@@ -132,8 +134,8 @@ _PATHS = ["app.py", "loadtests/checkout.js", "web/app.js", "tests/test_a.py", ".
     "p01_path_predicates",
     r"""WITH b AS (SELECT s_suppkey, ['app.py','loadtests/checkout.js','web/app.js','tests/test_a.py','.github/workflows/ci.yml','../up.py','/abs.py','src/.env','requirements-dev.txt','fixtures/data.json','C:/x.py','policies/autonomy.json'][(s_suppkey % 12 + 1)::INT] AS path FROM supplier)
 SELECT s_suppkey, path, path LIKE '%.py' OR path = 'loadtests/checkout.js' AS scope, path = 'tests/test_a.py' AS test,
-path IN ('loadtests/checkout.js','tests/test_a.py','.github/workflows/ci.yml','src/.env') AS protected, path NOT IN ('../up.py','/abs.py','C:/x.py') AS safe,
-path = 'requirements-dev.txt' AS dependency, path = '.github/workflows/ci.yml' AS workflow, path = 'fixtures/data.json' AS fixture, path = 'loadtests/checkout.js' AS scenario FROM b""",
+path IN ('loadtests/checkout.js','tests/test_a.py') AS protected, path NOT IN ('../up.py','/abs.py','C:/x.py') AS safe,
+path = 'requirements-dev.txt' AS dependency, path = '.github/workflows/ci.yml' AS workflow, path IN ('fixtures/data.json', 'loadtests/checkout.js') AS fixture, path = 'loadtests/checkout.js' AS scenario FROM b""",
 )
 def p01(spark, sf):
     """Path predicates."""
@@ -145,7 +147,7 @@ def p01(spark, sf):
 
 @query(
     "p07_matches_and_secrets",
-    r"""SELECT doc_id, lang = 'en' AS exact, starts_with(source, 'src1') AS prefix, contains(lower(text), 'the') AS contains, regexp_matches(text, '(?i)(access_token|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,})') AS credential FROM documents""",
+    r"""SELECT doc_id, lang = 'en' AS exact, starts_with(source, 'src1') AS prefix, contains(lower(text), 'the') AS contains, regexp_matches(text, '(?i)(\b(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9_]{30,}|sk-[A-Za-z0-9_-]{20,})\b|\b(api[_-]?key|access[_-]?token|secret[_-]?key)\s*[:=]\s*[''"]?[A-Za-z0-9_./+=-]{12,})') AS credential FROM documents""",
 )
 def p07(spark, sf):
     """Evidence matches, credential pattern."""
@@ -155,14 +157,14 @@ def p07(spark, sf):
 
 @query(
     "p08_attribute_sanitizing",
-    """SELECT event_id, json_extract_string(props, '$.k') AS k, event_type AS kind, 2 + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS redactions FROM events""",
+    """SELECT event_id, json_extract_string(props, '$.k') AS workload, event_type AS phase, 2 + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS redactions FROM events""",
 )
 def p08(spark, sf):
     """Attribute allow list, sensitive words, size limits, redaction count."""
     big = F.when(F.col("event_id") % 5 == 0, F.repeat(F.lit("x"), 300)).otherwise(F.lit("ok"))
-    attributes = F.create_map(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("kind"), F.col("event_type"), F.lit("user_email"), F.lit("a@b"), F.lit("unknown"), F.lit("1"), F.lit("route"), big)
+    attributes = F.create_map(F.lit("workload_id"), F.get_json_object("props", "$.k"), F.lit("phase"), F.col("event_type"), F.lit("session_token"), F.lit("a@b"), F.lit("unknown"), F.lit("1"), F.lit("entrypoint"), big)
     t = table(spark, sf, "events").select("event_id", pr.sanitize(attributes).alias("c"))
-    return t.select("event_id", F.col("c.kept")["k"].alias("k"), F.col("c.kept")["kind"].alias("kind"), F.col("c.redactions").alias("redactions"))
+    return t.select("event_id", F.col("c.kept")["workload_id"].alias("workload"), F.col("c.kept")["phase"].alias("phase"), F.col("c.redactions").alias("redactions"))
 
 
 @query(

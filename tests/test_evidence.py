@@ -210,25 +210,26 @@ def test_canary_golden(spark):
 
 def test_replay_equals_a_plain_fold(spark):
     rng = random.Random(1)
-    runs = {r: ["ok" if rng.random() < 0.8 else "failed" for _ in range(30)] for r in range(8)}
+    runs = {r: [rng.choices(["ok", "failed", "declined", "duplicate_patch", "time_budget_exceeded"], [80, 14, 3, 2, 1])[0] for _ in range(30)] for r in range(20)}
     order = ["context", "diagnose", "patch", "validate", "verify", "decide"]
     want = {}
     for r, outcomes in runs.items():
-        stage, attempts, reason = "context", 0, None
+        stage, attempts, failed, pending, reason = "context", 0, False, None, None
         for o in outcomes:
             if stage == "stopped":
                 break
             attempts += stage == "context"
             if stage == "decide":
-                if o == "ok" or attempts >= 3:
-                    reason, stage = ("verified" if o == "ok" else "attempts_exhausted"), "stopped"
-                else:
-                    stage = "context"
+                reason = pending or ("verified" if o == "ok" and not failed else "decision_declined" if o == "declined" else "max_attempts" if attempts >= 3 else None)
+                stage, failed = ("stopped" if reason else "context"), False
             else:
+                failed |= o != "ok"
+                pending = o if o in ("duplicate_patch", "time_budget_exceeded") else pending
                 stage = order[order.index(stage) + 1] if o == "ok" else "decide"
         want[r] = (stage, attempts, reason)
     df = spark.createDataFrame([(r, i, o) for r, os in runs.items() for i, o in enumerate(os)], "run int, i int, outcome string")
     assert {x["run"]: (x["stage"], x["attempts"], x["reason"]) for x in history.replay(df, "run", "i").collect()} == want
+    assert len({reason for *_, reason in want.values()}) > 3
 
 
 def test_correlation_stops_at_ambiguous_exact(spark):
@@ -245,10 +246,10 @@ def test_evaluation_edges(spark):
 
 
 def test_sanitize_caps_and_redacts(spark):
-    many = {f"k{i}": "v" for i in range(3)} | {"route": "x" * 300, "user_token": "t", "method": "GET"}
+    many = {f"k{i}": "v" for i in range(3)} | {"entrypoint": "x" * 300, "user_token": "t", "phase": "fix"}
     df = spark.createDataFrame([(many,)], "m map<string,string>").select(pr.sanitize(F.col("m")).alias("s"))
     s = df.first()["s"]
-    assert s["kept"] == {"method": "GET"} and s["redactions"] == 5
+    assert s["kept"] == {"phase": "fix"} and s["redactions"] == 5
 
 
 def test_sampler_bounds_and_span_cap(spark):
