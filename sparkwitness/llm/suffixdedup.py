@@ -102,7 +102,8 @@ def repeated_runs(keyed: DataFrame, threshold: int) -> DataFrame:
     left = frames.settled(found.join(again, "anchor", "left_semi"))
     # Pass 2: spans within those groups.
     spans = left.groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rid", "th", "start")).alias("rep"))
-    mixed = spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor", F.lit(True).alias("mixed"))
+    several = left.groupBy("anchor").agg(F.min("span").alias("low"), F.max("span").alias("high")).where("low < high")
+    mixed = frames.settled(several.select("anchor", F.lit(True).alias("mixed")))
     status = frames.settled(spans.join(mixed, "anchor", "left"))
     open_runs = left.join(status, ["anchor", "span"])
     settled = F.col("c") > 1
