@@ -54,15 +54,12 @@ def lifecycle(observed: DataFrame, release: str, order: str) -> DataFrame:
     return observed.withColumn("_done", F.coalesce(F.max(terminal).over(before), F.lit(0))).where("_done = 0").drop("_done")
 
 
-def status(events: DataFrame, release: str) -> DataFrame:
-    """rolled_back over promoted over paused over released."""
+def summary(events: DataFrame, release: str, order: str) -> DataFrame:
+    """Status by precedence (rolled back, promoted, paused, released), last non-null decision and count, in one aggregate."""
     has = lambda e: F.bool_or(F.col("event") == e)
-    return events.groupBy(release).agg(F.when(has("rolled_back"), "rolled_back").when(has("promoted"), "promoted").when(has("paused"), "paused").otherwise("released").alias("status"))
-
-
-def latest_decision(events: DataFrame, release: str, order: str) -> DataFrame:
-    """The last decision that is not null."""
-    return events.where("decision is not null").groupBy(release).agg(F.max_by("decision", order).alias("decision"))
+    status = F.when(has("rolled_back"), "rolled_back").when(has("promoted"), "promoted").when(has("paused"), "paused").otherwise("released")
+    decision = F.max_by("decision", F.when(F.col("decision").isNotNull(), F.col(order)))
+    return events.groupBy(release).agg(status.alias("status"), decision.alias("decision"), F.count(F.lit(1)).alias("observations"))
 
 
 def record_hash(previous: Column, body: Column) -> Column:

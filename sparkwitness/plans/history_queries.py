@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import history as hi
 from ..session import table
+from ..sources import artifacts as ar
 from .registry import query
 
 
@@ -175,13 +176,11 @@ def j26(spark, sf):
 
 @query("j24_owner_patterns", "WITH pt AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS pattern FROM part WHERE p_partkey < 3) SELECT p_partkey, bool_or(contains(p_name, pattern)) AS owned FROM part, pt GROUP BY 1")
 def j24(spark, sf):
-    """Ownership patterns contained in paths, as one expression over a bounded pattern list."""
+    """Lines of an owners file to patterns, and paths that contain one."""
     t = table(spark, sf, "part")
-    patterns = [r[0] for r in t.where("p_partkey < 3").select(F.split_part(F.col("p_name"), F.lit(" "), F.lit(1))).distinct().collect()]  # three rows at most
-    hit = F.lit(False)
-    for x in sorted(patterns):
-        hit = hit | F.col("p_name").contains(x.strip("*"))
-    return t.select("p_partkey", hit.alias("owned"))
+    first = F.split_part(F.col("p_name"), F.lit(" "), F.lit(1))
+    lines = t.where("p_partkey < 6").select(F.when(F.col("p_partkey") < 3, F.concat(F.lit("*"), first, F.lit("* @team"))).when(F.col("p_partkey") == 3, F.concat(F.lit("# "), first, F.lit(" @x"))).otherwise(first).alias("line"))
+    return ar.ownership_signal(t.select("p_partkey", "p_name"), ar.owner_patterns(lines, "line"), "p_name").select("p_partkey", "owned")
 
 
 @query("g23_item_kinds", "SELECT event_type AS kind, count(*) AS items, count(*) FILTER (value > 50) AS failed FROM events GROUP BY 1")

@@ -50,8 +50,7 @@ def a23(spark, sf):
     live = rl.lifecycle(_decided(spark, sf), "user_id", "day")
     event = F.when(F.col("action") == "rollback", "rolled_back").when(F.col("action") == "promote", "promoted").otherwise("paused")
     events = live.select("user_id", event.alias("event"), F.col("action").alias("decision"), F.col("day").alias("ord"))
-    counts = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("observations"))
-    return rl.status(events, "user_id").join(rl.latest_decision(events, "user_id", "ord"), "user_id").join(counts, "user_id")
+    return rl.summary(events, "user_id", "ord")
 
 
 def journal(spark, sf):

@@ -11,7 +11,7 @@ from ..functions.predicates import is_safe_relative
 # Where a summary keeps each metric.
 _METRICS = {"p50_ms": ("http_req_duration", "med"), "p95_ms": ("http_req_duration", "p(95)"), "p99_ms": ("http_req_duration", "p(99)"), "throughput": ("http_reqs", "rate"), "error_rate": ("http_req_failed", "rate"), "query_count": ("database_queries", "med")}
 REGISTRY = "workload_id long, workload_type string, priority int, definition_path string"
-MAX_REGISTRY_BYTES, CHURN_COMMITS = 64 * 1024, 20
+MAX_REGISTRY_BYTES, CHURN_COMMITS, MAX_PATTERNS = 64 * 1024, 20, 5_000
 
 
 def load_samples(summaries: DataFrame, json: str) -> DataFrame:
@@ -42,6 +42,21 @@ def churn_signal(commits: DataFrame, run: str, *order: str) -> DataFrame:
     return top.groupBy(run).agg(F.least(F.count(F.lit(1)) / F.lit(float(CHURN_COMMITS)), F.lit(1.0)).alias("churn"))
 
 
+def owner_patterns(lines: DataFrame, text: str) -> DataFrame:
+    """Patterns of an owners file: the first word of lines with owners, comments left out, ``*`` stripped at both ends."""
+    words = F.split(F.trim(text), r"\s+")
+    return lines.where(~F.trim(text).startswith("#") & (F.size(words) > 1)).select(F.regexp_replace(words[0], r"^\*+|\*+$", "").alias("pattern")).distinct()
+
+
+def ownership_signal(paths: DataFrame, patterns: DataFrame, path: str) -> DataFrame:
+    """Adds ``owned``: whether any pattern is part of the path.  An owners file is small; a larger one is refused."""
+    found = [r["pattern"] for r in patterns.orderBy("pattern").limit(MAX_PATTERNS + 1).collect()]
+    if len(found) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} owner patterns")
+    known = F.array(*map(F.lit, found)) if found else F.array().cast("array<string>")
+    return paths.withColumn("owned", F.exists(known, lambda x: F.contains(F.col(path), x)))
+
+
 def registry(raw: DataFrame, json: str) -> DataFrame:
     """Typed registry entries; an entry that is too large or has an unsafe path is flagged."""
     e = raw.withColumn("e", F.from_json(F.col(json), REGISTRY))

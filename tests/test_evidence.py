@@ -208,6 +208,11 @@ def test_canary_golden(spark):
     assert got == {"ok": "promote", "err": "rollback", "slow": "rollback", "stale": "pause", "few": "pause", "early": "pause", "untraced": "pause", "invalid": "rollback"}
 
 
+def test_status_precedence_and_last_decision(spark):
+    e = spark.createDataFrame([("r", 0, "released", None), ("r", 1, "promoted", "promote"), ("r", 2, "rolled_back", None), ("q", 0, "released", None)], "rel string, i int, event string, decision string")
+    assert {x["rel"]: (x["status"], x["decision"], x["observations"]) for x in release.summary(e, "rel", "i").collect()} == {"r": ("rolled_back", "promote", 3), "q": ("released", None, 1)}
+
+
 def test_replay_equals_a_plain_fold(spark):
     rng = random.Random(1)
     runs = {r: [rng.choices(["ok", "failed", "declined", "duplicate_patch", "time_budget_exceeded"], [80, 14, 3, 2, 1])[0] for _ in range(30)] for r in range(20)}
