@@ -137,19 +137,23 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     seen = sum((v > 0).sum(axis=0) for v in vectors.values())
     total = sum(len(v) for v in vectors.values())
     idf = (np.log((1 + total) / (1 + seen)) + 1).astype(np.float32)
-    centres, names, bounds = [], [], []
-    for lang, v in vectors.items():
-        x = _unit(v * idf)
-        c = cluster(x, CENTROIDS)
-        near = x @ c.T
+    unit = {lang: _unit(v * idf) for lang, v in vectors.items()}
+    found = [(lang, c) for lang, x in unit.items() for c in cluster(x, CENTROIDS)]
+    centres = np.stack([c for _, c in found]).astype(np.float32)
+    # A cluster of mislabelled texts lies among the texts of another language and takes
+    # the language that most texts nearest to it have.
+    votes, cosines = np.zeros((len(found), len(unit))), [[] for _ in found]
+    for k, x in enumerate(unit.values()):
+        near = x @ centres.T
         own = near.argmax(axis=1)
-        for j in range(len(c)):
-            cos = near[own == j, j]
-            if len(cos):
-                centres.append(c[j])
-                names.append(lang)
-                bounds.append(cos.mean() - REJECT_DEVIATIONS * max(cos.std(), 0.02))
-    return Centroids(idf, np.stack(centres).astype(np.float32), names, np.array(bounds))
+        votes[:, k] = np.bincount(own, minlength=len(found))
+        for j in range(len(found)):
+            cosines[j].append(near[own == j, j])
+    spread = [np.concatenate(c) for c in cosines]
+    use = [j for j in range(len(found)) if len(spread[j])]
+    langs = list(unit)
+    bounds = [spread[j].mean() - REJECT_DEVIATIONS * max(spread[j].std(), 0.02) for j in use]
+    return Centroids(idf, centres[use], [langs[votes[j].argmax()] for j in use], np.array(bounds))
 
 
 def predict(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
