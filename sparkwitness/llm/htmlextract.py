@@ -185,7 +185,7 @@ def text_of(nodes: list[dom.Element], kept: np.ndarray) -> str:
 # ---------------------------------------------------------------- training pages
 
 
-def training_pages(count: int = 360, seed: int = 5) -> Iterator[tuple[str, set[str]]]:
+def training_pages(count: int = 700, seed: int = 5) -> Iterator[tuple[str, set[str]]]:
     """Seeded pages with known articles: (html, markers of elements that are not the article).
 
     Elements outside the article carry the attribute ``data-out``, which no feature reads.
@@ -252,6 +252,8 @@ def training_pages(count: int = 360, seed: int = 5) -> Iterator[tuple[str, set[s
 
     def article(inside: list[str]) -> str:
         title = f"<h1>{words(2, 12)}</h1>" if rng.random() < 0.85 else ""
+        if title and rng.random() < 0.12:
+            title = f"<header>{title}</header>"
         size = int(pick(rng.integers(1, 3), rng.integers(2, 8), rng.integers(4, 25)))
         parts = [paragraph() if rng.random() < 0.82 else extra() for _ in range(size)]
         for x in inside:
@@ -263,7 +265,7 @@ def training_pages(count: int = 360, seed: int = 5) -> Iterator[tuple[str, set[s
 
     makers = (menu, advert, head, foot, side, notice, form, comments)
     for _ in range(count):
-        inside = [pick(advert, advert, notice, form, comments, side)() for _ in range(pick(0, 0, 0, 1, 1, 2))]
+        inside = [pick(advert, advert, notice, form, comments, side, foot, menu)() for _ in range(pick(0, 0, 0, 1, 1, 2))]
         before = [m() for m in (head, menu, advert, notice, form, side) if rng.random() < 0.45]
         after = [m() for m in (comments, side, advert, form, notice, menu) if rng.random() < 0.35]
         if rng.random() < 0.8:
@@ -291,7 +293,7 @@ def labelled_nodes(page: str) -> tuple[np.ndarray, np.ndarray]:
 @functools.lru_cache(maxsize=1)
 def default_model() -> Ensemble:
     pairs = [labelled_nodes(p) for p in training_pages()]
-    return boosted(np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs]))
+    return boosted(np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs]), trees=80)
 
 
 def main_texts(pages: list[str | None], model: Ensemble) -> list[str]:
