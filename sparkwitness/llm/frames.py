@@ -96,18 +96,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Returns (node, component), component the smallest node id reached; nodes
     without an edge do not appear.
     """
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
-    e = settled(e)
+    e = settled(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v").distinct())
     before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low2 = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low2, "u").select(F.col("v").alias("x"), "m").where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v"))
-        done, e = e, settled(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct())
-        forget(done)
+        # Written first, so that the join's hot partitions can be split.
+        low = settled(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = both.join(low, "u").where("v > u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v").distinct()
+        down = settled(large)
+        low2 = settled(down.groupBy("u").agg(F.min("v").alias("m")))
+        small = down.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        new = settled(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct())
+        forget(e, low, down, low2)
+        e = new
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:
             break

@@ -197,16 +197,17 @@ def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, own: np.
 def verified_links(docs: DataFrame, names: DataFrame, classes: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
     """Links (a, b) between sets of one candidate class: a spanning forest of each block pair."""
     one = names.where("n_shingles > 0").groupBy("sig").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n"))
-    nodes = classes.select(F.col("node").alias("sig"), F.col("component").alias("class")).join(one, "sig")
+    nodes = frames.settled(classes.select(F.col("node").alias("sig"), F.col("component").alias("class")).join(one, "sig"))
     weight = [F.count(F.lit(1)).alias("c"), F.sum("n").alias("w")]
     blocks = F.greatest(F.ceil(F.col("c") / BLOCK_SETS), F.ceil(F.col("w") * 8 / BLOCK_BYTES)).cast("long")
-    sized = nodes.join(nodes.groupBy("class").agg(*weight).select("class", blocks.alias("all")), "class")
+    spans = frames.settled(nodes.groupBy("class").agg(*weight).select("class", blocks.alias("all")))
+    sized = nodes.join(spans, "class")
     # A set meets the sets of its own size band, and as a smaller one those of the next band.
     band = F.floor(F.log(F.col("n")) / math.log(den / num) + 1e-9).cast("int")
     meets = F.when(F.col("all") == 1, F.array(F.struct(F.lit(-1).alias("band"), F.lit(True).alias("own"))))
     meets = meets.otherwise(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own"))))
     member = sized.withColumn("meets", F.explode(meets)).select("id", "sig", "class", "n", "meets.band", "meets.own")
-    dealt = member.groupBy("class", "band").agg(*weight, F.bool_or("own").alias("any")).where("c > 1 and any").select("class", "band", blocks.alias("blocks"))
+    dealt = frames.settled(member.groupBy("class", "band").agg(*weight, F.bool_or("own").alias("any")).where("c > 1 and any").select("class", "band", blocks.alias("blocks")))
     group = F.struct("class", "band", "own", "blocks")
     wanted = member.join(dealt, ["class", "band"]).groupBy("id", "sig").agg(F.collect_list(group).alias("groups"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id")
@@ -236,7 +237,9 @@ def verified_links(docs: DataFrame, names: DataFrame, classes: DataFrame, id_col
         found = _links(sets, left, right, own, num, den) if len(left) and len(right) and len(name) > 1 else []
         return pa.table({"a": pa.array([name[i] for i, _ in found], pa.int64()), "b": pa.array([name[j] for _, j in found], pa.int64())})
 
-    return paired.groupBy("class", "band", "x", "y").applyInArrow(link, "a long, b long")
+    links = frames.settled(paired.groupBy("class", "band", "x", "y").applyInArrow(link, "a long, b long"))
+    frames.forget(nodes, spans, dealt)
+    return links
 
 
 def linked_sets(docs: DataFrame, id_col: str, text_col: str, k: int, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
@@ -246,8 +249,9 @@ def linked_sets(docs: DataFrame, id_col: str, text_col: str, k: int, similarity:
     stars = frames.settled(star_edges(candidate_keys(docs, text_col, k, num, den)))
     classes = frames.settled(frames.components(stars))
     frames.forget(stars)
-    links = frames.settled(verified_links(docs, names, classes, id_col, text_col, k, num, den))
+    links = verified_links(docs, names, classes, id_col, text_col, k, num, den)
     joined = frames.components(links).select(F.col("node").alias("sig"), "component")
+    frames.forget(classes, links)
     filled = names.where("n_shingles > 0").select("sig").distinct()
     return names, filled.join(joined, "sig", "left").select("sig", F.coalesce("component", "sig").alias("class"))
 
@@ -267,7 +271,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Sizes first: a set that many rows share is one row here.
     low = names.where("n_shingles > 0").groupBy("sig").agg(F.min("id").alias("low"))
     named = classes.join(low, "sig")
-    lowest = named.groupBy("class").agg(F.min("low").alias("component_id"))
+    named = frames.settled(named)
+    lowest = frames.settled(named.groupBy("class").agg(F.min("low").alias("component_id")))
     final = named.join(lowest, "class").select("sig", "component_id")
     full = names.where("n_shingles > 0").join(final, "sig").select("id", "n_shingles", "component_id")
     return full.unionByName(names.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id")))
@@ -284,10 +289,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "th")
     best = names.where("n_shingles > 0").groupBy("sig").agg(F.min(rank).alias("rank")).join(classes, "sig").groupBy("class").agg(F.min("rank").alias("rank"))
     lowest = F.lit(-(2**63))
-    chosen = best.select(F.coalesce("rank.id", lowest).alias("_rid"), F.col("rank.th").alias("_th"), F.lit(True).alias("_one"))
-    empty = names.where("n_shingles = 0").select(F.coalesce("id", lowest).alias("_rid"), F.col("th").alias("_th"), F.lit(False).alias("_one")).distinct()
+    rid, th, flag, copy = _unused(docs, 4)
+    chosen = best.select(F.coalesce("rank.id", lowest).alias(rid), F.col("rank.th").alias(th), F.lit(True).alias(flag))
+    empty = names.where("n_shingles = 0").select(F.coalesce("id", lowest).alias(rid), F.col("th").alias(th), F.lit(False).alias(flag)).distinct()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = docs.withColumn("_rid", F.coalesce(F.col(id_col).cast("long"), lowest)).withColumn("_th", F.xxhash64(text))
-    found = marked.join(chosen.unionByName(empty), ["_rid", "_th"])
-    copy = F.row_number().over(Window.partitionBy("_rid", "_th").orderBy(F.lit(0)))
-    return found.withColumn("_copy", copy).where("not _one or _copy = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = docs.withColumn(rid, F.coalesce(F.col(id_col).cast("long"), lowest)).withColumn(th, F.xxhash64(text))
+    found = marked.join(chosen.unionByName(empty), [rid, th])
+    number = F.row_number().over(Window.partitionBy(rid, th).orderBy(F.lit(0)))
+    return found.withColumn(copy, number).where(~F.col(flag) | (F.col(copy) == 1)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _unused(df: DataFrame, n: int) -> list[str]:
+    """Column names that the frame does not have, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    return [c for c in (f"_k{i}" for i in range(n + len(taken))) if c not in taken][:n]

@@ -111,10 +111,13 @@ def repeated_runs(keyed: DataFrame, threshold: int) -> DataFrame:
     edge = F.col("mixed").isNotNull() & (~settled | is_rep)
     kept = open_runs.select("rid", "th", "start", "n", settled.alias("settled"), edge.alias("edge")).where("settled or edge")
     one = F.struct("start", "n")
-    return kept.groupBy("rid", "th").agg(
+    per_text = kept.groupBy("rid", "th").agg(
         F.array_sort(F.collect_set(F.when(F.col("settled"), one))).alias("settled"),
         F.array_sort(F.collect_set(F.when(F.col("edge"), one))).alias("edge"),
     )
+    out = frames.settled(per_text)
+    frames.forget(again, left, mixed, status)
+    return out
 
 
 def _lists(cell: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,13 +183,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     keyed = base.withColumn("rid", F.coalesce("id", F.lit(-(2**63)))).withColumn("th", F.xxhash64("text"))
     per_text = repeated_runs(keyed, threshold)
-    per_text = frames.settled(per_text)
     dealt = keyed.repartition("rid", "th")
     unique = dealt.join(per_text.where("size(edge) > 0").select("rid", "th", "edge"), ["rid", "th"])
     windows = frames.settled(edge_windows(unique, threshold))
     again = frames.settled(windows.groupBy("window").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("window"))
     starts = windows.join(again, "window", "left_semi").groupBy("rid", "th").agg(F.collect_list("start").alias("single"))
     marks = frames.settled(per_text.select("rid", "th", "settled").join(starts, ["rid", "th"], "full_outer"))
+    frames.forget(per_text, windows, again)
     final = dealt.join(marks, ["rid", "th"], "left")
 
     def fn(rows, data, offsets):
