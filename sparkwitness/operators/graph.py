@@ -68,7 +68,7 @@ def traverse(nodes: DataFrame, edges: DataFrame, max_depth: int = 3, max_nodes:
     truncated = len(start) > max_nodes
     queue = [(r["id"], 0, [], r["confidence"]) for r in start[:max_nodes]]
     reached = list(queue)
-    moves = steps(nodes, edges)
+    moves = steps(nodes, edges).persist()  # read once a level; blocks that do not fit go to disk
     for depth in range(max_depth):
         if not queue:
             break
@@ -81,6 +81,7 @@ def traverse(nodes: DataFrame, edges: DataFrame, max_depth: int = 3, max_nodes:
         truncated |= len(rows) > room
         queue = [(r["dst"], depth + 1, [*r["s"]["edge_path"], r["s"]["edge_type"]], min(r["s"]["confidence"], r["s"]["step_confidence"])) for r in rows[:room]]
         reached += queue
+    moves.unpersist()
     if truncated:
         notes.append("traversal_node_limit")
     out = spark.createDataFrame(reached, schema)

@@ -177,11 +177,11 @@ def a18(spark, sf):
     return e.select("repo", "tp", "graded_items", "observed_items", "ungraded_items", *[F.round(c, 6).alias(c) for c in ("mean_score", "precision", "recall", "false_negative_rate", "calibration_error")])
 
 
-@query("a17_changed_file_baseline", "SELECT 'file' AS kind, k AS key, 1.0::DOUBLE AS score FROM (SELECT source || '/' || lang AS k FROM documents WHERE doc_id % 3 = 0 UNION SELECT source || '/' || lang FROM documents WHERE doc_id % 5 = 0 UNION SELECT source || '/' || lang FROM documents WHERE doc_id % 7 = 0)")
+@query("a17_changed_file_baseline", "SELECT 'file' AS kind, k AS key, 1.0::DOUBLE AS score FROM (SELECT source || '/' || lang AS k FROM documents WHERE lang = 'de' UNION SELECT source || '/' || lang FROM documents WHERE n_chars > 5000 UNION SELECT source || '/' || lang FROM documents WHERE source = 'src3')")
 def a17(spark, sf):
     """Changed files as predicted items of score 1."""
     t = table(spark, sf, "documents").withColumn("path", F.concat_ws("/", "source", "lang"))
-    return pd.changed_file_baseline(t.where("doc_id % 3 = 0"), t.where("doc_id % 5 = 0"), t.where("doc_id % 7 = 0"), "path")
+    return pd.changed_file_baseline(t.where("lang = 'de'"), t.where("n_chars > 5000"), t.where("source = 'src3'"), "path")
 
 
 @query("a19_observed_impact", "SELECT o_custkey AS key, arg_min(o_orderpriority, o_orderkey) AS reason FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")

@@ -113,19 +113,19 @@ def a16(spark, sf):
 
 @query(
     "j11_call_resolution",
-    """WITH calls AS (SELECT o_orderkey AS caller, 'Customer#' || lpad((o_custkey % 2000)::VARCHAR, 9, '0') AS name FROM orders), alias AS (SELECT 'Customer#' || lpad((c_custkey + 1600)::VARCHAR, 9, '0') AS alias, c_name AS target FROM customer WHERE c_custkey < 300)
+    """WITH calls AS (SELECT o_orderkey AS caller, 'Customer#' || lpad((o_custkey + o_custkey % 3 * 500)::VARCHAR, 9, '0') AS name FROM orders), alias AS (SELECT 'Customer#' || lpad((c_custkey + 1600)::VARCHAR, 9, '0') AS alias, c_name AS target FROM customer WHERE c_acctbal < 0)
 SELECT caller, calls.name, d.c_custkey AS definition FROM calls LEFT JOIN alias ON alias.alias = calls.name LEFT JOIN customer d ON d.c_name = coalesce(alias.target, calls.name)""",
 )
 def j11(spark, sf):
     """Call names resolved by alias, else exactly."""
     name = lambda k: F.concat(F.lit("Customer#"), F.lpad(k.cast("string"), 9, "0"))
-    calls = table(spark, sf, "orders").select(F.col("o_orderkey").alias("caller"), name(F.col("o_custkey") % 2000).alias("name"))
+    calls = table(spark, sf, "orders").select(F.col("o_orderkey").alias("caller"), name(F.col("o_custkey") + F.col("o_custkey") % 3 * 500).alias("name"))
     c = table(spark, sf, "customer")
-    return gr.resolve_calls(calls, c.where("c_custkey < 300").select(name(F.col("c_custkey") + 1600).alias("alias"), F.col("c_name").alias("target")), c.select(F.col("c_name").alias("name"), F.col("c_custkey").alias("id")))
+    return gr.resolve_calls(calls, c.where("c_acctbal < 0").select(name(F.col("c_custkey") + 1600).alias("alias"), F.col("c_name").alias("target")), c.select(F.col("c_name").alias("name"), F.col("c_custkey").alias("id")))
 
 
 _IMPORTS_SQL = """imp AS (SELECT DISTINCT replace(p_name, ' ', '.') || '.' || p_brand AS name FROM part), mods AS (SELECT split_part(p_name, ' ', 1) AS module, min(p_partkey) AS id FROM part GROUP BY 1
-UNION ALL SELECT replace(p_name, ' ', '.') AS module, p_partkey AS id FROM part WHERE p_partkey < 60)"""
+UNION ALL SELECT replace(p_name, ' ', '.') AS module, p_partkey AS id FROM part WHERE p_size = 3)"""
 
 
 @query(
@@ -140,7 +140,7 @@ def j12(spark, sf):
     dotted = F.replace(F.col("p_name"), F.lit(" "), F.lit("."))
     imports = t.select(F.concat(dotted, F.lit("."), F.col("p_brand")).alias("name")).distinct()
     roots = t.groupBy(F.split_part(F.col("p_name"), F.lit(" "), F.lit(1)).alias("module")).agg(F.min("p_partkey").alias("id"))
-    return gr.longest_module(imports, roots.unionByName(t.where("p_partkey < 60").select(dotted.alias("module"), F.col("p_partkey").alias("id"))))
+    return gr.longest_module(imports, roots.unionByName(t.where("p_size = 3").select(dotted.alias("module"), F.col("p_partkey").alias("id"))))
 
 
 @query(
@@ -164,16 +164,16 @@ def w09(spark, sf):
     return gr.occurrence_names(table(spark, sf, "part"), "p_name", "p_partkey").select("p_partkey", "name")
 
 
-@query("j18_scenario_endpoints", "SELECT s_suppkey, n_nationkey AS endpoint, n_nationkey IS NULL AS unresolved FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_nationkey < 20")
+@query("j18_scenario_endpoints", "SELECT s_suppkey, n_nationkey AS endpoint, n_nationkey IS NULL AS unresolved FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_regionkey < 4")
 def j18(spark, sf):
     """Load-scenario calls to endpoints, unresolved ones flagged."""
-    n = table(spark, sf, "nation").where("n_nationkey < 20").select("n_nationkey")
+    n = table(spark, sf, "nation").where("n_regionkey < 4").select("n_nationkey")
     j = table(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left")
     return j.select("s_suppkey", F.col("n_nationkey").alias("endpoint"), F.col("n_nationkey").isNull().alias("unresolved"))
 
 
-@query("j23_unevidenced_symbols", "SELECT c_custkey FROM customer WHERE c_custkey % 50 = 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 50 = 0)")
+@query("j23_unevidenced_symbols", "SELECT c_custkey FROM customer WHERE c_acctbal < 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def j23(spark, sf):
     """Changed symbols without evidence, by anti join."""
-    ev = table(spark, sf, "orders").where("o_orderkey % 50 = 0").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf, "customer").where("c_custkey % 50 = 0").select("c_custkey").join(ev, "c_custkey", "left_anti")
+    ev = table(spark, sf, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf, "customer").where("c_acctbal < 0").select("c_custkey").join(ev, "c_custkey", "left_anti")

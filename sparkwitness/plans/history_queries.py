@@ -82,11 +82,11 @@ def a31(spark, sf):
     return hi.create_or_get(d, "key", F.concat_ws("/", "lang", "source"), "doc_id").select("key", "requests", F.col("first.doc_id").alias("first_id"), "outcome")
 
 
-@query("j22_orphan_evidence", "SELECT doc_id FROM labels WHERE doc_id % 7 = 0 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars > 1000)")
+@query("j22_orphan_evidence", "SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars > 1000)")
 def j22(spark, sf):
     """Evidence whose parent is missing, by anti join."""
     parents = table(spark, sf, "documents").where("n_chars > 1000").select("doc_id")
-    return table(spark, sf, "labels").where("doc_id % 7 = 0").select("doc_id").join(parents, "doc_id", "left_anti")
+    return table(spark, sf, "labels").select("doc_id").join(parents, "doc_id", "left_anti")
 
 
 @query(
@@ -174,12 +174,13 @@ def j26(spark, sf):
     return cart.join(parts, "l_partkey").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("items"), F.sum(F.col("cents") * F.col("q")).alias("cents"))
 
 
-@query("j24_owner_patterns", "WITH pt AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS pattern FROM part WHERE p_partkey < 3) SELECT p_partkey, bool_or(contains(p_name, pattern)) AS owned FROM part, pt GROUP BY 1")
+@query("j24_owner_patterns", "WITH pt AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS pattern FROM part WHERE p_size = 1 AND p_brand = 'Brand#7') SELECT p_partkey, coalesce(bool_or(contains(p_name, pattern)), false) AS owned FROM part LEFT JOIN pt ON true GROUP BY 1")
 def j24(spark, sf):
     """Lines of an owners file to patterns, and paths that contain one."""
     t = table(spark, sf, "part")
     first = F.split_part(F.col("p_name"), F.lit(" "), F.lit(1))
-    lines = t.where("p_partkey < 6").select(F.when(F.col("p_partkey") < 3, F.concat(F.lit("*"), first, F.lit("* @team"))).when(F.col("p_partkey") == 3, F.concat(F.lit("# "), first, F.lit(" @x"))).otherwise(first).alias("line"))
+    owner = F.when(F.col("p_brand") == "Brand#7", F.concat(F.lit("*"), first, F.lit("* @team"))).when(F.col("p_brand") == "Brand#8", F.concat(F.lit("# "), first, F.lit(" @x"))).otherwise(first)
+    lines = t.where("p_size = 1").select(owner.alias("line"))
     return ar.ownership_signal(t.select("p_partkey", "p_name"), ar.owner_patterns(lines, "line"), "p_name").select("p_partkey", "owned")
 
 

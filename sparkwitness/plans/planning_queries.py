@@ -32,7 +32,7 @@ def w07(spark, sf):
 
 _MATCH = "CASE kind WHEN 'exact' THEN evidence = value WHEN 'prefix' THEN starts_with(evidence, value) ELSE contains(lower(evidence), lower(value)) END"
 _CRITERIA = """cr AS (SELECT p_partkey AS workload_id, o AS ord, CASE o WHEN 0 THEN 'symbol' ELSE 'test' END AS source, CASE o WHEN 0 THEN p_type ELSE split_part(p_name, ' ', 2) END AS value, CASE o WHEN 0 THEN 'exact' ELSE ['prefix', 'contains'][(p_partkey % 2 + 1)::INT] END AS kind FROM part, (VALUES (0), (1)) v(o)),
-ev AS (SELECT DISTINCT run_id, source, evidence FROM (SELECT p_brand AS run_id, 'symbol' AS source, p_type AS evidence FROM part WHERE p_partkey % 97 = 0 UNION ALL SELECT p_brand, 'test', upper(split_part(p_name, ' ', 2)) || '_x' FROM part WHERE p_partkey % 61 = 0 UNION ALL SELECT p_brand, 'test', split_part(p_name, ' ', 2) || '_y' FROM part WHERE p_partkey % 71 = 0))"""
+ev AS (SELECT DISTINCT run_id, source, evidence FROM (SELECT p_brand AS run_id, 'symbol' AS source, p_type AS evidence FROM part WHERE p_size = 7 UNION ALL SELECT p_brand, 'test', upper(split_part(p_name, ' ', 2)) || '_x' FROM part WHERE p_size = 13 UNION ALL SELECT p_brand, 'test', split_part(p_name, ' ', 2) || '_y' FROM part WHERE p_size = 29))"""
 
 
 def criteria(spark, sf):
@@ -45,8 +45,8 @@ def criteria(spark, sf):
 def evidence(spark, sf):
     t = table(spark, sf, "part")
     second = F.split_part(F.col("p_name"), F.lit(" "), F.lit(2))
-    one = lambda m, source, v: t.where(F.col("p_partkey") % m == 0).select(F.col("p_brand").alias("run_id"), F.lit(source).alias("source"), v.alias("value"))
-    return one(97, "symbol", F.col("p_type")).unionByName(one(61, "test", F.concat(F.upper(second), F.lit("_x")))).unionByName(one(71, "test", F.concat(second, F.lit("_y"))))
+    one = lambda size, source, v: t.where(F.col("p_size") == size).select(F.col("p_brand").alias("run_id"), F.lit(source).alias("source"), v.alias("value"))
+    return one(7, "symbol", F.col("p_type")).unionByName(one(13, "test", F.concat(F.upper(second), F.lit("_x")))).unionByName(one(29, "test", F.concat(second, F.lit("_y"))))
 
 
 @query(

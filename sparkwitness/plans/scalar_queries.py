@@ -195,14 +195,14 @@ def p14(spark, sf):
 
 @query(
     "u01_set_operators",
-    """WITH a AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_custkey % 7 = 0), b AS (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_suppkey % 3 = 0)
+    """WITH a AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal > 9000), b AS (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_acctbal < 2000)
 SELECT 'union' AS op, k FROM (SELECT k FROM a UNION SELECT k FROM b) UNION ALL SELECT 'except', k FROM (SELECT k FROM a EXCEPT SELECT k FROM b)
 UNION ALL SELECT 'intersect', k FROM (SELECT k FROM a INTERSECT SELECT k FROM b)""",
 )
 def u01(spark, sf):
     """Unions, differences and intersections of key sets."""
-    a = table(spark, sf, "customer").where("c_custkey % 7 = 0").select(F.col("c_nationkey").alias("k"))
-    b = table(spark, sf, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("k"))
+    a = table(spark, sf, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("k"))
+    b = table(spark, sf, "supplier").where("s_acctbal < 2000").select(F.col("s_nationkey").alias("k"))
     tag = lambda op, d: d.select(F.lit(op).alias("op"), "k")
     return tag("union", a.union(b).distinct()).union(tag("except", a.subtract(b))).union(tag("intersect", a.intersect(b)))
 
