@@ -135,3 +135,17 @@ def line_of_offset(text: Column, offset: Column) -> Column:
     """1-based line of a 0-based offset."""
     return F.size(F.split(F.substring(text, F.lit(1), offset), "\n"))
 
+
+def indentation(line: Column) -> Column:
+    """Column of the first other character: a tab goes to the next multiple of 8, a form feed back to 0."""
+    lead = F.regexp_extract(line, r"^([ \t\f]*)", 1)
+    step = lambda n, c: F.when(c == "\t", n - n % 8 + 8).when(c == "\f", F.lit(0)).when(c == " ", n + 1).otherwise(n)
+    return F.aggregate(F.split(lead, ""), F.lit(0), step)
+
+
+def diff_text(path: Column, removed: Column, added: Column) -> Column:
+    """Unified diff of one hunk at the first line: some lines out, others in."""
+    mark = lambda sign, lines: F.array_join(F.transform(lines, lambda x: F.concat(F.lit(sign), x, F.lit("\n"))), "")
+    size = lambda lines: F.size(lines).cast("string")
+    head = F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n--- a/"), path, F.lit("\n+++ b/"), path)
+    return F.concat(head, F.lit("\n@@ -1,"), size(removed), F.lit(" +1,"), size(added), F.lit(" @@\n"), mark("-", removed), mark("+", added))

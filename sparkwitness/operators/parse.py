@@ -66,13 +66,41 @@ def module_of(path: str) -> str:
     return path.removesuffix(".py").removesuffix("/__init__").replace("/", ".")
 
 
+def _indent(line: str) -> int:
+    width = 0
+    for c in line:
+        if c == " ":
+            width += 1
+        elif c == "\t":
+            width += 8 - width % 8
+        elif c == "\f":
+            width = 0
+        else:
+            break
+    return width
+
+
+def _scope_lines(node: ast.AST, lines: list[str]) -> tuple[int, int]:
+    """First and last line of a definition: its decorators, and deeper comments right after its body."""
+    first = min([node.lineno, *(d.lineno for d in node.decorator_list)])
+    while node.decorator_list and first > 1 and not lines[first - 1].lstrip().startswith("@"):
+        first -= 1
+    last, margin = node.end_lineno, _indent(lines[node.lineno - 1])
+    for n, line in enumerate(lines[last:], last + 1):
+        text = line.strip(" \t\f")
+        if text and not (text.startswith("#") and _indent(line) > margin):
+            break
+        last = n if text else last
+    return first, last
+
+
 def source_facts(path: str, source: str) -> list[tuple]:
     """Facts of one source: definitions, imports, calls, SQL tables, queries in loops, or its syntax error."""
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError) as e:
         return [(path, "error", None, getattr(e, "lineno", None) or 0, 0, 0, type(e).__name__)]
-    module = module_of(path)
+    module, lines = module_of(path), source.split("\n")
     out = [(path, "module", module, 1, max(1, source.count("\n") + 1), 0, None)]
     seen: dict[str, int] = {}
 
@@ -85,7 +113,7 @@ def source_facts(path: str, source: str) -> list[tuple]:
             seen[name] = seen.get(name, 0) + 1
             name = name if seen[name] == 1 else f"{name}#{seen[name]}"
             is_class = isinstance(node, ast.ClassDef)
-            emit("class" if is_class else "function", name, node, depth + 1, None)
+            out.append((path, "class" if is_class else "function", name, *_scope_lines(node, lines), depth + 1, None))
             for child in node.body:
                 walk(child, name, depth + 1, loops if is_class else 0, in_function or not is_class)
             return

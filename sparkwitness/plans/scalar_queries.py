@@ -218,3 +218,22 @@ def u06(spark, sf):
     g = t.groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderstatus")).alias("statuses"), F.max_by("o_orderpriority", F.struct("o_orderdate", "o_orderkey")).alias("last_priority"), F.max(F.when(F.col("o_orderstatus") == "P", "right")).alias("right"))
     left, right = F.create_map(F.lit("v"), F.lit("left")), F.create_map(F.lit("v"), F.col("right"))
     return g.select("o_custkey", "statuses", "last_priority", F.map_zip_with(left, right, lambda _, a, b: F.coalesce(b, a))["v"].alias("merged"))
+
+
+@query(
+    "f15_indentation",
+    """SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN s_suppkey % 11 WHEN 1 THEN ((s_suppkey % 11) // 8 + 1) * 8 WHEN 2 THEN ((s_suppkey % 11) // 8 + 1) * 8 + 2 ELSE 1 END::INT AS width FROM supplier""",
+)
+def f15(spark, sf):
+    """indentation with tabs and form feeds."""
+    k = F.col("s_suppkey")
+    tail = F.element_at(F.array(F.lit("x = 1"), F.lit("\tx"), F.lit("\t  # note"), F.lit("\t\f y")), (k % 4 + 1).cast("int"))
+    line = F.concat(F.expr("repeat(' ', cast(s_suppkey % 11 as int))"), tail)
+    return table(spark, sf, "supplier").select("s_suppkey", s.indentation(line).alias("width"))
+
+
+@query("f24_diff_text", r"""SELECT n_nationkey, 'diff --git a/' || n_name || ' b/' || n_name || chr(10) || '--- a/' || n_name || chr(10) || '+++ b/' || n_name || chr(10) || '@@ -1,1 +1,2 @@' || chr(10) || '-old' || chr(10) || '+' || n_name || chr(10) || '+end' || chr(10) AS diff FROM nation""")
+def f24(spark, sf):
+    """text of a diff of one hunk."""
+    n = F.col("n_name")
+    return table(spark, sf, "nation").select("n_nationkey", s.diff_text(n, F.array(F.lit("old")), F.array(n, F.lit("end"))).alias("diff"))

@@ -274,6 +274,18 @@ def test_loop_scan_rules():
     assert found == [("m.f", 7)]
 
 
+def test_scopes_take_decorators_and_deeper_comments():
+    src = "@a(\n  1)\n@b\ndef f():\n    x = 1\n\n    # inside\n  # also inside\n# outside\ny = 2\n\ndef f():\n\tpass\n"
+    found = [(x[2], x[3], x[4]) for x in parse.source_facts("m.py", src) if x[1] == "function"]
+    assert found == [("m.f", 1, 8), ("m.f#2", 12, 13)]
+
+
+def test_diff_text_round_trip(spark):
+    d = spark.range(1).select(sc.diff_text(F.lit("a/b.py"), F.array(F.lit("x"), F.lit("y")), F.array(F.lit("z"))).alias("d")).first()["d"]
+    files, faults = parse.parse_diff(d)
+    assert not faults and files[0]["removed"] == ["x", "y"] and files[0]["added"] == ["z"] and files[0]["new_path"] == "a/b.py"
+
+
 def test_diff_faults_and_counts():
     good = "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1 +1,2 @@\n-a\n+b\n+c\n"
     files, faults = parse.parse_diff(good)
