@@ -77,8 +77,17 @@ def window_ranks(data: np.ndarray) -> np.ndarray:
     return rank
 
 
+#: Longer texts are walked in pieces of so many bytes, at fixed places, so that memory is bounded.
+PIECE = 1 << 20
+
+
 def features(text: bytes) -> np.ndarray:
     """Hashes of the selected features of one text, in text order."""
+    if len(text) > PIECE + MIN_WINDOWS + WINDOW:
+        last = len(text) - MIN_WINDOWS - WINDOW
+        starts = range(0, max(1, last), PIECE)
+        ends = [*(a + PIECE + WINDOW - 1 for a in starts[:-1]), len(text)]
+        return np.concatenate([features(text[a:b]) for a, b in zip(starts, ends, strict=True)])
     data = np.frombuffer(text, np.uint8)
     n = len(data)
     if not n:

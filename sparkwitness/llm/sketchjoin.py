@@ -282,7 +282,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     """One row of each class of linked documents, all columns unchanged.
 
     The row of the smallest id stays (ids before null, ties by a hash of the
-    text, one of exactly repeated rows); rows without words are linked with
+    text, then of the row); rows without words are linked with
     nothing and all stay.
     """
     names, classes = linked_sets(docs, id_col, text_col, k, similarity)
@@ -295,7 +295,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     text = F.coalesce(F.col(text_col), F.lit(""))
     marked = docs.withColumn(rid, F.coalesce(F.col(id_col).cast("long"), lowest)).withColumn(th, F.xxhash64(text))
     found = marked.join(chosen.unionByName(empty), [rid, th])
-    number = F.row_number().over(Window.partitionBy(rid, th).orderBy(F.lit(0)))
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    number = F.row_number().over(Window.partitionBy(rid, th).orderBy(F.xxhash64(*plain)))
     return found.withColumn(copy, number).where(~F.col(flag) | (F.col(copy) == 1)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

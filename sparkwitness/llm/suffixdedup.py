@@ -77,6 +77,21 @@ def runs(data: np.ndarray, offsets: np.ndarray, threshold: int) -> tuple[np.ndar
     return row[first], lo - offsets[row[first]], count, gram_hash[anchor[first]], span
 
 
+#: A longer text is cut into pieces of so many suffixes; a run that a cut divides is told apart in pass 3.
+SEGMENT = 1 << 21
+
+
+def _segmented_runs(data: np.ndarray, offsets: np.ndarray, threshold: int) -> tuple[np.ndarray, ...]:
+    if len(data) <= SEGMENT + threshold or len(offsets) != 2:
+        return runs(data, offsets, threshold)
+    parts = []
+    for a in range(0, len(data) - threshold + 1, SEGMENT):
+        piece = data[a : a + SEGMENT + threshold - 1]
+        row, lo, *rest = runs(piece, np.array([0, len(piece)]), threshold)
+        parts.append((row, lo + a, *rest))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def _column(rows: pa.RecordBatch, name: str) -> pa.Array:
     return rows.column(rows.schema.get_field_index(name))
 
@@ -89,7 +104,7 @@ def repeated_runs(keyed: DataFrame, threshold: int) -> DataFrame:
     """
 
     def fn(rows, data, offsets):
-        row, lo, count, anchor, span = runs(data, offsets, threshold)
+        row, lo, count, anchor, span = _segmented_runs(data, offsets, threshold)
         take = pa.array(row)
         return pa.RecordBatch.from_arrays(
             [pa.array(frames.signed(anchor)), pa.array(frames.signed(span)), _column(rows, "rid").take(take), _column(rows, "th").take(take), pa.array(lo.astype(np.int64)), pa.array(count.astype(np.int64))],
@@ -162,11 +177,11 @@ def edge_windows(marked: DataFrame, threshold: int) -> DataFrame:
 
 def _covered(length: int, pieces: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Mask of the bytes covered by [start, start + size) of all pieces."""
-    edge = np.zeros(length + 1, np.int64)
+    edge = np.zeros(length + 1, np.int32)
     for start, size in pieces:
         np.add.at(edge, start, 1)
         np.add.at(edge, start + size, -1)
-    return np.cumsum(edge[:-1]) > 0
+    return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:

@@ -30,21 +30,20 @@ _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, _U64), np.ones(1, _U64))
+#: Powers of the hash base are kept for one block and for the block numbers.
+_BLOCK_BITS = 16
+_BLOCK = 1 << _BLOCK_BITS
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, 0 to n."""
-    global _powers
-    if len(_powers[0]) <= n:
-        size = max(n + 1, 2 * len(_powers[0]), CHUNK_BYTES + 1)
-        tables = []
-        for base in (_BASE, _BASE_INV):
-            t = np.full(size, _U64(base))
-            t[0] = 1
-            tables.append(np.multiply.accumulate(t))
-        _powers = (tables[0], tables[1])
-    return _powers
+def _powers(base: int, count: int) -> np.ndarray:
+    """base**0 to base**(count - 1) modulo 2**64."""
+    t = np.full(count, _U64(base & _MASK64))
+    t[0] = 1
+    return np.multiply.accumulate(t)
+
+
+_SMALL, _SMALL_INV = _powers(_BASE, _BLOCK), _powers(_BASE_INV, _BLOCK)
+_STEP_BASE, _STEP_INV = pow(_BASE, _BLOCK, 1 << 64), pow(_BASE_INV, _BLOCK, 1 << 64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -58,26 +57,40 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class RollingHash:
-    """Polynomial hashes (mod 2**64) of any substring of a byte buffer."""
+    """Polynomial hashes (mod 2**64) of any substring of a byte buffer; 8 bytes of memory a byte."""
 
     def __init__(self, data: np.ndarray):
         self.n = len(data)
-        power, self.inverse = _power_tables(self.n)
+        blocks = self.n // _BLOCK + 1
+        power, self.inverse = _powers(_STEP_BASE, blocks), _powers(_STEP_INV, blocks)
         self.prefix = np.zeros(self.n + 1, _U64)
-        terms = data.astype(_U64)
-        terms += _U64(1)
-        terms *= power[: self.n]
-        np.cumsum(terms, out=self.prefix[1:])
+        for j in range(blocks):
+            part = data[j * _BLOCK : (j + 1) * _BLOCK].astype(_U64)
+            part += _U64(1)
+            part *= _SMALL[: len(part)]
+            own = self.prefix[j * _BLOCK + 1 : j * _BLOCK + 1 + len(part)]
+            np.cumsum(part, out=own)
+            own *= power[j]
+            own += self.prefix[j * _BLOCK]
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of data[start:end] for each pair; equal bytes give equal hashes."""
-        return (self.prefix[end] - self.prefix[start]) * self.inverse[start]
+        out = self.prefix[end] - self.prefix[start]
+        out *= _SMALL_INV[start & (_BLOCK - 1)]
+        out *= self.inverse[start >> _BLOCK_BITS]
+        return out
 
     def windows(self, width: int) -> np.ndarray:
         """Hash of every window of the given width."""
-        if self.n < width:
+        count = self.n - width + 1
+        if count <= 0:
             return np.zeros(0, _U64)
-        return (self.prefix[width:] - self.prefix[: self.n - width + 1]) * self.inverse[: self.n - width + 1]
+        out = self.prefix[width:] - self.prefix[:count]
+        for j in range((count - 1) // _BLOCK + 1):
+            own = out[j * _BLOCK : (j + 1) * _BLOCK]
+            own *= _SMALL_INV[: len(own)]
+            own *= self.inverse[j]
+        return out
 
 
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -70,6 +70,27 @@ def test_suffix_dedup_equals_plain(spark, threshold, seed):
     assert got == dict(enumerate(plain_removal(texts, threshold)))
 
 
+def test_suffix_dedup_cuts_long_texts(spark, monkeypatch):
+    rng = random.Random(9)
+    words_ = ["".join(rng.choice("abc ") for _ in range(rng.randrange(1, 90))) for _ in range(40)]
+    texts = ["".join(rng.choice(words_) for _ in range(rng.randrange(1, 40))) for _ in range(12)]
+    monkeypatch.setattr(suffixdedup, "SEGMENT", 50)
+    monkeypatch.setattr(tk, "CHUNK_BYTES", 1)
+    for t in (20, 64):
+        parts = []
+        for text in texts:
+            raw = np.frombuffer(text.encode(), np.uint8)
+            _, lo, n, anchor, span = suffixdedup._segmented_runs(raw, np.array([0, len(raw)]), t)
+            covered = np.sort(np.concatenate([np.arange(a, a + c) for a, c in zip(lo, n, strict=True)])) if len(lo) else np.zeros(0)
+            assert (covered == np.arange(max(0, len(raw) - t + 1))).all()
+            parts.append((text, lo, n, anchor))
+        by = {}
+        for text, lo, n, anchor in parts:  # equal windows have equal anchors, wherever a text was cut
+            for a, c, h in zip(lo.tolist(), n.tolist(), anchor.tolist(), strict=True):
+                for i in range(a, a + c):
+                    assert by.setdefault(text.encode()[i : i + t], h) == h
+
+
 def test_suffix_dedup_edges(edge, empty):
     out = suffixdedup.remove_repeats(edge, threshold=30).collect()
     assert len(out) == len(EDGE)
