@@ -169,6 +169,25 @@ def test_traversal_equals_a_plain_queue(spark, seed):
     assert ("traversal_node_limit" in notes) == cut and ("no_changed_graph_nodes" in notes) == (not want)
 
 
+GOLDEN_NODES = [("f:pay", "FUNCTION", "Store.checkout", 0.9, True), ("t:r", "TEST", "test_receipt", 0.9, False), ("f:app", "FUNCTION", "store.app.checkout", 0.9, False), ("e:c", "ENDPOINT", "POST /checkout", 0.9, False), ("l:c", "LOAD_SCENARIO", "loadtests/checkout.js", 0.9, False), ("d:p", "DATABASE_TABLE", "broken_store.products", 0.9, False)]
+GOLDEN_EDGES = [("f:pay", "t:r", "TESTED_BY"), ("f:app", "f:pay", "CALLS"), ("f:app", "e:c", "SERVES_ENDPOINT"), ("e:c", "l:c", "VALIDATED_BY"), ("f:pay", "d:p", "READS_FROM")]
+
+
+def test_golden_graph_and_context(spark):
+    n = spark.createDataFrame(GOLDEN_NODES, "id string, node_type string, key string, confidence double, changed boolean")
+    e = spark.createDataFrame([(*x, 0.8) for x in GOLDEN_EDGES], "source string, target string, edge_type string, confidence double")
+    got, notes = graph.traverse(n, e)
+    far = got.where("id = 'l:c'").first()
+    assert (far["distance"], far["edge_path"], far["confidence"], notes) == (3, ["CALLS", "SERVES_ENDPOINT", "VALIDATED_BY"], 0.8, [])
+    c = graph.context(got).first()
+    assert c["changed_symbols"] == ["Store.checkout"] and c["affected_symbols"] == ["Store.checkout", "store.app.checkout"] and c["affected_tests"] == ["test_receipt"]
+    assert c["affected_endpoints"] == ["POST /checkout"] and c["affected_data_dependencies"] == ["broken_store.products"] and c["max_distance"] == 3
+    two, notes = graph.traverse(n, e, max_nodes=2)
+    assert two.count() == 2 and notes == ["traversal_node_limit"]
+    none, notes = graph.traverse(n.withColumn("changed", F.lit(False)), e)
+    assert none.count() == 0 and notes == ["no_changed_graph_nodes"]
+
+
 def test_merge_and_locations_sort_as_text(spark):
     f = spark.createDataFrame([("a", 0.5, False, "x", "m.py:9"), ("a", 0.9, True, "y", "m.py:10")], "id string, confidence double, changed boolean, evidence string, location string")
     r = graph.merge_nodes(f).first()
