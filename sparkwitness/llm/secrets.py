@@ -1,7 +1,7 @@
 """Operator 2: secret scan with a random forest against false positives.
 
-Patterns propose candidates in the whole text; a random forest decides which of
-them are secrets, from the candidate's length, its character transitions, how
+Each pattern proposes candidates in the whole text by itself; a random forest decides which of
+them are secrets, and overlaps are resolved after that, from the candidate's length, its character transitions, how
 much of it dictionary words cover, the path of the text and the neighbouring
 words.  The forest is trained on labelled findings; without any it learns from
 ``labelled_findings``, a seeded generator of true keys, tokens and passwords and
@@ -10,6 +10,7 @@ of the usual false ones: placeholders, examples, digests, identifiers, code.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 from collections.abc import Sequence
@@ -39,9 +40,18 @@ _PATTERNS = (
     r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]*)?",
     r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?!-----BEGIN)[\s\S])*?-----END [A-Z ]*PRIVATE KEY-----",
     r"(?<=://)[^\s/:@]+:(?P<url>[^\s/@]+)@",
-    r"(?i:(?:pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential)s?[\"']?\s{0,8}(?:=>|:=|=|:)\s{0,8}[\"']?(?P<value>[^\s\"',;<>()\[\]{}]{6,}))",
+    r"(?i:(?:pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|secret[_-]?key|credential)s?[\"']?\s{0,8}(?:=>|:=|=|:)\s{0,8}[\"']?(?P<value>[^\s\"',;<>()\[\]{}]{6,}))",
 )
-_SCAN = re.compile("|".join(f"(?P<k{i}>{p})" for i, p in enumerate(_PATTERNS)))
+ASSIGNED = KINDS.index("assigned")
+#: Kinds whose value is a head and a run of characters in which further heads may lie: kind -> (head, run, least run).
+_RUNS = {
+    2: (re.compile(r"(?<![A-Za-z0-9])[ps]k[-_]"), re.compile(r"[A-Za-z0-9_-]*"), 20),
+    3: (re.compile(r"(?<![A-Za-z0-9])xox[abeprs]-"), re.compile(r"[A-Za-z0-9-]*"), 10),
+    ASSIGNED: (re.compile(_PATTERNS[ASSIGNED].partition("(?P<value>")[0] + ")"), re.compile(r"[^\s\"',;<>()\[\]{}]*"), 6),
+}
+_SCANS = {k: re.compile(p) for k, p in enumerate(_PATTERNS) if k not in _RUNS}
+#: Where to search on after a match, for patterns that may match inside their own match: from its start.
+_AGAIN = {KINDS.index("map_key"): lambda m: m.start() + 1, KINDS.index("web_token"): lambda m: m.start() + m[0].index(".") + 1}
 
 # Words that cover ordinary identifiers and placeholders, and context words.
 DICTIONARY = tuple("access account admin api app auth base bar baz bearer body change changeme client code config context credential data db default demo dummy email empty enter env environ example false fake field file foo form from get header hello here host hidden id input insert invalid json key lambda letmein local login master me mock my name new none null number object option os param pass password path placeholder private process prompt public read redacted replace request required reset response sample schema secret self server service session set settings some string super system temp test text this time todo token true type undefined update url user username value var welcome word world xxx your".split())
@@ -52,18 +62,85 @@ _WORD = re.compile(r"[A-Za-z]+[0-9]*")
 _COVER = re.compile("|".join(sorted(DICTIONARY, key=len, reverse=True)))
 
 
+def _run_candidates(kind: int, text: str) -> set[tuple[int, int]]:
+    """(start, end) of each run, and of each part of it from one head to the next.
+
+    A run with n heads gives its whole once and n disjoint parts, so that the
+    work stays linear where heads follow each other without end.
+    """
+    head, run, least = _RUNS[kind]
+    out: set[tuple[int, int]] = set()
+    heads: list[tuple[int, int, int]] = []  # of the current run: start of the value, start of the head, least length
+    limit = -1
+
+    def close() -> None:
+        ends = [cut for _, cut, _ in heads[1:]] + [limit]
+        if heads and limit - heads[0][0] >= heads[0][2]:
+            out.add((heads[0][0], limit))
+        for (start, _, need), end in zip(heads, ends, strict=bool(heads)):
+            if kind == ASSIGNED and end < limit and "&" in text[start:end]:  # a=1&b=2
+                end = text.rindex("&", start, end)
+            if end - start >= need:
+                out.add((start, end))
+
+    for m in head.finditer(text):
+        start = m.end() if kind == ASSIGNED else m.start()
+        if start >= limit:
+            close()
+            heads, limit = [], run.match(text, start).end()
+        heads.append((start, m.start(), least + m.end() - start))
+    close()
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int, int]]:
-    """(kind, start, end) of each candidate value, in text order, without overlap."""
+    """(kind, start, end) of each candidate value of each pattern, in text order; they may overlap."""
     out = []
-    for m in _SCAN.finditer(text):
-        kind = next(i for i in range(len(KINDS)) if m.group(f"k{i}") is not None)
-        group = "value" if KINDS[kind] == "assigned" else "url" if KINDS[kind] == "url_password" else 0
-        start, end = m.span(group)
-        if group == "value":
-            end -= len(text[start:end]) - len(text[start:end].rstrip(".:!?"))
-        if end > start:
-            out.append((kind, start, end))
-    return out
+    for kind, scan_ in _SCANS.items():
+        group, at = "url" if KINDS[kind] == "url_password" else 0, 0
+        while m := scan_.search(text, at):
+            out.append((kind, *m.span(group)))
+            at = _AGAIN[kind](m) if kind in _AGAIN else m.end()
+    for kind in _RUNS:
+        for start, end in _run_candidates(kind, text):
+            if kind == ASSIGNED:
+                end -= len(text[start:end]) - len(text[start:end].rstrip(".:!?"))
+            if end > start:
+                out.append((kind, start, end))
+    return sorted(out, key=lambda c: (c[1], c[2], c[0]))
+
+
+def resolve(found: list[tuple[int, int, int, float]], threshold: float) -> list[tuple[int, int, int, float]]:
+    """Scored candidates without those that others stand for, in text order.
+
+    Secrets come before rejected candidates, specific kinds before assigned
+    values, longer spans before shorter ones.  A secret is left out only where
+    it lies in one before it, so that no character of a secret is lost; a
+    rejected candidate is left out where it overlaps any before it.
+    """
+    taken: list[tuple[int, int, int, float]] = []
+    starts: list[int] = []
+    reach: list[int] = []  # largest end among taken[: i + 1]
+
+    def blocked(c: tuple[int, int, int, float], secret: bool) -> bool:
+        i = bisect.bisect_right(starts, c[1]) - 1 if secret else bisect.bisect_left(starts, c[2]) - 1
+        return i >= 0 and (reach[i] >= c[2] if secret else reach[i] > c[1])
+
+    tiers: dict[tuple[bool, bool], list] = {}
+    for c in found:
+        tiers.setdefault((c[3] < threshold, c[0] == ASSIGNED), []).append(c)
+    for (rejected, _), tier in sorted(tiers.items()):
+        for c in sorted(tier, key=lambda c: (c[1] - c[2], c[1], c[0])):
+            if not blocked(c, not rejected):
+                i = bisect.bisect_right(starts, c[1])
+                starts.insert(i, c[1])
+                taken.insert(i, c)
+                reach.insert(i, max(c[2], reach[i - 1] if i else 0))
+                for j in range(i + 1, len(reach)):
+                    if reach[j] >= c[2]:
+                        break
+                    reach[j] = c[2]
+    return sorted(taken, key=lambda c: (c[1], c[2], c[0]))
 
 
 def _classes(value: str) -> np.ndarray:
@@ -173,17 +250,17 @@ def default_model() -> Ensemble:
     return train(labelled_findings())
 
 
-def findings_of(text: str, path: str, model: Ensemble) -> list[tuple[int, int, int, float]]:
-    """(kind, start, end, score) of all candidates of one text."""
+def findings_of(text: str, path: str, model: Ensemble, threshold: float = THRESHOLD) -> list[tuple[int, int, int, float]]:
+    """(kind, start, end, score) of the candidates of one text, overlaps resolved."""
     found = candidates(text)
     if not found:
         return []
     x = np.array([features(k, text[a:b], text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT], path) for k, a, b in found], float)
-    return [(k, a, b, float(s)) for (k, a, b), s in zip(found, model.raw(x), strict=True)]
+    return resolve([(k, a, b, float(s)) for (k, a, b), s in zip(found, model.raw(x), strict=True)], threshold)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", model: Ensemble | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, kind, start, end, secret, score, is_secret) of every candidate of every text.
+    """(id, kind, start, end, secret, score, is_secret) of every text's candidates, overlaps resolved (``resolve``).
 
     Positions are code points.  Null and empty texts give no rows; repeated
     rows give repeated findings; null ids and paths are kept.
@@ -195,7 +272,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
     def fn(rows, data, offsets):
         out = []
         for id_, text, where in zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True):
-            for k, a, b, s in findings_of(text or "", where, forest):
+            for k, a, b, s in findings_of(text or "", where, forest, threshold):
                 out.append((id_, KINDS[k], a, b, text[a:b], s, s >= threshold))
         if not out:
             return None
@@ -216,7 +293,13 @@ def redact(docs: DataFrame, text_col: str = "text", path_col: str | None = "sour
         paths = rows.column(names.index(path_col)).to_pylist() if path_col in names else [None] * len(texts)
         new, changed = [], {}
         for i, (text, where) in enumerate(zip(texts, paths, strict=True)):
-            cut = [(a, b) for _, a, b, s in findings_of(text or "", str(where or ""), forest) if s >= threshold]
+            cut: list[tuple[int, int]] = []
+            for _, a, b, s in findings_of(text or "", str(where or ""), forest, threshold):
+                if s >= threshold:
+                    if cut and a < cut[-1][1]:  # overlapping secrets are masked as one
+                        cut[-1] = (cut[-1][0], max(b, cut[-1][1]))
+                    else:
+                        cut.append((a, b))
             for a, b in reversed(cut):
                 text = text[:a] + MASK + text[b:]
             if cut:
