@@ -195,8 +195,13 @@ def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, own: np.
 
 
 def verified_links(docs: DataFrame, names: DataFrame, classes: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) between sets of one candidate class: a spanning forest of each block pair."""
-    one = names.where("n_shingles > 0").groupBy("sig").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n"))
+    """Links (a, b) between sets of one candidate class: a spanning forest of each block pair.
+
+    A set's text is fetched by the id and text hash of one of its rows; by the
+    hash alone where all its rows have a null id.
+    """
+    row = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th"))
+    one = names.where("n_shingles > 0").groupBy("sig").agg(row.alias("row"), F.max("n_shingles").alias("n")).select("sig", "n", "row.id", "row.th")
     nodes = frames.settled(classes.select(F.col("node").alias("sig"), F.col("component").alias("class")).join(one, "sig"))
     weight = [F.count(F.lit(1)).alias("c"), F.sum("n").alias("w")]
     blocks = F.greatest(F.ceil(F.col("c") / BLOCK_SETS), F.ceil(F.col("w") * 8 / BLOCK_BYTES)).cast("long")
@@ -206,11 +211,14 @@ def verified_links(docs: DataFrame, names: DataFrame, classes: DataFrame, id_col
     band = F.floor(F.log(F.col("n")) / math.log(den / num) + 1e-9).cast("int")
     meets = F.when(F.col("all") == 1, F.array(F.struct(F.lit(-1).alias("band"), F.lit(True).alias("own"))))
     meets = meets.otherwise(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own"))))
-    member = sized.withColumn("meets", F.explode(meets)).select("id", "sig", "class", "n", "meets.band", "meets.own")
+    member = sized.withColumn("meets", F.explode(meets)).select("id", "th", "sig", "class", "n", "meets.band", "meets.own")
     dealt = frames.settled(member.groupBy("class", "band").agg(*weight, F.bool_or("own").alias("any")).where("c > 1 and any").select("class", "band", blocks.alias("blocks")))
     group = F.struct("class", "band", "own", "blocks")
-    wanted = member.join(dealt, ["class", "band"]).groupBy("id", "sig").agg(F.collect_list(group).alias("groups"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id")
+    wanted = member.join(dealt, ["class", "band"]).groupBy("id", "th", "sig").agg(F.collect_list(group).alias("groups"))
+    rows = _keyed(docs, id_col, text_col)
+    # One row for each text under a null id, whatever the number of its copies.
+    unnamed = rows.where("id is null").groupBy("th").agg(F.first("text").alias("text")).join(wanted.where("id is null").select("th", "sig", "groups"), "th")
+    texts = rows.join(wanted, ["id", "th"]).select("sig", "groups", "text").unionByName(unnamed.select("sig", "groups", "text"))
 
     def fn(rows, data, offsets):
         sets, found = _named_sets(rows, data, offsets, k)

@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from sparkwitness.llm import decontaminate, dom, fingerprints, frames, htmlextract, langid, mixing, quality, secrets, sketchjoin, suffixdedup, urlfilter
@@ -175,6 +176,23 @@ def test_jaccard_edges(edge, empty):
     assert sketchjoin.jaccard_components(empty).count() == 0 and sketchjoin.keep_one(empty).count() == 0
 
 
+def test_jaccard_links_near_copies_under_null_ids(spark):
+    rng = random.Random(4)
+    base = words(rng, 60, 900)
+    first, second = [*base, "x1", "x2", "x3", "x4", "x5"], ["y1", "y2", "y3", "y4", "y5", *base]
+    other = words(rng, 60, 900)
+    rows = [(1, first), (None, base), (2, second), (None, other), (None, [*other, "z"]), (None, [*other, "z"]), (9, words(rng, 60, 900)), (None, ["alone"])]
+    texts = [" ".join(w) for _, w in rows]
+    groups = plain_components(plain_sets(texts))
+    assert groups == [0, 0, 0, 3, 3, 3, 6, 7]  # the first class holds by the row without an id only
+    docs = spark.createDataFrame([(i, t) for (i, _), t in zip(rows, texts, strict=True)], "doc_id long, text string").repartition(3)
+    out = sorted(map(str, sketchjoin.jaccard_components(docs).select("id", "n_shingles", "component_id").toLocalIterator()))
+    lowest = {g: min((i for (i, _), h in zip(rows, groups, strict=True) if h == g and i is not None), default=None) for g in groups}
+    assert out == sorted(str(Row(id=i, n_shingles=len(s), component_id=lowest[g])) for (i, _), s, g in zip(rows, plain_sets(texts), groups, strict=True))
+    kept = sorted(str(r["doc_id"]) for r in sketchjoin.keep_one(docs).collect())
+    assert kept == ["1", "9", "None", "None"]
+
+
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (9, 9), (None, 1), (7, 8), (8, 6), (3, 10), (10, 11)], "a long, b long")
     assert {r["node"]: r["component"] for r in frames.components(e).collect()} == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 4: 4, 5: 4, 6: 6, 7: 6, 8: 6}
