@@ -24,8 +24,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rules of the query: (verdict, host, path).
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-#: Listed canonical names of the query: sites that only serve spam, bets or adult pages.
-LISTED = ("adult-x.example.net/", "casino-win.example.org/", "free-bets.example.com/", "spam-farm.example.org/")
+#: Sites that only serve spam, bets or adult pages, and the domains of the driver's pages. A site's domain differs from
+#: one table to the next, so the query lists every site under every domain.
+SITES = ("adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+DOMAINS = ("example.com", "example.net", "example.org")
+#: Listed canonical names of the query.
+LISTED = tuple(f"{site}.{domain}/" for site in SITES for domain in DOMAINS)
 
 
 def host_of(url: Column) -> Column:

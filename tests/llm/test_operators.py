@@ -361,6 +361,20 @@ def test_url_filter_equals_plain(spark):
     assert {r["verdict"] for r in urlfilter.judge(pages.where("page_id = 12"), names.limit(0)).collect()} == {"allow"}
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_url_list_is_not_of_one_scale(spark, sf):
+    pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")
+    judged = urlfilter.judge(pages, urlfilter.default_list(spark)).where("rule is null")
+    named = judged.where(r"host rlike '(^|\\.)(adult-x|casino-win|cheap-pills|free-bets|spam-farm)\\.example\\.(com|net|org)$'")
+    assert {r["verdict"] for r in named.collect()} <= {"block"}
+    assert judged.where("verdict = 'block'").count() == named.count()
+
+
+def test_url_without_path_is_listed(spark):
+    pages = spark.createDataFrame([(1, "http://www.cheap-pills.example.net"), (2, "http://cheap-pills.example.net?q"), (3, "http://mycheap-pills.example.net")], "page_id long, url string")
+    assert {r["id"]: r["verdict"] for r in urlfilter.judge(pages, urlfilter.default_list(spark)).collect()} == {1: "block", 2: "block", 3: "allow"}
+
+
 def test_bloom_has_no_false_negatives(spark):
     listed = spark.range(3000).select(F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".com/")).alias("name"))
     pages = spark.range(6000).select(F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".com")).alias("host"), F.lit("/x").alias("path"))
