@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp
+from .graph import degree_centrality
 
 
 def node_score(confidence: Column, centrality: Column, changed: Column) -> Column:
@@ -21,10 +22,49 @@ def prediction_confidence(completeness: Column, known: Column) -> Column:
 
 
 def predicted_items(reached: DataFrame, centrality: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(kind, key, score, reason) of reached nodes; the last of equal (kind, key) by (distance, id) wins."""
+    """(kind, key, score, reason, provenance) of reached nodes; the last of equal (kind, key) by (distance, id) wins."""
+    path = F.col("edge_path") if "edge_path" in reached.columns else F.array().cast("array<string>")
     j = reached.join(centrality, "id", "left").join(nodes.select("id", "changed"), "id")
-    j = j.select(item_kind(F.col("node_type")).alias("kind"), "key", node_score(F.col("confidence"), F.col("centrality"), F.col("changed")).alias("score"), F.format_string("reachable at distance %d", F.col("distance")).alias("reason"), F.struct("distance", "id").alias("ord"))
-    return j.groupBy("kind", "key").agg(F.max_by("score", "ord").alias("score"), F.max_by("reason", "ord").alias("reason"))
+    j = j.select(
+        item_kind(F.col("node_type")).alias("kind"), "key", node_score(F.col("confidence"), F.col("centrality"), F.col("changed")).alias("score"),
+        F.format_string("reachable at distance %d", F.col("distance")).alias("reason"), F.concat(F.array(F.lit("graph-traversal")), path).alias("provenance"), F.struct("distance", "id").alias("ord"),
+    )
+    return j.groupBy("kind", "key").agg(*[F.max_by(c, "ord").alias(c) for c in ("score", "reason", "provenance")])
+
+
+def workload_items(workloads: DataFrame) -> DataFrame:
+    """Items of selected workloads (position, workload_id, confidence, reason); the last of an id wins."""
+    score = F.when(F.coalesce(F.col("confidence"), F.lit(0.0)) != 0, 1.0).otherwise(0.5)
+    j = workloads.select(F.lit("workload").alias("kind"), F.col("workload_id").alias("key"), score.alias("score"), "reason", F.array(F.lit("workload-registry")).alias("provenance"), "position")
+    return j.groupBy("kind", "key").agg(*[F.max_by(c, "position").alias(c) for c in ("score", "reason", "provenance")])
+
+
+def impact_prediction(nodes: DataFrame, edges: DataFrame, reached: DataFrame, paths: DataFrame, completeness: float, workloads: DataFrame, signals: dict[str, float | None] | None = None, missing: dict[str, str] | None = None) -> DataFrame:
+    """One row: items in (kind, key) order, required workloads, risk signals, features, confidence, omitted context.
+
+    ``reached`` is the traversal's output, ``paths`` (path) the changed files.
+    ``signals`` gives history, coverage and ownership where they are known;
+    ``missing`` says why one is not ("omitted" without a word).
+    """
+    known = {n: (signals or {}).get(n) for n in ("history", "coverage", "ownership")}
+    centrality = degree_centrality(nodes, edges)
+    items = predicted_items(reached, centrality, nodes).unionByName(workload_items(workloads))
+    order = F.array_sort(F.collect_list(F.struct("kind", "key", "score", "reason", "provenance")))
+    out = items.agg(order.alias("items"), F.array_sort(F.collect_set(F.when(F.col("kind") == "workload", F.col("key")))).alias("required_workload_ids"))
+    sizes = nodes.agg(F.count(F.lit(1)).alias("all")).crossJoin(reached.agg(F.count(F.lit(1)).alias("hit")))
+    sizes = sizes.crossJoin(centrality.agg(F.max("centrality").alias("top"))).crossJoin(paths.agg(F.coalesce(F.bool_or(F.col("path").rlike(r"[^/]\.py$")), F.lit(False)).alias("python")))
+    number = lambda v: F.lit(v).cast("double")
+    features = {
+        "reachability": clamp(F.col("hit") / F.greatest(F.lit(1), F.col("all"))), "centrality": F.col("top"), "changed_file_type": F.when(F.col("python"), 1.0).otherwise(0.0),
+        "history_churn": number(known["history"]), "coverage_signal": number(known["coverage"]), "ownership_signal": number(known["ownership"]),
+    }
+    count = sum((f.isNotNull().cast("int") for f in features.values()), F.lit(0))
+    omitted = sorted({(missing or {}).get(n, f"{n}:omitted") for n, v in known.items() if v is None} | ({"graph:incomplete"} if completeness < 1 else set()))
+    risk = F.struct(number(completeness).alias("graph_completeness"), number(float(completeness < 1 or known["coverage"] is None)).alias("validation_required"))
+    return out.crossJoin(F.broadcast(sizes)).select(
+        "items", "required_workload_ids", risk.alias("risk_signals"), F.struct(*[f.alias(n) for n, f in features.items()]).alias("features"),
+        prediction_confidence(number(completeness), count).alias("confidence"), F.array(*map(F.lit, omitted)).cast("array<string>").alias("omitted_context"), F.lit("impact-v1").alias("predictor_revision"),
+    )
 
 
 def changed_file_baseline(added: DataFrame, modified: DataFrame, deleted: DataFrame, key: str) -> DataFrame:

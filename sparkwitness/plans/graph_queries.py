@@ -104,13 +104,23 @@ s AS (SELECT CASE WHEN node_type IN ('ENDPOINT', 'DATABASE_TABLE') THEN 'service
 SELECT kind, key, round(arg_max(score, id), 9) AS score, 'reachable at distance 0' AS reason FROM s GROUP BY 1, 2""",
 )
 def a16(spark, sf):
-    """Scores of reached nodes, last of a key wins."""
+    """Scores of given nodes, last of a key wins (A16 is ``a16_prediction_of_traversal``)."""
     nodes = p.nodes(spark, sf)
     reached = nodes.where("changed or node_type in ('ENDPOINT', 'LOAD_SCENARIO')").select("id", "node_type", "key", "confidence", F.lit(0).alias("distance"))
     items = pd.predicted_items(reached, gr.degree_centrality(nodes, p.edges(spark, sf)), nodes)
     return items.select("kind", "key", F.round("score", 9).alias("score"), "reason")
 
 
+@query("a16_prediction_of_traversal")
+def a16_traversal(spark, sf):
+    """A1's reached nodes scored by G12, with workloads, features and confidence (tests compare it with a plain version)."""
+    nodes, edges = p.nodes(spark, sf), p.edges(spark, sf)
+    reached, _ = gr.traverse(nodes, edges)
+    workloads = table(spark, sf, "region").select(F.col("r_regionkey").alias("position"), F.col("r_name").alias("workload_id"), (F.col("r_regionkey") % 2 / 2.0).alias("confidence"), F.lit("registered").alias("reason"))
+    paths = nodes.where("changed").select(F.concat(F.col("key"), F.lit(".py")).alias("path"))
+    return pd.impact_prediction(nodes, edges, reached, paths, 0.9, workloads)
+
+
 @query(
     "j11_call_resolution",
     """WITH calls AS (SELECT o_orderkey AS caller, 'Customer#' || lpad((o_custkey + o_custkey % 3 * 500)::VARCHAR, 9, '0') AS name FROM orders), alias AS (SELECT 'Customer#' || lpad((c_custkey + 1600)::VARCHAR, 9, '0') AS alias, c_name AS target FROM customer WHERE c_acctbal < 0)

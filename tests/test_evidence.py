@@ -188,6 +188,47 @@ def test_golden_graph_and_context(spark):
     assert none.count() == 0 and notes == ["no_changed_graph_nodes"]
 
 
+def plain_prediction(nodes, edges, reached, paths, completeness, workloads, signals):
+    """Items by (kind, key), features, confidence and omitted context, as the reference states them."""
+    kind = {"ENDPOINT": "service", "DATABASE_TABLE": "service", "FUNCTION": "symbol", "CLASS": "symbol", "TEST": "symbol"}
+    by = {n[0]: n for n in nodes}
+    central = {i: sum((s == i) + (t == i) for s, t, *_ in edges) / (len(nodes) - 1) for i in by}
+    items = {}
+    for i, (d, path, confidence) in sorted(reached.items(), key=lambda x: (x[1][0], x[0])):
+        _, node_type, key, _, changed = by[i]
+        score = max(0.0, min(1.0, 0.55 * confidence + 0.25 * central[i] + 0.2 * changed))
+        items[kind.get(node_type, "runtime_path"), key] = (pytest.approx(score), f"reachable at distance {d}", ["graph-traversal", *path])
+    for _, w, confidence, reason in workloads:
+        items["workload", w] = (1.0 if confidence else 0.5, reason, ["workload-registry"])
+    features = [min(1.0, len(reached) / len(nodes)), max(central.values()), float(any(p.endswith(".py") for p in paths)), *(signals.get(n) for n in ("history", "coverage", "ownership"))]
+    omitted = sorted([f"{n}:omitted" for n in ("history", "coverage", "ownership") if n not in signals] + ["graph:incomplete"] * (completeness < 1))
+    return items, features, completeness * (0.5 + 0.5 * sum(f is not None for f in features) / 6), omitted
+
+
+@pytest.mark.parametrize("seed,completeness,signals", [(0, 0.8, {}), (1, 1.0, {"coverage": 0.4, "history": 0.25}), (2, 1.0, {"ownership": 1.0}), (None, 1.0, {})])
+def test_impact_prediction_equals_a_plain_version(spark, seed, completeness, signals):
+    nodes, edges = GOLDEN_NODES, [(*x, 0.8) for x in GOLDEN_EDGES]
+    if seed is not None:
+        rng = random.Random(seed)
+        nodes = [(f"n{i:02d}", rng.choice(["FUNCTION", "CLASS", "ENDPOINT", "DATABASE_TABLE", "LOAD_SCENARIO", "TEST"]), f"k{i % 19}", rng.randint(5, 10) / 10, i % 8 == 0) for i in range(25)]
+        edges = sorted({(f"n{rng.randrange(25):02d}", f"n{rng.randrange(25):02d}", rng.choice([*graph.OUT_STEPS, "VALIDATED_BY"])) for _ in range(70)})
+        edges = [(*e, rng.randint(5, 10) / 10) for e in edges]
+    workloads = [(0, "w2", 0.7, "first"), (1, "w1", 0.0, "none"), (2, "w2", 0.0, "last")]
+    paths = ["a/b.py", "c.md"] if completeness < 1 else ["c.md"]
+    n = spark.createDataFrame(nodes, "id string, node_type string, key string, confidence double, changed boolean")
+    e = spark.createDataFrame(edges, "source string, target string, edge_type string, confidence double")
+    w = spark.createDataFrame(workloads, "position long, workload_id string, confidence double, reason string")
+    got = predict.impact_prediction(n, e, graph.traverse(n, e)[0], spark.createDataFrame([(x,) for x in paths], "path string"), completeness, w, signals).first()
+    items, features, confidence, omitted = plain_prediction(nodes, edges, plain_traversal(nodes, edges, 3, 64)[0], paths, completeness, workloads, signals)
+    assert [(r["kind"], r["key"]) for r in got["items"]] == sorted(items)
+    assert {(r["kind"], r["key"]): (r["score"], r["reason"], r["provenance"]) for r in got["items"]} == items
+    assert list(got["features"]) == [f if f is None else pytest.approx(f) for f in features] and got["confidence"] == pytest.approx(confidence)
+    assert got["omitted_context"] == omitted and got["required_workload_ids"] == ["w1", "w2"]
+    assert tuple(got["risk_signals"]) == (completeness, float(completeness < 1 or "coverage" not in signals))
+    if seed is None:
+        assert ("runtime_path", "loadtests/checkout.js") in items and items["runtime_path", "loadtests/checkout.js"][1] == "reachable at distance 3"
+
+
 def test_merge_and_locations_sort_as_text(spark):
     f = spark.createDataFrame([("a", 0.5, False, "x", "m.py:9"), ("a", 0.9, True, "y", "m.py:10")], "id string, confidence double, changed boolean, evidence string, location string")
     r = graph.merge_nodes(f).first()
