@@ -8,7 +8,7 @@ from ..operators import graph as gr
 from ..operators import predict as pd
 from ..session import table
 from . import proxies as p
-from .registry import query
+from .registry import ORACLE, query
 
 
 def _plain(df):
@@ -76,19 +76,32 @@ def a01_distances(spark, sf):
     return gr.distances(p.nodes(spark, sf), p.edges(spark, sf), 2, _plain)
 
 
+@query("a01_distances_to_bound", ORACLE["a01_distances"].replace("walk.d < 2", "walk.d < 3"))
+def a01_bound(spark, sf):
+    """A1 without its cap, to its own bound of three steps."""
+    return gr.distances(p.nodes(spark, sf), p.edges(spark, sf), 3, _plain)
+
+
 @query(
     "j19_impact_subgraph",
     f"""WITH {p.NODES_SQL}, {p.EDGES_SQL}, near AS (SELECT id FROM nodes WHERE changed UNION SELECT target FROM edges JOIN nodes ON nodes.id = source AND changed)
 SELECT DISTINCT source, target, edge_type FROM edges WHERE source IN (SELECT id FROM near) AND target IN (SELECT id FROM near)""",
 )
 def j19(spark, sf):
-    """Edges with both ends near a change."""
+    """Edges with both ends near a change (J19 and A34 are ``j19_traversal_subgraph``)."""
     nodes, edges = p.nodes(spark, sf), p.edges(spark, sf)
     changed = nodes.where("changed").select("id")
     near = changed.unionByName(edges.join(changed, F.col("source") == F.col("id"), "left_semi").select(F.col("target").alias("id"))).distinct()
     return gr.induced(edges, near)
 
 
+@query("j19_traversal_subgraph")
+def j19_traversal(spark, sf):
+    """Edges with both ends among A1's reached nodes (tests compare it with a plain version)."""
+    nodes, edges = p.nodes(spark, sf), p.edges(spark, sf)
+    return gr.induced(edges, gr.traverse(nodes, edges)[0])
+
+
 @query("a02_repository_context")
 def a02(spark, sf):
     """Typed keys of the reached nodes in traversal order."""

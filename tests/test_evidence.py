@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from sparkwitness.functions import predicates as pr
 from sparkwitness.functions import scalars as sc
 from sparkwitness.operators import correlate, gates, graph, history, measure, parse, planning, predict, release, scoring, telemetry
+from sparkwitness.plans import proxies
+from sparkwitness.plans.catalog import QUERIES
 
 
 def rows(df, *order):
@@ -188,6 +190,18 @@ def test_golden_graph_and_context(spark):
     assert none.count() == 0 and notes == ["no_changed_graph_nodes"]
 
 
+def test_subgraph_and_distances_reach_the_bound(spark):
+    sf = "/root/testdata/sf0.001"
+    edges = {(r["source"], r["target"], r["edge_type"]) for r in proxies.edges(spark, sf).collect()}
+    facts = [[tuple(r) for r in df.collect()] for df in (proxies.nodes(spark, sf).select("id", "node_type", "key", "confidence", "changed"), proxies.edges(spark, sf).select("source", "target", "edge_type", "confidence"))]
+    reached, _ = plain_traversal(*facts, 3, 64)
+    got = {(r["source"], r["target"], r["edge_type"]) for r in QUERIES["j19_traversal_subgraph"](spark, sf).collect()}
+    assert got and got == {e for e in edges if e[0] in reached and e[1] in reached}
+    whole, _ = plain_traversal(*facts, 3, 10**9)
+    far = {r["id"]: r["distance"] for r in QUERIES["a01_distances_to_bound"](spark, sf).collect()}
+    assert far == {i: d for i, (d, *_) in whole.items()} and any(i.startswith("load_scenario:") for i in far)
+
+
 def plain_prediction(nodes, edges, reached, paths, completeness, workloads, signals):
     """Items by (kind, key), features, confidence and omitted context, as the reference states them."""
     kind = {"ENDPOINT": "service", "DATABASE_TABLE": "service", "FUNCTION": "symbol", "CLASS": "symbol", "TEST": "symbol"}
