@@ -237,6 +237,13 @@ def test_decontamination_equals_plain(spark, block):
     assert kept == set(range(len(texts))) - {d for d, *_ in want}
 
 
+def test_decontamination_takes_short_items_whole(spark):
+    items, texts = ["one two three four", "Alone", "five words make one shingle"], ["x one two THREE four y", "one two three", "alone", "so five words make one shingle"]
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["id"], r["item_id"], r["n_item"], r["n_found"]) for r in decontaminate.contained_items(docs, bench).collect()}
+    assert got == plain_contained(texts, items) == {(0, 0, 1, 1), (2, 1, 1, 1), (3, 2, 1, 1)}
+
+
 def test_decontamination_edges(spark, edge, empty):
     bench = spark.createDataFrame([(1, "on the mat and the dog ran"), (1, "on the mat and the dog ran"), (None, None)], "item_id long, text string")
     assert decontaminate.contained_items(edge, bench).count() == 4
