@@ -53,13 +53,14 @@ def signed(h: np.ndarray) -> np.ndarray:
 def shared_folder(spark: SparkSession) -> str:
     """Set a checkpoint folder where the cluster names none, and return it.
 
-    A cluster must name a shared one in ``spark.checkpoint.dir``; the local
-    temporary folder serves single-machine sessions such as tests.
+    A cluster, ``local-cluster`` included, must name a shared one in
+    ``spark.checkpoint.dir``; the local temporary folder serves sessions of one
+    JVM, such as tests.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        if not named and not context.master.startswith("local"):
+        if not named and context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()

@@ -57,7 +57,8 @@ def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_suffix_dedup")
 def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    text = suffixdedup.kept_text("kept")
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
 
 
 @query("op5_fingerprints")

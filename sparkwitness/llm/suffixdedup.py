@@ -31,7 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import frames
@@ -190,7 +190,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Matches are judged on the input, may overlap, and lie within one text or in
     two.  Returns (id, n_bytes, n_removed, n_spans, kept_sha256, kept,
     spans): one row for each input row; ``kept`` is the remaining bytes,
-    ``spans`` the removed [start, end) byte ranges.  Null text is empty; texts
+    ``spans`` the removed [start, end) byte ranges; ``kept_text`` makes a text
+    of the bytes.  Null text is empty; texts
     shorter than the threshold keep all; repeated rows are two documents that
     repeat each other; null ids are kept.
     """
@@ -242,3 +243,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         )
 
     return frames.map_texts(final.select("id", "text", "settled", "single"), "text", fn, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<long>")
+
+
+def kept_text(kept: Column | str) -> Column:
+    """Text of remaining bytes; a character of which bytes were removed is U+FFFD."""
+    return F.make_valid_utf8(F.col(kept).cast("string") if isinstance(kept, str) else kept.cast("string"))

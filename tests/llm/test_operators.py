@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from sparkwitness.llm import decontaminate, dom, fingerprints, frames, htmlextract, langid, mixing, quality, secrets, sketchjoin, suffixdedup, urlfilter
+from sparkwitness.llm import decontaminate, dom, fingerprints, frames, htmlextract, langid, mixing, quality, queries, secrets, sketchjoin, suffixdedup, urlfilter
 from sparkwitness.llm import textkernel as tk
 
 LONG = " ".join(f"word{i % 977}" for i in range(60_000))
@@ -102,6 +102,44 @@ def test_suffix_dedup_edges(edge, empty):
     assert suffixdedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_query_keeps_whole_texts_without_repeats(spark, tmp_path):
+    rng = random.Random(12)
+    passage = " ".join(words(rng, 120, 10**6))
+    texts = [f"{i} é {' '.join(words(rng, 30, 10**6))} {passage if i < 2 else ''} tail {i}" for i in range(4)] + [None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: r for r in queries.QUERIES["op1_suffix_dedup"](spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        assert out[i]["n_bytes"] == len((text or "").encode()) and out[i]["n_chars"] == len(out[i]["text"])
+        if i < 2:
+            assert out[i]["text"] == text.replace(f" {passage} tail ", "") and out[i]["n_removed"] >= len(passage)
+        else:
+            assert out[i]["text"] == (text or "") and out[i]["n_removed"] == 0
+
+
+def test_shared_folder_is_named_on_clusters():
+    class Context:
+        def __init__(self, master):
+            self.master, self.folder = master, None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    class Session:
+        def __init__(self, master):
+            self.sparkContext, self.conf = Context(master), {}
+
+    for master in ("local-cluster[2,1,900]", "spark://h:7077", "yarn"):
+        with pytest.raises(ValueError):
+            frames.shared_folder(Session(master))
+    assert all(frames.shared_folder(Session(m)) for m in ("local", "local[4]", "local[*]"))
+    named = Session("local-cluster[2,1,900]")
+    named.conf["spark.checkpoint.dir"] = "/shared"
+    assert frames.shared_folder(named) == "/shared"
+
+
 # ------------------------------------------------------------------ 8
 
 
