@@ -12,11 +12,15 @@ bands that its possible partners allow, and (band, segment, content) is the
 join key.  Nothing is sampled and no bucket is capped.
 
 Candidates are not expanded into pairs: each key links its sets to its smallest
-one, which gives candidate classes, and every class is verified exactly, in
-blocks of bounded bytes, by intersection counts of the shingle sets; a class of
-several blocks is first cut by size, as sets whose sizes differ too much cannot
-be linked.  Equal
-sets are one node throughout, so exact copies cost nothing.
+one, which gives candidate classes.  A class of one block of bounded sets and
+bytes is verified by exact intersection counts of its shingle sets.  Sets of a
+larger class, such as the pages of one template, are classed anew by their
+rarest shingles, of which linked sets share one, and cut by size, as sets whose
+sizes differ too much cannot be linked.  What is still large is verified in two
+rounds: all sets against the sets of one block, then only the sets apart from
+the largest component against the others, so that a large group of near copies
+costs about two moves of each set.  Equal sets are one node throughout, so
+exact copies cost nothing.
 
 Sets are named by a 64-bit signature; for n different sets the probability
 that two share one is below n*n/2**65.
@@ -43,6 +47,8 @@ SPARE = 1.13
 #: Largest block of a class: sets and bytes.
 BLOCK_SETS = 512
 BLOCK_BYTES = 4 << 20
+#: Shingles that more sets of large classes hold are ordered behind the others, by their count.
+COMMON = 64
 
 _U64 = np.uint64
 
@@ -146,8 +152,8 @@ def star_edges(keys: DataFrame) -> DataFrame:
     return low.where("sig > low").select(F.col("sig").alias("a"), F.col("low").alias("b")).distinct()
 
 
-def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, own: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the linked pairs (i of left, j of right, i != j, one of them own)."""
+def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the linked pairs (i of left, j of right, i != j)."""
     size = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), size)
@@ -176,7 +182,7 @@ def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, own: np.
         y[at_right[o[use]], column[use]] = 1
         common += x @ y.T
     union = size[left][:, None] + size[right][None, :] - common
-    hit_i, hit_j = np.nonzero((den * common >= num * union) & (left[:, None] != right[None, :]) & (own[left][:, None] | own[right][None, :]))
+    hit_i, hit_j = np.nonzero((den * common >= num * union) & (left[:, None] != right[None, :]))
     root = list(range(len(sets)))
 
     def find(x: int) -> int:
@@ -194,59 +200,191 @@ def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, own: np.
     return out
 
 
-def verified_links(docs: DataFrame, names: DataFrame, classes: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) between sets of one candidate class: a spanning forest of each block pair.
+#: What a set is in a comparison: on its left side, on its right side, or on both.
+LEFT, RIGHT, BOTH = 1, 2, 3
+
+
+def compared(placed: DataFrame, groups: list[str], num: int, den: int) -> DataFrame:
+    """Links (a, b) of the left and right sets (sig, side, shingles) of each group, a spanning forest of each."""
+
+    def link(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        name, first, back = np.unique(table.column("sig").to_numpy(), return_index=True, return_inverse=True)
+        side = np.zeros(len(name), np.int64)  # a repeated row is one set
+        np.bitwise_or.at(side, back, table.column("side").to_numpy().astype(np.int64))
+        blobs = table.column("shingles")
+        sets = [np.frombuffer(blobs[int(i)].as_py(), _U64) for i in first]
+        left, right = np.flatnonzero(side & LEFT), np.flatnonzero(side & RIGHT)
+        found = _links(sets, left, right, num, den) if len(left) and len(right) and len(name) > 1 else []
+        return pa.table({"a": pa.array([name[i] for i, _ in found], pa.int64()), "b": pa.array([name[j] for _, j in found], pa.int64())})
+
+    return placed.select(*groups, "sig", "side", "shingles").groupBy(*groups).applyInArrow(link, "a long, b long")
+
+
+def held_sets(docs: DataFrame, names: DataFrame, classes: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(sig, class, n, shingles): the shingles of every set of a candidate class, once for each task that meets it.
 
     A set's text is fetched by the id and text hash of one of its rows; by the
     hash alone where all its rows have a null id.
     """
     row = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th"))
-    one = names.where("n_shingles > 0").groupBy("sig").agg(row.alias("row"), F.max("n_shingles").alias("n")).select("sig", "n", "row.id", "row.th")
-    nodes = frames.settled(classes.select(F.col("node").alias("sig"), F.col("component").alias("class")).join(one, "sig"))
-    weight = [F.count(F.lit(1)).alias("c"), F.sum("n").alias("w")]
-    blocks = F.greatest(F.ceil(F.col("c") / BLOCK_SETS), F.ceil(F.col("w") * 8 / BLOCK_BYTES)).cast("long")
-    spans = frames.settled(nodes.groupBy("class").agg(*weight).select("class", blocks.alias("all")))
-    sized = nodes.join(spans, "class")
-    # A set meets the sets of its own size band, and as a smaller one those of the next band.
-    band = F.floor(F.log(F.col("n")) / math.log(den / num) + 1e-9).cast("int")
-    meets = F.when(F.col("all") == 1, F.array(F.struct(F.lit(-1).alias("band"), F.lit(True).alias("own"))))
-    meets = meets.otherwise(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own"))))
-    member = sized.withColumn("meets", F.explode(meets)).select("id", "th", "sig", "class", "n", "meets.band", "meets.own")
-    dealt = frames.settled(member.groupBy("class", "band").agg(*weight, F.bool_or("own").alias("any")).where("c > 1 and any").select("class", "band", blocks.alias("blocks")))
-    group = F.struct("class", "band", "own", "blocks")
-    wanted = member.join(dealt, ["class", "band"]).groupBy("id", "th", "sig").agg(F.collect_list(group).alias("groups"))
+    one = names.where("n_shingles > 0").groupBy("sig").agg(row.alias("row")).select("sig", "row.id", "row.th")
+    wanted = frames.settled(classes.select(F.col("node").alias("sig"), F.col("component").alias("class")).join(one, "sig"))
     rows = _keyed(docs, id_col, text_col)
     # One row for each text under a null id, whatever the number of its copies.
-    unnamed = rows.where("id is null").groupBy("th").agg(F.first("text").alias("text")).join(wanted.where("id is null").select("th", "sig", "groups"), "th")
-    texts = rows.join(wanted, ["id", "th"]).select("sig", "groups", "text").unionByName(unnamed.select("sig", "groups", "text"))
+    unnamed = rows.where("id is null").groupBy("th").agg(F.first("text").alias("text")).join(wanted.where("id is null").drop("id"), "th")
+    texts = rows.join(wanted, ["id", "th"]).select("sig", "class", "text").unionByName(unnamed.select("sig", "class", "text"))
 
-    def fn(rows, data, offsets):
-        sets, found = _named_sets(rows, data, offsets, k)
-        at = np.flatnonzero(np.array(found, np.int64) == rows.column(0).to_numpy(zero_copy_only=False))
-        take = pa.array(at)
-        return pa.RecordBatch.from_arrays([rows.column(0).take(take), rows.column(1).take(take), pa.array([sets[i].tobytes() for i in at], pa.binary())], names=["sig", "groups", "shingles"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for rows, data, offsets in frames.text_chunks(batches, "text"):
+            sets, found = _named_sets(rows, data, offsets, k)
+            sigs, at = rows.column(0).to_pylist(), []
+            for i, (sig, name) in enumerate(zip(sigs, found, strict=True)):
+                if sig == name and sig not in seen:
+                    seen.add(sig)
+                    at.append(i)
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(take), rows.column(1).take(take), pa.array([len(sets[i]) for i in at], pa.int64()), pa.array([sets[i].tobytes() for i in at], pa.binary())], names=["sig", "class", "n", "shingles"])
 
-    kind = "array<struct<class:long,band:int,own:boolean,blocks:long>>"
-    sets = frames.map_texts(texts.select("sig", "groups", "text"), "text", fn, f"sig long, groups {kind}, shingles binary")
-    placed = sets.select("sig", "shingles", F.explode("groups").alias("g")).select("sig", "shingles", "g.*").withColumn("mine", F.pmod(F.xxhash64("sig"), F.col("blocks")))
-    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.select("class", "band", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "own", "sig", "shingles")
+    held = frames.settled(texts.mapInArrow(run, "sig long, class long, n long, shingles binary"))
+    frames.forget(wanted)
+    return held
 
-    def link(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        name = table.column("sig").to_numpy()
-        _, first = np.unique(name, return_index=True)  # a repeated row is one set
-        name, mine = name[first], table.column("mine").to_numpy()[first]
-        own = np.array(table.column("own").to_pylist(), bool)[first]
-        blobs = table.column("shingles")
-        sets = [np.frombuffer(blobs[int(i)].as_py(), _U64) for i in first]
-        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        left, right = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
-        found = _links(sets, left, right, own, num, den) if len(left) and len(right) and len(name) > 1 else []
-        return pa.table({"a": pa.array([name[i] for i, _ in found], pa.int64()), "b": pa.array([name[j] for _, j in found], pa.int64())})
 
-    links = frames.settled(paired.groupBy("class", "band", "x", "y").applyInArrow(link, "a long, b long"))
-    frames.forget(nodes, spans, dealt)
+def _blobs(rows: pa.RecordBatch) -> list[np.ndarray]:
+    cell = rows.column(rows.schema.get_field_index("shingles"))
+    return [np.frombuffer(x.as_buffer(), _U64) for x in cell]
+
+
+def rare_classes(large: DataFrame, num: int, den: int) -> DataFrame:
+    """(sig, class) of the sets of large classes that can still have a link, in finer classes.
+
+    Two sets of at least the similarity share one of the n - ceil(n * num / den)
+    + 1 shingles of each that come first in any one order of all shingles.  Here
+    those of few sets come first, then the others by their number of sets, so
+    that what a page template gives to all its pages links none of them.  Every
+    step moves each shingle of a large class a bounded number of times.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            if rows.num_rows:
+                shingle, c = np.unique(np.concatenate(_blobs(rows)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(frames.signed(shingle)), pa.array(c.astype(np.int64))], names=["shingle", "c"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            if rows.num_rows:
+                sets = _blobs(rows)
+                sig = np.repeat(rows.column(0).to_numpy(), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(frames.signed(np.concatenate(sets))), pa.array(sig)], names=["shingle", "sig"])
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            keys, sigs = [], []
+            for i, s in enumerate(_blobs(rows)):
+                count = np.zeros(len(s), np.int64)
+                for x in rows.column(3)[i].as_py() or ():
+                    count[np.searchsorted(s, np.uint64(x["shingle"] & ((1 << 64) - 1)))] = x["c"]
+                first = np.lexsort((s, count))[: len(s) - -(-len(s) * num // den) + 1]
+                salt = tk.mix(np.array([rows.column(1)[i].as_py()], np.int64).view(_U64))
+                keys.append(tk.mix(s[first] ^ salt))
+                sigs.append(np.full(len(first), rows.column(0)[i].as_py(), np.int64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(frames.signed(np.concatenate(keys))), pa.array(np.concatenate(sigs))], names=["key", "sig"])
+
+    counts = large.select("shingles").mapInArrow(counted, "shingle long, c long")
+    common = frames.settled(counts.groupBy("shingle").agg(F.sum("c").alias("c")).where(F.col("c") > COMMON))
+    have = large.select("sig", "shingles").mapInArrow(spread, "shingle long, sig long").join(common, "shingle")
+    marks = have.groupBy("sig").agg(F.collect_set(F.struct("shingle", "c")).alias("common"))  # of one set each
+    marked = large.select("sig", "class", "shingles").join(marks, "sig", "left")
+    stars = frames.settled(star_edges(marked.mapInArrow(prefixes, "key long, sig long")))
+    finer = frames.settled(frames.components(stars).select(F.col("node").alias("sig"), F.col("component").alias("class")))
+    frames.forget(common, stars)
+    return finer
+
+
+def _weight() -> tuple[F.Column, F.Column]:
+    return F.count(F.lit(1)).alias("c"), F.sum("n").alias("w")
+
+
+def _blocks(sets: F.Column, shingles: F.Column) -> F.Column:
+    return F.greatest(F.ceil(sets / BLOCK_SETS), F.ceil(shingles * 8 / BLOCK_BYTES), F.lit(1)).cast("long")
+
+
+def in_blocks(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(sig, n, class, band, blocks, mine): the groups to compare that each set (sig, n, class) is in, and its block there.
+
+    A class of several blocks is cut by size, as sets whose sizes differ too
+    much cannot be linked: a set meets the sets of its own size band, and as a
+    smaller one those of the next band.
+    """
+    spans = frames.settled(members.groupBy("class").agg(*_weight()).where("c > 1").select("class", _blocks(F.col("c"), F.col("w")).alias("all")))
+    band = F.floor(F.log(F.col("n")) / math.log(den / num) + 1e-9).cast("int")
+    one = F.array(F.struct(F.lit(-1).alias("band"), F.lit(True).alias("own")))
+    two = F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own")))
+    meets = members.join(spans, "class").withColumn("meets", F.explode(F.when(F.col("all") == 1, one).otherwise(two))).select("sig", "n", "class", "meets.band", "meets.own")
+    groups = frames.settled(meets.groupBy("class", "band").agg(*_weight(), F.bool_or("own").alias("any")).where("c > 1 and any").select("class", "band", _blocks(F.col("c"), F.col("w")).alias("blocks")))
+    out = frames.settled(meets.join(groups, ["class", "band"]).select("sig", "n", "class", "band", "blocks", F.pmod(F.xxhash64("sig"), F.col("blocks")).alias("mine")))
+    frames.forget(spans, groups)
+    return out
+
+
+def first_round(placed: DataFrame) -> DataFrame:
+    """(sig, class, band, x, y, side): the sets of block 0 meet every block, which moves each set about twice."""
+    last = F.col("blocks") - 1
+    alone = F.array(F.struct(F.col("mine").alias("y"), F.when(F.col("mine") == 0, BOTH).otherwise(RIGHT).alias("side")))
+    ways = F.when((F.col("mine") == 0) & (last > 0), F.concat(alone, F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(last, F.lit(1))), lambda y: F.struct(y.alias("y"), F.lit(LEFT).alias("side")))))
+    return placed.withColumn("way", F.explode(F.coalesce(ways, alone))).select("sig", "class", "band", F.lit(0).cast("long").alias("x"), "way.y", "way.side")
+
+
+def second_round(placed: DataFrame, joined: DataFrame) -> DataFrame:
+    """(sig, class, band, x, y, side) of the comparisons that the first round has left open.
+
+    Sets of one component need no comparison with each other.  So of each group
+    only the sets apart from its largest component, in blocks of their own,
+    meet the others; where block 0 has linked a group of near copies, nothing is left.
+    """
+    group = ["class", "band"]
+    several = placed.where("blocks > 1").join(joined.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    main = several.groupBy(*group, "component").agg(F.count(F.lit(1)).alias("c")).groupBy(*group).agg(F.max(F.struct("c", "component")).alias("main"))
+    known = frames.settled(several.join(main.select(*group, F.col("main.component").alias("main")), group).where("mine > 0").withColumn("apart", F.col("component") != F.col("main")).drop("component", "main"))
+    left = known.where("apart").groupBy(*group).agg(*_weight()).select(*group, _blocks(F.col("c"), F.col("w")).alias("own"))
+    rest = known.join(frames.settled(left), group)
+    to = lambda x, y, side: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(side).alias("side"))
+    here = F.transform(F.sequence(F.lit(0).cast("long"), F.col("own") - 1), lambda x: to(x, F.col("mine"), RIGHT))
+    there = F.transform(F.sequence(F.lit(1).cast("long"), F.col("blocks") - 1), lambda y: to(F.pmod(F.xxhash64("sig", F.lit(1)), F.col("own")), y, LEFT))
+    return rest.withColumn("way", F.explode(F.when(F.col("apart"), F.concat(here, there)).otherwise(here))).select("sig", *group, "way.x", "way.y", "way.side")
+
+
+def verified_links(docs: DataFrame, names: DataFrame, classes: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between sets of one candidate class that join all linked sets.
+
+    A class of one block is compared whole.  The sets of larger classes are
+    classed anew by rare shingles (``rare_classes``), cut by size and compared
+    in two rounds of block pairs.
+    """
+    held = held_sets(docs, names, classes, id_col, text_col, k)
+    spans = frames.settled(held.groupBy("class").agg(*_weight()).where("c > 1").select("class", _blocks(F.col("c"), F.col("w")).alias("all")))
+    whole = held.join(spans.where("all = 1").select("class"), "class").withColumn("side", F.lit(BOTH))
+    links = frames.settled(compared(whole, ["class"], num, den))
+    if spans.where("all > 1").take(1):
+        large = frames.settled(held.join(spans.where("all > 1").select("class"), "class"))
+        finer = rare_classes(large, num, den)
+        placed = in_blocks(large.select("sig", "n").distinct().join(finer, "sig"), num, den)
+        sets = large.select("sig", "shingles")
+        key = ["class", "band", "x", "y"]
+        first = frames.settled(links.unionByName(compared(sets.join(first_round(placed), "sig"), key, num, den)))
+        joined = frames.settled(frames.components(first))
+        second = frames.settled(second_round(placed, joined))
+        both = first
+        if second.take(1):
+            both = frames.settled(first.unionByName(compared(sets.join(second, "sig"), key, num, den)))
+            frames.forget(first)
+        frames.forget(links, large, finer, placed, joined, second)
+        links = both
+    frames.forget(held, spans)
     return links
 
 
@@ -297,15 +435,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "th")
     best = names.where("n_shingles > 0").groupBy("sig").agg(F.min(rank).alias("rank")).join(classes, "sig").groupBy("class").agg(F.min("rank").alias("rank"))
     lowest = F.lit(-(2**63))
-    rid, th, flag, copy = _unused(docs, 4)
-    chosen = best.select(F.coalesce("rank.id", lowest).alias(rid), F.col("rank.th").alias(th), F.lit(True).alias(flag))
-    empty = names.where("n_shingles = 0").select(F.coalesce("id", lowest).alias(rid), F.col("th").alias(th), F.lit(False).alias(flag)).distinct()
+    rid, th, row = _unused(docs, 3)
+    chosen = best.select(F.coalesce("rank.id", lowest).alias(rid), F.col("rank.th").alias(th))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = docs.withColumn(rid, F.coalesce(F.col(id_col).cast("long"), lowest)).withColumn(th, F.xxhash64(text))
-    found = marked.join(chosen.unionByName(empty), [rid, th])
+    worded = text.rlike(r"[^\x20\x09-\x0D]")
+    marked = docs.where(worded).withColumn(rid, F.coalesce(F.col(id_col).cast("long"), lowest)).withColumn(th, F.xxhash64(text))
     plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    number = F.row_number().over(Window.partitionBy(rid, th).orderBy(F.xxhash64(*plain)))
-    return found.withColumn(copy, number).where(~F.col(flag) | (F.col(copy) == 1)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Of rows of one id and text, the least by a hash of the row; found by partial aggregation.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    found = marked.join(chosen, [rid, th]).groupBy(rid, th).agg(F.min_by(whole, F.xxhash64(*plain)).alias(row))
+    return found.select(*[F.col(row).getField(c).alias(c) for c in docs.columns]).unionAll(docs.where(~worded))
 
 
 def _unused(df: DataFrame, n: int) -> list[str]:

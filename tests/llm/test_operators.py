@@ -231,6 +231,73 @@ def test_jaccard_links_near_copies_under_null_ids(spark):
     assert kept == ["1", "9", "None", "None"]
 
 
+def template_texts(rng, n, shared=300, own=110):
+    """Pages of one template: the shared words between the own ones, no two linked."""
+    template = words(rng, shared, 10**6)
+    return [" ".join([*words(rng, own // 2, 10**9), *template, *words(rng, own - own // 2, 10**9)]) for _ in range(n)]
+
+
+def large_of(spark, texts, monkeypatch, block):
+    """The set names, the shingles of the sets of candidate classes, and the set of each text."""
+    monkeypatch.setattr(sketchjoin, "BLOCK_SETS", block)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    names = frames.settled(sketchjoin.set_names(docs, "doc_id", "text", 5))
+    classes = frames.settled(frames.components(sketchjoin.star_edges(sketchjoin.candidate_keys(docs, "text", 5, 80, 100))))
+    return docs, sketchjoin.held_sets(docs, names, classes, "doc_id", "text", 5)
+
+
+def test_pages_of_a_template_are_no_candidates(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = template_texts(rng, 400)
+    texts += [x + " " + " ".join(words(rng, 4, 10**9)) for x in texts[:7]]
+    docs, held = large_of(spark, texts, monkeypatch, 50)
+    assert held.groupBy("class").count().agg(F.max("count")).first()[0] > 300  # one class by their segments
+    finer = sketchjoin.rare_classes(held, 80, 100)
+    assert finer.count() == 14 and {r["count"] for r in finer.groupBy("class").count().collect()} == {2}
+    out = {r["id"]: r["component_id"] for r in sketchjoin.jaccard_components(docs).collect()}
+    assert out == {i: i if i < 400 else i - 400 for i in range(407)}
+
+
+def test_near_copies_need_one_round(spark, monkeypatch):
+    rng = random.Random(7)
+    base, texts = words(rng, 300, 10**6), []
+    for _ in range(300):
+        x = list(base)
+        x[rng.randrange(300)] = f"n{rng.randrange(10**9)}"
+        texts.append(" ".join(x))
+    docs, held = large_of(spark, texts, monkeypatch, 20)
+    finer = sketchjoin.rare_classes(held, 80, 100)
+    placed = sketchjoin.in_blocks(held.select("sig", "n").join(finer, "sig"), 80, 100)
+    moves = sketchjoin.first_round(placed)
+    assert placed.agg(F.max("blocks")).first()[0] >= 10 and moves.count() < 3 * placed.count()
+    links = frames.settled(sketchjoin.compared(held.select("sig", "shingles").join(moves, "sig"), ["class", "band", "x", "y"], 80, 100))
+    assert sketchjoin.second_round(placed, frames.components(links)).count() == 0
+    assert {r["component_id"] for r in sketchjoin.jaccard_components(docs).collect()} == {0}
+
+
+def test_chains_of_links_need_both_rounds(spark, monkeypatch):
+    """A chain whose neighbours only are linked, cut into many blocks, and a second one of longer texts."""
+    monkeypatch.setattr(sketchjoin, "BLOCK_SETS", 6)
+    rng = random.Random(8)
+    texts = []
+    for length, many in ((80, 40), (110, 25)):
+        line = words(rng, length + 6 * many, 10**6)
+        texts += [" ".join(line[6 * i : 6 * i + length]) for i in range(many)]
+    texts += template_texts(rng, 30, 60, 20)
+    sets = plain_sets(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    out = {r["id"]: (r["n_shingles"], r["component_id"]) for r in sketchjoin.jaccard_components(docs).collect()}
+    assert out == {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, plain_components(sets), strict=True))}
+
+
+def test_keep_one_of_many_equal_rows(spark):
+    rows = [(1, "a b c d e f g", i % 3) for i in range(900)] + [(None, "a b c d e f g", 9)] + [(None, "h i j k l m n o", 5)] * 900 + [(None, " ", 1), (None, " ", 1), (3, None, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, x int")
+    kept = sorted(map(str, sketchjoin.keep_one(docs.repartition(6)).collect()))
+    assert len(kept) == 5 and kept == sorted(map(str, sketchjoin.keep_one(docs.repartition(2)).collect()))
+    assert sum("text='a b c d e f g'" in r and "doc_id=1" in r for r in kept) == 1
+
+
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (9, 9), (None, 1), (7, 8), (8, 6), (3, 10), (10, 11)], "a long, b long")
     assert {r["node"]: r["component"] for r in frames.components(e).collect()} == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 4: 4, 5: 4, 6: 6, 7: 6, 8: 6}
