@@ -12,8 +12,9 @@ the other one: the common bits less those that chance would give, over the most
 that could be common; the best counts, and the mean over the chain weighted by
 the features is the result.
 
-A text too short for ``MIN_WINDOWS`` windows of full width takes all its windows
-of ``SHORT`` bytes as features (the whole text if it is shorter than that).
+A text too short for ``MIN_WINDOWS`` windows of full width, or of filler windows
+only, takes all its windows of ``SHORT`` bytes as features (the whole text if it
+is shorter than that).
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,21 +84,25 @@ PIECE = 1 << 20
 
 
 def features(text: bytes) -> np.ndarray:
-    """Hashes of the selected features of one text, in text order."""
+    """Hashes of the features of one text, in text order; none for an empty text only."""
+    chosen = _selected(text)
+    if len(chosen) or not text:
+        return chosen
+    width = min(SHORT, len(text))
+    return tk.mix(tk.RollingHash(np.frombuffer(text, np.uint8)).windows(width) + _U64(width))
+
+
+def _selected(text: bytes) -> np.ndarray:
     if len(text) > PIECE + MIN_WINDOWS + WINDOW:
         last = len(text) - MIN_WINDOWS - WINDOW
         starts = range(0, max(1, last), PIECE)
         ends = [*(a + PIECE + WINDOW - 1 for a in starts[:-1]), len(text)]
-        return np.concatenate([features(text[a:b]) for a, b in zip(starts, ends, strict=True)])
+        return np.concatenate([_selected(text[a:b]) for a, b in zip(starts, ends, strict=True)])
     data = np.frombuffer(text, np.uint8)
-    n = len(data)
-    if not n:
+    count = len(data) - WINDOW + 1
+    if count < MIN_WINDOWS:
         return np.zeros(0, _U64)
     roll = tk.RollingHash(data)
-    count = n - WINDOW + 1
-    if count < MIN_WINDOWS:
-        width = min(SHORT, n)
-        return tk.mix(roll.windows(width) + _U64(width))
     rank = window_ranks(data)
     keyed = (rank << 40) | np.arange(count)
     best = tk.sliding_min(keyed, NEIGHBOURS) & ((1 << 40) - 1)
@@ -157,85 +163,134 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-#: Rows of one range of the ordered walk, where that makes no more ranges than MOST_RANGES.
+#: Texts of one range of the ordered walk, where that makes no more ranges than MOST_RANGES.
 RANGE_ROWS, MOST_RANGES = 2000, 20_000
-#: Equal cells of the span of ids, by whose counts the ranges are cut.
-CELLS = 65_536
 RESULT = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Rows that are made of one row of many equal ones by one task.
+COPIES = 4096
+#: Order of the walk: the id (null: the smallest), whether there is one, the hash of the text.
+KEY = ["rid", "has", "th"]
+
+
+def _keys(*columns) -> np.ndarray:
+    out = np.empty(len(columns[0]), np.dtype([(c, np.int64) for c in KEY]))
+    for name, values in zip(KEY, columns, strict=True):
+        out[name] = values
+    return out
+
+
+def range_heads(keys: DataFrame, rows_per_range: int) -> tuple[np.ndarray, bool]:
+    """The greatest key of each range, ascending, and whether any key has several rows.
+
+    Only the keys are dealt out and sorted, by sampled quantiles, so the ranges
+    hold as many keys whatever the ids are; the driver gets MOST_RANGES keys at
+    most, and one for each partition.
+    """
+    total = keys.count()
+    each = max(rows_per_range, -(-total // MOST_RANGES))
+
+    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last, several = 0, None, False
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            several |= bool((rows.column(len(KEY)).to_numpy() > 1).any())
+            own = pa.array(np.arange((each - 1 - at) % each, rows.num_rows, each))
+            yield pa.RecordBatch.from_arrays([*(rows.column(i).take(own) for i in range(len(KEY))), pa.array(np.zeros(len(own), bool))], names=[*KEY, "several"])
+            at += rows.num_rows
+            last = [rows.column(i).slice(rows.num_rows - 1) for i in range(len(KEY))]
+        if last:
+            yield pa.RecordBatch.from_arrays([*last, pa.array([several])], names=[*KEY, "several"])
+
+    parts = max(1, min(total // (4 * each), MOST_RANGES // 4))
+    ordered = keys.repartitionByRange(parts, *KEY).sortWithinPartitions(*KEY)
+    heads = ordered.mapInArrow(cuts, ", ".join(f"{c} long" for c in KEY) + ", several boolean").collect()
+    cut = np.unique(_keys(*(np.array([r[c] for r in heads], np.int64) for c in KEY)))
+    return cut, any(r["several"] for r in heads)
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = RANGE_ROWS) -> DataFrame:
     """Fingerprint each text, its edited form and the next text, in descending id order.
 
-    Texts are dealt out by ranges of ids and walked in order; the first row of
-    each range also goes to the end of the range before it, so neighbours meet
-    with one shuffle of the texts.  Rows with the same id are ordered by a hash
-    of their text, null ids come last; the row after the last is the first.
+    Texts are dealt out by ranges of (id, text hash) with equally many texts in
+    each and walked in order; the first text of each range also goes to the end
+    of the range before it, so neighbours meet with one shuffle of the texts.
+    Rows with the same id are ordered by a hash of their text, null ids come
+    last; the row after the last is the first.  Rows equal in both are walked
+    once: all but the last of them are followed by the same text.
     Returns (id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next); an empty table gives an empty result and a single
     row is followed by itself.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("th", F.xxhash64("text"))
-    key = F.struct(F.coalesce("id", F.lit(-(2**63))).alias("id"), F.col("th"))
-    total = docs.agg(F.min(F.col(id_col).cast("long")).alias("low"), F.max(F.col(id_col).cast("long")).alias("high"), F.count(F.lit(1)).alias("c")).first()
-    low, width = total["low"] or 0, max(1, (total["high"] or 0) - (total["low"] or 0) + 1)
-    cell = F.coalesce(F.floor((F.col("id") - F.lit(low)).cast("double") / (width / CELLS)), F.lit(-1)).cast("int")
-    placed = base.withColumn("cell", cell).withColumn("key", key)
-    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("c"), F.max("key").alias("head")).collect()  # CELLS + 2 rows at most
-    if not cells:
+    base = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    none = F.col("id").isNull()
+    placed = base.withColumns({"rid": F.when(none, F.lit(-(2**63))).otherwise(F.col("id")), "has": F.when(none, F.lit(0)).otherwise(F.lit(1)).cast("long"), "th": F.xxhash64("text")})
+    keys = frames.settled(placed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("copies")))
+    cut, several = range_heads(keys, rows_per_range)
+    if not len(cut):
         return docs.sparkSession.createDataFrame([], RESULT)
-    cells.sort(key=lambda r: -r["cell"])
-    each = max(rows_per_range, total["c"] // MOST_RANGES)
-    spread, heads, held = [], [], each
-    for c in cells:
-        if held >= each:
-            heads.append(c["head"])
-            held = 0
-        held += c["c"]
-        spread.append((c["cell"], len(heads) - 1))
-    ranges = docs.sparkSession.createDataFrame([(c, p, (p - 1) % len(heads), heads[p]["id"], heads[p]["th"]) for c, p in spread], "cell int, here int, before int, hid long, hth long")
-    known = placed.join(F.broadcast(ranges), "cell")  # CELLS + 2 short rows at most
-    to = lambda at, guard: F.struct(F.col(at).alias("at"), F.lit(guard).alias("guard"))
-    is_head = (F.col("key.id") == F.col("hid")) & (F.col("th") == F.col("hth"))
-    twice = known.withColumn("goes", F.explode(F.when(is_head, F.array(to("here", 0), to("before", 1))).otherwise(F.array(to("here", 0)))))
-    dealt = twice.select(F.col("goes.at").alias("at"), F.col("goes.guard").alias("guard"), "id", "key", "text", F.char_length("text").cast("long").alias("n_chars"))
-    walk = dealt.repartition(F.col("at")).sortWithinPartitions(F.col("at"), F.col("guard"), F.col("key").desc()).select("at", "guard", "id", "n_chars", "text")
+    if several:
+        again = keys.where("copies > 1")
+        first = placed.join(again, KEY).groupBy(*KEY, "copies").agg(F.first("id").alias("id"), F.first("text").alias("text"))
+        placed = placed.join(again, KEY, "left_anti").withColumn("copies", F.lit(1).cast("long")).unionByName(first)
+    else:
+        placed = placed.withColumn("copies", F.lit(1).cast("long"))
+        frames.forget(keys)
+
+    @F.pandas_udf("at int, head boolean")
+    def range_of(rid: pd.Series, has: pd.Series, th: pd.Series) -> pd.DataFrame:
+        key = _keys(rid.to_numpy(), has.to_numpy(), th.to_numpy())
+        at = np.searchsorted(cut, key)  # the first range whose greatest key is not below the key
+        return pd.DataFrame({"at": at.astype(np.int32), "head": cut[at] == key})
+
+    n = len(cut)
+    known = placed.withColumn("place", range_of(*KEY))
+    to = lambda at, guard: F.struct(at.cast("int").alias("at"), F.lit(guard).alias("guard"))
+    at = F.col("place.at")
+    # Descending: the next text of a range's last one is the head of the range below; the lowest is followed by the highest.
+    twice = known.withColumn("goes", F.explode(F.when(F.col("place.head"), F.array(to(at, 0), to((at + 1) % n, 1))).otherwise(F.array(to(at, 0)))))
+    dealt = twice.select(F.col("goes.at").alias("at"), F.col("goes.guard").alias("guard"), "id", *KEY, "copies", "text", F.char_length("text").cast("long").alias("n_chars"))
+    walk = dealt.repartition(F.col("at")).sortWithinPartitions(F.col("at"), F.col("guard"), *(F.col(c).desc() for c in KEY)).select("at", "guard", "id", "n_chars", "text", "copies")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # the row that waits for its next text
-        shut = None  # the range whose guard has been met
         out = []
 
-        def close(row, raw, own):
-            at, _, id_, n, text, d = row
+        def close(row, raw, own, times):
+            _, id_, n, text, d, _ = row
             edited = edited_text(text.decode(), raw.decode()).encode()
             e = digest(edited) if edited != text else d
-            return (id_, n, hashlib.sha256(edited).hexdigest(), to_string(d), to_string(e), likeness(d, e), likeness(d, own))
+            return (id_, n, hashlib.sha256(edited).hexdigest(), to_string(d), to_string(e), likeness(d, e), likeness(d, own), times)
 
         for batch in batches:
             for i in range(batch.num_rows):
                 at, guard = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                if guard and shut == at:
-                    continue  # another row equal to the head
                 raw = batch.column(4)[i].as_py().encode()
                 own = digest(raw)
                 if last is not None and last[0] == at:
-                    out.append(close(last, raw, own))
-                if guard:
-                    last, shut = None, at
-                else:
-                    last = (at, guard, batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), raw, own)
+                    out.append(close(last, raw, own, 1))
+                last = None
+                if not guard:
+                    last = (at, batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), raw, own, None)
+                    copies = batch.column(5)[i].as_py()
+                    if copies > 1:
+                        out.append(close(last, raw, own, copies - 1))
                 if len(out) >= 256:
                     yield _result(out)
                     out = []
         if out:
             yield _result(out)
 
-    return walk.mapInArrow(run, RESULT)
+    found = walk.mapInArrow(run, f"{RESULT}, times long")
+    if several:
+        part = found.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(times - 1) div {COPIES}"))))
+        part = part.repartition("id", "fingerprint", "part")
+        found = part.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(COPIES), F.col("times") - F.col("part") * COPIES))))
+    return found.select(*[c.split()[0] for c in RESULT.split(", ")])
 
 
 def _result(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
+    names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "times"]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)

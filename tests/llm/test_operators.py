@@ -378,6 +378,46 @@ def test_fingerprints_walk_equals_plain(spark):
             assert out[i]["near_edited"] == fingerprints.likeness(a, b) and out[i]["near_next"] == fingerprints.likeness(a, c)
 
 
+def test_fingerprints_of_extreme_null_and_repeated_ids(spark):
+    rng = random.Random(3)
+    short = lambda: " ".join(words(rng, 5, 999))
+    low, high = -(2**63), 2**63 - 1
+    rows = [(low, "lowest"), (high, "highest"), (0, "zero"), (None, "no id"), *[(None, short()) for _ in range(40)], *[(7, short()) for _ in range(60)], *[(9, "same text")] * 50, *[(i, short()) for i in range(100, 160)], (2**60, short())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = fingerprints.compare_with_next(docs, rows_per_range=10).collect()
+    assert sorted(r["id"] for r in out if r["id"] is not None) == sorted(i for i, _ in rows if i is not None) and len(out) == len(rows)
+    sha = lambda x, y: hashlib.sha256(fingerprints.edited_text(x, y).encode()).hexdigest()
+    by = {}
+    for r in out:
+        by.setdefault(r["id"], []).append(r["edited_sha256"])
+    after = [t for i, t in rows if i == 2**60]
+    assert by[high] == [sha("highest", after[0])]
+    texts7, texts_none = [t for i, t in rows if i == 7], [t for i, t in rows if i is None]
+    assert sorted(by[9])[0] in by[9] and by[9].count(sha("same text", "same text")) == 49
+    assert [x for x in by[9] if x != sha("same text", "same text")][0] in {sha("same text", t) for t in texts7}
+    assert by[low][0] in {sha("lowest", t) for t in texts_none} and by[0] == [sha("zero", "lowest")]
+    assert sum(x in {sha(t, "highest") for t in texts_none} for x in by[None]) >= 1  # the last is followed by the first
+    again = fingerprints.compare_with_next(docs.repartition(2), rows_per_range=1000).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))
+
+
+def test_fingerprint_ranges_hold_equally_many_keys(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("rid")).union(spark.createDataFrame([(2**60,)], "rid long"))
+    hot = spark.range(8000).select(F.lit(5).cast("long").alias("rid"), F.xxhash64("id").alias("th"))
+    keys = rows.withColumn("th", F.xxhash64("rid")).unionByName(hot).withColumns({"has": F.lit(1).cast("long"), "copies": F.lit(1).cast("long")})
+    cut, several = fingerprints.range_heads(keys.select(*fingerprints.KEY, "copies"), 2000)
+    key = np.sort(fingerprints._keys(*(np.array(c) for c in zip(*((r["rid"], 1, r["th"]) for r in keys.collect()), strict=True))))
+    sizes = np.bincount(np.searchsorted(cut, key))
+    assert not several and sizes.max() <= 2000 and len(cut) <= 24 and cut[-1] == key[-1]
+
+
+def test_fillers_have_fingerprints_of_their_own():
+    texts = [b"-" * 500, b"=" * 500, b"a" * 2_500_000, b"", b"-" * 100, b"ab" * 300]
+    digests = [fingerprints.digest(t) for t in texts]
+    assert len({fingerprints.to_string(d) for d in digests[:4]}) == 4 and all(d[1].sum() for i, d in enumerate(digests) if i != 3)
+    assert fingerprints.likeness(digests[0], digests[1]) < 0.2 and fingerprints.likeness(digests[0], digests[3]) == 0.0
+
+
 def test_entropy_ranks_equal_plain():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 105, 400).astype(np.uint8)
