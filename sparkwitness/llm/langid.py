@@ -23,7 +23,7 @@ from . import frames
 from . import textkernel as tk
 
 DIMENSIONS, CENTROIDS, ROUNDS = 4096, 4, 12
-#: Training texts of each language, about; those of the smallest hash of their id.
+#: Training texts of each language, about; those of the smallest hash.
 SAMPLE_PER_LANGUAGE = 1500
 #: Up to so many languages their sampling rates are broadcast; beyond, they are joined.
 MOST_LANGUAGES = 10_000
@@ -50,9 +50,10 @@ def counts(texts: list[str]) -> np.ndarray:
     raw = [t.lower().encode() for t in texts]
     sizes = np.array([len(r) + 2 for r in raw])
     data = _FOLD[np.frombuffer(b"".join(b" " + r + b" " for r in raw), np.uint8)]
+    row = np.repeat(np.arange(len(texts)), sizes)
     keep = np.ones(len(data), bool)
-    keep[1:] = (data[1:] != 32) | (data[:-1] != 32)  # runs of other bytes are one blank
-    row = np.repeat(np.arange(len(texts)), sizes)[keep]
+    keep[1:] = (data[1:] != 32) | (data[:-1] != 32) | (row[1:] != row[:-1])  # runs of other bytes are one blank
+    row = row[keep]
     data = data[keep]
     out = np.zeros(len(texts) * DIMENSIONS)
     for n, code in _codes(data):
@@ -104,19 +105,20 @@ def cluster(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return centres
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: F.Column | None = None, per_language: int = SAMPLE_PER_LANGUAGE) -> Centroids:
-    """Centroids of the non-null languages of rows that are not held out.
+def sample(docs: DataFrame, held_out: F.Column | None, text_col: str, lang_col: str, per_language: int) -> DataFrame:
+    """(lang, x) of about ``per_language`` different texts of each language, vectors of half precision.
 
-    The sample of a language is about ``per_language`` texts (a bounded
-    parameter), whole texts each; texts without letters are not used.
+    A text is drawn by a hash of itself, at a rate by the number of different
+    texts of its language, and once however often it occurs.
     """
-    use = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (held_out if held_out is not None else F.lit(False)).alias("out"))
-    use = use.where("not out and lang is not null and text is not null")
-    rate = use.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).select("lang", (F.lit(float(per_language)) / F.col("c")).alias("rate"))
+    use = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (held_out if held_out is not None else F.lit(False)).alias("out"))
+    use = use.where("not out and lang is not null and text is not null").withColumn("th", F.xxhash64("text"))
+    rate = use.groupBy("lang").agg(F.approx_count_distinct("th", 0.02).alias("c")).select("lang", (F.lit(float(per_language)) / F.col("c")).alias("rate"))
     rates = rate.limit(MOST_LANGUAGES + 1).collect()  # a row for each language
     if len(rates) <= MOST_LANGUAGES:
         rate = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in rates], "lang string, rate double"))
-    drawn = use.join(rate, "lang").where((F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)) < F.col("rate"))
+    drawn = use.join(rate, "lang").where((F.pmod(F.xxhash64("th", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)) < F.col("rate"))
+    once = drawn.groupBy("lang", "th").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, _, _ in frames.text_chunks(batches, "text"):
@@ -128,32 +130,77 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     x = counts([texts[i] for i in ok]).astype(np.float16)
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(ok)), pa.array([v.tobytes() for v in x])], names=["lang", "x"])
 
-    by: dict[str, list[bytes]] = {}
-    for r in drawn.select("lang", "text").mapInArrow(run, "lang string, x binary").toLocalIterator():
-        by.setdefault(r["lang"], []).append(bytes(r["x"]))
-    if not by:
+    return once.select("lang", "text").mapInArrow(run, "lang string, x binary")
+
+
+def _vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.stack([np.frombuffer(v.as_buffer(), np.float16) for v in column]).astype(np.float32)
+
+
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", held_out: F.Column | None = None, per_language: int = SAMPLE_PER_LANGUAGE) -> Centroids:
+    """Centroids of the non-null languages of rows that are not held out.
+
+    The sample of a language is about ``per_language`` texts (a bounded
+    parameter), whole texts each; texts without letters are not used, and
+    repeated texts count once, whatever their ids.  The sample is a table in the
+    shared folder; frequencies, clusters and votes are made on the executors, a
+    language's clusters by one task, so the driver holds the centroids only.
+    """
+    spark = docs.sparkSession
+    drawn = frames.settled(sample(docs, held_out, text_col, lang_col, per_language))
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, seen = 0, np.zeros(DIMENSIONS, np.int64)
+        for rows in batches:
+            for a in range(0, rows.num_rows, _ROWS):
+                x = _vectors(rows.column(0).slice(a, _ROWS))
+                n += len(x)
+                seen += (x > 0).sum(axis=0)
+        if n:
+            at = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(([-1], at))), pa.array(np.concatenate(([n], seen[at])))], names=["at", "n"])
+
+    parts = drawn.select("x").mapInArrow(frequencies, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    found = {r["at"]: r["n"] for r in parts.collect()}  # DIMENSIONS + 1 rows at most
+    if not found:
+        frames.forget(drawn)
         return Centroids(np.zeros(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), [], np.zeros(0))
-    vectors = {k: np.stack([np.frombuffer(v, np.float16) for v in sorted(by[k])]).astype(np.float32) for k in sorted(by)}
-    seen = sum((v > 0).sum(axis=0) for v in vectors.values())
-    total = sum(len(v) for v in vectors.values())
+    total = found.pop(-1)
+    seen = np.zeros(DIMENSIONS)
+    seen[list(found)] = list(found.values())
     idf = (np.log((1 + total) / (1 + seen)) + 1).astype(np.float32)
-    unit = {lang: _unit(v * idf) for lang, v in vectors.items()}
-    found = [(lang, c) for lang, x in unit.items() for c in cluster(x, CENTROIDS)]
-    centres = np.stack([c for _, c in found]).astype(np.float32)
+
+    def centres_of(table: pa.Table) -> pa.Table:
+        x = np.stack([np.frombuffer(v, np.float16) for v in sorted(table.column("x").to_pylist())]).astype(np.float32)
+        c = cluster(_unit(x * idf), CENTROIDS).astype(np.float32)
+        return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * len(c), pa.string()), "i": pa.array(np.arange(len(c))), "c": pa.array([v.tobytes() for v in c], pa.binary())})
+
+    rows = drawn.groupBy("lang").applyInArrow(centres_of, "lang string, i long, c binary").collect()  # CENTROIDS a language
+    rows.sort(key=lambda r: (r["lang"], r["i"]))
+    centres = np.stack([np.frombuffer(r["c"], np.float32) for r in rows])
+    shared = spark.sparkContext.broadcast(centres)
+
     # A cluster of mislabelled texts lies among the texts of another language and takes
     # the language that most texts nearest to it have.
-    votes, cosines = np.zeros((len(found), len(unit))), [[] for _ in found]
-    for k, x in enumerate(unit.values()):
-        near = x @ centres.T
-        own = near.argmax(axis=1)
-        votes[:, k] = np.bincount(own, minlength=len(found))
-        for j in range(len(found)):
-            cosines[j].append(near[own == j, j])
-    spread = [np.concatenate(c) for c in cosines]
-    use = [j for j in range(len(found)) if len(spread[j])]
-    langs = list(unit)
-    bounds = [spread[j].mean() - REJECT_DEVIATIONS * max(spread[j].std(), 0.02) for j in use]
-    return Centroids(idf, centres[use], [langs[votes[j].argmax()] for j in use], np.array(bounds))
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(a, _ROWS)
+                near = _unit(_vectors(part.column(1)) * idf) @ shared.value.T
+                own = near.argmax(axis=1)
+                cosine = near[np.arange(len(own)), own].astype(float)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own), pa.array(np.rint(cosine * (1 << 20)).astype(np.int64))], names=["lang", "centre", "cosine"])
+
+    cosine = F.col("cosine").cast("decimal(20,0)")  # sums of integers do not depend on their order
+    ballots = drawn.mapInArrow(votes, "lang string, centre long, cosine long").groupBy("centre", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum(cosine).alias("s"), F.sum(cosine * cosine).alias("q"))
+    won = ballots.groupBy("centre").agg(F.min(F.struct((-F.col("n")).alias("n"), "lang")).alias("first"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    rows = sorted(won.select("centre", "first.lang", "n", "s", "q").collect(), key=lambda r: r["centre"])
+    mean = [float(r["s"]) / r["n"] / (1 << 20) for r in rows]
+    deviation = [max(0.0, float(r["q"]) / r["n"] / (1 << 40) - m * m) ** 0.5 for r, m in zip(rows, mean, strict=True)]
+    bounds = [m - REJECT_DEVIATIONS * max(d, 0.02) for m, d in zip(mean, deviation, strict=True)]
+    frames.forget(drawn)
+    shared.unpersist()
+    return Centroids(idf, centres[[r["centre"] for r in rows]], [r["lang"] for r in rows], np.array(bounds))
 
 
 def predict(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,11 +210,13 @@ def predict(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col:
     distance; it is ``und``, with score 0, for null texts and texts without a letter.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of CENTROIDS vectors a language
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, _, _ in frames.text_chunks(batches, "text"):
             for a in range(0, rows.num_rows, _ROWS):
                 part = rows.slice(a, _ROWS)
-                langs, score, reject = model.predict(part.column(1).to_pylist())
+                langs, score, reject = shared.value.predict(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(score), pa.array(reject)], names=["id", "lang_pred", "score", "rejected"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, lang_pred string, score double, rejected boolean")

@@ -660,6 +660,52 @@ def test_language_held_out(spark):
     assert (pred.lang == pred.lang_pred).mean() > 0.97 and pred.rejected.mean() < 0.1
 
 
+def test_language_equals_plain(spark):
+    """Every prediction against cosines of vectors that are counted gram by gram."""
+    rng = random.Random(14)
+    alphabets = {"a": "abcdefgh", "b": "ghijklmn", "c": "àéüñopqr"}
+    text = lambda s: " ".join("".join(rng.choice(s) for _ in range(rng.randrange(2, 8))) for _ in range(rng.randrange(3, 30)))
+    rows = [(10 * i + j, text(alphabets[k]), k) for i in range(40) for j, k in enumerate(alphabets)] + [(900, "MiXed 12, Éé!", None), (901, "12", "a"), (902, None, "a"), (903, "z", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    out = {(r["id"], r["lang_pred"], round(r["score"], 4)) for r in langid.predict(docs, model).collect()}
+    want = set()
+    for i, t, _ in rows:
+        if not t or not any(c.isalpha() for c in t):
+            want.add((i, "und", 0.0))
+            continue
+        raw = " ".join(["", *re.sub(rb"[^a-z\x80-\xff]+", b" ", t.lower().encode()).decode("latin-1").split(" "), ""])
+        codes = [ord(c) for c in re.sub(" +", " ", raw)]
+        vector = np.zeros(langid.DIMENSIONS)
+        for n in (1, 2, 3):
+            for j in range(len(codes) - n + 1):
+                code = codes[j]
+                for extra in range(1, n):
+                    code = code * 257 + codes[j + extra] + (1 << (19 + extra))
+                vector[((code * 2654435761) % (1 << 32)) >> 20] += 1
+        vector = np.log1p(vector) * model.idf
+        cosines = model.centres @ (vector / np.linalg.norm(vector))
+        want.add((i, model.languages[int(cosines.argmax())], round(float(min(1, max(0, cosines.max()))), 4)))
+    assert {x[:2] for x in out} == {x[:2] for x in want}
+    scores = dict((x[0], x[2]) for x in want)
+    assert all(abs(s - scores[i]) < 2e-4 for i, _, s in out)
+
+
+def test_language_sample_is_bounded(spark):
+    hot = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("always the same words").alias("text"), F.lit("en").alias("lang"))
+    other = spark.range(3000).select(F.lit(4).cast("long").alias("doc_id"), F.concat(F.lit("mots "), F.col("id").cast("string"), F.lit("x")).alias("text"), F.lit("fr").alias("lang"))
+    drawn = {r["lang"]: r["count"] for r in langid.sample(hot.unionByName(other), None, "text", "lang", 100).groupBy("lang").count().collect()}
+    assert drawn["en"] == 1 and 50 < drawn["fr"] < 160
+
+
+def test_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 100)  # beyond, the rates are joined
+    name = F.translate(F.lpad((F.col("id") % 500).cast("string"), 3, "0"), "0123456789", "abcdefghij")
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", name, name, F.concat(name, name), F.translate(F.col("id").cast("string"), "0123456789", "klmnopqrst")).alias("text"), F.concat(F.lit("l"), (F.col("id") % 500).cast("string")).alias("lang"))
+    model = langid.fit(docs.repartition(4))
+    assert set(model.languages) <= {f"l{i}" for i in range(500)} and 300 < len(set(model.languages)) and len(model.centres) == len(model.languages) == len(model.bounds)
+
+
 def test_language_edges(edge, empty):
     model = langid.fit(edge)
     out = [(r["id"], r["lang_pred"], r["score"]) for r in langid.predict(edge, model).collect()]
