@@ -1,14 +1,16 @@
 """Operator 9: benchmark items contained in documents, by size-partitioned MinHash search.
 
 An item is contained when at least ``containment`` of its word shingles are in
-the document's shingle set.  Items are partitioned by their number of shingles;
-the MinHash signature of an item is its smallest hashes, as many as its size
-partition needs: an item of n shingles of which m may be missing has a signature
-of m + 1 of them, so a document that contains it has one of these for certain,
-however long the document is (fixed-length signatures compared by Jaccard would
-miss short items in long texts).  Every shingle of a document is looked up among the
-signatures; hits are verified by counting all of the item's shingles in the
-document's set.
+the document's shingle set.  Items are partitioned by their number of shingles,
+which doubles from one partition to the next, and each partition has a table of
+its own.  Its MinHash signatures are the smallest hashes of each item, as many
+as an item of the partition's largest size can miss, and one more; so a document that
+contains an item has one hash of its signature for certain, however long the
+document is.  (Signatures of documents, compared by Jaccard, would miss short
+items in long texts.)  A document is sought in the partitions of the items that
+it is large enough to contain, there by those of its shingles whose hash is not
+above the greatest hash of the partition's signatures.  Hits are verified by
+counting all of the item's shingles in the document's set.
 
 The items are the stated queries: they are taken in blocks of bounded size, and
 each block is one narrow pass over all documents, so nothing is shuffled and the
@@ -28,73 +30,97 @@ from pyspark.sql import functions as F
 from . import frames
 from . import textkernel as tk
 
-#: Bytes of item text in one block, about.
+#: Bytes of item text in one block, about: a benchmark of that size is one pass.
 BLOCK_BYTES = 8 << 20
-#: Size partitions double from one to the next.
+#: A partition's table is asked only for hashes whose leading bits some signature has.
 FILTER_BITS = 20
 
 _U64 = np.uint64
+_ORDER = _U64(0x3C79AC492BA7B653)
+Item = tuple[int | None, str | None, int]  # id, text, copies
+
+
+@dataclass
+class Partition:
+    """Signatures of the items of one size partition, ordered by hash."""
+
+    words: int  # of a shingle: five, or fewer for shorter items
+    least: int  # shingles that a document must have to contain any item
+    hashes: np.ndarray
+    items: np.ndarray
+    top: np.uint64
+    seen: np.ndarray
 
 
 @dataclass
 class Index:
-    """Signatures of one block of items, by words per shingle (5, or fewer for shorter items)."""
+    """One block of items: their ids, repetitions, shingle sets and bounds, and the partitions' tables."""
 
     ids: list[int | None]
+    copies: list[int]
     sets: list[np.ndarray]
-    words: np.ndarray
     need: np.ndarray
-    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    partitions: list[Partition]
+
+
+def min_hash_order(shingles: np.ndarray) -> np.ndarray:
+    return tk.mix(shingles ^ _ORDER)
 
 
-def build_index(items: list[tuple[int | None, str | None]], num: int, den: int, k: int = tk.SHINGLE_WORDS) -> Index:
-    """Index (id, text) items; items without words are contained in nothing."""
-    ids, sets, words = [], [], []
-    for id_, text in items:
+def signature_length(size: int, num: int, den: int) -> int:
+    """One more than the shingles that an item of the size can miss."""
+    return size + (-size * num // den) + 1
+
+
+def build_index(items: list[Item], num: int, den: int, k: int = tk.SHINGLE_WORDS) -> Index:
+    """Index of items; items without words are contained in nothing."""
+    ids, copies, sets, words = [], [], [], []
+    for id_, text, times in items:
         raw = np.frombuffer((text or "").encode(), np.uint8)
         hashes, row = tk.word_hashes(raw, np.array([0, len(raw)]))
         if not len(hashes):
             continue
         width = min(k, len(hashes))
         ids.append(id_)
+        copies.append(times)
         sets.append(np.unique(tk.gram_hashes(hashes, row, width)[0]))
         words.append(width)
     sizes = np.array([len(s) for s in sets], np.int64)
     need = -(-sizes * num // den)
-    width = np.array(words, np.int64)
-    tables = {}
-    for w in sorted(set(words)):
-        name, owner = [], []
-        partition = np.floor(np.log2(np.maximum(sizes, 1))).astype(int)
-        for p in np.unique(partition[width == w]):
-            members = np.flatnonzero((width == w) & (partition == p))
-            for i in members:
-                rank = np.argsort(tk.mix(sets[i] ^ _U64(0x3C79AC492BA7B653)))
-                own = sets[i][rank[: sizes[i] - need[i] + 1]]
-                name.append(own)
-                owner.append(np.full(len(own), i))
-        flat, item = np.concatenate(name), np.concatenate(owner)
+    members: dict[tuple[int, int], list[int]] = {}
+    for i, (w, n) in enumerate(zip(words, sizes.tolist(), strict=True)):
+        members.setdefault((w, n.bit_length() - 1), []).append(i)
+    partitions = []
+    for (w, p), own in sorted(members.items()):
+        length = signature_length((2 << p) - 1, num, den)
+        signatures = [np.sort(min_hash_order(sets[i]))[:length] for i in own]
+        flat, item = np.concatenate(signatures), np.repeat(own, [len(x) for x in signatures])
         order = np.argsort(flat, kind="stable")
         seen = np.zeros(1 << FILTER_BITS, bool)
         seen[(flat >> _U64(64 - FILTER_BITS)).astype(np.int64)] = True
-        tables[w] = (flat[order], item[order], seen)
-    return Index(ids, sets, width, need, tables)
+        partitions.append(Partition(w, int(need[own].min()), flat[order], item[order], flat.max(), seen))
+    return Index(ids, copies, sets, need, partitions)
+
+
+def candidates(part: Partition, hashes: np.ndarray, owner: np.ndarray, count: np.ndarray) -> set[tuple[int, int]]:
+    """(row, item) where a text of ``count`` shingles has a hash of the item's signature."""
+    maybe = np.flatnonzero((hashes <= part.top) & (count[owner] >= part.least))
+    maybe = maybe[part.seen[(hashes[maybe] >> _U64(64 - FILTER_BITS)).astype(np.int64)]]
+    left = np.searchsorted(part.hashes, hashes[maybe], "left")
+    right = np.searchsorted(part.hashes, hashes[maybe], "right")
+    hit = right > left
+    return {(int(r), int(i)) for r, a, b in zip(owner[maybe][hit], left[hit], right[hit], strict=True) for i in part.items[a:b]}
 
 
 def search(index: Index, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
     """(row, item, shingles found) of each item that a text of the chunk contains."""
-    hashes, row = tk.word_hashes(data, offsets)
+    words, row = tk.word_hashes(data, offsets)
     out = []
-    for w, (flat, item, seen) in index.tables.items():
-        gram, owner = tk.gram_hashes(hashes, row, w)
-        maybe = np.flatnonzero(seen[(gram >> _U64(64 - FILTER_BITS)).astype(np.int64)])
-        if not len(maybe):
-            continue
-        left = np.searchsorted(flat, gram[maybe], "left")
-        right = np.searchsorted(flat, gram[maybe], "right")
-        hit = right > left
-        pairs = {(int(r), int(i)) for r, a, b in zip(owner[maybe][hit], left[hit], right[hit], strict=True) for i in item[a:b]}
-        first = np.searchsorted(owner, np.arange(len(offsets)), "left")
+    for w in sorted({p.words for p in index.partitions}):
+        gram, owner = tk.gram_hashes(words, row, w)
+        hashes, count = min_hash_order(gram), np.bincount(owner, minlength=len(offsets))
+        pairs = set().union(*(candidates(p, hashes, owner, count) for p in index.partitions if p.words == w))
+        first = np.concatenate(([0], np.cumsum(count)))
         own: dict[int, np.ndarray] = {}
         for r, i in sorted(pairs):
             if r not in own:
@@ -106,19 +132,19 @@ def search(index: Index, data: np.ndarray, offsets: np.ndarray) -> list[tuple[in
     return out
 
 
-def blocks_of(items: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int | None, str | None]]]:
-    """The items in blocks of about ``block_bytes`` of text, each fetched when it is due."""
-    rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def blocks_of(items: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> Iterator[list[Item]]:
+    """The different items, with their number of rows, in blocks of about ``block_bytes`` of text, each fetched when it is due."""
+    rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).groupBy("id", "text").agg(F.count(F.lit(1)).alias("copies"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(size) // block_bytes))
     for i in range(n):
         part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == i) if n > 1 else rows
-        yield sorted(((r["id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+        yield sorted(((r["id"], r["text"], r["copies"]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
 
 
 def _finder(index: Index) -> Callable:
     def fn(rows, data, offsets):
-        found = search(index, data, offsets)
+        found = [x for x in search(index, data, offsets) for _ in range(index.copies[x[1]])]
         if not found:
             return None
         take = pa.array([r for r, _, _ in found])

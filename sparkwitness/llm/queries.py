@@ -115,16 +115,18 @@ bw AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
 bs AS (SELECT DISTINCT item_id, sh FROM (SELECT item_id, unnest(CASE WHEN len(ws) >= 5
     THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) ELSE [] END) AS sh FROM bw)),
 bn AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
-hit AS (SELECT sh.doc_id, bs.item_id, count(*) AS n_found FROM sh JOIN bs ON sh.sh = bs.sh GROUP BY 1, 2)
+hit AS (SELECT sh.doc_id, bs.item_id, count(*) AS n_found FROM sh JOIN bs ON sh.sh = bs.sh GROUP BY 1, 2),
+short AS (SELECT item_id, ' ' || array_to_string(ws, ' ') || ' ' AS s FROM bw WHERE len(ws) BETWEEN 1 AND 4)
 SELECT doc_id, hit.item_id, n_item, n_found, n_found::DOUBLE / n_item AS containment
-FROM hit JOIN bn ON bn.item_id = hit.item_id WHERE 100 * n_found >= 80 * n_item""",
+FROM hit JOIN bn ON bn.item_id = hit.item_id WHERE 100 * n_found >= 80 * n_item
+UNION ALL SELECT doc_id, item_id, 1::BIGINT, 1::BIGINT, 1::DOUBLE FROM w JOIN short ON contains(' ' || array_to_string(ws, ' ') || ' ', s)""",
 )
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumnRenamed("id", "doc_id")
 
 
-_LISTED = ", ".join(f"'{n}'" for n in urlfilter.LISTED)
+_LISTED = ", ".join(f"('{n.partition('/')[0]}', '/{n.partition('/')[2]}')" for n in urlfilter.LISTED)
 
 
 @query(
@@ -133,9 +135,10 @@ _LISTED = ", ".join(f"'{n}'" for n in urlfilter.LISTED)
     coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 rules(what, h, p) AS (VALUES {", ".join(str(r) for r in urlfilter.RULES)}),
 fit AS (SELECT page_id, url, host, path, arg_max(h || p, len(h || p)) AS rule, arg_max(what, len(h || p)) AS what FROM u
-    JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL)
-SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.what, CASE WHEN EXISTS (SELECT 1 FROM (SELECT unnest([{_LISTED}]) AS n)
-    WHERE (u.host || '/' = n OR ends_with(u.host || '/', '.' || n)) AND u.path <> '') THEN 'block' ELSE 'allow' END) AS verdict
+    JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL),
+listed(h, p) AS (VALUES {_LISTED})
+SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.what, CASE WHEN EXISTS (SELECT 1 FROM listed
+    WHERE (u.host = h OR ends_with(u.host, '.' || h)) AND starts_with(CASE u.path WHEN '' THEN '/' ELSE u.path END, p)) THEN 'block' ELSE 'allow' END) AS verdict
 FROM u LEFT JOIN (SELECT DISTINCT page_id, url, rule, what FROM fit) f ON f.page_id = u.page_id AND f.url = u.url""",
 )
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:

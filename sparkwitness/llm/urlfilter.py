@@ -1,11 +1,12 @@
 """Operator 10: URL filtering by a blocked Bloom filter before an exact hash join.
 
 Every URL stands for lookup names, its host and each parent domain with each
-leading part of its path.  The listed canonical names make a blocked Bloom
-filter: one 64-bit block by one hash, five bits in it by another.  Names whose
+leading part of its path, as far as the list has names of so many labels and
+slashes.  The listed canonical names make a blocked Bloom filter, sized by
+their number: one 64-bit block by one hash, five bits in it by another.  Names whose
 bits are all set pass to an exact join with the list, which takes false
-positives out; the others never reach a shuffle.  The filter is a table of at
-most ``MOST_BLOCKS`` rows whatever the list's length, so it can be broadcast.
+positives out; the others never reach a shuffle.  A filter of at most
+``MOST_BLOCKS`` rows is broadcast, a larger one is a table that is joined by block.
 Rules (host, path) override the list, the longest first.  Only built-in
 functions are used.
 """
@@ -17,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bound of the broadcast filter: rows of 12 bytes.
+#: Bound of a broadcast filter: rows of 12 bytes.
 MOST_BLOCKS = 1 << 16
 NAMES_PER_BLOCK, BITS_SET = 6, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -28,8 +29,10 @@ RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 #: one table to the next, so the query lists every site under every domain.
 SITES = ("adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 DOMAINS = ("example.com", "example.net", "example.org")
-#: Listed canonical names of the query.
-LISTED = tuple(f"{site}.{domain}/" for site in SITES for domain in DOMAINS)
+#: Folders that only lead to adverts and counters, on any site of these domains.
+FOLDERS = ("ads", "click", "redirect/out", "track")
+#: Listed canonical names of the query: sites with all they hold, and folders.
+LISTED = tuple(f"{site}.{domain}/" for site in SITES for domain in DOMAINS) + tuple(f"{domain}/{folder}/" for folder in FOLDERS for domain in DOMAINS)
 
 
 def host_of(url: Column) -> Column:
@@ -42,19 +45,27 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^[\s\S]*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def lookup_names(host: Column, path: Column) -> Column:
-    """All (parent domain, leading path) names of a URL; none for an empty host."""
-    labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    steps = F.split(F.regexp_replace(path, "^/", ""), "/")
-    folders = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(steps, 1, i - 1), "/"), F.when(i > 1, F.lit("/")).otherwise(F.lit(""))))
-    paths = F.array_distinct(F.concat(folders, F.array(path)))
-    names = F.flatten(F.transform(domains, lambda d: F.transform(paths, lambda p: F.concat(d, p))))
+def _times(text: Column, mark: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+
+
+def lookup_names(host: Column, path: Column, labels: Sequence[int], slashes: Sequence[int]) -> Column:
+    """The (parent domain, leading path) names of a URL that have one of the numbers of labels and slashes.
+
+    A leading path is the whole path or ends with a slash; an empty path has the
+    leading path / too.  None for an empty host.
+    """
+    dots, whole = _times(host, "."), F.when(path == "", F.lit("/")).otherwise(path)
+    steps = _times(whole, "/")
+    domains = F.array(*[F.when(dots >= n - 1, F.substring_index(host, ".", -n)) for n in labels])
+    folders = [F.when(steps >= n, F.concat(F.substring_index(whole, "/", n), F.lit("/"))) for n in slashes if n]
+    paths = F.array(F.when(_times(path, "/").isin(*slashes), path), *folders)
+    names = F.flatten(F.transform(F.array_compact(domains), lambda d: F.transform(F.array_compact(paths), lambda p: F.concat(d, p))))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(names))
 
 
 def _block(name: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int")
+    return F.pmod(F.xxhash64(name), F.lit(blocks))
 
 
 def _bits(name: Column) -> Column:
@@ -73,11 +84,14 @@ def bloom_table(listed: DataFrame, name_col: str, blocks: int) -> DataFrame:
 
 def listed_urls(pages: DataFrame, listed: DataFrame, host: str = "host", path: str = "path", name_col: str = "name") -> DataFrame:
     """The distinct (host, path) of pages that the list names, exactly."""
-    count = listed.count()
-    blocks = min(MOST_BLOCKS, max(1, -(-count // NAMES_PER_BLOCK)))
-    names = pages.select(F.col(host).alias("h"), F.col(path).alias("p")).withColumn("name", F.explode(lookup_names(F.col("h"), F.col("p"))))
+    site = F.substring_index(name_col, "/", 1)
+    shape = listed.where(F.col(name_col).isNotNull()).agg(F.count(F.lit(1)).alias("c"), F.collect_set(_times(site, ".") + 1).alias("labels"), F.collect_set(_times(F.col(name_col), "/")).alias("slashes")).first()
+    blocks = max(1, -(-shape["c"] // NAMES_PER_BLOCK))
+    lookups = lookup_names(F.col("h"), F.col("p"), sorted(shape["labels"]) or [1], sorted(shape["slashes"]) or [0])
+    names = pages.select(F.col(host).alias("h"), F.col(path).alias("p")).withColumn("name", F.explode(lookups))
     possible = names.withColumn("block", _block(F.col("name"), blocks)).withColumn("bits", _bits(F.col("name")))
-    passed = possible.join(F.broadcast(bloom_table(listed, name_col, blocks)), "block").where(F.col("mask").bitwiseAND(F.col("bits")) == F.col("bits"))
+    filter_ = bloom_table(listed, name_col, blocks)
+    passed = possible.join(F.broadcast(filter_) if blocks <= MOST_BLOCKS else filter_, "block").where(F.col("mask").bitwiseAND(F.col("bits")) == F.col("bits"))
     exact = listed.select(F.col(name_col).alias("name"))
     return passed.join(exact, "name", "left_semi").select("h", "p").distinct()
 

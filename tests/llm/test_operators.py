@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -342,6 +343,40 @@ def test_decontamination_equals_plain(spark, block):
     assert kept == set(range(len(texts))) - {d for d, *_ in want}
 
 
+def test_size_partitions_have_tables_of_their_own():
+    rng = random.Random(5)
+    texts = [" ".join(words(rng, n, 10**6)) for n in (5, 6, 8, 11, 19, 19, 36, 70, 3, 1)]
+    index = decontaminate.build_index([(i, t, 1) for i, t in enumerate(texts)], 80, 100)
+    sizes = [len(s) for s in index.sets]
+    by = {}
+    for i, n in enumerate(sizes):
+        by.setdefault((min(5, len(texts[i].split())), int(np.log2(n))), []).append(i)
+    assert len(index.partitions) == len(by) and [p.words for p in index.partitions] == [w for w, _ in sorted(by)]
+    for part, ((_, p), own) in zip(index.partitions, sorted(by.items()), strict=True):
+        length = decontaminate.signature_length((2 << p) - 1, 80, 100)
+        assert sorted(set(part.items.tolist())) == own and part.least == min(index.need[i] for i in own)
+        for i in own:  # one length for all items of a partition, enough for the largest that it may hold
+            mine = np.sort(decontaminate.min_hash_order(index.sets[i]))
+            assert (np.sort(part.hashes[part.items == i]) == mine[:length]).all() and length >= sizes[i] - index.need[i] + 1
+        hashes = np.concatenate([part.hashes, [part.top + np.uint64(1)]])
+        few, enough = (np.array([part.least - 1]), np.array([part.least]))
+        owner = np.zeros(len(hashes), np.int64)
+        assert not decontaminate.candidates(part, hashes, owner, few) and {i for _, i in decontaminate.candidates(part, hashes, owner, enough)} == set(own)
+
+
+def test_decontamination_sql_takes_short_items(spark, tmp_path):
+    texts, items = ["one two three FOUR five six seven", "x alone y", "alone,", None, ""], ["Two three", "alone", "one two three four five six", None, "nine ten"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    duck = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        duck.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = queries.QUERIES["op9_decontamination"](spark, str(tmp_path))
+    want = duck.sql(queries.ORACLE["op9_decontamination"])
+    assert sorted(want.columns) == sorted(got.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall()) and got.count() == 3
+
+
 def test_decontamination_takes_short_items_whole(spark):
     items, texts = ["one two three four", "Alone", "five words make one shingle"], ["x one two THREE four y", "one two three", "alone", "so five words make one shingle"]
     docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
@@ -527,12 +562,28 @@ def test_url_without_path_is_listed(spark):
     assert {r["id"]: r["verdict"] for r in urlfilter.judge(pages, urlfilter.default_list(spark)).collect()} == {1: "block", 2: "block", 3: "allow"}
 
 
-def test_bloom_has_no_false_negatives(spark):
-    listed = spark.range(3000).select(F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".com/")).alias("name"))
-    pages = spark.range(6000).select(F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".com")).alias("host"), F.lit("/x").alias("path"))
-    assert urlfilter.listed_urls(pages, listed).count() == 3000
-    plan = urlfilter.listed_urls(pages, listed)._jdf.queryExecution().toString()
+@pytest.mark.parametrize("most", [1 << 16, 100])
+def test_bloom_has_no_false_negatives(spark, monkeypatch, most):
+    """A list of 100,000 names, by a filter that is broadcast and by one that is joined."""
+    monkeypatch.setattr(urlfilter, "MOST_BLOCKS", most)
+    listed = spark.range(100_000).select(F.concat(F.lit("h"), F.col("id").cast("string"), F.when(F.col("id") % 2 == 0, ".com/").otherwise(".com/x/")).alias("name"))
+    pages = spark.range(99_000, 101_000).select(F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".com")).alias("host"), F.lit("/x").alias("path"))
+    found = urlfilter.listed_urls(pages, listed)
+    assert found.count() == 500 and urlfilter.listed_urls(pages.withColumn("path", F.lit("/x/y")), listed).count() == 1000
+    plan = found._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+    blocks = urlfilter.bloom_table(listed, "name", -(-100_000 // urlfilter.NAMES_PER_BLOCK))
+    assert blocks.count() > 16_000 and blocks.agg(F.avg(F.bit_count("mask"))).first()[0] < 32  # no filter that lets all pass
+
+
+def test_long_urls_have_few_lookups(spark):
+    url = "http://" + "a." * 3000 + "example.com/" + "b/" * 20_000 + "c"
+    pages = spark.createDataFrame([(1, url), (2, "http://x.example.com/b/c")], "page_id long, url string")
+    names = spark.createDataFrame([("example.com/b/b/",), ("evil.org/",), ("y.example.com/b/c",)], "name string")
+    assert {r["id"]: r["verdict"] for r in urlfilter.judge(pages, names, rules=()).collect()} == {1: "block", 2: "allow"}
+    host, path = urlfilter.host_of(F.col("url")), urlfilter.path_of(F.col("url"))
+    looked = [r[0] for r in pages.select(urlfilter.lookup_names(host, path, [2, 3], [1, 2, 3])).collect()]
+    assert looked[0] == [d + p for d in ("example.com", "a.example.com") for p in ("/", "/b/", "/b/b/")] and len(looked[1]) == 6
 
 
 # ------------------------------------------------------------------ 2
