@@ -14,6 +14,7 @@ ENDS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(
 _SCOPE = frozenset("table ul ol dl article section div body html main aside nav header footer form".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_COMMENT = re.compile(r"<!--.*\Z", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
@@ -34,56 +35,72 @@ class Element:
         return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(self.attributes)} if self.attributes else {}
 
 
+class _Open:
+    """The open elements; the last open one of a tag is known without a walk, so that broken markup costs linear time."""
+
+    def __init__(self, root: Element):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+        self.scopes = [0]
+
+    def push(self, node: Element) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in _SCOPE:
+            self.scopes.append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tag: str) -> int:
+        """Place of the last open element of a tag; 0 if there is none."""
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def close(self, place: int) -> None:
+        """Close the element at a place and all in it."""
+        while len(self.stack) > place:
+            node = self.stack.pop()
+            self.places[node.tag].pop()
+            if node.tag in _SCOPE:
+                self.scopes.pop()
+
+
 def parse(source: str) -> list[Element]:
     """All elements in page order, the root first; never fails on broken markup."""
     root = Element("#root", "", None)
-    nodes, here, at = [root], root, 0
+    nodes, now, at = [root], _Open(root), 0
+    end = source.rfind(">") + 1  # no tag ends behind it
     while True:
-        m = _TOKEN.search(source, at)
+        m = _TOKEN.search(source, at, end) or _COMMENT.search(source, max(at, end))
         if m is None:
             break
         if m.start() > at:
-            here.parts.append(source[at : m.start()])
+            now.stack[-1].parts.append(source[at : m.start()])
         at = m.end()
-        name = m[2]
+        name = m[2] if m.re is _TOKEN else None
         if not name:
+            if m[0].startswith("<!--") and not (len(m[0]) >= 7 and m[0].endswith("-->")):
+                at = len(source)  # a comment that nothing ends
             continue
         tag = name.lower()
         if m[1]:
-            node = here
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                here = node.parent
+            if place := now.last(tag):
+                now.close(place)
             continue
-        if tag in P_ENDS:
-            node = here
-            while node is not root and node.tag not in _SCOPE and node.tag != "p":
-                node = node.parent
-            if node.tag == "p":
-                here = node.parent
-        if tag in ENDS:
-            node = here
-            while node is not root and node.tag not in ENDS[tag] and node.tag not in _SCOPE:
-                node = node.parent
-            if node.tag in ENDS[tag]:
-                here = node.parent
-        child = Element(tag, m[3], here)
+        if tag in P_ENDS and now.last("p") > now.scopes[-1]:
+            now.close(now.last("p"))
+        if tag in ENDS and (place := max(map(now.last, ENDS[tag]))) > now.scopes[-1]:
+            now.close(place)
+        child = Element(tag, m[3], now.stack[-1])
         child.index = len(nodes)
         nodes.append(child)
-        here.parts.append(child)
+        now.stack[-1].parts.append(child)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-            child.parts.append(source[at : end.start() if end else len(source)])
-            at = end.end() if end else len(source)
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
-            here = child
-        elif tag not in VOID and tag in INLINE:
-            continue
-        elif tag not in VOID:
-            here = child
+            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+            child.parts.append(source[at : close.start() if close else len(source)])
+            at = close.end() if close else len(source)
+        elif tag not in VOID and not (m[3].rstrip().endswith("/") and tag in INLINE):
+            now.push(child)
     if at < len(source):
-        here.parts.append(source[at:])
+        now.stack[-1].parts.append(source[at:])
     return nodes
 
 

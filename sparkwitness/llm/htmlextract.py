@@ -198,7 +198,7 @@ def training_pages(count: int = 700, seed: int = 5) -> Iterator[tuple[str, set[s
     def words(low: int, high: int) -> str:
         out = [vocabulary[i] for i in rng.integers(len(vocabulary), size=rng.integers(low, high))]
         if rng.random() < 0.15:
-            out = [w + pick("!!", "***", "&amp;&amp;&amp;", "###", "%%%", "$$$") for w in out]
+            out = [w + pick("", "", ",", "&eacute;", "&mdash;", "-" + w) for w in out]
         if rng.random() < 0.08:
             out = [w.upper() for w in out]
         return " ".join(out)
@@ -210,12 +210,12 @@ def training_pages(count: int = 700, seed: int = 5) -> Iterator[tuple[str, set[s
         return "".join(f'<li><a href="/{words(1, 2)}">{words(1, 4)}</a></li>' for _ in range(rng.integers(low, high)))
 
     def menu() -> str:
-        inner = f"<ul>{links(3, 9)}</ul>" if rng.random() < 0.8 else " ".join(f'<a href="#">{words(1, 3)}</a>' for _ in range(6))
+        inner = f"<ul>{links(3, 9)}</ul>" if rng.random() < 0.8 else pick(" ".join(f'<a href="#">{words(1, 3)}</a>' for _ in range(6)), words(1, 7))
         return pick(f"<nav data-out>{inner}</nav>", f'<div class="{pick("menu", "navbar", "main-navigation", "breadcrumbs")}" data-out>{inner}</div>', f'<nav class="menu" data-out>{inner}</nav>', f'<ul id="nav" data-out>{links(3, 9)}</ul>')
 
     def advert() -> str:
         inner = pick(sentences(1, 4), f"<p>{sentences(1, 3)}</p>", f'<a href="/buy">{words(3, 9)}</a>', f"<p>{words(2, 5)}</p><p>{sentences(1, 3)}</p>")
-        return pick(f'<div class="{pick("ad", "ads", "ad-slot", "advert", "sponsored", "promo", "banner")}" data-out>{inner}</div>', f'<div id="ad-{rng.integers(99)}" data-out>{inner}</div>', f'<aside class="ad" data-out>{inner}</aside>', f'<section class="advertisement" data-out>{inner}</section>')
+        return pick(f'<div class="{pick("ads", "ad-slot", "ad-unit", "advert", "sponsored", "promo", "banner")}" data-out>{inner}</div>', f'<div id="ad-{rng.integers(99)}" data-out>{inner}</div>', f'<aside class="advert-box" data-out>{inner}</aside>', f'<section class="advertisement" data-out>{inner}</section>')
 
     def head() -> str:
         return pick(f"<header data-out><h1>{words(1, 4)}</h1><p>{words(2, 8)}</p></header>", f'<div class="{pick("header", "masthead", "topbar")}" data-out><a href="/">{words(1, 3)}</a><p>{sentences(1, 2)}</p></div>', f'<header class="site-header" data-out><span>{words(1, 4)}</span>{menu()}</header>', "")
@@ -244,7 +244,7 @@ def training_pages(count: int = 700, seed: int = 5) -> Iterator[tuple[str, set[s
     def paragraph() -> str:
         text = sentences(1, 9) if rng.random() < 0.8 else words(1, 5)
         if rng.random() < 0.3:
-            text = pick(f"<b>{text}</b>", f"<b>{text}<br>", f'{text} <a href="/x">{words(1, 4)}</a> {words(1, 9)}.', f"<em>{words(1, 4)}</em> {text}", f"<span>{text}</span>")
+            text = pick(f"<b>{text}</b>", f"<i>{text}", f"{text}<br/>{words(2, 9)}", f'{text} <a href="/x">{words(1, 4)}</a> {words(1, 9)}.', f"<em>{words(1, 4)}</em> {text}", f"<span>{text}</span>")
         return pick(f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}", f"<p>{text}</p>\n")
 
     def extra() -> str:
@@ -272,12 +272,19 @@ def training_pages(count: int = 700, seed: int = 5) -> Iterator[tuple[str, set[s
             after.append(foot())
         if rng.random() < 0.2:
             before.append(makers[rng.integers(len(makers))]())
-        body = "".join(before) + article(inside) + "".join(after)
+        whole = article(inside) if rng.random() < 0.93 else ""  # some pages have no article
+        if rng.random() < 0.07:  # and some are a single part
+            yield pick(makers[rng.integers(len(makers))](), article([]), "".join(paragraph() for _ in range(rng.integers(1, 6))))
+            continue
+        body = "".join(before) + whole + "".join(after)
         if rng.random() < 0.3:
             body = f'<div class="{pick("wrapper", "container", "page", "row", "site")}">{body}</div>'
         if rng.random() < 0.15:
             body = f"<div><div>{body}</div></div>"
-        yield f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{words(2, 9)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>{body}</body></html>'
+        if rng.random() < 0.1:
+            yield body  # a page may lack all that frames it
+            continue
+        yield f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{words(2, 9)}</title>{pick("", "<style>body {{ color: #222 }} .x > a {{ top: 1px }}</style>")}{pick("", "<script src='/a.js'></script>", "<script>if (1 < 2 && f()) {{ g('<div>'); }}</script>")}</head><body>{body}</body></html>'
 
 
 def labelled_nodes(page: str) -> tuple[np.ndarray, np.ndarray]:

@@ -177,18 +177,20 @@ def is_held_out(id_col: str, folds: int = 5) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> Discriminant:
     """Fit on the labelled documents that are not held out, ``max_labelled`` at most.
 
-    Rows with a null label or id are not used; a repeated label row counts once.
+    Rows with a null label or id are not used; a repeated label row counts once,
+    and of documents under one id the one with the least statistics.
     """
     use = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").where(~is_held_out("id")).distinct()
     use = use.orderBy(F.xxhash64("id"), "id", "y").limit(max_labelled)  # bounded, so broadcast below
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    known = named.join(F.broadcast(use), "id").select("y", "text")
+    known = named.join(F.broadcast(use), "id").select("id", "y", "text")
 
     def fn(rows, data, offsets):
         x = statistics(data, offsets)
-        return pa.RecordBatch.from_arrays([rows.column(0), frames.as_list(np.full(len(x), x.shape[1]), x.ravel(), pa.float64())], names=["y", "x"])
+        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), frames.as_list(np.full(len(x), x.shape[1]), x.ravel(), pa.float64())], names=["id", "y", "x"])
 
-    found = sorted((r["y"], tuple(r["x"])) for r in frames.map_texts(known, "text", fn, "y int, x array<double>").toLocalIterator())
+    each = frames.map_texts(known, "text", fn, "id long, y int, x array<double>").groupBy("id", "y").agg(F.min("x").alias("x"))
+    found = sorted((r["y"], tuple(r["x"])) for r in each.toLocalIterator())
     if not found:
         return fit_arrays(np.zeros((0, 0)), np.zeros(0, int))
     return fit_arrays(np.array([x for _, x in found]), np.array([y for y, _ in found]))

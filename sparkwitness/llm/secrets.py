@@ -49,12 +49,14 @@ _RUNS = {
     3: (re.compile(r"(?<![A-Za-z0-9])xox[abeprs]-"), re.compile(r"[A-Za-z0-9-]*"), 10),
     ASSIGNED: (re.compile(_PATTERNS[ASSIGNED].partition("(?P<value>")[0] + ")"), re.compile(r"[^\s\"',;<>()\[\]{}]*"), 6),
 }
-_SCANS = {k: re.compile(p) for k, p in enumerate(_PATTERNS) if k not in _RUNS}
+WEB_TOKEN = KINDS.index("web_token")
+_SCANS = {k: re.compile(p) for k, p in enumerate(_PATTERNS) if k not in _RUNS and k != WEB_TOKEN}
+_HEAD, _SEGMENT, _TAIL = re.compile(r"(?<![A-Za-z0-9])eyJ"), re.compile(r"[A-Za-z0-9_-]*"), re.compile(r"\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]*)?")
 #: Where to search on after a match, for patterns that may match inside their own match: from its start.
-_AGAIN = {KINDS.index("map_key"): lambda m: m.start() + 1, KINDS.index("web_token"): lambda m: m.start() + m[0].index(".") + 1}
+_AGAIN = {KINDS.index("map_key"): lambda m: m.start() + 1}
 
 # Words that cover ordinary identifiers and placeholders, and context words.
-DICTIONARY = tuple("access account admin api app auth base bar baz bearer body change changeme client code config context credential data db default demo dummy email empty enter env environ example false fake field file foo form from get header hello here host hidden id input insert invalid json key lambda letmein local login master me mock my name new none null number object option os param pass password path placeholder private process prompt public read redacted replace request required reset response sample schema secret self server service session set settings some string super system temp test text this time todo token true type undefined update url user username value var welcome word world xxx your".split())
+DICTIONARY = tuple("about access account address admin all and any api app array auth base bar baz bearer body bool build cache call change changeme char check class client cloud code config connection content context control create credential data database date db debug default delete demo dev domain dummy email empty enable enter env environ error event example expire false fake field file find first float foo for form format from function get global group handler hash header hello here host hidden home id image index info input insert int invalid item json key lambda last length letmein level line link list load local log login main make manager map master max me message method min mock mode model my name network new next node none not null number object option order os page param parse pass password path place placeholder plain policy port private process profile prompt property provider public put query random read redacted refresh remote remove replace request required reset resource response result return role root route sample save schema scope secret self send server service session set settings size some source start state static status store string super system table tag task temp test text the this time title todo token true type undefined unit update url use user username valid value var version view web welcome with word world write xxx your".split())
 FALSE_CONTEXT = tuple("example sample dummy fake placeholder replace checksum commit sha1 sha256 md5 digest hash uuid revision fixture mock test doc docs documentation tutorial template schema field type parameter".split())
 TRUE_CONTEXT = tuple("prod production deploy live aws server connect database export curl ssh root admin credentials login leaked".split())
 FALSE_PATHS = tuple("test tests spec example examples sample docs doc fixture fixtures mock template readme".split())
@@ -93,6 +95,17 @@ def _run_candidates(kind: int, text: str) -> set[tuple[int, int]]:
     return out
 
 
+def _web_tokens(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the tokens; a segment is read once, however many heads are in it."""
+    out, at = [], 0
+    while m := _HEAD.search(text, at):
+        at = _SEGMENT.match(text, m.end()).end()
+        if at - m.end() >= 8 and (tail := _TAIL.match(text, at)):
+            out.append((m.start(), tail.end()))
+            at += 1  # the next segment may begin with a head
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of each candidate value of each pattern, in text order; they may overlap."""
     out = []
@@ -101,6 +114,7 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
         while m := scan_.search(text, at):
             out.append((kind, *m.span(group)))
             at = _AGAIN[kind](m) if kind in _AGAIN else m.end()
+    out += [(WEB_TOKEN, start, end) for start, end in _web_tokens(text)]
     for kind in _RUNS:
         for start, end in _run_candidates(kind, text):
             if kind == ASSIGNED:
@@ -182,8 +196,8 @@ def labelled_findings(count: int = 4000, seed: int = 11) -> list[tuple[int, str,
     filler = lambda k: " ".join(pick(low, rng.integers(2, 9)) for _ in range(k))
     keys = ("password", "passwd", "pwd", "token", "secret", "api_key", "access_key", "client_secret", "API_TOKEN", "DB_PASSWORD")
     assign = lambda: keys[rng.integers(len(keys))] + ("=", " = ", ": ", ' = "', '="', "='")[rng.integers(6)]
-    paths_true = ("", "", "", "src7", "config/prod.env", "deploy/app.yml", "src/main.py", "notes.txt", "web")
-    paths_false = ("", "", "src3", "tests/test_login.py", "docs/readme.md", "examples/demo.py", "src/app.py", "schema.json")
+    paths_true = ("", "", "", "forum", "config/prod.env", "deploy/app.yml", "src/main.py", "notes.txt", "web")
+    paths_false = ("", "", "forum", "tests/test_login.py", "docs/readme.md", "examples/demo.py", "src/app.py", "schema.json", "web")
     out = []
     for _ in range(count):
         true = rng.random() < 0.5
@@ -204,7 +218,7 @@ def labelled_findings(count: int = 4000, seed: int = 11) -> list[tuple[int, str,
                 kind, value = (6, "-----BEGIN RSA PRIVATE KEY-----\n" + pick(low + up + dig + "+/", 300) + "\n-----END RSA PRIVATE KEY-----") if rng.random() < 0.4 else (7, pick(low + up + dig + "!#$", rng.integers(8, 20)))
             else:
                 kind = 8
-                value = (pick("0123456789abcdef", (16, 18, 20, 24, 32, 40, 40, 64)[rng.integers(8)]), pick(low + up + dig, rng.integers(12, 40)), pick(low + up + dig + "!@#$%^&*", rng.integers(10, 24)), word().title() + pick(dig + "!@#", rng.integers(3, 6)) + pick(low + up, 5))[rng.integers(4)]
+                value = (pick("0123456789abcdef", (16, 18, 20, 24, 32, 40, 48, 64)[rng.integers(8)]), pick(low + up + dig, rng.integers(12, 40)), pick(low + up + dig + "!@#$%^&*", rng.integers(10, 24)), word().title() + pick(dig + "!@#", rng.integers(3, 6)) + pick(low + up, 5))[rng.integers(4)]
                 before += assign()
             if rng.random() < 0.2:
                 before = TRUE_CONTEXT[rng.integers(len(TRUE_CONTEXT))] + " " + before
