@@ -13,14 +13,14 @@ join key.  Nothing is sampled and no bucket is capped.
 
 Candidates are not expanded into pairs: each key links its sets to its smallest
 one, which gives candidate classes.  A class of one block of bounded sets and
-bytes is verified by exact intersection counts of its shingle sets.  Sets of a
-larger class, such as the pages of one template, are classed anew by their
-rarest shingles, of which linked sets share one, and cut by size, as sets whose
-sizes differ too much cannot be linked.  What is still large is verified in two
-rounds: all sets against the sets of one block, then only the sets apart from
-the largest component against the others, so that a large group of near copies
-costs about two moves of each set.  Equal sets are one node throughout, so
-exact copies cost nothing.
+bytes is verified by exact intersection counts of its shingle sets.  A larger
+class is cut by size, as sets whose sizes differ too much cannot be linked, and
+all its sets are verified against those of one block, which joins a large group
+of near copies with about two moves of each set.  Where sets stay apart, such
+as the pages of one template, they are classed anew by their rarest shingles,
+of which linked sets share one, and in what is still large only the sets apart
+from the largest component meet the others.  Equal sets are one node
+throughout, so exact copies cost nothing.
 
 Sets are named by a 64-bit signature; for n different sets the probability
 that two share one is below n*n/2**65.
@@ -49,6 +49,8 @@ BLOCK_SETS = 512
 BLOCK_BYTES = 4 << 20
 #: Shingles that more sets of large classes hold are ordered behind the others, by their count.
 COMMON = 64
+#: So many of them are broadcast, 16 bytes each; beyond, they are joined.
+MOST_COMMON = 1 << 20
 
 _U64 = np.uint64
 
@@ -280,25 +282,42 @@ def rare_classes(large: DataFrame, num: int, den: int) -> DataFrame:
                 sig = np.repeat(rows.column(0).to_numpy(), [len(s) for s in sets])
                 yield pa.RecordBatch.from_arrays([pa.array(frames.signed(np.concatenate(sets))), pa.array(sig)], names=["shingle", "sig"])
 
+    counts = large.select("shingles").mapInArrow(counted, "shingle long, c long")
+    common = frames.settled(counts.groupBy("shingle").agg(F.sum("c").alias("c")).where(F.col("c") > COMMON))
+    sets = large.select("sig", "class", "shingles")
+    known = None
+    if common.count() <= MOST_COMMON:
+        table = common.toArrow()
+        name, c = table.column("shingle").to_numpy().view(_U64), table.column("c").to_numpy()
+        order = np.argsort(name)
+        known = large.sparkSession.sparkContext.broadcast((name[order], c[order]))
+        marked = sets.withColumn("common", F.lit(None))
+    else:
+        have = large.select("sig", "shingles").mapInArrow(spread, "shingle long, sig long").join(common, "shingle")
+        marked = sets.join(have.groupBy("sig").agg(F.collect_set(F.struct("shingle", "c")).alias("common")), "sig", "left")  # of one set each
+
+    def counts_of(s: np.ndarray, own: list | None) -> np.ndarray:
+        out = np.zeros(len(s), np.int64)
+        if known is None:
+            for x in own or ():
+                out[np.searchsorted(s, np.uint64(x["shingle"] & ((1 << 64) - 1)))] = x["c"]
+        elif len(known.value[0]):
+            name, c = known.value
+            at = np.minimum(np.searchsorted(name, s), len(name) - 1)
+            out = np.where(name[at] == s, c[at], 0)
+        return out
+
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             keys, sigs = [], []
             for i, s in enumerate(_blobs(rows)):
-                count = np.zeros(len(s), np.int64)
-                for x in rows.column(3)[i].as_py() or ():
-                    count[np.searchsorted(s, np.uint64(x["shingle"] & ((1 << 64) - 1)))] = x["c"]
-                first = np.lexsort((s, count))[: len(s) - -(-len(s) * num // den) + 1]
+                first = np.lexsort((s, counts_of(s, rows.column(3)[i].as_py())))[: len(s) - -(-len(s) * num // den) + 1]
                 salt = tk.mix(np.array([rows.column(1)[i].as_py()], np.int64).view(_U64))
                 keys.append(tk.mix(s[first] ^ salt))
                 sigs.append(np.full(len(first), rows.column(0)[i].as_py(), np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(frames.signed(np.concatenate(keys))), pa.array(np.concatenate(sigs))], names=["key", "sig"])
 
-    counts = large.select("shingles").mapInArrow(counted, "shingle long, c long")
-    common = frames.settled(counts.groupBy("shingle").agg(F.sum("c").alias("c")).where(F.col("c") > COMMON))
-    have = large.select("sig", "shingles").mapInArrow(spread, "shingle long, sig long").join(common, "shingle")
-    marks = have.groupBy("sig").agg(F.collect_set(F.struct("shingle", "c")).alias("common"))  # of one set each
-    marked = large.select("sig", "class", "shingles").join(marks, "sig", "left")
     stars = frames.settled(star_edges(marked.mapInArrow(prefixes, "key long, sig long")))
     finer = frames.settled(frames.components(stars).select(F.col("node").alias("sig"), F.col("component").alias("class")))
     frames.forget(common, stars)
@@ -339,17 +358,22 @@ def first_round(placed: DataFrame) -> DataFrame:
     return placed.withColumn("way", F.explode(F.coalesce(ways, alone))).select("sig", "class", "band", F.lit(0).cast("long").alias("x"), "way.y", "way.side")
 
 
-def second_round(placed: DataFrame, joined: DataFrame) -> DataFrame:
-    """(sig, class, band, x, y, side) of the comparisons that the first round has left open.
+def sets_apart(placed: DataFrame, joined: DataFrame) -> DataFrame:
+    """The sets outside block 0 of the groups of several blocks, each with whether it is apart from its group's largest component.
 
-    Sets of one component need no comparison with each other.  So of each group
-    only the sets apart from its largest component, in blocks of their own,
-    meet the others; where block 0 has linked a group of near copies, nothing is left.
+    Sets of one component need no comparison with each other, and those of block
+    0 have met all others; where block 0 has linked a group of near copies, no set is apart.
     """
     group = ["class", "band"]
     several = placed.where("blocks > 1").join(joined.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     main = several.groupBy(*group, "component").agg(F.count(F.lit(1)).alias("c")).groupBy(*group).agg(F.max(F.struct("c", "component")).alias("main"))
-    known = frames.settled(several.join(main.select(*group, F.col("main.component").alias("main")), group).where("mine > 0").withColumn("apart", F.col("component") != F.col("main")).drop("component", "main"))
+    known = several.join(main.select(*group, F.col("main.component").alias("main")), group).where("mine > 0").withColumn("apart", F.col("component") != F.col("main"))
+    return frames.settled(known.drop("component", "main"))
+
+
+def second_round(known: DataFrame) -> DataFrame:
+    """(sig, class, band, x, y, side): the sets apart, in blocks of their own, meet every block of their group but block 0."""
+    group = ["class", "band"]
     left = known.where("apart").groupBy(*group).agg(*_weight()).select(*group, _blocks(F.col("c"), F.col("w")).alias("own"))
     rest = known.join(frames.settled(left), group)
     to = lambda x, y, side: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(side).alias("side"))
@@ -358,12 +382,40 @@ def second_round(placed: DataFrame, joined: DataFrame) -> DataFrame:
     return rest.withColumn("way", F.explode(F.when(F.col("apart"), F.concat(here, there)).otherwise(here))).select("sig", *group, "way.x", "way.y", "way.side")
 
 
+def large_links(large: DataFrame, num: int, den: int) -> DataFrame:
+    """Links of the sets (sig, class, n, shingles) of classes of several blocks.
+
+    The first round joins groups of near copies.  Classes in which sets are
+    still apart, such as the pages of one template, are classed anew by rare
+    shingles; both rounds then find what is left in the finer classes.
+    """
+    key = ["class", "band", "x", "y"]
+    sets = large.select("sig", "shingles")
+    placed = in_blocks(large.select("sig", "n", "class").distinct(), num, den)
+    links = frames.settled(compared(sets.join(first_round(placed), "sig"), key, num, den))
+    joined = frames.settled(frames.components(links))
+    known = sets_apart(placed, joined)
+    still = frames.settled(known.where("apart").select("class").distinct())
+    if still.take(1):
+        finer = rare_classes(large.join(still, "class"), num, den)
+        again = in_blocks(large.select("sig", "n").distinct().join(finer, "sig"), num, den)
+        more = frames.settled(links.unionByName(compared(sets.join(first_round(again), "sig"), key, num, den)))
+        met = frames.settled(frames.components(more))
+        rest = sets_apart(again, met)
+        if rest.where("apart").take(1):
+            last = frames.settled(more.unionByName(compared(sets.join(second_round(rest), "sig"), key, num, den)))
+            frames.forget(more)
+            more = last
+        frames.forget(links, finer, again, met, rest)
+        links = more
+    frames.forget(placed, joined, known, still)
+    return links
+
+
 def verified_links(docs: DataFrame, names: DataFrame, classes: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
     """Links (a, b) between sets of one candidate class that join all linked sets.
 
-    A class of one block is compared whole.  The sets of larger classes are
-    classed anew by rare shingles (``rare_classes``), cut by size and compared
-    in two rounds of block pairs.
+    A class of one block is compared whole, larger ones by ``large_links``.
     """
     held = held_sets(docs, names, classes, id_col, text_col, k)
     spans = frames.settled(held.groupBy("class").agg(*_weight()).where("c > 1").select("class", _blocks(F.col("c"), F.col("w")).alias("all")))
@@ -371,18 +423,9 @@ def verified_links(docs: DataFrame, names: DataFrame, classes: DataFrame, id_col
     links = frames.settled(compared(whole, ["class"], num, den))
     if spans.where("all > 1").take(1):
         large = frames.settled(held.join(spans.where("all > 1").select("class"), "class"))
-        finer = rare_classes(large, num, den)
-        placed = in_blocks(large.select("sig", "n").distinct().join(finer, "sig"), num, den)
-        sets = large.select("sig", "shingles")
-        key = ["class", "band", "x", "y"]
-        first = frames.settled(links.unionByName(compared(sets.join(first_round(placed), "sig"), key, num, den)))
-        joined = frames.settled(frames.components(first))
-        second = frames.settled(second_round(placed, joined))
-        both = first
-        if second.take(1):
-            both = frames.settled(first.unionByName(compared(sets.join(second, "sig"), key, num, den)))
-            frames.forget(first)
-        frames.forget(links, large, finer, placed, joined, second)
+        others = large_links(large, num, den)
+        both = frames.settled(links.unionByName(others))
+        frames.forget(links, large, others)
         links = both
     frames.forget(held, spans)
     return links

@@ -258,6 +258,8 @@ def test_pages_of_a_template_are_no_candidates(spark, monkeypatch):
     docs, held = large_of(spark, texts, monkeypatch, 50)
     assert held.groupBy("class").count().agg(F.max("count")).first()[0] > 300  # one class by their segments
     finer = sketchjoin.rare_classes(held, 80, 100)
+    monkeypatch.setattr(sketchjoin, "MOST_COMMON", 0)  # the counts are joined, not broadcast
+    assert sorted(map(str, sketchjoin.rare_classes(held, 80, 100).collect())) == sorted(map(str, finer.collect()))
     assert finer.count() == 14 and {r["count"] for r in finer.groupBy("class").count().collect()} == {2}
     out = {r["id"]: r["component_id"] for r in sketchjoin.jaccard_components(docs).collect()}
     assert out == {i: i if i < 400 else i - 400 for i in range(407)}
@@ -271,12 +273,11 @@ def test_near_copies_need_one_round(spark, monkeypatch):
         x[rng.randrange(300)] = f"n{rng.randrange(10**9)}"
         texts.append(" ".join(x))
     docs, held = large_of(spark, texts, monkeypatch, 20)
-    finer = sketchjoin.rare_classes(held, 80, 100)
-    placed = sketchjoin.in_blocks(held.select("sig", "n").join(finer, "sig"), 80, 100)
+    placed = sketchjoin.in_blocks(held.select("sig", "n", "class"), 80, 100)
     moves = sketchjoin.first_round(placed)
     assert placed.agg(F.max("blocks")).first()[0] >= 10 and moves.count() < 3 * placed.count()
     links = frames.settled(sketchjoin.compared(held.select("sig", "shingles").join(moves, "sig"), ["class", "band", "x", "y"], 80, 100))
-    assert sketchjoin.second_round(placed, frames.components(links)).count() == 0
+    assert sketchjoin.sets_apart(placed, frames.components(links)).where("apart").count() == 0
     assert {r["component_id"] for r in sketchjoin.jaccard_components(docs).collect()} == {0}
 
 
@@ -303,7 +304,18 @@ def test_keep_one_of_many_equal_rows(spark):
     assert sum("text='a b c d e f g'" in r and "doc_id=1" in r for r in kept) == 1
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(frames, "FEW_EDGES", few)
+    assert frames.components(spark.createDataFrame([(3, 3), (None, 1)], "a long, b long")).count() == 0
+    rng = random.Random(2)
+    pairs = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(70)]
+    root = {x: x for p in pairs for x in p}
+    for _ in root:
+        for x, y in pairs:
+            root[x] = root[y] = min(root[x], root[y])
+    got = {r["node"]: r["component"] for r in frames.components(spark.createDataFrame(pairs, "a long, b long").repartition(3)).collect()}
+    assert got == {x: root[x] for x, y in pairs if x != y} | {y: root[y] for x, y in pairs if x != y}
     e = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (9, 9), (None, 1), (7, 8), (8, 6), (3, 10), (10, 11)], "a long, b long")
     assert {r["node"]: r["component"] for r in frames.components(e).collect()} == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 4: 4, 5: 4, 6: 6, 7: 6, 8: 6}
 
