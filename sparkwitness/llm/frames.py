@@ -88,6 +88,25 @@ def forget(*tables: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: A key of more than one in so many rows is hot; there are at most so many hot keys.
+HOT_PARTS = 256
+
+
+def lookup(rows: DataFrame, unique: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """Rows joined with the one row of ``unique`` that has their key; rows without one are left out.
+
+    ``weight`` is a column of ``unique`` that counts the rows of its key (or
+    more), ``total`` the number of rows.  Keys of more than total / HOT_PARTS
+    rows are fewer than HOT_PARTS, so their rows of ``unique`` are broadcast and
+    the rows that have them stay where they are; the other keys are shuffled.
+    """
+    is_hot = F.col(weight) * HOT_PARTS > total
+    few = unique.where(is_hot)
+    hot = rows.join(F.broadcast(few), on).drop(weight)
+    cold = rows.join(F.broadcast(few.select(*on)), on, "left_anti").join(unique.where(~is_hot), on).drop(weight)
+    return hot.unionByName(cold)
+
+
 #: So many edges (16 bytes each) are joined by one task of the executors; more of them by distributed rounds.
 FEW_EDGES = 1 << 18
 
