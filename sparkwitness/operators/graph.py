@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..tables import lookup, ordered, settled, with_previous
+
 OUT_STEPS = ("CALLS", "TESTED_BY", "READS_FROM", "WRITES_TO", "SERVES_ENDPOINT")
 CODE_TYPES = ("FUNCTION", "CLASS")
 
@@ -54,38 +56,52 @@ def steps(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return forward.unionByName(backward)
 
 
+def _first_of(found: DataFrame, room: int) -> tuple[DataFrame, int, bool]:
+    """The first ``room`` rows of a level, their number, and whether there were more.
+
+    ``found`` is in queue order by (rk, id).  The order is that of a table
+    sorted by ranges; only counts come to the driver.
+    """
+    level = ordered(found, "rk", "id")
+    many = level.count()
+    if many > room:
+        level = with_previous(level, []).where(F.col("_pos") <= room).drop("_pos")
+    return level.withColumn("rk", F.col("_seq")).drop("_seq", "_part"), min(many, room), many > room
+
+
 def traverse(nodes: DataFrame, edges: DataFrame, max_depth: int = 3, max_nodes: int = 64) -> tuple[DataFrame, list[str]]:
     """Impact traversal from the changed nodes: first visit wins in queue order.
 
     Returns the reached nodes (id, node_type, key, distance, edge_path,
-    confidence) and the diagnostics.  The driver holds the queue, ``max_nodes``
-    short rows at most; each level joins that queue to the steps by broadcast.
+    confidence) and the diagnostics.  The queue is a table: a node's place in it
+    is its rank ``rk`` in its level, which follows from the place of the node
+    that it was found from and from its own id, as a node's steps are taken in
+    the order of their targets.  Each level is a join with the steps, a
+    partially aggregated minimum (the first visit), an anti join with what was
+    reached, and a sort by ranges; a level ends where the cap is reached.
     """
-    spark = nodes.sparkSession
-    schema = "id string, distance int, edge_path array<string>, confidence double"
-    start = nodes.where("changed").select("id", "confidence").orderBy("id").limit(max_nodes + 1).collect()
-    notes = [] if start else ["no_changed_graph_nodes"]
-    truncated = len(start) > max_nodes
-    queue = [(r["id"], 0, [], r["confidence"]) for r in start[:max_nodes]]
-    reached = list(queue)
-    moves = steps(nodes, edges).persist()  # read once a level; blocks that do not fit go to disk
-    for depth in range(max_depth):
-        if not queue:
+    moves = settled(steps(nodes, edges))
+    fan = settled(moves.groupBy("src").agg(F.count(F.lit(1)).alias("_fan")))
+    n_moves = fan.agg(F.sum("_fan")).first()[0] or 0
+    path = F.array().cast("array<string>")
+    first = nodes.where("changed").select(F.lit(0).cast("long").alias("rk"), "id", F.lit(0).alias("distance"), path.alias("edge_path"), "confidence")
+    front, count, truncated = _first_of(first, max_nodes)
+    notes, room, reached = [] if count or truncated else ["no_changed_graph_nodes"], max_nodes - count, front
+    for depth in range(1, max_depth + 1):
+        # Once the cap is reached and passed, no later level adds a row or a note.
+        if not count or truncated and not room:
             break
-        front = spark.createDataFrame([(x[0], i, x[2], x[3]) for i, x in enumerate(queue)], "src string, rk int, edge_path array<string>, confidence double")
-        seen = spark.createDataFrame([(x[0],) for x in reached], "dst string")
-        found = moves.join(F.broadcast(front), "src").join(F.broadcast(seen), "dst", "left_anti")
-        first = found.groupBy("dst").agg(F.min(F.struct("rk", "edge_type", "dir", "step_confidence", "edge_path", "confidence")).alias("s"))
-        room = max_nodes - len(reached)
-        rows = first.orderBy("s.rk", "dst").limit(room + 1).collect()
-        truncated |= len(rows) > room
-        queue = [(r["dst"], depth + 1, [*r["s"]["edge_path"], r["s"]["edge_type"]], min(r["s"]["confidence"], r["s"]["step_confidence"])) for r in rows[:room]]
-        reached += queue
-    moves.unpersist()
+        at = front.select(F.col("id").alias("src"), "rk", "edge_path", "confidence").join(fan, "src")
+        visits = lookup(moves, at, ["src"], "_fan", n_moves)
+        won = visits.groupBy("dst").agg(F.min(F.struct("rk", "edge_type", "dir", "step_confidence", "edge_path", "confidence")).alias("s"))
+        new = won.join(reached.select(F.col("id").alias("dst")), "dst", "left_anti").select(
+            "s.rk", F.col("dst").alias("id"), F.lit(depth).alias("distance"), F.concat("s.edge_path", F.array("s.edge_type")).alias("edge_path"), F.least("s.confidence", "s.step_confidence").alias("confidence")
+        )
+        front, count, more = _first_of(new, room)
+        truncated, room, reached = truncated or more, room - count, reached.unionByName(front)
     if truncated:
         notes.append("traversal_node_limit")
-    out = spark.createDataFrame(reached, schema)
-    return nodes.select("id", "node_type", "key").join(F.broadcast(out), "id"), sorted(notes)
+    return nodes.select("id", "node_type", "key").join(reached.drop("rk"), "id"), sorted(notes)
 
 
 def distances(nodes: DataFrame, edges: DataFrame, depth: int, settle: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -140,15 +156,38 @@ def longest_module(imports: DataFrame, modules: DataFrame) -> DataFrame:
     return imports.select("name").distinct().join(best, "name", "left").select("name", F.col("m.module").alias("module"), F.col("m.id").alias("id"))
 
 
+#: Lines are numbered below 2**_LEVELS.
+_LEVELS = 32
+
+
+def _segments(first: Column, last: Column) -> Column:
+    """The aligned segments (level, at) that make up first..last: at most two of each size 2**level."""
+    found = []
+    for k in range(_LEVELS):
+        a, b = F.shiftright(first + (1 << k) - 1, k), F.shiftright(last + 1, k)
+        found.append(F.when((a < b) & (a % 2 == 1), F.struct(F.lit(k).alias("level"), a.alias("at"))))
+        found.append(F.when((a < b) & (b % 2 == 1), F.struct(F.lit(k).alias("level"), (b - 1).alias("at"))))
+    return F.array_compact(F.array(*found))
+
+
 def owners_of_lines(intervals: DataFrame, scopes: DataFrame) -> DataFrame:
     """Owning scope of each changed line: the innermost one that holds it.
 
-    ``intervals`` (file, start, count) and ``scopes`` (file, symbol, first,
-    last, depth) are both cut into lines and joined on (file, line).
+    ``intervals`` (file, start, count) name the lines, ``scopes`` (file, symbol,
+    first, last, depth) their candidates.  A scope is cut into aligned segments,
+    at most 2 * 32 however long it is, and a line lies in one segment of each
+    size, so that the join is on (file, level, at); only sizes that occur are
+    joined.  A scope that ends before it begins holds no line.
     """
-    lines = intervals.where("count > 0").select("file", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("count") - 1)).alias("line")).distinct()
-    owned = scopes.select("file", "symbol", "depth", F.explode(F.sequence("first", "last")).alias("line"))
-    return lines.join(owned, ["file", "line"]).groupBy("file", "line").agg(F.max_by("symbol", F.struct("depth", "symbol")).alias("symbol"))
+    lines = intervals.where("count > 0").select("file", F.explode(F.sequence(F.col("start").cast("long"), (F.col("start") + F.col("count") - 1).cast("long"))).alias("line")).distinct()
+    cut = settled(scopes.select("file", "symbol", "depth", F.explode(_segments(F.col("first").cast("long"), F.col("last").cast("long"))).alias("s")).select("file", "symbol", "depth", "s.level", "s.at"))
+    levels = sorted(r["level"] for r in cut.select("level").distinct().collect())  # at most 32
+    if not levels:
+        return lines.where(F.lit(False)).withColumn("symbol", F.lit(None).cast("string"))
+    at = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright("line", k).alias("at")) for k in levels])
+    places = lines.select("file", "line", F.explode(at).alias("s")).select("file", "line", "s.level", "s.at")
+    best = cut.groupBy("file", "level", "at").agg(F.max(F.struct("depth", "symbol")).alias("inner"))
+    return places.join(best, ["file", "level", "at"]).groupBy("file", "line").agg(F.max("inner").alias("inner")).select("file", "line", F.col("inner.symbol").alias("symbol"))
 
 
 def occurrence_names(symbols: DataFrame, key: str, *order: str) -> DataFrame:

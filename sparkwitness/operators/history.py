@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..tables import ordered, with_previous
+
 # Allowed transitions of a run's status.
 TRANSITIONS = (("queued", "running"), ("queued", "cancelled"), ("running", "succeeded"), ("running", "failed"), ("running", "cancelled"), ("running", "inconclusive"))
 
@@ -17,11 +21,13 @@ def latest(df: DataFrame, parent: str, *order: Column) -> DataFrame:
 
 
 def transition_faults(spark: SparkSession, states: DataFrame, key: str, *order: str) -> DataFrame:
-    """Rows whose status may not follow the one before; equal statuses are no transition."""
-    before = F.lag("status").over(Window.partitionBy(key).orderBy(*order))
-    moves = states.withColumn("before", before).where("before is not null and before <> status")
+    """Rows whose status may not follow the one before; equal statuses are no transition.
+
+    A run's history is sorted by ranges, so a long one spans many tasks.
+    """
+    moves = with_previous(ordered(states, key, *order), [key], "status").withColumnRenamed("_before_status", "before").drop("_seq", "_part", "_pos")
     allowed = spark.createDataFrame(TRANSITIONS, "before string, status string")
-    return moves.join(F.broadcast(allowed), ["before", "status"], "left_anti")  # six rows
+    return moves.where("before is not null and before <> status").join(F.broadcast(allowed), ["before", "status"], "left_anti")  # six rows
 
 
 def create_or_get(requests: DataFrame, key: str, payload: Column, *order: str) -> DataFrame:
@@ -65,32 +71,82 @@ def duplicate_attempts(attempts: DataFrame, run: str, digest: str, order: str) -
     return attempts.withColumn("duplicate", n > 1)
 
 
+@dataclass(frozen=True)
+class Stage:
+    """A state of the remediation machine."""
+
+    stage: str = "context"
+    attempts: int = 0
+    failed: bool = False
+    pending: str | None = None
+    reason: str | None = None
+
+    def after(self, outcome: str, max_attempts: int) -> Stage:
+        """The state that an outcome leads to."""
+        if self.stage == "stopped":
+            return self
+        good = outcome == "ok"
+        if self.stage != "decide":
+            following = STAGES[STAGES.index(self.stage) + 1] if good else "decide"
+            return Stage(following, self.attempts + (self.stage == "context"), self.failed or not good, outcome if outcome in FINAL else self.pending)
+        if self.pending:
+            reason = self.pending
+        elif good and not self.failed:
+            reason = "verified"
+        elif outcome == "declined":
+            reason = "decision_declined"
+        else:
+            reason = "max_attempts" if self.attempts >= max_attempts else None
+        return Stage("stopped", self.attempts, False, self.pending, reason) if reason else Stage("context", self.attempts)
+
+
+# Stages of an attempt in order, and outcomes that end a run at its decision.
+STAGES = ("context", "diagnose", "patch", "validate", "verify", "decide")
+FINAL = ("duplicate_patch", "time_budget_exceeded", "token_budget_exceeded", "cost_budget_exceeded")
+#: All outcomes that differ in their effect; any other one counts as the last.
+OUTCOMES = ("ok", "declined", *FINAL, "failed")
+#: So many events or maps are composed in one row.
+COMPOSED = 1024
+
+
+def automaton(max_attempts: int) -> tuple[list[Stage], list[list[int]]]:
+    """The states that can be reached, the first one at 0, and for each outcome the state that follows each."""
+    states = [Stage()]
+    at = {states[0]: 0}
+    for state in states:  # grows while it is read
+        for o in OUTCOMES:
+            new = state.after(o, max_attempts)
+            if new not in at:
+                at[new] = len(states)
+                states.append(new)
+    return states, [[at[s.after(o, max_attempts)] for s in states] for o in OUTCOMES]
+
+
 def replay(events: DataFrame, run: str, order: str, max_attempts: int = 3) -> DataFrame:
-    """Remediation state machine over recorded outcomes, as an ordered fold of each run.
+    """Remediation state machine over recorded outcomes of each run: (run, stage, attempts, reason).
 
     Stages follow context, diagnose, patch, validate, verify, decide.  An outcome
     other than ok goes to decide; a duplicate patch or a spent budget ends the
     run there.  Else decide ends it as verified when the attempt went well, as
     declined when the decision says so, and at the last attempt; otherwise the
     next attempt starts with its context.
+
+    Each event is a map from state to state, and composing maps is associative:
+    events are composed in blocks of consecutive ones, blocks in larger blocks,
+    and what is left of a run (about one map for each range of rows that it
+    spans) in one row.  A run of any length is so dealt over many tasks.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "outcome")))
-    start = F.struct(F.lit("context").alias("stage"), F.lit(0).alias("attempts"), F.lit(False).alias("failed"), F.lit(None).cast("string").alias("pending"), F.lit(None).cast("string").alias("reason"))
-    final = ("duplicate_patch", "time_budget_exceeded", "token_budget_exceeded", "cost_budget_exceeded")
-    following = F.create_map(*[F.lit(x) for pair in (("context", "diagnose"), ("diagnose", "patch"), ("patch", "validate"), ("validate", "verify"), ("verify", "decide")) for x in pair])
-
-    def step(s, x):
-        stage = s["stage"]
-        attempts = s["attempts"] + F.when(stage == "context", 1).otherwise(0)
-        good, deciding = x["outcome"] == "ok", stage == "decide"
-        end = F.when(s["pending"].isNotNull(), s["pending"]).when(good & ~s["failed"], "verified").when(x["outcome"] == "declined", "decision_declined").when(attempts >= max_attempts, "max_attempts")
-        moved = F.when(stage == "stopped", "stopped").when(deciding, F.when(end.isNotNull(), "stopped").otherwise("context")).when(good, following[stage]).otherwise("decide")
-        pending = F.when(~deciding & x["outcome"].isin(*final), x["outcome"]).otherwise(s["pending"])
-        failed = F.when(deciding, F.lit(False)).otherwise(s["failed"] | ~good)
-        reason = F.coalesce(s["reason"], F.when(deciding, end))
-        return F.struct(moved.alias("stage"), attempts.cast("int").alias("attempts"), failed.alias("failed"), pending.alias("pending"), reason.alias("reason"))
-
-    return events.groupBy(run).agg(ordered.alias("_e")).select(run, F.aggregate("_e", start, step).alias("s")).select(run, "s.stage", "s.attempts", "s.reason")
+    states, table = automaton(max_attempts)
+    code = F.coalesce(F.array_position(F.array(*map(F.lit, OUTCOMES)), F.col("outcome")), F.lit(0))
+    effects = F.array(*map(F.lit, table))
+    same = F.lit(list(range(len(states))))
+    rows = ordered(events.select(F.col(run).alias("run"), F.col(order).alias("o"), F.when(code > 0, code - 1).otherwise(len(OUTCOMES) - 1).cast("int").alias("code")), "run", "o", "code")
+    composed = lambda use: F.aggregate(F.sort_array(F.collect_list(F.struct("b", "m"))), same, lambda m, x: F.transform(m, lambda s: F.get(use(x["m"]), s))).alias("m")
+    blocks = rows.select("run", F.expr(f"_seq div {COMPOSED}").alias("block"), F.col("_seq").alias("b"), F.col("code").alias("m")).groupBy("run", "block").agg(composed(lambda c: F.get(effects, c)))
+    wide = blocks.select("run", F.expr(f"block div {COMPOSED}").alias("wide"), F.col("block").alias("b"), "m").groupBy("run", "wide").agg(composed(lambda m: m))
+    whole = wide.select("run", F.col("wide").alias("b"), "m").groupBy("run").agg(composed(lambda m: m))
+    end = F.get(F.array(*[F.struct(F.lit(s.stage).alias("stage"), F.lit(s.attempts).alias("attempts"), F.lit(s.reason).cast("string").alias("reason")) for s in states]), F.get("m", F.lit(0)))
+    return whole.select(F.col("run").alias(run), end.alias("s")).select(run, "s.stage", "s.attempts", "s.reason")
 
 
 def evidence_report(runs: DataFrame, verifications: DataFrame, findings: DataFrame, run: str) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..tables import lookup, ordered, settled, with_previous
 
 SEPARATOR = "\x1f"
 
@@ -48,10 +52,13 @@ def canary(df: DataFrame, policy: Policy) -> DataFrame:
 
 
 def lifecycle(observed: DataFrame, release: str, order: str) -> DataFrame:
-    """Observations of a release up to its first terminal decision; later ones change nothing."""
-    terminal = F.col("action").isin("promote", "rollback").cast("int")
-    before = Window.partitionBy(release).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return observed.withColumn("_done", F.coalesce(F.max(terminal).over(before), F.lit(0))).where("_done = 0").drop("_done")
+    """Observations of a release up to its first terminal decision; later ones change nothing.
+
+    The first decision is one partially aggregated minimum for each release.
+    """
+    ends = settled(observed.groupBy(release).agg(F.min(F.when(F.col("action").isin("promote", "rollback"), F.col(order))).alias("_end"), F.count(F.lit(1)).alias("_n")))
+    total = ends.agg(F.sum("_n")).first()[0] or 0
+    return lookup(observed, ends, [release], "_n", total).where(F.col("_end").isNull() | (F.col(order) <= F.col("_end"))).drop("_end")
 
 
 def summary(events: DataFrame, release: str, order: str) -> DataFrame:
@@ -67,23 +74,41 @@ def record_hash(previous: Column, body: Column) -> Column:
 
 
 def chain(records: DataFrame, release: str, order: str, body: str) -> DataFrame:
-    """Journal rows with previous_hash and record_hash; a release's journal is one ordered fold."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("sequence"), F.col(body).alias("body"))))
-    start = F.array().cast("array<struct<sequence:bigint,body:string,previous_hash:string,record_hash:string>>")
+    """Journal rows (release, sequence, body, previous_hash, record_hash).
 
-    def step(acc, x):
-        previous = F.coalesce(F.try_element_at(acc, F.lit(-1))["record_hash"], F.lit(""))
-        return F.concat(acc, F.array(F.struct(x["sequence"].cast("long").alias("sequence"), x["body"].alias("body"), previous.alias("previous_hash"), record_hash(previous, x["body"]).alias("record_hash"))))
+    Each hash needs the one before, so a release's records pass one task in
+    order; the task carries one hash and streams the records, in linear time and
+    in the memory of a batch.  A null body counts as empty.
+    """
+    kind = records.schema[release].dataType.simpleString()
+    t = records.select(F.col(release).alias("release"), F.col(order).cast("long").alias("sequence"), F.col(body).alias("body"))
 
-    return records.groupBy(release).agg(ordered.alias("_r")).select(release, F.explode(F.aggregate("_r", start, step)).alias("x")).select(release, "x.*")
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last, started = None, "", False
+        for b in batches:
+            before, after = [], []
+            for r, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if not started or r != now:
+                    now, last, started = r, "", True
+                before.append(last)
+                last = hashlib.sha256(f"{last}{SEPARATOR}{text or ''}".encode()).hexdigest()
+                after.append(last)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(before, pa.string()), pa.array(after, pa.string())], names=["release", "sequence", "body", "previous_hash", "record_hash"])
+
+    out = t.repartition("release").sortWithinPartitions("release", "sequence", "body").mapInArrow(linked, f"release {kind}, sequence long, body string, previous_hash string, record_hash string")
+    return out.withColumnRenamed("release", release)
 
 
 def verify_chain(journal: DataFrame, release: str) -> DataFrame:
-    """First fault of each journal: a broken link, a changed record or a gap; null where it holds."""
-    w = Window.partitionBy(release).orderBy("sequence")
-    before = F.coalesce(F.lag("record_hash").over(w), F.lit(""))
-    fault = F.when(F.col("previous_hash") != before, "chain is broken").when(F.col("record_hash") != record_hash(F.col("previous_hash"), F.col("body")), "record was modified").when(F.col("sequence") != F.row_number().over(w) - 1, "sequence has a gap")
-    j = journal.withColumn("fault", fault)
+    """First fault of each journal: a broken link, a changed record or a gap; null where it holds.
+
+    Every record is held against the one before it, in parallel: journals are
+    sorted by ranges, so a long one spans many tasks.
+    """
+    j = with_previous(ordered(journal, release, "sequence"), [release], "record_hash")
+    before = F.coalesce("_before_record_hash", F.lit(""))
+    fault = F.when(F.col("previous_hash") != before, "chain is broken").when(F.col("record_hash") != record_hash(F.col("previous_hash"), F.coalesce("body", F.lit(""))), "record was modified").when(F.col("sequence") != F.col("_pos") - 1, "sequence has a gap")
+    j = j.withColumn("fault", fault)
     return j.groupBy(release).agg(F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("sequence"))).alias("fault"), F.count(F.lit(1)).alias("records"))
 
 

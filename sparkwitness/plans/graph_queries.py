@@ -56,9 +56,9 @@ def g13(spark, sf):
     return t.select("l_suppkey", F.round(c, 9).alias("completeness"), F.round("scanned", 9).alias("scanned"))
 
 
-@query("a01_impact_traversal")
+@query("a01_impact_traversal", f"WITH {p.traversal_sql()} SELECT id, node_type, key, distance, edge_path, confidence, diagnostics FROM reached, notes")
 def a01(spark, sf):
-    """Bounded traversal in queue order (tests compare it with a plain queue)."""
+    """Bounded traversal in queue order."""
     reached, notes = gr.traverse(p.nodes(spark, sf), p.edges(spark, sf))
     return reached.withColumn("diagnostics", F.lit(",".join(notes)))
 
@@ -95,14 +95,23 @@ def j19(spark, sf):
     return gr.induced(edges, near)
 
 
-@query("j19_traversal_subgraph")
+@query("j19_traversal_subgraph", f"WITH {p.traversal_sql()} SELECT DISTINCT source, target, edge_type FROM edges WHERE source IN (SELECT id FROM reached) AND target IN (SELECT id FROM reached)")
 def j19_traversal(spark, sf):
-    """Edges with both ends among A1's reached nodes (tests compare it with a plain version)."""
+    """Edges with both ends among A1's reached nodes."""
     nodes, edges = p.nodes(spark, sf), p.edges(spark, sf)
     return gr.induced(edges, gr.traverse(nodes, edges)[0])
 
 
-@query("a02_repository_context")
+def _keys_sql(condition: str) -> str:
+    """Keys in (distance, id) order, each at its first place."""
+    return f"(SELECT coalesce(list(key ORDER BY distance, id), []) FROM (SELECT key, distance, id, row_number() OVER (PARTITION BY key ORDER BY distance, id) AS n FROM reached WHERE {condition}) WHERE n = 1)"
+
+
+@query(
+    "a02_repository_context",
+    f"""WITH {p.traversal_sql()} SELECT {_keys_sql("distance = 0")} AS changed_symbols, {_keys_sql("node_type IN ('FUNCTION', 'CLASS')")} AS affected_symbols, {_keys_sql("node_type = 'TEST'")} AS affected_tests,
+{_keys_sql("node_type = 'ENDPOINT'")} AS affected_endpoints, {_keys_sql("node_type = 'DATABASE_TABLE'")} AS affected_data_dependencies, {_keys_sql("node_type = 'LOAD_SCENARIO'")} AS load_scenarios, (SELECT max(distance) FROM reached) AS max_distance""",
+)
 def a02(spark, sf):
     """Typed keys of the reached nodes in traversal order."""
     reached, _ = gr.traverse(p.nodes(spark, sf), p.edges(spark, sf))
@@ -134,6 +143,37 @@ def a16_traversal(spark, sf):
     return pd.impact_prediction(nodes, edges, reached, paths, 0.9, workloads)
 
 
+@query(
+    "a16_traversal_items",
+    f"""WITH {p.traversal_sql()}, {_CENTRALITY_SQL},
+item AS (SELECT CASE WHEN node_type IN ('ENDPOINT', 'DATABASE_TABLE') THEN 'service' WHEN node_type IN ('FUNCTION', 'CLASS', 'TEST') THEN 'symbol' ELSE 'runtime_path' END AS kind, key,
+  greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.55 * confidence + 0.25 * centrality + 0.20 * changed::INT)) AS score, 'reachable at distance ' || distance::VARCHAR AS reason, list_prepend('graph-traversal', edge_path) AS provenance, distance, r.id
+  FROM reached r JOIN cen ON cen.id = r.id)
+SELECT kind, key, round(score, 9) AS score, reason, provenance FROM (SELECT *, row_number() OVER (PARTITION BY kind, key ORDER BY distance DESC, id DESC) AS n FROM item) WHERE n = 1""",
+)
+def a16_items(spark, sf):
+    """Items of A1's reached nodes as rows, each with its score, reason and path."""
+    nodes, edges = p.nodes(spark, sf), p.edges(spark, sf)
+    return pd.predicted_items(gr.traverse(nodes, edges)[0], gr.degree_centrality(nodes, edges), nodes).withColumn("score", F.round("score", 9))
+
+
+@query(
+    "a16_traversal_summary",
+    f"""WITH {p.traversal_sql()}, {_CENTRALITY_SQL}, f AS (SELECT greatest(0.0, least(1.0, (SELECT count(*) FROM reached) / (SELECT count(*) FROM nodes)::DOUBLE)) AS reachability, (SELECT max(centrality) FROM cen) AS centrality,
+  CASE WHEN (SELECT count(*) FROM nodes WHERE changed) > 0 THEN 1.0 ELSE 0.0 END AS changed_file_type)
+SELECT (SELECT list('w' || r_regionkey::VARCHAR ORDER BY 'w' || r_regionkey::VARCHAR) FROM region) AS required_workload_ids, round(reachability, 9) AS reachability, round(centrality, 9) AS centrality, changed_file_type::DOUBLE AS changed_file_type, 0.25::DOUBLE AS history_churn,
+  round(0.9::DOUBLE * (0.5 + 0.5 * 4 / 6.0), 9) AS confidence, ['coverage:omitted', 'graph:incomplete', 'ownership:omitted'] AS omitted_context, 0.9::DOUBLE AS graph_completeness, 1.0::DOUBLE AS validation_required, 'impact-v1' AS predictor_revision FROM f""",
+)
+def a16_summary(spark, sf):
+    """Features, confidence, risk signals and omissions of the prediction from A1's reached nodes."""
+    nodes, edges = p.nodes(spark, sf), p.edges(spark, sf)
+    workloads = table(spark, sf, "region").select(F.col("r_regionkey").alias("position"), F.concat(F.lit("w"), F.col("r_regionkey").cast("string")).alias("workload_id"), F.lit(0.5).alias("confidence"), F.lit("registered").alias("reason"))
+    paths = nodes.where("changed").select(F.concat(F.col("key"), F.lit(".py")).alias("path"))
+    out = pd.impact_prediction(nodes, edges, gr.traverse(nodes, edges)[0], paths, 0.9, workloads, {"history": 0.25})
+    rounded = lambda c: F.round(f"features.{c}", 9).alias(c)
+    return out.select("required_workload_ids", rounded("reachability"), rounded("centrality"), "features.changed_file_type", "features.history_churn", F.round("confidence", 9).alias("confidence"), "omitted_context", "risk_signals.graph_completeness", "risk_signals.validation_required", "predictor_revision")
+
+
 @query(
     "j11_call_resolution",
     """WITH calls AS (SELECT o_orderkey AS caller, 'Customer#' || lpad((o_custkey + o_custkey % 3 * 500)::VARCHAR, 9, '0') AS name FROM orders), alias AS (SELECT 'Customer#' || lpad((c_custkey + 1600)::VARCHAR, 9, '0') AS alias, c_name AS target FROM customer WHERE c_acctbal < 0)

@@ -125,9 +125,19 @@ def w10(spark, sf):
     return out.select("conv_id", "turn", "used_time", "used_token", "cutoff", "duplicate")
 
 
-@query("a26_remediation_replay")
+@query(
+    "a26_remediation_replay",
+    """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CASE WHEN event_type = 'error' THEN 'failed' WHEN event_id % 97 = 0 THEN 'token_budget_exceeded' ELSE 'ok' END AS o FROM events),
+w(user_id, i, stage, attempts, failed, pending, reason) AS (SELECT DISTINCT user_id, 0, 'context', 0, false, NULL::VARCHAR, NULL::VARCHAR FROM events UNION ALL
+  SELECT user_id, i, CASE WHEN stage = 'decide' THEN CASE WHEN why IS NULL THEN 'context' ELSE 'stopped' END WHEN o <> 'ok' THEN 'decide'
+      ELSE CASE stage WHEN 'context' THEN 'diagnose' WHEN 'diagnose' THEN 'patch' WHEN 'patch' THEN 'validate' WHEN 'validate' THEN 'verify' ELSE 'decide' END END,
+    attempts + (stage = 'context')::INT, stage <> 'decide' AND (failed OR o <> 'ok'), CASE WHEN stage <> 'decide' AND o = 'token_budget_exceeded' THEN o ELSE pending END, why
+  FROM (SELECT w.user_id, e.i::INT AS i, stage, attempts, failed, pending, o, CASE WHEN stage = 'decide' THEN CASE WHEN pending IS NOT NULL THEN pending WHEN o = 'ok' AND NOT failed THEN 'verified' WHEN attempts >= 3 THEN 'max_attempts' END END AS why
+    FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1 WHERE stage <> 'stopped'))
+SELECT user_id, arg_max(stage, i) AS stage, max(attempts) AS attempts, arg_max(reason, i) AS reason FROM (SELECT user_id, i, stage, attempts, coalesce(reason, '') AS r, reason FROM w) GROUP BY 1""",
+)
 def a26(spark, sf):
-    """Replay of the remediation stages (tests compare it with a plain fold)."""
+    """Replay of the remediation stages."""
     e = table(spark, sf, "events").select("user_id", "event_id", F.when(F.col("event_type") == "error", "failed").when(F.col("event_id") % 97 == 0, "token_budget_exceeded").otherwise("ok").alias("outcome"))
     return hi.replay(e, "user_id", "event_id")
 

@@ -27,7 +27,7 @@ def entries(spark, sf):
 @query("w07_greedy_budget", f"WITH {_ENTRIES}, f AS (SELECT brand, {_FOLD} AS f FROM e GROUP BY 1) SELECT brand, f.s AS selected, len(f.o) AS over_budget, f.u AS used FROM f")
 def w07(spark, sf):
     """Greedy selection in (priority, type, id) order, skipping what does not fit."""
-    return pl.greedy_selection(entries(spark, sf), "brand").select("brand", "selected", F.size("over_budget").alias("over_budget"), "used")
+    return pl.greedy_selection(entries(spark, sf), "brand").select("brand", "selected", "over_budget", "used")
 
 
 _MATCH = "CASE kind WHEN 'exact' THEN evidence = value WHEN 'prefix' THEN starts_with(evidence, value) ELSE contains(lower(evidence), lower(value)) END"
@@ -72,7 +72,7 @@ def a06(spark, sf):
     """Plan of each registry with omissions, budget and state."""
     matched = pl.first_match(criteria(spark, sf), evidence(spark, sf)).withColumnRenamed("run_id", "brand")
     out = pl.plan(entries(spark, sf), matched, "brand")
-    return out.select("brand", F.size("selected").alias("selected"), F.size("over_budget").alias("over_budget"), "used", "incomplete_graph", "node_evidence", "state", "confidence")
+    return out.select("brand", F.size("selected").alias("selected"), "over_budget", "used", "incomplete_graph", "node_evidence", "state", "confidence")
 
 
 @query("g08_duplicate_ids", "SELECT p_name AS workload_id, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 30")

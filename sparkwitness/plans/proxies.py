@@ -82,3 +82,23 @@ EDGES_SQL = """edges AS (SELECT DISTINCT source, target, edge_type, 0.8::DOUBLE
   UNION ALL SELECT 'class:' || l_suppkey::VARCHAR, 'table:' || l_partkey::VARCHAR, 'READS_FROM' FROM lineitem
   UNION ALL SELECT 'class:' || s_suppkey::VARCHAR, 'endpoint:' || s_nationkey::VARCHAR, 'SERVES_ENDPOINT' FROM supplier
   UNION ALL SELECT 'endpoint:' || n_nationkey::VARCHAR, 'load_scenario:' || n_regionkey::VARCHAR, 'VALIDATED_BY' FROM nation))"""
+
+
+_STEPS_SQL = """steps AS (SELECT source AS src, target AS dst, edge_type, 0 AS dir, edges.confidence AS w FROM edges JOIN nodes ON id = source
+    WHERE node_type IN ('FUNCTION', 'CLASS') AND edge_type IN ('CALLS', 'TESTED_BY', 'READS_FROM', 'WRITES_TO', 'SERVES_ENDPOINT') OR node_type = 'ENDPOINT' AND edge_type = 'VALIDATED_BY'
+  UNION ALL SELECT target, source, edge_type, 1, edges.confidence FROM edges JOIN nodes ON id = target WHERE edge_type = 'CALLS' AND node_type IN ('FUNCTION', 'CLASS'))"""
+
+
+def traversal_sql(depth: int = 3, cap: int = 64) -> str:
+    """CTEs of a capped traversal, level by level: ``reached`` and ``notes``."""
+    parts = [NODES_SQL, EDGES_SQL, _STEPS_SQL]
+    parts.append(f"a0 AS (SELECT id, row_number() OVER (ORDER BY id) AS rk, []::VARCHAR[] AS edge_path, confidence FROM nodes WHERE changed), r0 AS (SELECT *, 0 AS distance FROM a0 WHERE rk <= {cap})")
+    for d in range(1, depth + 1):
+        parts.append(f"""v{d} AS (SELECT dst, r.rk, edge_type, dir, list_append(edge_path, edge_type) AS edge_path, least(r.confidence, w) AS confidence, row_number() OVER (PARTITION BY dst ORDER BY r.rk, edge_type, dir) AS n
+  FROM r{d - 1} r JOIN steps ON src = r.id AND r.distance = {d - 1} WHERE dst NOT IN (SELECT id FROM r{d - 1})),
+a{d} AS (SELECT dst AS id, row_number() OVER (ORDER BY rk, dst) AS rk, edge_path, confidence FROM v{d} WHERE n = 1),
+r{d} AS (SELECT * FROM r{d - 1} UNION ALL SELECT *, {d} AS distance FROM a{d} WHERE rk <= {cap} - (SELECT count(*) FROM r{d - 1}))""")
+    missed = " OR ".join(["(SELECT count(*) FROM a0) > (SELECT count(*) FROM r0)", *[f"(SELECT count(*) FROM a{d}) + (SELECT count(*) FROM r{d - 1}) > (SELECT count(*) FROM r{d})" for d in range(1, depth + 1)]])
+    parts.append(f"""reached AS (SELECT n.id, n.node_type, n.key, r.distance, r.edge_path, r.confidence, n.changed FROM r{depth} r JOIN nodes n ON n.id = r.id),
+notes AS (SELECT concat_ws(',', CASE WHEN (SELECT count(*) FROM a0) = 0 THEN 'no_changed_graph_nodes' END, CASE WHEN {missed} THEN 'traversal_node_limit' END) AS diagnostics)""")
+    return ",\n".join(parts)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import release as rl
-from ..session import table
+from ..session import ship_package, table
 from .registry import query
 
 POLICY = rl.Policy(max_error_rate=0.3, max_latency_ms=60.0, minimum_samples=3, telemetry_max_age_seconds=40_000)
@@ -65,14 +65,14 @@ ch(conv_id, turn, previous_hash, record_hash) AS (SELECT conv_id, turn, '', sha2
 
 @query("w12_hash_chain", f"WITH RECURSIVE {_CHAIN_SQL} SELECT conv_id, turn AS sequence, previous_hash, record_hash FROM ch")
 def w12(spark, sf):
-    """Hash-chained journal built by an ordered fold."""
-    return rl.chain(journal(spark, sf), "conv_id", "turn", "body").drop("body")
+    """Hash-chained journal, the hash carried over sorted records."""
+    return rl.chain(journal(ship_package(spark), sf), "conv_id", "turn", "body").drop("body")
 
 
 @query("w12_chain_verification", "SELECT conv_id, CASE WHEN conv_id % 5 = 0 AND count(*) > 1 THEN 'record was modified' END AS fault, count(*) AS records FROM conversations GROUP BY 1")
 def w12_verify(spark, sf):
-    """Tampered journals are found by lag and digest, in parallel."""
-    ch = rl.chain(journal(spark, sf), "conv_id", "turn", "body")
+    """Tampered journals are found by the record before and its digest, in parallel."""
+    ch = rl.chain(journal(ship_package(spark), sf), "conv_id", "turn", "body")
     forged = ch.withColumn("body", F.when((F.col("conv_id") % 5 == 0) & (F.col("sequence") == 1), F.lit("{}")).otherwise(F.col("body")))
     return rl.verify_chain(forged, "conv_id")
 

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.predicates import is_safe_relative
+from ..tables import lookup, settled
 
 # Where a summary keeps each metric.
 _METRICS = {"p50_ms": ("http_req_duration", "med"), "p95_ms": ("http_req_duration", "p(95)"), "p99_ms": ("http_req_duration", "p(99)"), "throughput": ("http_reqs", "rate"), "error_rate": ("http_req_failed", "rate"), "query_count": ("database_queries", "med")}
 REGISTRY = "workload_id long, workload_type string, priority int, definition_path string"
-MAX_REGISTRY_BYTES, CHURN_COMMITS, MAX_PATTERNS = 64 * 1024, 20, 5_000
+MAX_REGISTRY_BYTES, CHURN_COMMITS = 64 * 1024, 20
 
 
 def load_samples(summaries: DataFrame, json: str) -> DataFrame:
@@ -48,13 +49,47 @@ def owner_patterns(lines: DataFrame, text: str) -> DataFrame:
     return lines.where(~F.trim(text).startswith("#") & (F.size(words) > 1)).select(F.regexp_replace(words[0], r"^\*+|\*+$", "").alias("pattern")).distinct()
 
 
+def _floor_power(length: Column) -> Column:
+    """The greatest power of two up to a length."""
+    return F.pow(F.lit(2), F.length(F.bin(length)) - 1).cast("int")
+
+
+def _windows(text: Column, size: int) -> Column:
+    """All pieces (head, at) of a length."""
+    starts = F.sequence(F.lit(1), F.char_length(text) - (size - 1))
+    all_of = F.transform(starts, lambda i: F.struct(F.substring(text, i, F.lit(size)).alias("head"), i.alias("at")))
+    return F.when(F.char_length(text) >= size, all_of).otherwise(F.array().cast("array<struct<head:string,at:int>>"))
+
+
 def ownership_signal(paths: DataFrame, patterns: DataFrame, path: str) -> DataFrame:
-    """Adds ``owned``: whether any pattern is part of the path.  An owners file is small; a larger one is refused."""
-    found = [r["pattern"] for r in patterns.orderBy("pattern").limit(MAX_PATTERNS + 1).collect()]
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} owner patterns")
-    known = F.array(*map(F.lit, found)) if found else F.array().cast("array<string>")
-    return paths.withColumn("owned", F.exists(known, lambda x: F.contains(F.col(path), x)))
+    """Adds ``owned``: whether any pattern is part of the path; false for a null path.
+
+    Paths meet patterns by equality only.  A pattern's head is its beginning of
+    the greatest power of two that fits; a path's windows of these lengths are
+    joined with the heads, each of which names the lengths of its patterns
+    (fewer than its own), and the pieces of those lengths are joined with the
+    patterns.  So any number of patterns is dealt over the tasks, and a head
+    that many patterns share does not multiply them.
+    """
+    known = settled(patterns.select("pattern").where("pattern is not null").distinct().withColumn("n", F.char_length("pattern")))
+    has_empty = bool(known.where("n = 0").limit(1).count())
+    size = _floor_power(F.col("n"))
+    heads = known.where("n > 0").groupBy(F.substring("pattern", F.lit(1), size).alias("head"), size.alias("size")).agg(F.collect_set("n").alias("lengths"))
+    sizes = sorted(r["size"] for r in heads.select("size").distinct().collect())  # powers of two
+    each = settled(paths.where(F.col(path).isNotNull()).groupBy(F.col(path).alias("p")).agg(F.count(F.lit(1)).alias("w")))
+    total = each.agg(F.sum("w")).first()[0] or 0
+    if has_empty or not sizes:
+        return paths.withColumn("owned", F.col(path).isNotNull() & F.lit(has_empty))
+    places = F.flatten(F.array(*[_windows(F.col("p"), b) for b in sizes]))
+    windows = settled(each.select("p", F.explode(places).alias("x")).select("p", "x.head", "x.at"))
+    fan = windows.groupBy("head").agg(F.count(F.lit(1)).alias("m"))
+    near = lookup(windows, fan.join(heads, "head").select("head", "lengths", "m"), ["head"], "m", windows.count()).select("p", "at", F.explode("lengths").alias("n"))
+    pieces = settled(near.where(F.col("at") + F.col("n") - 1 <= F.char_length("p")).select("p", F.substring("p", F.col("at"), F.col("n")).alias("pattern")).distinct())
+    found = pieces.groupBy("pattern").agg(F.count(F.lit(1)).alias("m")).join(known.select("pattern"), "pattern")
+    hits = lookup(pieces, found, ["pattern"], "m", pieces.count()).select("p").distinct()
+    judged = each.join(hits.withColumn("owned", F.lit(True)), "p", "left").select(F.col("p").alias(path), "w", F.coalesce("owned", F.lit(False)).alias("owned"))
+    none = paths.where(F.col(path).isNull()).withColumn("owned", F.lit(False))
+    return lookup(paths.where(F.col(path).isNotNull()), judged, [path], "w", total).unionByName(none)
 
 
 def registry(raw: DataFrame, json: str) -> DataFrame:
