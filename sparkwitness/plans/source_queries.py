@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..session import ship_package, table
 from ..sources import objects as ob
+from ..sources.journal import Journal
+from ..tables import shared_folder
 from .registry import query
 
 _FILES_SQL = "f AS (SELECT coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id::VARCHAR || '.txt' AS path, coalesce(source, 'none') AS a, coalesce(lang, 'none') AS b, doc_id::VARCHAR || '.txt' AS name, coalesce(text, '') AS t FROM documents)"
@@ -52,3 +56,14 @@ def s02(spark, sf):
     f = t.select("source", F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("path"), content.alias("content"))
     out = ob.read_blobs(f, "source", max_blob=3_000, max_total=40_000)
     return out.select("repository", "path", "size", "code", "encoding", F.char_length("source").cast("long").alias("n_chars"))
+
+
+@query("s15_journal_appends", "SELECT user_id, event_id, CASE WHEN event_id % 3 < 2 THEN 'first' ELSE 'second' END AS writer, CASE WHEN event_id % 3 < 2 THEN 1 ELSE 2 END AS version FROM events")
+def s15(spark, sf):
+    """Two appends that share a third of their keys; each key has the record of the first."""
+    journal = Journal(spark, f"{shared_folder(spark)}/journal-{uuid.uuid4().hex}", "user_id long, event_id long, writer string, version int", ["user_id", "event_id"])
+    e = table(spark, sf, "events").select("user_id", "event_id")
+    part = lambda cond, name, version: e.where(cond).withColumns({"writer": F.lit(name), "version": F.lit(version)})
+    journal.append(part("event_id % 3 < 2", "first", 1))
+    journal.append(part("event_id % 3 > 0", "second", 2))
+    return journal.read()

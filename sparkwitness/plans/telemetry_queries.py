@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import correlate as co
 from ..operators import telemetry as te
-from ..session import table
+from ..session import ship_package, table
+from ..streaming import state
 from . import proxies as p
 from .registry import query
 
@@ -82,3 +83,30 @@ def j02(spark, sf):
 def s18(spark, sf):
     """Artifacts within a size bound and young enough."""
     return te.retained(table(spark, sf, "events"), "ts", F.lit("2024-01-05 00:00:00").cast("timestamp_ntz"), "props", 8).select("event_id")
+
+
+def _event_stream(spark, sf):
+    """The events as a stream of files; as a pattern the path may be one file or a folder of them."""
+    path, schema = f"{sf}/events.parque[t]", table(spark, sf, "events").schema
+    return ship_package(spark).readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("a21_streamed_span_cap", "SELECT user_id AS run_id, event_id, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) > 40 THEN 'limited' ELSE 'ok' END AS recorded FROM events")
+def a21_streamed(spark, sf):
+    """A21 as keyed state of a stream: the cap of each run, counted across batches."""
+    events = _event_stream(spark, sf).select(F.col("user_id").alias("run_id"), "event_id", "ts")
+    return state.drained(state.capped(events, 40))
+
+
+@query(
+    "a23_streamed_lifecycle",
+    """WITH e AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'purchase' THEN 'promote' WHEN 'error' THEN 'rollback' ELSE 'pause' END AS action FROM events),
+d AS (SELECT *, coalesce(max((action <> 'pause')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM e)
+SELECT user_id AS release_id, event_id, action FROM d WHERE done = 0""",
+)
+def a23_streamed(spark, sf):
+    """A23 as keyed state of a stream: observations of a release up to its first terminal decision."""
+    e = F.col("event_type")
+    action = F.when(e == "purchase", "promote").when(e == "error", "rollback").otherwise("pause")
+    observed = _event_stream(spark, sf).select(F.col("user_id").alias("release_id"), "event_id", "ts", action.alias("action"))
+    return state.drained(state.lifecycle(observed))

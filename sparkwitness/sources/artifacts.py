@@ -131,16 +131,6 @@ def read_journal(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def journal_conflicts(records: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """Records whose key the journal has already; to be read before an append."""
-    return records.join(existing.select(*keys), keys, "left_semi")
-
-
-def append_journal(records: DataFrame, existing: DataFrame, path: str, keys: list[str]) -> None:
-    """Append the records whose key is not there yet."""
-    records.join(existing.select(*keys), keys, "left_anti").write.mode("append").json(path)
-
-
 def output_head(logs: DataFrame, text: str, limit: int) -> DataFrame:
     """Bounded head, digest and size of recorded output; the whole output stays where it is."""
     return logs.withColumns({"head": F.substring(text, 1, limit), "digest": F.sha2(text, 256), "bytes": F.octet_length(text).cast("long"), "truncated": F.char_length(text) > limit})

@@ -408,18 +408,15 @@ def test_tree_and_integrity(spark, tmp_path):
     assert artifacts.integrity_faults(recorded, tree).count() == 1 and artifacts.integrity_faults(tree.select("path", "sha256"), tree).count() == 0
 
 
-def test_journal_appends_once(spark, tmp_path):
+def test_recorded_journal_is_read_strictly(spark, tmp_path):
     from sparkwitness.sources import artifacts
 
-    schema, path = "release_id string, sequence long, body string", str(tmp_path / "j")
-    first = spark.createDataFrame([("r", 0, "a"), ("r", 1, "b")], schema)
-    keys = ["release_id", "sequence"]
-    artifacts.append_journal(first, spark.createDataFrame([], schema), path, keys)
-    second = spark.createDataFrame([("r", 1, "forged"), ("r", 2, "c")], schema)
-    there = artifacts.read_journal(spark, path, schema)
-    assert [x["body"] for x in artifacts.journal_conflicts(second, there, keys).collect()] == ["forged"]
-    artifacts.append_journal(second, there, path, keys)
-    assert sorted(x["body"] for x in artifacts.read_journal(spark, path, schema).collect()) == ["a", "b", "c"]
+    (tmp_path / "j.json").write_text('{"release_id":"r","sequence":0,"body":"a"}\n{"release_id":"r","sequence":1,"body":"b"}\n')
+    schema = "release_id string, sequence long, body string"
+    assert sorted(x["body"] for x in artifacts.read_journal(spark, str(tmp_path), schema).collect()) == ["a", "b"]
+    (tmp_path / "k.json").write_text('{"release_id":\n')
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        artifacts.read_journal(spark, str(tmp_path), schema).collect()
 
 
 def test_registry_and_write_once(spark):

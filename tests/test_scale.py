@@ -5,6 +5,7 @@ import random
 import subprocess
 import time
 from collections import deque
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from sparkwitness import tables
 from sparkwitness.operators import graph, history, planning, release
 from sparkwitness.sources import artifacts, objects
+from sparkwitness.sources.journal import Journal
+from sparkwitness.streaming import state
 
 NODE = "id string, node_type string, key string, confidence double, changed boolean"
 EDGE = "source string, target string, edge_type string, confidence double"
@@ -304,3 +307,93 @@ def test_blob_limits_skip_and_go_on(spark):
     files = [("r", "a", b"x" * 60), ("r", "b", b"x" * 200), ("r", "c", b"\xff" * 30), ("r", "d", b"x" * 30), ("r", "e", b"x" * 10), (None, "a", b"y")]
     got = {(r["repository"], r["path"]): r["code"] for r in objects.read_blobs(spark.createDataFrame(files, "repo string, path string, content binary"), "repo", max_blob=100, max_total=100).collect()}
     assert got == {("r", "a"): None, ("r", "b"): "blob_size_limit", ("r", "c"): "source_encoding_error", ("r", "d"): "total_size_limit", ("r", "e"): None, (None, "a"): None}
+
+
+# ------------------------------------------------------------- journals of several writers
+
+
+RECORD, KEYS = "release_id string, sequence long, body string", ["release_id", "sequence"]
+
+
+def test_journal_takes_one_record_a_key(spark, tmp_path):
+    j = Journal(spark, str(tmp_path / "j"), RECORD, KEYS)
+    assert j.read().count() == 0 and j.version() == 0
+    assert j.append(spark.createDataFrame([("r", 0, "a"), ("r", 1, "b"), ("r", 1, "a2"), (None, None, None)], RECORD)) == 1
+    second = spark.createDataFrame([("r", 1, "forged"), ("r", 2, "c"), (None, None, "x"), ("r", 0, "a")], RECORD)
+    assert {r["body"] for r in j.conflicts(second).collect()} == {"forged", "x"}
+    assert j.append(second) == 2
+    assert {tuple(r) for r in j.read().collect()} == {("r", 0, "a"), ("r", 1, "a2"), (None, None, None), ("r", 2, "c")}
+    assert j.read(1).count() == 3
+
+
+def test_a_writer_that_loses_looks_again(spark, tmp_path, monkeypatch):
+    """Another writer commits between a writer's look and its commit; no key gets two records."""
+    one, two = (Journal(spark, str(tmp_path / "j"), RECORD, KEYS) for _ in range(2))
+    take, tries = Journal._take, []
+
+    def slow(self, version, parts):
+        if self is one and not tries:
+            two.append(spark.createDataFrame([("r", 0, "two"), ("r", 5, "two")], RECORD))
+        tries.append(version) if self is one else None
+        return take(self, version, parts)
+
+    monkeypatch.setattr(Journal, "_take", slow)
+    assert one.append(spark.createDataFrame([("r", 0, "one"), ("r", 1, "one")], RECORD)) == 2 and tries == [1, 2]
+    assert {(r["sequence"], r["body"]) for r in one.read().collect()} == {(0, "two"), (5, "two"), (1, "one")}
+
+
+def test_writers_in_threads_and_a_failed_task(spark, tmp_path):
+    j = Journal(spark, str(tmp_path / "j"), RECORD, KEYS)
+    batches = [spark.range(20).select(F.lit("r").alias("release_id"), (F.col("id") + 5 * w).alias("sequence"), F.lit(f"w{w}").alias("body")) for w in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        versions = sorted(pool.map(lambda df: Journal(spark, j.path, RECORD, KEYS).append(df), batches))
+    assert versions == [1, 2, 3, 4]
+    rows = j.read().collect()
+    assert len(rows) == len({r["sequence"] for r in rows}) == 35
+    broken = batches[0].withColumn("body", F.when(F.col("sequence") > 3, F.raise_error(F.lit("lost"))).otherwise("x")).withColumn("sequence", F.col("sequence") + 100)
+    with pytest.raises(Exception, match="lost"):
+        j.append(broken)
+    assert j.version() == 4 and j.read().count() == 35
+
+
+# ------------------------------------------------------------- state of streams
+
+
+def event_files(spark, path, *batches):
+    """One file a batch, read in this order."""
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "run_id string, event_id long, s long").select("run_id", "event_id", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(str(path))
+        time.sleep(1.1 if i < len(batches) - 1 else 0)  # files are taken by their time
+    return spark.readStream.schema("run_id string, event_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(path))
+
+
+def open_runs(spark, checkpoint):
+    state = spark.read.format("statestore").option("stateVarName", "open").load(str(checkpoint))
+    return {r["k"] for r in state.select(F.col("key.run_id").alias("k")).collect()}
+
+
+def test_cap_counts_across_batches_and_state_is_dropped(spark, tmp_path):
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    day = 86_400
+    first = [("a", i, i) for i in range(6)] + [("b", 10 + i, 50 - i) for i in range(3)]
+    second = [("a", 20 + i, 100 + i) for i in range(6)]
+    third = [("c", 40, 30 * day)]
+    fourth = [("a", 50, 30 * day + 5), ("c", 51, 30 * day + 9)]
+    out, at = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    got = state.drained(state.capped(event_files(spark, tmp_path / "in", first, second, third), 8, "0 seconds", day * 1000), at, out)
+    recorded = {r["event_id"]: r["recorded"] for r in got.collect()}
+    assert [recorded[i] for i in range(6)] == ["ok"] * 6 and [recorded[20 + i] for i in range(6)] == ["ok"] * 2 + ["limited"] * 4
+    assert len(recorded) == 16 and open_runs(spark, at) == {"c"}  # silent runs have left
+    got = state.drained(state.capped(event_files(spark, tmp_path / "in", fourth), 8, "0 seconds", day * 1000), at, out)
+    assert {r["event_id"]: r["recorded"] for r in got.collect()}[50] == "ok" and open_runs(spark, at) == {"a", "c"}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_streamed_lifecycle_ends_in_a_later_batch(spark, tmp_path):
+    def observed(stream):
+        return stream.withColumn("action", F.when(F.col("event_id") % 10 == 3, "rollback").otherwise("pause")).withColumnRenamed("run_id", "release_id")
+
+    files = event_files(spark, tmp_path / "in", [("a", 1, 1), ("b", 2, 1)], [("a", 3, 5), ("a", 4, 6), ("b", 5, 7)], [("a", 6, 9), ("b", 13, 9), ("b", 14, 8)])
+    got = state.drained(state.lifecycle(observed(files), "0 seconds"), str(tmp_path / "c"), str(tmp_path / "o"))
+    assert sorted(r["event_id"] for r in got.collect()) == [1, 2, 3, 5, 13, 14]
