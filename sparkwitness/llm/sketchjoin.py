@@ -17,9 +17,10 @@ bytes is verified by exact intersection counts of its shingle sets.  A larger
 class is cut by size, as sets whose sizes differ too much cannot be linked, and
 all its sets are verified against those of one block, which joins a large group
 of near copies with about two moves of each set.  Where sets stay apart, such
-as the pages of one template, they are classed anew by their rarest shingles,
-of which linked sets share one, and in what is still large only the sets apart
-from the largest component meet the others.  Equal sets are one node
+as the pages of one template, the sets that share a rare shingle, as linked
+ones do, are held against each other by size and by bit sketches, in which
+every shingle flips one bit, and only those that may be linked are verified.
+No class is taken over the hits of several shingles.  Equal sets are one node
 throughout, so exact copies cost nothing.
 
 Sets are named by a 64-bit signature; for n different sets the probability
@@ -123,26 +124,49 @@ def set_names(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     return frames.map_texts(_keyed(docs, id_col, text_col), "text", fn, "id long, th long, n_shingles long, sig long")
 
 
+#: A task's keys are combined whenever it has so many.
+KEYS_HELD = 1 << 21
+
+
+def _combined(keys: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
+    """(key, sig) rows that link the same sets: one row for each key, and a key of its own for each pair of a set and the smallest one of its key."""
+    order = np.lexsort((sigs, keys))
+    keys, sigs = keys[order], sigs[order]
+    first = np.concatenate(([True], keys[1:] != keys[:-1]))
+    low = sigs[first][np.cumsum(first) - 1]
+    other = sigs != low
+    pairs = np.unique(np.stack((sigs[other], low[other]), axis=1), axis=0)
+    a, b = (np.ascontiguousarray(pairs[:, i]).view(_U64) for i in (0, 1))
+    name = tk.mix(tk.mix(a) + b)
+    key = np.concatenate((keys[first], name, name))
+    sig = np.concatenate((sigs[first], pairs[:, 0], pairs[:, 1]))
+    return pa.RecordBatch.from_arrays([pa.array(frames.signed(key)), pa.array(np.ascontiguousarray(sig))], names=["key", "sig"])
+
+
 def candidate_keys(docs: DataFrame, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """(key, sig) for every segment of every set; a task gives equal sets once.
+    """(key, sig) for every segment of every set, combined in each task.
 
-    A text that a third of all rows share so enters the shuffle once for each
-    input partition, not once for each row.
+    A set that a third of all rows share, and a key that a third of all sets
+    share, so enter the shuffle a few times for each input partition and not
+    once for each row or set.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        keys, sigs, held = [], [], 0
         for rows, data, offsets in frames.text_chunks(batches, "text"):
             sets, names = _named_sets(rows, data, offsets, k)
-            keys, sigs = [], []
             for s, name in zip(sets, names, strict=True):
                 if name not in seen:
                     seen.add(name)
                     keys.append(segment_keys(s, num, den))
-                    sigs.append(name)
-            if keys:
-                sig = np.repeat(np.array(sigs, np.int64), [len(x) for x in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(frames.signed(np.concatenate(keys))), pa.array(sig)], names=["key", "sig"])
+                    sigs.append(np.full(len(keys[-1]), name, np.int64))
+                    held += len(keys[-1])
+            if held > KEYS_HELD:
+                yield _combined(np.concatenate(keys), np.concatenate(sigs))
+                keys, sigs, held = [], [], 0
+        if held:
+            yield _combined(np.concatenate(keys), np.concatenate(sigs))
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key long, sig long")
 
@@ -259,14 +283,14 @@ def _blobs(rows: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), _U64) for x in cell]
 
 
-def rare_classes(large: DataFrame, num: int, den: int) -> DataFrame:
-    """(sig, class) of the sets of large classes that can still have a link, in finer classes.
+def rare_keys(large: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, sig): the shingles of each set of large classes by which its links can be found.
 
     Two sets of at least the similarity share one of the n - ceil(n * num / den)
     + 1 shingles of each that come first in any one order of all shingles.  Here
     those of few sets come first, then the others by their number of sets, so
-    that what a page template gives to all its pages links none of them.  Every
-    step moves each shingle of a large class a bounded number of times.
+    that what a page template gives to all its pages is a key of none of them.
+    Every step moves each shingle of a large class a bounded number of times.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,10 +342,108 @@ def rare_classes(large: DataFrame, num: int, den: int) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(frames.signed(np.concatenate(keys))), pa.array(np.concatenate(sigs))], names=["key", "sig"])
 
-    stars = frames.settled(star_edges(marked.mapInArrow(prefixes, "key long, sig long")))
-    finer = frames.settled(frames.components(stars).select(F.col("node").alias("sig"), F.col("component").alias("class")))
-    frames.forget(common, stars)
-    return finer
+    out = frames.settled(marked.mapInArrow(prefixes, "key long, sig long").distinct())
+    frames.forget(common)
+    return out
+
+
+def sketch_bits(n: int, num: int, den: int) -> int:
+    """Bits of the sketch of n shingles: a power of two, some times the difference that the largest partner allows."""
+    differ = (n + n * den // num) * (den - num) // (den + num)
+    return max(256, 1 << (4 * differ).bit_length())
+
+
+def bit_sketch(s: np.ndarray, bits: int) -> np.ndarray:
+    """Each shingle flips one bit, so two sketches differ in at most as many bits as the sets in shingles."""
+    place = (tk.mix(s ^ _U64(0x2545F4914F6CDD1D)) & _U64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8), bitorder="little").view(_U64)
+
+
+def _near(n: np.ndarray, component: np.ndarray, sketches: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which sets have another one, of another component, that their sizes and sketches allow as a link."""
+    words = np.array([len(x) for x in sketches])
+    hit = np.zeros(len(n), bool)
+    for m in np.unique(words):
+        # A sketch of twice the bits folds to the smaller one by XOR of its halves.
+        at = np.flatnonzero(words >= m)
+        table = np.zeros((len(n), m), _U64)
+        for i in at:
+            table[i] = np.bitwise_xor.reduce(sketches[i].reshape(-1, m), axis=0)
+        here = right[words[right] >= m]
+        for i in left[words[left] >= m]:
+            j = here if words[i] == m else here[words[here] == m]
+            j = j[(component[j] != component[i]) & (n[j] * den >= n[i] * num) & (n[i] * den >= n[j] * num)]
+            if len(j):
+                apart = np.bitwise_count(table[j] ^ table[i]).sum(axis=1, dtype=np.int64)
+                near = j[apart * (den + num) <= (n[j] + n[i]) * (den - num)]
+                if len(near):
+                    hit[i] = True
+                    hit[near] = True
+    return hit
+
+
+def near_groups(members: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """(name, sig): of the sets (sig, n, class) that share a key, those that may have a link, in named groups.
+
+    Sets of one key are held against each other by size and by their sketches
+    only, block against block where there are many.  Groups of the same sets
+    have the same name, so that keys that lie side by side give one group.
+    """
+    placed = in_blocks(members, num, den)
+    ways = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least("mine", j).alias("x"), F.greatest("mine", j).alias("y"), F.when(j > F.col("mine"), LEFT).when(j < F.col("mine"), RIGHT).otherwise(BOTH).alias("side")))
+    dealt = placed.select("sig", "class", "band", F.explode(ways).alias("way")).select("sig", "class", "band", "way.x", "way.y", "way.side")
+
+    def find(table: pa.Table) -> pa.Table:
+        name, first, back = np.unique(table.column("sig").to_numpy(), return_index=True, return_inverse=True)
+        side = np.zeros(len(name), np.int64)
+        np.bitwise_or.at(side, back, table.column("side").to_numpy().astype(np.int64))
+        n, component = (table.column(c).to_numpy()[first] for c in ("n", "component"))
+        blobs = table.column("sketch")
+        hit = _near(n, component, [np.frombuffer(blobs[int(i)].as_py(), _U64) for i in first], np.flatnonzero(side & LEFT), np.flatnonzero(side & RIGHT), num, den)
+        sigs = name[hit]
+        group = signature(sigs.view(_U64)) if len(sigs) else 0
+        return pa.table({"name": pa.array([group] * len(sigs), pa.int64()), "sig": pa.array(sigs, pa.int64())})
+
+    found = dealt.join(sketches, "sig").groupBy("class", "band", "x", "y").applyInArrow(find, "name long, sig long")
+    out = frames.settled(found.distinct())
+    frames.forget(placed)
+    return out
+
+
+def _in_components(sets: DataFrame, joined: DataFrame) -> DataFrame:
+    """Adds the component of each set, its own name where it has none."""
+    return sets.join(joined.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+
+
+def rare_links(rest: DataFrame, joined: DataFrame, num: int, den: int) -> DataFrame:
+    """Links of the sets (sig, class, n, shingles) that ``joined`` leaves in different components.
+
+    Linked sets share a rare key, so the sets of each key that is not within one
+    component are held against each other by sketches, and only the groups that
+    are left are verified: at first each set in one of its groups, then the
+    groups that this has not joined.
+    """
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            found = [bit_sketch(s, sketch_bits(len(s), num, den)).tobytes() for s in _blobs(rows)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(found, pa.binary())], names=["sig", "n", "sketch"])
+
+    made = rest.select("sig", "n", "shingles").mapInArrow(sketch, "sig long, n long, sketch binary")
+    sketches = frames.settled(_in_components(made.groupBy("sig").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), joined))
+    keyed = rare_keys(rest, num, den)
+    keys = frames.settled(keyed.join(sketches.select("sig", "n", "component"), "sig"))
+    mixed = keys.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    groups = near_groups(keys.join(frames.settled(mixed), "key").select("sig", "n", F.col("key").alias("class")), sketches, num, den)
+    blobs = rest.select("sig", "shingles")
+    whole = lambda g: compared(blobs.join(g, "sig").withColumn("side", F.lit(BOTH)), ["name"], num, den)
+    links = frames.settled(whole(groups.groupBy("sig").agg(F.min("name").alias("name"))))
+    edges = links.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    met = frames.settled(_in_components(groups, frames.components(edges)))
+    open_ = met.groupBy("name").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("name")
+    out = frames.settled(links.unionByName(whole(met.select("name", "sig").join(open_, "name"))))
+    frames.forget(sketches, keyed, keys, groups, links, met)
+    return out
 
 
 def _weight() -> tuple[F.Column, F.Column]:
@@ -371,42 +493,21 @@ def sets_apart(placed: DataFrame, joined: DataFrame) -> DataFrame:
     return frames.settled(known.drop("component", "main"))
 
 
-def second_round(known: DataFrame) -> DataFrame:
-    """(sig, class, band, x, y, side): the sets apart, in blocks of their own, meet every block of their group but block 0."""
-    group = ["class", "band"]
-    left = known.where("apart").groupBy(*group).agg(*_weight()).select(*group, _blocks(F.col("c"), F.col("w")).alias("own"))
-    rest = known.join(frames.settled(left), group)
-    to = lambda x, y, side: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(side).alias("side"))
-    here = F.transform(F.sequence(F.lit(0).cast("long"), F.col("own") - 1), lambda x: to(x, F.col("mine"), RIGHT))
-    there = F.transform(F.sequence(F.lit(1).cast("long"), F.col("blocks") - 1), lambda y: to(F.pmod(F.xxhash64("sig", F.lit(1)), F.col("own")), y, LEFT))
-    return rest.withColumn("way", F.explode(F.when(F.col("apart"), F.concat(here, there)).otherwise(here))).select("sig", *group, "way.x", "way.y", "way.side")
-
-
 def large_links(large: DataFrame, num: int, den: int) -> DataFrame:
     """Links of the sets (sig, class, n, shingles) of classes of several blocks.
 
-    The first round joins groups of near copies.  Classes in which sets are
-    still apart, such as the pages of one template, are classed anew by rare
-    shingles; both rounds then find what is left in the finer classes.
+    The first round joins groups of near copies.  The classes in which sets are
+    still apart, such as the pages of one template, are left to their rare keys.
     """
     key = ["class", "band", "x", "y"]
-    sets = large.select("sig", "shingles")
     placed = in_blocks(large.select("sig", "n", "class").distinct(), num, den)
-    links = frames.settled(compared(sets.join(first_round(placed), "sig"), key, num, den))
+    links = frames.settled(compared(large.select("sig", "shingles").join(first_round(placed), "sig"), key, num, den))
     joined = frames.settled(frames.components(links))
     known = sets_apart(placed, joined)
     still = frames.settled(known.where("apart").select("class").distinct())
     if still.take(1):
-        finer = rare_classes(large.join(still, "class"), num, den)
-        again = in_blocks(large.select("sig", "n").distinct().join(finer, "sig"), num, den)
-        more = frames.settled(links.unionByName(compared(sets.join(first_round(again), "sig"), key, num, den)))
-        met = frames.settled(frames.components(more))
-        rest = sets_apart(again, met)
-        if rest.where("apart").take(1):
-            last = frames.settled(more.unionByName(compared(sets.join(second_round(rest), "sig"), key, num, den)))
-            frames.forget(more)
-            more = last
-        frames.forget(links, finer, again, met, rest)
+        more = frames.settled(links.unionByName(rare_links(large.join(still, "class"), joined, num, den)))
+        frames.forget(links)
         links = more
     frames.forget(placed, joined, known, still)
     return links

@@ -257,10 +257,14 @@ def test_pages_of_a_template_are_no_candidates(spark, monkeypatch):
     texts += [x + " " + " ".join(words(rng, 4, 10**9)) for x in texts[:7]]
     docs, held = large_of(spark, texts, monkeypatch, 50)
     assert held.groupBy("class").count().agg(F.max("count")).first()[0] > 300  # one class by their segments
-    finer = sketchjoin.rare_classes(held, 80, 100)
+    shared = lambda keys: {(r["key"], r["sig"]) for r in keys.join(keys.groupBy("key").count().where("count > 1"), "key").collect()}
+    finer = shared(sketchjoin.rare_keys(held, 80, 100))
     monkeypatch.setattr(sketchjoin, "MOST_COMMON", 0)  # the counts are joined, not broadcast
-    assert sorted(map(str, sketchjoin.rare_classes(held, 80, 100).collect())) == sorted(map(str, finer.collect()))
-    assert finer.count() == 14 and {r["count"] for r in finer.groupBy("class").count().collect()} == {2}
+    assert shared(sketchjoin.rare_keys(held, 80, 100)) == finer
+    by = {}
+    for key, sig in finer:
+        by.setdefault(key, set()).add(sig)
+    assert len({sig for _, sig in finer}) == 14 and {len(x) for x in by.values()} == {2}
     out = {r["id"]: r["component_id"] for r in sketchjoin.jaccard_components(docs).collect()}
     assert out == {i: i if i < 400 else i - 400 for i in range(407)}
 
@@ -296,6 +300,72 @@ def test_chains_of_links_need_both_rounds(spark, monkeypatch):
     assert out == {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, plain_components(sets), strict=True))}
 
 
+def snippet_texts(rng, n, each=30):
+    """Pages of one template with own words and three snippets that about ``each`` pages share; no two linked."""
+    template, snippets = words(rng, 300, 10**6), [words(rng, 12, 10**9) for _ in range(max(3, 3 * n // each))]
+    return [" ".join([*words(rng, 35, 10**9), *template, *words(rng, 35, 10**9), *(w for x in rng.sample(snippets, 3) for w in x)]) for _ in range(n)]
+
+
+def test_pages_that_share_snippets_are_compared_in_proportion(spark, monkeypatch):
+    """Snippets chain all pages of a template; twice the pages are twice the rows that meet in groups, and few are verified."""
+    sent = {}
+    deal, verify = sketchjoin.near_groups, sketchjoin.compared
+    for n in (300, 600):
+        rng = random.Random(11)
+        texts = snippet_texts(rng, n, 20)
+        texts += [x + " " + " ".join(words(rng, 4, 10**9)) for x in texts[:9]]
+        rows = []
+
+        def groups(members, *a, rows=rows):
+            rows.append(members.count())
+            out = deal(members, *a)
+            rows.append(out.count())
+            return out
+
+        monkeypatch.setattr(sketchjoin, "near_groups", groups)
+        monkeypatch.setattr(sketchjoin, "BLOCK_SETS", 50)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+        out = {r["id"]: r["component_id"] for r in sketchjoin.jaccard_components(docs).collect()}
+        assert out == {i: i if i < n else i - n for i in range(n + 9)}
+        sent[n] = rows
+    assert sent[600][0] < 2.6 * sent[300][0] and sent[600][1] < 40 * 9
+    assert verify is sketchjoin.compared
+
+
+def test_bit_sketches_never_hide_a_link():
+    rng = np.random.default_rng(9)
+    for n in (1, 4, 30, 300, 3000):
+        for _ in range(30):
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            common = -(-len(a) * 8 // 10)
+            b = np.unique(np.concatenate((rng.permutation(a)[: common + rng.integers(0, len(a) - common + 1)], rng.integers(0, 2**63, max(0, int(common / 0.8) - len(a)), dtype=np.uint64))))
+            both = len(np.intersect1d(a, b))
+            sketches = [sketchjoin.bit_sketch(s, sketchjoin.sketch_bits(len(s), 80, 100)) for s in (a, b)]
+            if both * 100 >= 80 * (len(a) + len(b) - both):
+                assert sketchjoin._near(np.array([len(a), len(b)]), np.array([0, 1]), sketches, np.arange(2), np.arange(2), 80, 100).all()
+    far = [np.unique(rng.integers(0, 2**63, 400, dtype=np.uint64)) for _ in range(2)]
+    assert not sketchjoin._near(np.array([400, 400]), np.array([0, 1]), [sketchjoin.bit_sketch(s, sketchjoin.sketch_bits(400, 80, 100)) for s in far], np.arange(2), np.arange(2), 80, 100).any()
+
+
+def test_combined_keys_link_the_same_sets():
+    rng = np.random.default_rng(3)
+    keys, sigs = rng.integers(0, 70, 150).astype(np.uint64), rng.integers(-60, 60, 150)
+
+    def classes(rows):
+        root, first, before = {s: s for _, s in rows}, {}, None
+        while before != root:
+            before = dict(root)
+            for k, s in rows:
+                root[s] = root[first[k]] = min(root[s], root[first.setdefault(k, s)])
+        return root
+
+    batch = sketchjoin._combined(keys, sigs)
+    got = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+    assert classes(got) == classes(list(zip(keys.tolist(), sigs.tolist(), strict=True)))
+    hot = sketchjoin._combined(np.full(1000, 7, np.uint64), np.arange(1000)).column(0).to_pylist()
+    assert hot.count(7) == 1 and max(hot.count(k) for k in hot[:5]) <= 2  # the hot key is one row of a task
+
+
 def test_keep_one_of_many_equal_rows(spark):
     rows = [(1, "a b c d e f g", i % 3) for i in range(900)] + [(None, "a b c d e f g", 9)] + [(None, "h i j k l m n o", 5)] * 900 + [(None, " ", 1), (None, " ", 1), (3, None, 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, x int")
