@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as pr
 from ..functions import scalars as s
+from ..operators import contracts as ct
 from ..session import table
 from .registry import query
 
@@ -183,16 +184,37 @@ def p12(spark, sf):
 
 @query(
     "p14_contract_quarantine",
-    """SELECT event_id, concat_ws(',', CASE WHEN event_type NOT IN ('click', 'view', 'purchase', 'signup') THEN 'event_type' END, CASE WHEN value IS NULL OR NOT value BETWEEN 0 AND 100 THEN 'value' END, CASE WHEN user_id < 0 THEN 'user_id' END) AS violations
-FROM events WHERE event_type NOT IN ('click', 'view', 'purchase', 'signup') OR value IS NULL OR NOT value BETWEEN 0 AND 100 OR user_id < 0""",
+    """SELECT event_id, concat_ws(',', CASE WHEN event_type IS NULL OR event_type NOT IN ('click', 'view', 'purchase', 'signup') THEN 'event_type' END, CASE WHEN value IS NULL OR NOT value BETWEEN 0 AND 100 THEN 'value' END, CASE WHEN user_id < 0 THEN 'user_id' END) AS violations
+FROM events WHERE event_type IS NULL OR event_type NOT IN ('click', 'view', 'purchase', 'signup') OR value IS NULL OR NOT value BETWEEN 0 AND 100 OR user_id < 0""",
 )
 def p14(spark, sf):
     """Enum and range validation into a quarantine frame."""
     t = table(spark, sf, "events")
-    bad = F.concat_ws(",", F.when(~F.col("event_type").isin("click", "view", "purchase", "signup"), "event_type"), F.when(F.col("value").isNull() | ~F.col("value").between(0, 100), "value"), F.when(F.col("user_id") < 0, "user_id"))
+    bad = F.concat_ws(",", F.when(F.col("event_type").isNull() | ~F.col("event_type").isin("click", "view", "purchase", "signup"), "event_type"), F.when(F.col("value").isNull() | ~F.col("value").between(0, 100), "value"), F.when(F.col("user_id") < 0, "user_id"))
     return t.select("event_id", bad.alias("violations")).where("violations <> ''")
 
 
+_CONTRACT = {
+    "event_type": ct.Rule(values=("click", "view", "purchase", "signup")), "value": ct.Rule(low=0, high=60), "note": ct.Rule(optional=True),
+    "user": ct.Rule(fields={"id": ct.Rule(low=5), "tier": ct.Rule(values=("a", "b"))}),
+}
+
+
+@query(
+    "p14_nested_contracts",
+    """WITH j AS (SELECT *, list_filter([CASE WHEN event_type IS NULL THEN 'event_type:missing' WHEN event_type NOT IN ('click', 'view', 'purchase', 'signup') THEN 'event_type:enum' END, CASE WHEN event_id % 11 = 0 THEN 'value:type' WHEN NOT value BETWEEN 0 AND 60 THEN 'value:range' END,
+  CASE WHEN event_id % 13 = 0 THEN 'user:missing' WHEN user_id < 5 THEN 'user.id:range' END, CASE WHEN event_id % 13 <> 0 AND event_id % 3 = 2 THEN 'user.tier:enum' END, CASE WHEN event_id % 13 <> 0 AND event_id % 17 = 0 THEN 'user.extra:unknown' END, CASE WHEN event_id % 7 = 0 THEN 'source:unknown' END], lambda x: x IS NOT NULL) AS violations FROM events)
+SELECT event_id, violations FROM j WHERE len(violations) > 0""",
+)
+def p14_nested(spark, sf):
+    """Nested JSON contracts with enums, ranges, missing and unknown fields; the faulty records with their faults."""
+    k = F.col("event_id")
+    user = F.struct(F.col("user_id").alias("id"), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("z")), (k % 3 + 1).cast("int")).alias("tier"), F.when(k % 17 == 0, 1).alias("extra"))
+    value = F.when(k % 11 == 0, "many").otherwise(F.col("value").cast("string"))
+    record = F.to_json(F.struct("event_type", value.alias("value"), F.when(k % 13 != 0, user).alias("user"), F.when(k % 7 == 0, "web").alias("source")))
+    return ct.quarantine(table(spark, sf, "events").select("event_id", record.alias("record")), "record", _CONTRACT)[1].select("event_id", "violations")
+
+
 @query(
     "u01_set_operators",
     """WITH a AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal > 9000), b AS (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_acctbal < 2000)

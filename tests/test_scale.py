@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkwitness import tables
-from sparkwitness.operators import graph, history, planning, release
+from sparkwitness.operators import contracts, graph, history, planning, release
 from sparkwitness.sources import artifacts, objects
 from sparkwitness.sources.journal import Journal
 from sparkwitness.streaming import state
@@ -397,3 +397,20 @@ def test_streamed_lifecycle_ends_in_a_later_batch(spark, tmp_path):
     files = event_files(spark, tmp_path / "in", [("a", 1, 1), ("b", 2, 1)], [("a", 3, 5), ("a", 4, 6), ("b", 5, 7)], [("a", 6, 9), ("b", 13, 9), ("b", 14, 8)])
     got = state.drained(state.lifecycle(observed(files), "0 seconds"), str(tmp_path / "c"), str(tmp_path / "o"))
     assert sorted(r["event_id"] for r in got.collect()) == [1, 2, 3, 5, 13, 14]
+
+
+# ------------------------------------------------------------- contracts
+
+
+def test_contracts_name_every_fault(spark):
+    rule = contracts.Rule
+    contract = {"a": rule(values=("x", "1")), "n": rule(low=0, high=1), "o": rule(optional=True, low=5), "d": rule(fields={"e": rule(), "f": rule(fields={"g": rule(values=("k",))}, optional=True)})}
+    cases = {
+        '{"a":"x","n":0.5,"d":{"e":1}}': [], '{"a":"1","n":1,"o":null,"d":{"e":"","f":{"g":"k"}}}': [], '{"a":"y","n":2,"o":1,"d":{"e":null}}': ["a:enum", "n:range", "o:range", "d.e:null"],
+        '{"n":"many","d":{}}': ["a:missing", "n:type", "d.e:missing"], '{"a":null,"n":null,"d":null}': ["a:null", "n:null", "d:null"], '{"a":"x","n":0,"d":[1]}': ["d:type"], '{"a":"x","n":"NaN","d":{"e":1}}': ["n:type"],
+        '{"a":"x","n":0,"d":{"e":1,"f":{"g":"z","h":0},"q":1},"z":1}': ["d.f.g:enum", "d.f.h:unknown", "d.q:unknown", "z:unknown"], "no json": ["$:type"], "[]": ["$:type"], None: ["$:type"],
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "record string")
+    good, bad = contracts.quarantine(df, "record", contract)
+    assert {r["record"]: r["violations"] for r in bad.collect()} == {k: v for k, v in cases.items() if v}
+    assert {r["record"] for r in good.collect()} == {k for k, v in cases.items() if not v}
