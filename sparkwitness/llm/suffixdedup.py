@@ -49,6 +49,17 @@ def _gram(threshold: int) -> int:
     return max(1, int(threshold * GRAM_SHARE))
 
 
+def _merged(row: np.ndarray, lo: np.ndarray, count: np.ndarray, anchor: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Neighbouring equal runs as one row: (row, first suffix, suffixes of all, anchor, span, suffixes of one, runs).
+
+    A text of one repeated character or pattern is so a few rows, not one for each byte.
+    """
+    same = (row[1:] == row[:-1]) & (anchor[1:] == anchor[:-1]) & (span[1:] == span[:-1]) & (count[1:] == count[:-1]) & (lo[1:] == lo[:-1] + count[:-1])
+    first = np.concatenate(([0], np.flatnonzero(~same) + 1)) if len(row) else np.zeros(0, np.int64)
+    times = np.diff(np.concatenate((first, [len(row)]))).astype(np.int64)
+    return row[first], lo[first], count[first] * times, anchor[first], span[first], count[first], times
+
+
 def runs(data: np.ndarray, offsets: np.ndarray, threshold: int) -> tuple[np.ndarray, ...]:
     """(row, first suffix in its text, suffixes, anchor hash, span hash) of each run of a chunk."""
     gram = _gram(threshold)
@@ -104,19 +115,19 @@ def repeated_runs(keyed: DataFrame, threshold: int) -> DataFrame:
     """
 
     def fn(rows, data, offsets):
-        row, lo, count, anchor, span = _segmented_runs(data, offsets, threshold)
+        row, lo, count, anchor, span, one, times = _merged(*_segmented_runs(data, offsets, threshold))
         take = pa.array(row)
         return pa.RecordBatch.from_arrays(
-            [pa.array(frames.signed(anchor)), pa.array(frames.signed(span)), _column(rows, "rid").take(take), _column(rows, "th").take(take), pa.array(lo.astype(np.int64)), pa.array(count.astype(np.int64))],
-            names=["anchor", "span", "rid", "th", "start", "n"],
+            [pa.array(frames.signed(anchor)), pa.array(frames.signed(span)), _column(rows, "rid").take(take), _column(rows, "th").take(take), *(pa.array(x.astype(np.int64)) for x in (lo, count, one, times))],
+            names=["anchor", "span", "rid", "th", "start", "n", "one", "times"],
         )
 
-    found = frames.map_texts(keyed.select("rid", "th", "text"), "text", fn, "anchor long, span long, rid long, th long, start long, n long")
+    found = frames.map_texts(keyed.select("rid", "th", "text"), "text", fn, "anchor long, span long, rid long, th long, start long, n long, one long, times long")
     # Pass 1: anchors that occur more than once.
-    again = frames.settled(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"))
+    again = frames.settled(found.groupBy("anchor").agg(F.sum("times").alias("c")).where("c > 1").select("anchor"))
     left = frames.settled(found.join(again, "anchor", "left_semi"))
     # Pass 2: spans within those groups.
-    spans = left.groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rid", "th", "start")).alias("rep"))
+    spans = left.groupBy("anchor", "span").agg(F.sum("times").alias("c"), F.min(F.struct("rid", "th", "start")).alias("rep"))
     several = left.groupBy("anchor").agg(F.min("span").alias("low"), F.max("span").alias("high")).where("low < high")
     mixed = frames.settled(several.select("anchor", F.lit(True).alias("mixed")))
     status = frames.settled(spans.join(mixed, "anchor", "left"))
@@ -124,11 +135,11 @@ def repeated_runs(keyed: DataFrame, threshold: int) -> DataFrame:
     settled = F.col("c") > 1
     is_rep = F.struct("rid", "th", "start") == F.col("rep")
     edge = F.col("mixed").isNotNull() & (~settled | is_rep)
-    kept = open_runs.select("rid", "th", "start", "n", settled.alias("settled"), edge.alias("edge")).where("settled or edge")
-    one = F.struct("start", "n")
+    kept = open_runs.select("rid", "th", "start", "n", "one", settled.alias("settled"), edge.alias("edge")).where("settled or edge")
+    # Of merged runs the first one stands for the others in pass 3.
     per_text = kept.groupBy("rid", "th").agg(
-        F.array_sort(F.collect_set(F.when(F.col("settled"), one))).alias("settled"),
-        F.array_sort(F.collect_set(F.when(F.col("edge"), one))).alias("edge"),
+        F.array_sort(F.collect_set(F.when(F.col("settled"), F.struct("start", "n")))).alias("settled"),
+        F.array_sort(F.collect_set(F.when(F.col("edge"), F.struct("start", F.col("one").alias("n"))))).alias("edge"),
     )
     out = frames.settled(per_text)
     frames.forget(again, left, mixed, status)

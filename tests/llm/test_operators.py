@@ -97,6 +97,25 @@ def test_suffix_dedup_cuts_long_texts(spark, monkeypatch):
                     assert by.setdefault(text.encode()[i : i + t], h) == h
 
 
+def test_repeated_patterns_are_few_rows(spark):
+    """A text of one character, or of a short pattern, is not one run for each byte; results stay those of the plain version."""
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    texts = ["x" * 90, "x" * 25, noise(30) + "xy" * 40 + noise(20), "xy" * 11, noise(15) + "x" * 33 + noise(9), "abc" * 50, "z" * 17, None, "q" * 12]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["id"]: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixdedup.remove_repeats(docs, threshold=16).collect()}
+    assert got == {i: x[1:] for i, x in enumerate(plain_removal(texts, 16))}
+    data = np.frombuffer(b"x" * 3_000_000, np.uint8)
+    row, lo, count, _, _, one, times = suffixdedup._merged(*suffixdedup.runs(data, np.array([0, len(data)]), 400))
+    assert len(row) < 10 and count.sum() == len(data) - 399 and times.sum() > 1_000_000
+
+
+def test_a_long_text_of_one_character_is_removed_whole(spark):
+    docs = spark.createDataFrame([(1, "x" * 6_000_000), (2, "ab" * 1000), (3, "plain")], "doc_id long, text string")
+    got = {r["id"]: (r["n_removed"], r["n_spans"]) for r in suffixdedup.remove_repeats(docs).collect()}
+    assert got == {1: (6_000_000, 1), 2: (2000, 1), 3: (0, 0)}
+
+
 def test_suffix_dedup_edges(edge, empty):
     out = suffixdedup.remove_repeats(edge, threshold=30).collect()
     assert len(out) == len(EDGE)
