@@ -28,9 +28,10 @@ ORDER_BITS = 52
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def seeded_order(id_col: str, seed: str) -> Column:
-    """52 bits of md5(seed:id), the place of a row in the seeded order."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
+def seeded_order(id_col: str, text_col: str, seed: str) -> Column:
+    """52 bits of md5(seed:id:md5 of the text), the place of a row in the seeded order; texts under one id have places of their own."""
+    own = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
+    text = F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), own)
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, ORDER_BITS // 4), 16, 10).cast("long")
 
 
@@ -65,10 +66,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     mix takes, repeats counted: between 0 and ``max_epochs`` times the size.
     The taken words of a source differ from its target by half a document at
     most.  A null source is a source of its own; rows of one id are ordered by
-    size; reruns agree whatever the partitioning; an empty table gives no rows.
+    a hash of their texts, so that many rows without an id are spread; reruns agree whatever the partitioning; an empty table gives no rows.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = frames.settled(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), size.alias("size")).withColumn("place", seeded_order("id", seed)))
+    sized = frames.settled(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), size.alias("size"), seeded_order(id_col, text_col, seed).alias("place")))
     targets = frames.settled(source_targets(sized, weights, share, max_epochs))
     epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs))).otherwise(F.lit(0)).cast("long")
     known = sized.join(targets.withColumn("epochs", epochs), sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])

@@ -88,7 +88,7 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op7_mixing",
     r"""WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT AS place FROM documents),
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT AS place FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM sized GROUP BY source),
 w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((sid - 1) % 3 + 1)::INT] AS w, 2 * source_size AS cap, sum(source_size) OVER () AS total FROM src),
 lev AS (SELECT *, (total::DOUBLE * 150.0::DOUBLE / 100.0::DOUBLE
@@ -231,11 +231,14 @@ _VOTES = ", ".join(f"CASE WHEN {r.bad} THEN -1 WHEN {r.good} THEN 1 ELSE 0 END"
 
 @query(
     "op11_quality_rules",
-    rf"""WITH t AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l FROM documents),
+    rf"""WITH t AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS l FROM documents),
 run AS (SELECT k, i, count(*) OVER (PARTITION BY k, r) AS c FROM (SELECT k, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS r FROM t)),
 rep AS (SELECT k, count(DISTINCT j) AS n_repeat_words FROM (SELECT k, unnest([i, i + 1, i + 2]) AS j FROM run WHERE c > 1) GROUP BY k),
 cnt AS (SELECT t.k, doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
-  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines, len(list_filter(l, lambda x: regexp_matches(x, '[.!?:;"][ 	-]*$'))) AS n_closed_lines,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines, len(list_filter(l, lambda x: regexp_matches(x, '[.!?:;"][ 	-
+]*$'))) AS n_closed_lines,
   len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_lettered_words, len(list_distinct(w)) AS n_distinct_words, len(regexp_extract_all(t, '\p{{Lu}}')) AS n_capitals, len(regexp_extract_all(t, '[0-9]')) AS n_digits FROM t LEFT JOIN rep ON rep.k = t.k),
 voted AS (SELECT *, [{_VOTES}] AS v FROM cnt), pattern AS (SELECT v, count(*) AS n FROM voted GROUP BY 1),
 {_em_sql(qualityrules.ROUNDS)}

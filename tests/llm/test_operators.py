@@ -617,6 +617,15 @@ def test_mixing_equals_plain(spark):
     assert sorted(map(str, out)) == sorted(map(str, mixing.mix(df.coalesce(1)).collect()))
 
 
+def test_rows_without_an_id_have_places_of_their_own(spark):
+    rows = [(None, f"w{i} x", "a") for i in range(300)] + [(4, f"v{i} y z", "a") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    places = df.select(F.shiftright(mixing.seeded_order("doc_id", "text", "mix"), mixing.ORDER_BITS - 6).alias("b")).groupBy("b").count()
+    assert places.count() > 50 and places.agg(F.max("count")).first()[0] < 40
+    one, two = (sorted(map(str, mixing.mix(df.repartition(n)).collect())) for n in (1, 5))
+    assert one == two
+
+
 def test_mixing_edges(edge, empty):
     out = mixing.mix(edge).collect()
     assert len(out) == len(EDGE) and {r["source"] for r in out} == {"a", "b", "c", None}
