@@ -6,8 +6,9 @@ slashes.  The listed canonical names make a blocked Bloom filter, sized by
 their number: one 64-bit block by one hash, five bits in it by another.  Names whose
 bits are all set pass to an exact join with the list, which takes false
 positives out; the others never reach a shuffle.  A filter of at most
-``MOST_BLOCKS`` rows is broadcast, a larger one is a table that is joined by block.
-Rules (host, path) override the list, the longest first.  Only built-in
+``MOST_BLOCKS`` rows is broadcast, a larger one is a table that the distinct
+names are joined with by block.  A name that many pages share is matched once
+and handed back to its pages without a shuffle of them.  Rules (host, path) override the list, the longest first.  Only built-in
 functions are used.
 """
 
@@ -18,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import frames
+
 #: Bound of a broadcast filter: rows of 12 bytes.
 MOST_BLOCKS = 1 << 16
 NAMES_PER_BLOCK, BITS_SET = 6, 5
@@ -88,12 +91,19 @@ def listed_urls(pages: DataFrame, listed: DataFrame, host: str = "host", path: s
     shape = listed.where(F.col(name_col).isNotNull()).agg(F.count(F.lit(1)).alias("c"), F.collect_set(_times(site, ".") + 1).alias("labels"), F.collect_set(_times(F.col(name_col), "/")).alias("slashes")).first()
     blocks = max(1, -(-shape["c"] // NAMES_PER_BLOCK))
     lookups = lookup_names(F.col("h"), F.col("p"), sorted(shape["labels"]) or [1], sorted(shape["slashes"]) or [0])
-    names = pages.select(F.col(host).alias("h"), F.col(path).alias("p")).withColumn("name", F.explode(lookups))
-    possible = names.withColumn("block", _block(F.col("name"), blocks)).withColumn("bits", _bits(F.col("name")))
-    filter_ = bloom_table(listed, name_col, blocks)
-    passed = possible.join(F.broadcast(filter_) if blocks <= MOST_BLOCKS else filter_, "block").where(F.col("mask").bitwiseAND(F.col("bits")) == F.col("bits"))
-    exact = listed.select(F.col(name_col).alias("name"))
-    return passed.join(exact, "name", "left_semi").select("h", "p").distinct()
+    sites = pages.select(F.col(host).alias("h"), F.col(path).alias("p"))
+    filter_, exact = bloom_table(listed, name_col, blocks), listed.select(F.col(name_col).alias("name"))
+    tested = lambda names, table: names.withColumn("block", _block(F.col("name"), blocks)).withColumn("bits", _bits(F.col("name"))).join(table, "block").where(F.col("mask").bitwiseAND(F.col("bits")) == F.col("bits"))
+    names = sites.withColumn("name", F.explode(lookups))
+    if blocks <= MOST_BLOCKS:
+        passed = frames.settled(tested(names, F.broadcast(filter_)).select("h", "p", "name").distinct())
+        found = passed.groupBy("name").agg(F.count(F.lit(1)).alias("c"))
+    else:
+        # Each name is tested once, whatever the number of its pages.
+        passed = frames.settled(names.distinct())
+        found = tested(passed.groupBy("name").agg(F.count(F.lit(1)).alias("c")), filter_).select("name", "c")
+    found = frames.settled(found.join(exact, "name", "left_semi"))
+    return frames.lookup(passed, found, ["name"], "c", passed.count()).select("h", "p").distinct()
 
 
 def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
