@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 
 # Fixed values of the HTML standard, as far as block structure needs them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -80,7 +81,7 @@ def parse(source: str) -> list[Element]:
             if m[0].startswith("<!--") and not (len(m[0]) >= 7 and m[0].endswith("-->")):
                 at = len(source)  # a comment that nothing ends
             continue
-        tag = name.lower()
+        tag = sys.intern(name.lower())
         if m[1]:
             if place := now.last(tag):
                 now.close(place)

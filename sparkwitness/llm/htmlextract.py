@@ -67,68 +67,114 @@ def _tokens(node: dom.Element) -> np.ndarray:
     return out
 
 
-def features(nodes: list[dom.Element]) -> np.ndarray:
-    """One row for each element of a page, in page order."""
-    n = len(nodes)
-    own = np.zeros((n, 5))  # characters, words, punctuation, elements, linked characters
-    tokens = np.zeros((n, len(TOKEN_GROUPS)))
-    parent = np.zeros(n, np.int64)
-    place = np.zeros(n)
-    children = np.zeros(n)
-    for i, node in enumerate(nodes):
-        parent[i] = node.parent.index if node.parent else 0
-        own[i, 3] = 1
-        tokens[i] = _tokens(node)
-        if node.tag in SILENT:
-            continue
-        for part in node.parts:
-            if isinstance(part, str):
-                words = part.split()
-                own[i, 0] += sum(map(len, words))
-                own[i, 1] += len(words)
-                own[i, 2] += len(_PUNCTUATION.findall(part))
-            else:
-                place[part.index] = children[i]
-                children[i] += 1
-    linked = np.zeros(n, bool)
-    for i in range(1, n):
-        linked[i] = linked[parent[i]] or nodes[i].tag == "a"
-    own[:, 4] = own[:, 0] * linked
-    sub = own.copy()
-    deep = tokens.copy()
-    for i in range(n - 1, 0, -1):
-        sub[parent[i]] += sub[i]
-        deep[parent[i]] += deep[i]
-    above = tokens.copy()
-    above[0] = 0
-    for i in range(1, n):
-        above[i] = above[parent[i]] * 0.999 + tokens[parent[i]] if parent[i] != i else 0
-    up = sub[parent]
-    whole = np.maximum(sub[0], 1)
-    depth = np.array([x.depth for x in nodes], float)
-    tag = np.array([_TAG_INDEX.get(x.tag, -1) for x in nodes])
-    onehot = (tag[:, None] == np.arange(len(TAGS))[None, :]).astype(float)
-    up_tag = tag[parent]
-    # Tags that name a part of a page, on the way from the root.
-    naming = np.column_stack([np.isin(tag, [_TAG_INDEX[t] for t in names]) for names in (("article", "main"), ("nav",), ("header",), ("footer",), ("aside",), ("form",))]).astype(float)
-    inside = np.zeros_like(naming)
-    for i in range(1, n):
-        inside[i] = np.minimum(1, inside[parent[i]] + naming[parent[i]])
-    has_article = np.full(n, naming[1:, 0].sum() if n > 1 else 0.0)
-    below = naming.copy()
-    for i in range(n - 1, 0, -1):
-        below[parent[i]] += below[i]
-    before = np.concatenate(([0], np.cumsum(own[:, 0])[:-1])) / whole[0]
-    siblings = children[parent]
-    mean_sibling = up[:, 0] / np.maximum(siblings, 1)
-    return np.column_stack(
-        [
-            onehot, tokens, np.minimum(above, 3), np.minimum(deep - tokens, 5), naming, inside, np.minimum(below - naming, 3), has_article,
-            depth, depth / max(1.0, depth.max()), place, siblings, place / np.maximum(siblings, 1), children, up_tag,
-            np.log1p(own[:, 0]), np.log1p(sub[:, 0]), np.log1p(sub[:, 1]), sub[:, 0] / whole[0], sub[:, 0] / np.maximum(up[:, 0], 1), np.log1p(sub[:, 0] / sub[:, 3]),
-            sub[:, 4] / np.maximum(sub[:, 0], 1), sub[:, 2] / np.maximum(sub[:, 1], 1), sub[:, 0] / np.maximum(sub[:, 1], 1), np.log1p(sub[:, 0]) - np.log1p(mean_sibling), before, up[:, 4] / np.maximum(up[:, 0], 1),
-        ]
-    )
+class PageFeatures:
+    """Features of the elements of a page, in page order.
+
+    What needs the whole tree is held in narrow arrays, about 200 bytes an
+    element; the wide rows that the trees read are made for a slice at a time.
+    Counts of names and tokens below an element stop at 100, as no feature
+    tells them apart beyond 5.
+    """
+
+    def __init__(self, nodes: list[dom.Element]) -> None:
+        n, groups = len(nodes), len(TOKEN_GROUPS)
+        self.n = n
+        self.own = own = np.zeros((n, 5), np.int32)  # characters, words, punctuation, elements, linked characters
+        self.tokens = tokens = np.zeros((n, groups), np.int8)
+        self.parent = parent = np.zeros(n, np.int32)
+        self.place, self.children, self.depth = place, children, depth = tuple(np.zeros(n, np.int32) for _ in range(3))
+        self.tag = np.full(n, -1, np.int16)
+        for i, node in enumerate(nodes):
+            parent[i] = node.parent.index if node.parent else 0
+            depth[i] = node.depth
+            self.tag[i] = _TAG_INDEX.get(node.tag, -1)
+            own[i, 3] = 1
+            if node.attributes:
+                tokens[i] = np.minimum(_tokens(node), 100)
+            if node.tag in SILENT:
+                continue
+            for part in node.parts:
+                if isinstance(part, str):
+                    words = part.split()
+                    own[i, 0] += sum(map(len, words))
+                    own[i, 1] += len(words)
+                    own[i, 2] += len(_PUNCTUATION.findall(part))
+                else:
+                    place[part.index] = children[i]
+                    children[i] += 1
+        linked = np.zeros(n, bool)
+        for i in range(1, n):
+            linked[i] = linked[parent[i]] or nodes[i].tag == "a"
+        own[:, 4] = own[:, 0] * linked
+        # Tags that name a part of a page, on the way from the root and below.
+        self.naming = naming = np.column_stack([np.isin(self.tag, [_TAG_INDEX[t] for t in names]) for names in (("article", "main"), ("nav",), ("header",), ("footer",), ("aside",), ("form",))]).astype(np.int8)
+        self.sub, self.under, self.named = sub, under, named = own.copy(), np.zeros((n, groups), np.int8), np.zeros_like(naming)
+        # Most elements have no token and no naming tag above or below: these have nothing to pass on.
+        up, marked = parent.tolist(), (tokens.any(axis=1) | naming.any(axis=1)).tolist()
+        some = list(marked)
+        for i in range(n - 1, 0, -1):
+            p = up[i]
+            sub[p] += sub[i]
+            if some[i]:
+                some[p] = True
+                under[p] = np.minimum(under[p].astype(np.int16) + under[i] + tokens[i], 100)
+                named[p] = np.minimum(named[p].astype(np.int16) + named[i] + naming[i], 100)
+        self.above, self.inside = above, inside = np.zeros((n, groups)), np.zeros_like(naming)
+        some = list(marked)
+        for i in range(1, n):
+            p = up[i]
+            if some[p] and p != i:
+                some[i] = True
+                above[i] = above[p] * 0.999 + tokens[p]
+                inside[i] = np.minimum(1, inside[p] + naming[p])
+        self.before = np.concatenate(([0], np.cumsum(own[:-1, 0], dtype=np.int64)))
+
+    def rows(self, a: int = 0, b: int | None = None) -> np.ndarray:
+        """The feature rows of the elements a..b."""
+        at = slice(a, self.n if b is None else b)
+        parent, own, sub = self.parent[at], self.own[at].astype(float), self.sub[at].astype(float)
+        up, whole = self.sub[parent].astype(float), max(float(self.sub[0, 0]), 1.0)
+        onehot = (self.tag[at][:, None] == np.arange(len(TAGS))[None, :]).astype(float)
+        depth, place, children, siblings = (x.astype(float) for x in (self.depth[at], self.place[at], self.children[at], self.children[parent]))
+        mean_sibling = up[:, 0] / np.maximum(siblings, 1)
+        has_article = np.full(len(parent), float(self.naming[1:, 0].sum(dtype=np.int64)) if self.n > 1 else 0.0)
+        return np.column_stack(
+            [
+                onehot, self.tokens[at], np.minimum(self.above[at], 3), np.minimum(self.under[at], 5), self.naming[at], self.inside[at], np.minimum(self.named[at], 3), has_article,
+                depth, depth / max(1.0, float(self.depth.max())), place, siblings, place / np.maximum(siblings, 1), children, self.tag[parent],
+                np.log1p(own[:, 0]), np.log1p(sub[:, 0]), np.log1p(sub[:, 1]), sub[:, 0] / whole, sub[:, 0] / np.maximum(up[:, 0], 1), np.log1p(sub[:, 0] / sub[:, 3]),
+                sub[:, 4] / np.maximum(sub[:, 0], 1), sub[:, 2] / np.maximum(sub[:, 1], 1), sub[:, 0] / np.maximum(sub[:, 1], 1), np.log1p(sub[:, 0]) - np.log1p(mean_sibling), self.before[at] / whole, up[:, 4] / np.maximum(up[:, 0], 1),
+            ]
+        )
+
+
+#: Elements whose feature rows are made and scored together, of one page or of several.
+SLICE = 4096
+
+
+def scores(pages: list[PageFeatures], model: Ensemble) -> list[np.ndarray]:
+    """Log-odds of each element of some pages."""
+    odds = [np.zeros(p.n) for p in pages]
+    held: list[tuple[int, int, int]] = []
+
+    def score() -> None:
+        if held:
+            found = model.raw(np.concatenate([pages[i].rows(a, b) for i, a, b in held]))
+            for (i, a, b), part in zip(held, np.split(found, np.cumsum([b - a for _, a, b in held])[:-1]), strict=True):
+                odds[i][a:b] = part
+            held.clear()
+
+    size = 0
+    for i, page in enumerate(pages):
+        for a in range(0, page.n, SLICE):
+            b = min(a + SLICE, page.n)
+            if size + b - a > SLICE:
+                score()
+                size = 0
+            held.append((i, a, b))
+            size += b - a
+    score()
+    return odds
 
 
 def decode(nodes: list[dom.Element], odds: np.ndarray) -> np.ndarray:
@@ -294,7 +340,7 @@ def labelled_nodes(page: str) -> tuple[np.ndarray, np.ndarray]:
     for i, node in enumerate(nodes):
         out[i] = "data-out" in node.attributes or node.tag in SILENT or (node.parent is not None and out[node.parent.index])
         node.attributes = node.attributes.replace("data-out", "")
-    return features(nodes)[1:], (~out[1:]).astype(float)
+    return PageFeatures(nodes).rows()[1:], (~out[1:]).astype(float)
 
 
 @functools.lru_cache(maxsize=1)
@@ -304,16 +350,25 @@ def default_model() -> Ensemble:
 
 
 def main_texts(pages: list[str | None], model: Ensemble) -> list[str]:
-    """Main text of each page; a null page has none."""
-    trees = [dom.parse(p or "") for p in pages]
-    x = [features(t) for t in trees]
-    odds = model.raw(np.concatenate(x)) if x else np.zeros(0)
-    cut = np.cumsum([0] + [len(t) for t in trees])
-    return [text_of(t, decode(t, odds[cut[i] : cut[i + 1]])) for i, t in enumerate(trees)]
+    """Main text of each page; a null page has none.
 
+    Small pages are scored together; of large ones, one is held at a time.
+    """
+    out: list[str] = []
+    held: list[list[dom.Element]] = []
 
-#: Pages whose nodes are classified together, at most.
-_PAGES = 64
+    def flush() -> None:
+        for nodes, odds in zip(held, scores([PageFeatures(x) for x in held], model), strict=True):
+            out.append(text_of(nodes, decode(nodes, odds)))
+        held.clear()
+
+    for page in pages:
+        nodes = dom.parse(page or "")
+        if held and len(nodes) + sum(map(len, held)) > 2 * SLICE:
+            flush()
+        held.append(nodes)
+    flush()
+    return out
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", model: Ensemble | None = None) -> DataFrame:
@@ -327,10 +382,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     use = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
 
     def fn(rows, data, offsets):
-        texts: list[str] = []
-        source = rows.column(2).to_pylist()
-        for a in range(0, len(source), _PAGES):
-            texts += main_texts(source[a : a + _PAGES], trained)
+        texts = main_texts(rows.column(2).to_pylist(), trained)
         return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 
     return frames.map_texts(use, "html", fn, "id long, url string, text string, n_chars long")

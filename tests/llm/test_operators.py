@@ -814,6 +814,51 @@ def test_decoding_never_contradicts_itself():
         assert all(kept[n.parent.index] for n, k in zip(nodes, kept, strict=True) if k and n.parent)
 
 
+def plain_rows(nodes):
+    """A part of the features by walks over the tree, element by element."""
+    out = []
+    kids = lambda x: [p for p in x.parts if isinstance(p, dom.Element)] if x.tag not in htmlextract.SILENT else []
+    every = {x.index: [x] for x in nodes}
+    for x in reversed(nodes[1:]):
+        every[x.parent.index] += every[x.index]
+    chars = lambda x: 0 if x.tag in htmlextract.SILENT else sum(len("".join(p.split())) for p in x.parts if isinstance(p, str))
+    for x in nodes:
+        path, p = [], x
+        while p.parent:
+            p = p.parent
+            path.append(p)
+        linked = sum(chars(y) for y in every[x.index] if any(z.tag == "a" for z in [y, *_up(y)]))
+        out.append((len(path), sum(map(chars, every[x.index])), linked, sum(y.tag in ("article", "main") for y in every[x.index]) - (x.tag in ("article", "main")), float(any(y.tag == "nav" for y in path)), len(kids(x)), len(every[x.index])))
+    return out
+
+
+def _up(x):
+    while x.parent:
+        x = x.parent
+        yield x
+
+
+def test_features_equal_plain(monkeypatch):
+    """Sums over subtrees and paths against walks, and slices against the whole."""
+    pages = [p for p, _ in zip(htmlextract.training_pages(12, 3), range(12))] + ["", "<p>x", "<nav><a href=x>one<b>two</a></nav><main><article class='post body'>text <p>more. yes</article></main>", "<div>" * 50 + "deep"]
+    for page in pages:
+        nodes = dom.parse(page)
+        f = htmlextract.PageFeatures(nodes)
+        got = list(zip(f.depth.tolist(), f.sub[:, 0].tolist(), f.sub[:, 4].tolist(), f.named[:, 0].tolist(), f.inside[:, 1].astype(float).tolist(), f.children.tolist(), f.sub[:, 3].tolist(), strict=True))
+        assert got == plain_rows(nodes)
+        assert np.array_equal(f.rows(), np.concatenate([f.rows(a, min(a + 3, f.n)) for a in range(0, f.n, 3)]))
+    whole = htmlextract.main_texts(pages, htmlextract.default_model())
+    monkeypatch.setattr(htmlextract, "SLICE", 7)
+    assert htmlextract.main_texts(pages, htmlextract.default_model()) == whole
+
+
+def test_memory_of_a_page_of_bare_tags():
+    """The arrays of a page take less than 250 bytes an element; feature rows are made for a slice at a time."""
+    f = htmlextract.PageFeatures(dom.parse("<p>x" * 20_000))
+    held = sum(x.nbytes for x in vars(f).values() if isinstance(x, np.ndarray))
+    assert f.n == 20_001 and held < 250 * f.n
+
+
 def test_hand_written_pages():
     for page, text in PAGES:
         assert htmlextract.main_texts([page], htmlextract.default_model()) == [text]
