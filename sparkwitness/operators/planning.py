@@ -160,13 +160,17 @@ def _in_order(order: list[str], value: Column, cond: Column) -> Column:
 
 
 def greedy_selection(entries: DataFrame, group: str, max_selected: int = MAX_SELECTED, max_cost: float = MAX_COST) -> DataFrame:
-    """Selection in (priority, type rank, id) order: (group, used, selected, over_budget), at most ``max_selected`` ids and a number of skipped ones."""
+    """Selection in (priority, type rank, id) order: (group, used, selected, over_budget, skipped).
+
+    ``over_budget`` lists the skipped ids in order, ``skipped`` counts them; a
+    reader of the count alone gathers no list, and ``greedy`` has them as rows.
+    """
     budget = Budget((("cost", max_cost, "cost"),), (max_selected, "count"))
     order = ["priority", "rank", "workload_id"]
     done = greedy(entries.select(group, *order, "cost"), group, order, budget)
     taken = F.size("exceeded") == 0
     used = F.coalesce(F.sum(F.when(taken, _cost("cost"))), F.lit(0)).cast("double")
-    return done.groupBy(group).agg(used.alias("used"), _in_order(order, F.col("workload_id"), taken).alias("selected"), F.count_if(~taken).cast("int").alias("over_budget"))
+    return done.groupBy(group).agg(used.alias("used"), _in_order(order, F.col("workload_id"), taken).alias("selected"), _in_order(order, F.col("workload_id"), ~taken).alias("over_budget"), F.count_if(~taken).cast("int").alias("skipped"))
 
 
 def plan(entries: DataFrame, matched: DataFrame, group: str, max_selected: int = MAX_SELECTED, max_cost: float = MAX_COST) -> DataFrame:
@@ -181,7 +185,7 @@ def plan(entries: DataFrame, matched: DataFrame, group: str, max_selected: int =
     incomplete = F.col("completeness") < 1
     reason = F.when(incomplete & ~(F.col("fallback") & F.col("eligible")), "incomplete_graph").when(~incomplete & F.col("hit").isNull(), "node_evidence")
     j = j.withColumn("omitted", reason)
-    folded = greedy_selection(j.where("omitted is null"), group, max_selected, max_cost)
+    folded = greedy_selection(j.where("omitted is null"), group, max_selected, max_cost).drop("over_budget").withColumnRenamed("skipped", "over_budget")
     info = j.groupBy(group).agg(F.min("completeness").alias("completeness"), F.count_if(F.col("omitted") == "incomplete_graph").alias("incomplete_graph"), F.count_if(F.col("omitted") == "node_evidence").alias("node_evidence"))
     out = info.join(folded, group, "left")
     none = F.array().cast("array<bigint>")

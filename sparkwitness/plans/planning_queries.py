@@ -27,7 +27,7 @@ def entries(spark, sf):
 @query("w07_greedy_budget", f"WITH {_ENTRIES}, f AS (SELECT brand, {_FOLD} AS f FROM e GROUP BY 1) SELECT brand, f.s AS selected, len(f.o) AS over_budget, f.u AS used FROM f")
 def w07(spark, sf):
     """Greedy selection in (priority, type, id) order, skipping what does not fit."""
-    return pl.greedy_selection(entries(spark, sf), "brand").select("brand", "selected", "over_budget", "used")
+    return pl.greedy_selection(entries(spark, sf), "brand").select("brand", "selected", F.col("skipped").alias("over_budget"), "used")
 
 
 _MATCH = "CASE kind WHEN 'exact' THEN evidence = value WHEN 'prefix' THEN starts_with(evidence, value) ELSE contains(lower(evidence), lower(value)) END"
