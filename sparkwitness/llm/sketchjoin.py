@@ -20,7 +20,9 @@ of near copies with about two moves of each set.  Where sets stay apart, such
 as the pages of one template, the sets that share a rare shingle, as linked
 ones do, are held against each other by size and by bit sketches, in which
 every shingle flips one bit, and only those that may be linked are verified.
-No class is taken over the hits of several shingles.  Equal sets are one node
+No class is taken over the hits of several shingles.  Sets without enough
+shingles of their own for that, and apart from the largest component of their
+group, meet the others of their kind block by block, by sketches too.  Equal sets are one node
 throughout, so exact copies cost nothing.
 
 Sets are named by a 64-bit signature; for n different sets the probability
@@ -125,7 +127,7 @@ def set_names(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
 
 
 #: A task's keys are combined whenever it has so many.
-KEYS_HELD = 1 << 21
+KEYS_HELD = 1 << 18
 
 
 def _combined(keys: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
@@ -135,12 +137,11 @@ def _combined(keys: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
     first = np.concatenate(([True], keys[1:] != keys[:-1]))
     low = sigs[first][np.cumsum(first) - 1]
     other = sigs != low
-    pairs = np.unique(np.stack((sigs[other], low[other]), axis=1), axis=0)
-    a, b = (np.ascontiguousarray(pairs[:, i]).view(_U64) for i in (0, 1))
-    name = tk.mix(tk.mix(a) + b)
+    name, at = np.unique(tk.mix(tk.mix(sigs[other].view(_U64)) + low[other].view(_U64)), return_index=True)
     key = np.concatenate((keys[first], name, name))
-    sig = np.concatenate((sigs[first], pairs[:, 0], pairs[:, 1]))
-    return pa.RecordBatch.from_arrays([pa.array(frames.signed(key)), pa.array(np.ascontiguousarray(sig))], names=["key", "sig"])
+    sig = np.concatenate((sigs[first], sigs[other][at], low[other][at]))
+    order = np.argsort(sig, kind="stable")  # rows of one set lie together, which packs well
+    return pa.RecordBatch.from_arrays([pa.array(frames.signed(key[order])), pa.array(sig[order])], names=["key", "sig"])
 
 
 def candidate_keys(docs: DataFrame, text_col: str, k: int, num: int, den: int) -> DataFrame:
@@ -284,13 +285,15 @@ def _blobs(rows: pa.RecordBatch) -> list[np.ndarray]:
 
 
 def rare_keys(large: DataFrame, num: int, den: int) -> DataFrame:
-    """(key, sig): the shingles of each set of large classes by which its links can be found.
+    """(key, sig, common): the shingles of each set of large classes by which its links can be found.
 
     Two sets of at least the similarity share one of the n - ceil(n * num / den)
     + 1 shingles of each that come first in any one order of all shingles.  Here
     those of few sets come first, then the others by their number of sets, so
     that what a page template gives to all its pages is a key of none of them.
-    Every step moves each shingle of a large class a bounded number of times.
+    A key of few sets is a row; a set with keys of more than ``COMMON`` sets has
+    one row for all of these, marked so.  Every step moves each shingle of a
+    large class a bounded number of times.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,16 +336,20 @@ def rare_keys(large: DataFrame, num: int, den: int) -> DataFrame:
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            keys, sigs = [], []
+            keys, sigs, shared = [], [], []
             for i, s in enumerate(_blobs(rows)):
-                first = np.lexsort((s, counts_of(s, rows.column(3)[i].as_py())))[: len(s) - -(-len(s) * num // den) + 1]
+                c = counts_of(s, rows.column(3)[i].as_py())
+                first = np.lexsort((s, c))[: len(s) - -(-len(s) * num // den) + 1]
+                rare = first[c[first] == 0]
                 salt = tk.mix(np.array([rows.column(1)[i].as_py()], np.int64).view(_U64))
-                keys.append(tk.mix(s[first] ^ salt))
-                sigs.append(np.full(len(first), rows.column(0)[i].as_py(), np.int64))
+                more = int(len(rare) < len(first))
+                keys.append(np.concatenate((tk.mix(s[rare] ^ salt), np.zeros(more, _U64))))
+                shared.append(np.arange(len(keys[-1])) >= len(rare))
+                sigs.append(np.full(len(keys[-1]), rows.column(0)[i].as_py(), np.int64))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(frames.signed(np.concatenate(keys))), pa.array(np.concatenate(sigs))], names=["key", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(frames.signed(np.concatenate(keys))), pa.array(np.concatenate(sigs)), pa.array(np.concatenate(shared))], names=["key", "sig", "common"])
 
-    out = frames.settled(marked.mapInArrow(prefixes, "key long, sig long").distinct())
+    out = frames.settled(marked.mapInArrow(prefixes, "key long, sig long, common boolean").distinct())
     frames.forget(common)
     return out
 
@@ -382,16 +389,13 @@ def _near(n: np.ndarray, component: np.ndarray, sketches: list[np.ndarray], left
     return hit
 
 
-def near_groups(members: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
-    """(name, sig): of the sets (sig, n, class) that share a key, those that may have a link, in named groups.
+def near_groups(placed: DataFrame, groups: list[str], sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """(name, sig): of the left and right sets (sig, side) of each group, those that may have a link, in named groups.
 
-    Sets of one key are held against each other by size and by their sketches
-    only, block against block where there are many.  Groups of the same sets
-    have the same name, so that keys that lie side by side give one group.
+    Sets are held against each other by size and by their sketches only.  Groups
+    of the same sets have the same name, so that keys that lie side by side give
+    one group.
     """
-    placed = in_blocks(members, num, den)
-    ways = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least("mine", j).alias("x"), F.greatest("mine", j).alias("y"), F.when(j > F.col("mine"), LEFT).when(j < F.col("mine"), RIGHT).otherwise(BOTH).alias("side")))
-    dealt = placed.select("sig", "class", "band", F.explode(ways).alias("way")).select("sig", "class", "band", "way.x", "way.y", "way.side")
 
     def find(table: pa.Table) -> pa.Table:
         name, first, back = np.unique(table.column("sig").to_numpy(), return_index=True, return_inverse=True)
@@ -404,10 +408,18 @@ def near_groups(members: DataFrame, sketches: DataFrame, num: int, den: int) ->
         group = signature(sigs.view(_U64)) if len(sigs) else 0
         return pa.table({"name": pa.array([group] * len(sigs), pa.int64()), "sig": pa.array(sigs, pa.int64())})
 
-    found = dealt.join(sketches, "sig").groupBy("class", "band", "x", "y").applyInArrow(find, "name long, sig long")
-    out = frames.settled(found.distinct())
-    frames.forget(placed)
-    return out
+    return placed.select(*groups, "sig", "side").join(sketches, "sig").groupBy(*groups).applyInArrow(find, "name long, sig long").distinct()
+
+
+def second_round(known: DataFrame) -> DataFrame:
+    """(sig, class, band, x, y, side): the sets apart, in blocks of their own, meet every block of their group but block 0."""
+    group = ["class", "band"]
+    left = known.where("apart").groupBy(*group).agg(*_weight()).select(*group, _blocks(F.col("c"), F.col("w")).alias("own"))
+    rest = known.join(frames.settled(left), group)
+    to = lambda x, y, side: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(side).alias("side"))
+    here = F.transform(F.sequence(F.lit(0).cast("long"), F.col("own") - 1), lambda x: to(x, F.col("mine"), RIGHT))
+    there = F.transform(F.sequence(F.lit(1).cast("long"), F.col("blocks") - 1), lambda y: to(F.pmod(F.xxhash64("sig", F.lit(1)), F.col("own")), y, LEFT))
+    return rest.withColumn("way", F.explode(F.when(F.col("apart"), F.concat(here, there)).otherwise(here))).select("sig", *group, "way.x", "way.y", "way.side")
 
 
 def _in_components(sets: DataFrame, joined: DataFrame) -> DataFrame:
@@ -415,13 +427,16 @@ def _in_components(sets: DataFrame, joined: DataFrame) -> DataFrame:
     return sets.join(joined.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
 
 
-def rare_links(rest: DataFrame, joined: DataFrame, num: int, den: int) -> DataFrame:
+def rare_links(rest: DataFrame, known: DataFrame, joined: DataFrame, num: int, den: int) -> DataFrame:
     """Links of the sets (sig, class, n, shingles) that ``joined`` leaves in different components.
 
-    Linked sets share a rare key, so the sets of each key that is not within one
-    component are held against each other by sketches, and only the groups that
-    are left are verified: at first each set in one of its groups, then the
-    groups that this has not joined.
+    Linked sets share a key.  The sets of a rare one, at most ``COMMON``, are
+    held against each other by sketches where they are not of one component.
+    Sets that can share a common key only are those with few shingles of their
+    own: of these the ones apart from their group's largest component meet the
+    others by sketches, block by block.  What may be linked is verified: at
+    first each set in one of its groups, then the groups that this has not
+    joined.
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,9 +447,13 @@ def rare_links(rest: DataFrame, joined: DataFrame, num: int, den: int) -> DataFr
     made = rest.select("sig", "n", "shingles").mapInArrow(sketch, "sig long, n long, sketch binary")
     sketches = frames.settled(_in_components(made.groupBy("sig").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), joined))
     keyed = rare_keys(rest, num, den)
-    keys = frames.settled(keyed.join(sketches.select("sig", "n", "component"), "sig"))
-    mixed = keys.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    groups = near_groups(keys.join(frames.settled(mixed), "key").select("sig", "n", F.col("key").alias("class")), sketches, num, den)
+    rare = keyed.where("not common").join(sketches.select("sig", "component"), "sig")
+    mixed = frames.settled(rare.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"))
+    groups = near_groups(keyed.where("not common").join(mixed, "key").withColumn("side", F.lit(BOTH)), ["key"], sketches, num, den)
+    thin = frames.settled(known.join(keyed.where("common").select("sig"), "sig", "left_semi"))
+    if thin.where("apart").take(1):
+        groups = groups.unionByName(near_groups(second_round(thin), ["class", "band", "x", "y"], sketches, num, den)).distinct()
+    groups = frames.settled(groups)
     blobs = rest.select("sig", "shingles")
     whole = lambda g: compared(blobs.join(g, "sig").withColumn("side", F.lit(BOTH)), ["name"], num, den)
     links = frames.settled(whole(groups.groupBy("sig").agg(F.min("name").alias("name"))))
@@ -442,7 +461,7 @@ def rare_links(rest: DataFrame, joined: DataFrame, num: int, den: int) -> DataFr
     met = frames.settled(_in_components(groups, frames.components(edges)))
     open_ = met.groupBy("name").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("name")
     out = frames.settled(links.unionByName(whole(met.select("name", "sig").join(open_, "name"))))
-    frames.forget(sketches, keyed, keys, groups, links, met)
+    frames.forget(sketches, keyed, mixed, thin, groups, links, met)
     return out
 
 
@@ -506,7 +525,7 @@ def large_links(large: DataFrame, num: int, den: int) -> DataFrame:
     known = sets_apart(placed, joined)
     still = frames.settled(known.where("apart").select("class").distinct())
     if still.take(1):
-        more = frames.settled(links.unionByName(rare_links(large.join(still, "class"), joined, num, den)))
+        more = frames.settled(links.unionByName(rare_links(large.join(still, "class"), known.join(still, "class"), joined, num, den)))
         frames.forget(links)
         links = more
     frames.forget(placed, joined, known, still)
