@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import tokenize
 from collections.abc import Iterator
 
@@ -76,10 +77,11 @@ def _folders(entries: DataFrame) -> DataFrame:
 def decoded(content: bytes) -> tuple[str | None, str | None]:
     """(encoding, text) by byte order mark, declared coding line or UTF-8, line ends made one character; no text where that fails."""
     try:
-        encoding, _ = tokenize.detect_encoding(iter(content.splitlines(keepends=True)).__next__)
-        return encoding, content.decode(encoding).replace("\r\n", "\n")
-    except (SyntaxError, UnicodeError, LookupError):
+        encoding = tokenize.detect_encoding(io.BytesIO(content).readline)[0]
+        text = str(content, encoding)
+    except (SyntaxError, ValueError, LookupError):  # a wrong declaration, wrong bytes, an unknown codec
         return None, None
+    return encoding, "\n".join(text.split("\r\n"))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
