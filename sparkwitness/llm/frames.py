@@ -108,7 +108,7 @@ def lookup(rows: DataFrame, unique: DataFrame, on: list[str], weight: str, total
 
 
 #: So many edges (16 bytes each) are joined by one task of the executors; more of them by distributed rounds.
-FEW_EDGES = 1 << 12
+FEW_EDGES = 1 << 18
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
