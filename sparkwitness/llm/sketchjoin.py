@@ -54,6 +54,8 @@ BLOCK_BYTES = 4 << 20
 COMMON = 64
 #: So many of them are broadcast, 16 bytes each; beyond, they are joined.
 MOST_COMMON = 1 << 20
+#: Words of 64 bits that mark wanted texts, one for four of them, are at most so many (16 bytes each are broadcast).
+MARK_WORDS = 1 << 20
 
 _U64 = np.uint64
 
@@ -248,19 +250,33 @@ def compared(placed: DataFrame, groups: list[str], num: int, den: int) -> DataFr
     return placed.select(*groups, "sig", "side", "shingles").groupBy(*groups).applyInArrow(link, "a long, b long")
 
 
+def likely_rows(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose (id, th) may be in ``wanted``: all that are, and about one in sixteen of the others.
+
+    Every wanted row sets one bit of a table that is broadcast by words.  Beyond
+    ``MARK_WORDS`` more of the others pass; none that is wanted is lost.
+    """
+    words = min(MARK_WORDS, wanted.count() // 4 + 1)
+    place = F.pmod(F.xxhash64("id", "th"), F.lit(64 * words).cast("long"))
+    bit = place.bitwiseAND(63).cast("int")
+    marks = wanted.select(F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return rows.withColumn("word", F.shiftright(place, 6)).join(F.broadcast(marks), "word").where(F.getbit("bits", bit) == 1).drop("word", "bits")
+
+
 def held_sets(docs: DataFrame, names: DataFrame, classes: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """(sig, class, n, shingles): the shingles of every set of a candidate class, once for each task that meets it.
 
     A set's text is fetched by the id and text hash of one of its rows; by the
-    hash alone where all its rows have a null id.
+    hash alone where all its rows have a null id.  Only texts of ``likely_rows``
+    are shuffled for that, in the same way at every size.
     """
     row = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th"))
     one = names.where("n_shingles > 0").groupBy("sig").agg(row.alias("row")).select("sig", "row.id", "row.th")
     wanted = frames.settled(classes.select(F.col("node").alias("sig"), F.col("component").alias("class")).join(one, "sig"))
-    rows = _keyed(docs, id_col, text_col)
+    rows = likely_rows(_keyed(docs, id_col, text_col), wanted)
     # One row for each text under a null id, whatever the number of its copies.
     unnamed = rows.where("id is null").groupBy("th").agg(F.first("text").alias("text")).join(wanted.where("id is null").drop("id"), "th")
-    texts = rows.join(wanted, ["id", "th"]).select("sig", "class", "text").unionByName(unnamed.select("sig", "class", "text"))
+    texts = rows.join(wanted.hint("shuffle_hash"), ["id", "th"]).select("sig", "class", "text").unionByName(unnamed.select("sig", "class", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -349,11 +365,21 @@ def rare_keys(large: DataFrame, num: int, den: int) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(frames.signed(np.concatenate(keys))), pa.array(np.concatenate(sigs)), pa.array(np.concatenate(shared))], names=["key", "sig", "common"])
 
-    out = frames.settled(marked.mapInArrow(prefixes, "key long, sig long, common boolean").distinct())
+    out = frames.settled(marked.mapInArrow(prefixes, "key long, sig long, common boolean"))
     frames.forget(common)
     return out
 
 
+def rare_groups(keyed: DataFrame) -> DataFrame:
+    """(name, sig): the groups of sets that share a key of few sets, at most ``COMMON``.
+
+    Neighbouring shingles are held by the same sets, so a group is one here
+    however many keys give it, and a key of one set gives none.
+    """
+    groups = keyed.where("not common").groupBy("key").agg(F.array_sort(F.collect_set("sig")).alias("sigs")).where("size(sigs) > 1").select("sigs").distinct()
+    return groups.select(F.xxhash64("sigs").alias("name"), F.explode("sigs").alias("sig"))
+
+
 def sketch_bits(n: int, num: int, den: int) -> int:
     """Bits of the sketch of n shingles: a power of two, some times the difference that the largest partner allows."""
     differ = (n + n * den // num) * (den - num) // (den + num)
@@ -447,9 +473,9 @@ def rare_links(rest: DataFrame, known: DataFrame, joined: DataFrame, num: int, d
     made = rest.select("sig", "n", "shingles").mapInArrow(sketch, "sig long, n long, sketch binary")
     sketches = frames.settled(_in_components(made.groupBy("sig").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), joined))
     keyed = rare_keys(rest, num, den)
-    rare = keyed.where("not common").join(sketches.select("sig", "component"), "sig")
-    mixed = frames.settled(rare.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"))
-    groups = near_groups(keyed.where("not common").join(mixed, "key").withColumn("side", F.lit(BOTH)), ["key"], sketches, num, den)
+    shared = frames.settled(rare_groups(keyed).join(sketches.select("sig", "component"), "sig"))
+    mixed = frames.settled(shared.groupBy("name").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("name"))
+    groups = near_groups(shared.join(mixed, "name").withColumn("side", F.lit(BOTH)), ["name"], sketches, num, den)
     thin = frames.settled(known.join(keyed.where("common").select("sig"), "sig", "left_semi"))
     if thin.where("apart").take(1):
         groups = groups.unionByName(near_groups(second_round(thin), ["class", "band", "x", "y"], sketches, num, den)).distinct()
@@ -461,7 +487,7 @@ def rare_links(rest: DataFrame, known: DataFrame, joined: DataFrame, num: int, d
     met = frames.settled(_in_components(groups, frames.components(edges)))
     open_ = met.groupBy("name").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("name")
     out = frames.settled(links.unionByName(whole(met.select("name", "sig").join(open_, "name"))))
-    frames.forget(sketches, keyed, mixed, thin, groups, links, met)
+    frames.forget(sketches, keyed, shared, mixed, thin, groups, links, met)
     return out
 
 

@@ -350,6 +350,29 @@ def test_pages_that_share_snippets_are_compared_in_proportion(spark, monkeypatch
     assert sent[600][0] < 2.6 * sent[300][0] and sent[600][1] < 40 * 9
 
 
+def test_only_texts_that_are_likely_wanted_are_fetched(spark, monkeypatch):
+    rows = spark.range(8000).select(F.when(F.col("id") % 10 < 9, F.col("id")).alias("id"), F.xxhash64("id").alias("th"), F.lit("t").alias("text"))
+    wanted = rows.where("th % 20 = 0").select("id", "th")
+    passed = {r["th"] for r in sketchjoin.likely_rows(rows, wanted).collect()}
+    need = {r["th"] for r in wanted.collect()}
+    assert need <= passed and len(passed) < len(need) + 8000 // 8
+    assert sketchjoin.likely_rows(rows, wanted.limit(0)).count() == 0
+    monkeypatch.setattr(sketchjoin, "MARK_WORDS", 1)
+    assert need <= {r["th"] for r in sketchjoin.likely_rows(rows, wanted).collect()}
+
+
+def test_sets_that_share_many_rare_keys_are_one_group(spark, monkeypatch):
+    """Pages of a template, each snippet of 60 words in three of them: few groups for each snippet, not one for each shingle."""
+    rng = random.Random(13)
+    pages = template_texts(rng, 90)
+    texts = [x + " " + y for i in range(0, 90, 3) for y in [" ".join(words(rng, 60, 10**9))] for x in pages[i : i + 3]]
+    _, held = large_of(spark, texts, monkeypatch, 20)
+    keyed = frames.settled(sketchjoin.rare_keys(held, 80, 100))
+    met = keyed.where("not common").distinct().groupBy("key").count().where("count > 1").agg(F.sum("count")).first()[0]
+    groups = [r["c"] for r in sketchjoin.rare_groups(keyed).groupBy("name").agg(F.count("*").alias("c")).collect()]
+    assert len(groups) >= 30 and set(groups) <= {2, 3} and 4 * sum(groups) < met
+
+
 def test_bit_sketches_never_hide_a_link():
     rng = np.random.default_rng(9)
     for n in (1, 4, 30, 300, 3000):
