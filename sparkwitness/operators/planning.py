@@ -21,14 +21,22 @@ def type_rank(kind: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, TYPE_ORDER)), kind).cast("int")
 
 
-def first_match(criteria: DataFrame, evidence: DataFrame) -> DataFrame:
+def first_match(criteria: DataFrame, evidence: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """First matching criterion of each workload and run: by criterion order, then by value.
 
-    ``criteria``: workload_id, ord, source, value, match; ``evidence``: run_id, source, value.
-    The join is on the source; equal evidence enters once.
+    ``criteria``: workload_id, ord, source, value, match; ``evidence``: run_id, source, value;
+    ``pairs`` (run_id, workload_id), if given, are the only ones that are looked for.
+    Equal patterns are held against equal evidence once, in a join on the source;
+    what they hit is joined by equality.
     """
     e = evidence.where("trim(value) <> ''").distinct().withColumnRenamed("value", "evidence")
-    j = criteria.join(e, "source").where(matches(F.col("match"), F.col("value"), F.col("evidence")))
+    pattern = ["source", "value", "match"]
+    found = criteria.select(*pattern).distinct().join(e.select("source", "evidence").distinct(), "source").where(matches(F.col("match"), F.col("value"), F.col("evidence")))
+    hits = settled(found.join(e, ["source", "evidence"]).groupBy("run_id", *pattern).agg(F.min("evidence").alias("evidence")))
+    if pairs is None:
+        j = match(criteria, hits, pattern)
+    else:
+        j = match(criteria.join(pairs.distinct(), "workload_id"), hits, ["run_id", *pattern])
     best = j.groupBy("run_id", "workload_id").agg(F.min(F.struct("ord", "evidence", "source")).alias("b"))
     return best.select("run_id", "workload_id", "b.source", "b.evidence")
 
@@ -184,7 +192,7 @@ def plan(entries: DataFrame, matched: DataFrame, group: str, max_selected: int =
     j = entries.join(m, [group, "workload_id"], "left")
     incomplete = F.col("completeness") < 1
     reason = F.when(incomplete & ~(F.col("fallback") & F.col("eligible")), "incomplete_graph").when(~incomplete & F.col("hit").isNull(), "node_evidence")
-    j = j.withColumn("omitted", reason)
+    j = settled(j.withColumn("omitted", reason))  # read by every round of the budget
     folded = greedy_selection(j.where("omitted is null"), group, max_selected, max_cost).drop("over_budget").withColumnRenamed("skipped", "over_budget")
     info = j.groupBy(group).agg(F.min("completeness").alias("completeness"), F.count_if(F.col("omitted") == "incomplete_graph").alias("incomplete_graph"), F.count_if(F.col("omitted") == "node_evidence").alias("node_evidence"))
     out = info.join(folded, group, "left")

@@ -70,8 +70,10 @@ CASE WHEN completeness < 1 AND coalesce(len(f.s), 0) = 0 THEN 0.0 WHEN completen
 )
 def a06(spark, sf):
     """Plan of each registry with omissions, budget and state."""
-    matched = pl.first_match(criteria(spark, sf), evidence(spark, sf)).withColumnRenamed("run_id", "brand")
-    out = pl.plan(entries(spark, sf), matched, "brand")
+    own = entries(spark, sf)
+    pairs = own.select(F.col("brand").alias("run_id"), "workload_id")
+    matched = pl.first_match(criteria(spark, sf), evidence(spark, sf), pairs).withColumnRenamed("run_id", "brand")
+    out = pl.plan(own, matched, "brand")
     return out.select("brand", F.size("selected").alias("selected"), "over_budget", "used", "incomplete_graph", "node_evidence", "state", "confidence")
 
 

@@ -414,3 +414,16 @@ def test_contracts_name_every_fault(spark):
     good, bad = contracts.quarantine(df, "record", contract)
     assert {r["record"]: r["violations"] for r in bad.collect()} == {k: v for k, v in cases.items() if v}
     assert {r["record"] for r in good.collect()} == {k for k, v in cases.items() if not v}
+
+
+def test_criteria_meet_evidence_by_pattern_and_only_for_given_pairs(spark, monkeypatch):
+    """Many workloads of one pattern and many runs of one fact are one comparison; pairs limit the result."""
+    criteria = spark.range(300).selectExpr("id AS workload_id", "cast(id % 2 AS int) AS ord", "'test' AS source", "concat('case', id % 2) AS value", "'prefix' AS match")
+    evidence = spark.range(200).selectExpr("id AS run_id", "'test' AS source", "concat('case', id % 2, '_x') AS value")
+    compared = []
+    monkeypatch.setattr(planning, "settled", lambda df: compared.append(df) or tables.settled(df))
+    full = {tuple(r) for r in planning.first_match(criteria, evidence).collect()}
+    assert full == {(r, w, "test", f"case{w % 2}_x") for r in range(200) for w in range(300) if r % 2 == w % 2}
+    assert compared[0].count() == 200  # one row for each run and pattern
+    pairs = spark.range(300).selectExpr("id % 200 AS run_id", "id AS workload_id")
+    assert {tuple(r) for r in planning.first_match(criteria, evidence, pairs).collect()} == {x for x in full if x[0] == x[1] % 200}
