@@ -105,12 +105,16 @@ def traverse(nodes: DataFrame, edges: DataFrame, max_depth: int = 3, max_nodes:
 
 
 def distances(nodes: DataFrame, edges: DataFrame, depth: int, settle: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Distance of all nodes within ``depth`` steps of a changed one, without a node cap."""
-    moves = settle(steps(nodes, edges).select("src", "dst").distinct())
+    """Distance of all nodes within ``depth`` steps of a changed one, without a node cap.
+
+    With a ``settle`` that writes, steps and levels are made once; without, each
+    level makes all earlier ones again.
+    """
+    moves = settle(steps(nodes, edges).select("src", "dst"))
     reached = nodes.where("changed").select("id", F.lit(0).alias("distance"))
     front = reached
     for d in range(1, depth + 1):
-        new = moves.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct().join(reached.select("id"), "id", "left_anti")
+        new = moves.join(front.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(reached.select("id"), "id", "left_anti")
         front = settle(new.select("id", F.lit(d).alias("distance")))
         reached = reached.unionByName(front)
     return reached

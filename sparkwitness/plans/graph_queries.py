@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as gr
 from ..operators import predict as pd
 from ..session import table
+from ..tables import settled
 from . import proxies as p
 from .registry import ORACLE, query
 
@@ -79,7 +80,7 @@ def a01_distances(spark, sf):
 @query("a01_distances_to_bound", ORACLE["a01_distances"].replace("walk.d < 2", "walk.d < 3"))
 def a01_bound(spark, sf):
     """A1 without its cap, to its own bound of three steps."""
-    return gr.distances(p.nodes(spark, sf), p.edges(spark, sf), 3, _plain)
+    return gr.distances(p.nodes(spark, sf), p.edges(spark, sf), 3, settled)
 
 
 @query(

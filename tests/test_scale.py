@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkwitness import tables
 from sparkwitness.operators import contracts, graph, history, planning, release
+from sparkwitness.plans import graph_queries
 from sparkwitness.sources import artifacts, objects
 from sparkwitness.sources.journal import Journal
 from sparkwitness.streaming import state
@@ -427,3 +428,21 @@ def test_criteria_meet_evidence_by_pattern_and_only_for_given_pairs(spark, monke
     assert compared[0].count() == 200  # one row for each run and pattern
     pairs = spark.range(300).selectExpr("id % 200 AS run_id", "id AS workload_id")
     assert {tuple(r) for r in planning.first_match(criteria, evidence, pairs).collect()} == {x for x in full if x[0] == x[1] % 200}
+
+
+def test_distances_to_bound_make_steps_and_levels_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(graph_queries, "settled", lambda df: made.append(df) or tables.settled(df))
+    sf = "/root/testdata/sf0.001"
+    got = {tuple(r) for r in graph_queries.a01_bound(spark, sf).collect()}
+    assert len(made) == 4  # the steps, and a level for each of three
+    nodes, edges = graph_queries.p.nodes(spark, sf), graph_queries.p.edges(spark, sf)
+    ways = {}
+    for r in graph.steps(nodes, edges).select("src", "dst").collect():
+        ways.setdefault(r["src"], set()).add(r["dst"])
+    far = {r["id"]: 0 for r in nodes.where("changed").collect()}
+    front = set(far)
+    for d in (1, 2, 3):
+        front = {x for at in front for x in ways.get(at, ())} - far.keys()
+        far |= dict.fromkeys(front, d)
+    assert far and got == set(far.items())
